@@ -10,6 +10,7 @@ import duckdb
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -74,7 +75,10 @@ if __name__ == "__main__":
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     entry = load_entry()
+    from tidewheel.session import release
+
     spark = build_session("oracle", "8")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     queries, oracles = entry.queries(), entry.oracle_sql()
@@ -90,6 +94,7 @@ if __name__ == "__main__":
                 ok, note, took, sql_took = True, f"{n} rows (no oracle)", time.time() - t, 0.0
         except Exception as e:
             ok, note, took, sql_took = False, f"{type(e).__name__}: {str(e)[:600]}", 0.0, 0.0
+        release()
         failed += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {name:26s} {took:6.2f}s sql {sql_took:5.2f}s {note}", flush=True)
     print("failed:", failed)

@@ -96,9 +96,8 @@ def pearson(df: DataFrame, keys: Sequence[str], a: str, b: str, out: str = "r",
     """Pearson r per group; `when_flat` (default NULL) where either side barely moves."""
     x, y = F.col(a), F.col(b)
     both = x.isNotNull() & y.isNotNull()
-    # Moments about 0 would cancel on large levels; corr and stddev_pop carry centred moments.
     agg = df.where(both).groupBy(*keys).agg(
-        F.corr(x, y).alias("_r"), F.stddev_pop(x).alias("_sx"), F.stddev_pop(y).alias("_sy"), F.count("*").alias("_n"))
+        safe_corr(x, y).alias("_r"), F.stddev_pop(x).alias("_sx"), F.stddev_pop(y).alias("_sy"), F.count("*").alias("_n"))
     ok = (F.col("_n") >= 2) & (F.col("_sx") >= flat) & (F.col("_sy") >= flat)
     return agg.select(*keys, F.when(ok, F.col("_r")).otherwise(F.lit(when_flat).cast("double")).alias(out))
 
@@ -171,9 +170,9 @@ def _equal_pairs(seq: np.ndarray, group: np.ndarray) -> int:
     return int(np.sum(counts * (counts - 1) // 2))
 
 
-@F.pandas_udf("double")
-def _theil_sen_udf(x: pd.Series, y: pd.Series) -> float:
-    return _median_slope(x.to_numpy("float64"), y.to_numpy("float64"))
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson r as an aggregate; NULL when either side does not move."""
+    return F.covar_pop(a, b) / (F.nullif(F.stddev_pop(a), F.lit(0.0)) * F.nullif(F.stddev_pop(b), F.lit(0.0)))
 
 
 def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "slope") -> DataFrame:
@@ -182,8 +181,12 @@ def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "sl
     Meant for summaries (one row per comparison window, a few hundredths of a percent of the
     series): a group costs 16 bytes a row and n log n time in its task.
     """
+    @F.pandas_udf("double")
+    def slope(x: pd.Series, y: pd.Series) -> float:
+        return _median_slope(x.to_numpy("float64"), y.to_numpy("float64"))
+
     return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(
-        _theil_sen_udf(F.col(x).cast("double"), F.col(y).cast("double")).alias(out))
+        slope(F.col(x).cast("double"), F.col(y).cast("double")).alias(out))
 
 
 def majority(df: DataFrame, keys: Sequence[str], value: str, member: str, radius: float = C.AGREE_S) -> DataFrame:

@@ -19,10 +19,11 @@ from tidewheel import constants as C
 from tidewheel.constants import BLOCK
 from tidewheel.functions import kernels as K
 from tidewheel.functions import scalar as S
-from tidewheel.operators.aggregates import theil_sen
+from tidewheel.operators.aggregates import safe_corr, theil_sen
 from tidewheel.operators.blocks import over_blocks, pack
 from tidewheel.operators.joins import full_span, sample_linear, spread_index
 from tidewheel.operators.quantiles import exact_percentiles
+from tidewheel.session import settle
 
 _MOMENTS = ("n", "sa", "sb", "saa", "sbb", "sab")
 _MOMENT_SCHEMA = T.ArrayType(T.StructType([T.StructField(m, T.DoubleType()) for m in _MOMENTS]))
@@ -132,7 +133,7 @@ def local_lags(pairs: DataFrame, keys: Sequence[str], width: int, hop: int, reac
     new version reads `fill`. The last partial window is left out.
     """
     keys = list(keys)
-    curve = window_curves(pairs, keys, width, hop, reach, flat, fill, index, size)
+    curve = settle(window_curves(pairs, keys, width, hop, reach, flat, fill, index, size))
     flat_rows = curve.where(F.col("lag").isNull()).select(
         *keys, "start", F.lit(None).cast("int").alias("lag"), F.lit(None).cast("double").alias("r"))
     found = best_lag(curve.where(F.col("lag").isNotNull()), [*keys, "start"])
@@ -185,8 +186,8 @@ def classify_lags(windows: DataFrame, offsets: DataFrame, keys: Sequence[str], f
     keys = list(keys)
     agree_s = C.AGREE_S + 1e-9
     base = windows.join(offsets.select(*keys, F.col("lag").alias("_off"), F.col("r").alias("_off_r")), keys)
-    base = base.withColumn("_t", F.col("start") / fps).withColumn("_lag", F.col("lag") / fps).withColumn(
-        "_offset", F.col("_off") / fps)
+    base = settle(base.withColumn("_t", F.col("start") / fps).withColumn("_lag", F.col("lag") / fps).withColumn(
+        "_offset", F.col("_off") / fps))
     matched = F.col("lag").isNotNull()
     near = F.abs(F.col("_lag") - F.col("_offset")) <= agree_s
     counts = base.groupBy(*keys).agg(
@@ -199,7 +200,8 @@ def classify_lags(windows: DataFrame, offsets: DataFrame, keys: Sequence[str], f
         F.min("_lag").alias("lag_min"), F.max("_lag").alias("lag_max"),
         F.min(F.when(matched & (F.abs(F.col("_lag") - F.col("_offset")) > C.AGREE_S), F.col("_t"))).alias("moved_from"))
     slope = theil_sen(base.where(matched), keys, "_t", "_lag")
-    tilted = base.where(matched).join(slope, keys).withColumn("_rest", F.col("_lag") - F.col("slope") * F.col("_t"))
+    tilted = settle(base.where(matched).join(slope, keys).withColumn(
+        "_rest", F.col("_lag") - F.col("slope") * F.col("_t")))
     line = exact_percentiles(tilted, keys, "_rest", {"_level": 0.5})
     on_line = tilted.join(line, keys).groupBy(*keys).agg(
         F.avg((F.abs(F.col("_rest") - F.col("_level")) <= agree_s).cast("int")).alias("on_line"), F.max("slope").alias("slope"))
@@ -230,6 +232,7 @@ def aligned_pair(pairs: DataFrame, lags: DataFrame, keys: Sequence[str], lag: st
     value; `both` says whether the frame lies inside both.
     """
     keys = list(keys)
+    lags = settle(lags)
     old = pairs.where(F.col("old").isNotNull()).select(*keys, index, "old")
     new = pairs.where(F.col("new").isNotNull()).select(*keys, index, F.col("new").alias("_new"))
     sizes = (pairs.groupBy(*keys).agg(F.count("old").alias("_no"), F.count("new").alias("_nn"))
@@ -254,7 +257,7 @@ def onset_alignment(pairs: DataFrame, lags: DataFrame, keys: Sequence[str], fps:
     """r of the two onset series with the new one read `lag` s later; 0 when flat or barely overlapping."""
     keys = list(keys)
     moved = aligned_pair(pairs, lags, keys, fps=fps, ratio=ratio, size=size).where("both")
-    r = moved.groupBy(*keys).agg(F.corr("old", "new").alias("_r"), F.stddev_pop("old").alias("_a"),
+    r = moved.groupBy(*keys).agg(safe_corr(F.col("old"), F.col("new")).alias("_r"), F.stddev_pop("old").alias("_a"),
                                  F.stddev_pop("new").alias("_b"), F.count("*").alias("_n"))
     ok = (F.col("_n") >= 2) & (F.col("_a") >= 1e-12) & (F.col("_b") >= 1e-12)
     found = r.select(*keys, F.when(ok, F.col("_r")).otherwise(0.0).alias("r"))
@@ -264,7 +267,7 @@ def onset_alignment(pairs: DataFrame, lags: DataFrame, keys: Sequence[str], fps:
 def band_shift(pairs: DataFrame, lags: DataFrame, keys: Sequence[str], reach: int, size: int = BLOCK) -> DataFrame:
     """Where a band lines up best, when that is clearly elsewhere than at the pair's own lag (frames)."""
     keys = list(keys)
-    curve = offset_curve(pairs, keys, reach, size=size)
+    curve = settle(offset_curve(pairs, keys, reach, size=size))
     best = best_lag(curve, keys).select(*keys, F.col("lag").alias("_at"), F.col("r").alias("_r"))
     mix = F.least(F.greatest(F.col("_mix"), F.lit(-reach)), F.lit(reach))
     own = lags.select(*keys, F.rint(F.col("lag").cast("double")).cast("int").alias("_mix")).withColumn("_mix", mix)
@@ -305,7 +308,7 @@ def section_matches(moved_mix: DataFrame, moved_voice: DataFrame, grids: DataFra
     def r(a, b):
         ok = ((F.stddev_pop(F.when(use, F.col(a))) >= 1e-6) & (F.stddev_pop(F.when(use, F.col(b))) >= 1e-6)
               & (F.count(F.when(use, 1)) >= 2) & (F.avg(sounding) >= 0.5))
-        return F.when(ok, F.round(F.corr(F.when(use, F.col(a)), F.when(use, F.col(b))), 3))
+        return F.when(ok, F.round(safe_corr(F.when(use, F.col(a)), F.when(use, F.col(b))), 3))
 
     return all_.groupBy(*keys, section_of(F.col("bar")).alias("section")).agg(
         F.min("bar").alias("first_bar"), F.max("bar").alias("last_bar"), F.count("*").alias("frames"),
@@ -319,7 +322,7 @@ def common_scale(moved: DataFrame, raw_old: DataFrame, keys: Sequence[str], leas
     `moved` is aligned_pair(fill=floor); `raw_old` (keys, old) the old version as it is.
     """
     keys = list(keys)
-    tops = moved.groupBy(*keys).agg(F.max("old").alias("_to"), F.max("new").alias("_tn"))
+    tops = settle(moved.groupBy(*keys).agg(F.max("old").alias("_to"), F.max("new").alias("_tn")))
     placed = moved.join(tops, keys)
     loud = ((F.col("old") > F.col("_to") - C.AUDIBLE_DB) & (F.col("new") > F.col("_tn") - C.AUDIBLE_DB)
             & (F.col("old") > floor) & (F.col("new") > floor))
@@ -357,7 +360,7 @@ def level_changes(scaled: DataFrame, grids: DataFrame, keys: Sequence[str], slid
     aggs = [F.stddev_pop("old").alias("_so"), F.count("*").alias("_n")]
     for k in range(len(slides)):
         aggs += [F.avg(F.abs(F.col("old") - F.col(f"_m{k}"))).alias(f"_d{k}"),
-                 F.stddev_pop(f"_m{k}").alias(f"_s{k}"), F.corr("old", f"_m{k}").alias(f"_r{k}")]
+                 F.stddev_pop(f"_m{k}").alias(f"_s{k}"), safe_corr(F.col("old"), F.col(f"_m{k}")).alias(f"_r{k}")]
     bars = wide.groupBy(*keys, "bar").agg(*aggs)
     active = [F.when((F.col("_so") > C.SHAPE_ACTIVITY) & (F.col(f"_s{k}") > C.SHAPE_ACTIVITY) & (F.col("_n") >= 2),
                      F.col(f"_r{k}")) for k in range(len(slides))]
@@ -392,15 +395,14 @@ def rhythm_changes(moved_flux: DataFrame, grids: DataFrame, keys: Sequence[str],
         part = rhythm_profile(moved_flux, keys, side, grids, per_bar, fps, index).withColumnRenamed("energy", side)
         both = part if both is None else both.join(part, [*keys, "bar", "slot"])
     root_old, root_new = F.sqrt(F.greatest("old", F.lit(0.0))), F.sqrt(F.greatest("new", F.lit(0.0)))
-    missing = slots - F.count("*")
     # Slots with no frame read 0: they join the moments through the slot count alone.
     sa, sb = F.sum(root_old), F.sum(root_new)
     saa, sbb, sab = F.sum(F.greatest("old", F.lit(0.0))), F.sum(F.greatest("new", F.lit(0.0))), F.sum(root_old * root_new)
-    bars = both.groupBy(*keys, "bar").agg(
+    bars = settle(both.groupBy(*keys, "bar").agg(
         F.sum("old").alias("_to"), F.sum("new").alias("_tn"),
         (saa / slots - (sa / slots) * (sa / slots)).alias("_va"), (sbb / slots - (sb / slots) * (sb / slots)).alias("_vb"),
         (sab / slots - (sa / slots) * (sb / slots)).alias("_cov"),
-        F.max(F.abs(root_old - root_new)).alias("_gap"), missing.alias("_missing"))
+        F.max(F.abs(root_old - root_new)).alias("_gap")))
     typical_old = exact_percentiles(bars.where(F.col("_to") > 0), keys, "_to", {"_mo": 0.5})
     typical_new = exact_percentiles(bars.where(F.col("_tn") > 0), keys, "_tn", {"_mn": 0.5})
     placed = bars.join(typical_old, keys, "left").join(typical_new, keys, "left")
@@ -480,8 +482,8 @@ def tempo_change(pairs: DataFrame, windows: DataFrame, keys: Sequence[str], fps:
     0.1 % then in 0.01 % steps. Each trial warps and correlates block by block.
     """
     keys = list(keys)
-    matched = windows.where(F.col("lag").isNotNull()).withColumn("_t", F.col("start") / fps).withColumn(
-        "_l", F.col("lag") / fps)
+    matched = settle(windows.where(F.col("lag").isNotNull()).withColumn("_t", F.col("start") / fps).withColumn(
+        "_l", F.col("lag") / fps))
     drift = theil_sen(matched, keys, "_t", "_l").join(matched.groupBy(*keys).agg(
         F.count("*").alias("_m"), (F.max("_t") - F.min("_t")).alias("_span")), keys)
     drift = drift.where((F.col("_m") >= 3) & (F.col("_span") > 0) & (F.col("slope") > -0.9)).select(
@@ -494,18 +496,18 @@ def tempo_change(pairs: DataFrame, windows: DataFrame, keys: Sequence[str], fps:
             *keys, (F.col("last_frame") - F.col("first_frame")).alias(f"_{side}"))
         lengths = part if lengths is None else lengths.join(part, keys)
     by_length = lengths.where(F.col("_new") > 0).select(*keys, (F.col("_old") / F.col("_new")).alias("guess"), F.lit(0).alias("line"))
-    guesses = drift.unionByName(by_length).where(F.col("guess").between(0.5, 2.0))
+    guesses = settle(drift.unionByName(by_length).where(F.col("guess").between(0.5, 2.0)))
 
     def trials(centres: DataFrame, steps: int, step: float) -> DataFrame:
         spread = F.explode(F.transform(F.sequence(F.lit(-steps), F.lit(steps)), lambda k: F.col("guess") * (1.0 + step * k)))
         return centres.select(*keys, spread.alias("ratio")).distinct()
 
-    coarse = warped_peaks(pairs, trials(guesses, 5, 0.001), keys, round(reach_s * fps), fps, size)
+    coarse = settle(warped_peaks(pairs, settle(trials(guesses, 5, 0.001)), keys, round(reach_s * fps), fps, size))
     best = F.max(F.struct("r", "ratio", "lag_s"))
     first = coarse.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col("_b.ratio").alias("guess"))
     followed = guesses.where(F.col("line") == 1).select(*keys, F.col("guess").alias("ratio"))
-    second = warped_peaks(pairs, trials(first, 10, 0.0001).unionByName(followed).distinct(), keys,
-                          round(reach_s * fps), fps, size)
+    second = settle(warped_peaks(pairs, settle(trials(first, 10, 0.0001).unionByName(followed).distinct()), keys,
+                                 round(reach_s * fps), fps, size))
     all_ = coarse.unionByName(second)
     top = all_.groupBy(*keys).agg(best.alias("_b"))
     line = second.join(followed.withColumnRenamed("ratio", "_f"), keys).where(F.col("ratio") == F.col("_f")).groupBy(
@@ -519,7 +521,7 @@ def tempo_change(pairs: DataFrame, windows: DataFrame, keys: Sequence[str], fps:
         *keys, F.col("_b.ratio").alias("ratio"), (F.col("_b.lag_s") / F.col("_b.ratio")).alias("lag_s"),
         F.round("_b.r", 3).alias("r"), F.col("_b.r").alias("_r"), F.col("_p.r").alias("_plain"),
         (-F.col("_p.l") / fps).alias("_plain_lag"), (F.abs(1.0 - 1.0 / F.col("_b.ratio")) * F.col("_no") / fps).alias("_drift"))
-    found = found.where((F.col("_r") >= C.STRETCH_R) & (F.col("_drift") > tolerance))
+    found = settle(found.where((F.col("_r") >= C.STRETCH_R) & (F.col("_drift") > tolerance)))
     gains = F.col("_r") >= F.col("_plain") + C.STRETCH_GAIN
     if onset_pairs is None:
         return found.where(gains).select(*keys, "ratio", "lag_s", "r")
@@ -542,9 +544,9 @@ def warped_peaks(pairs: DataFrame, ratios: DataFrame, keys: Sequence[str], reach
     new = pairs.where(F.col("new").isNotNull()).select(*keys, "frame", "new")
     warped = sample_linear(spine.withColumn("_pos", F.col("frame") / F.col("ratio")), new, keys, "_pos", "new", "_w", size=size)
     old = ratios.join(pairs.where(F.col("old").isNotNull()).select(*keys, "frame", "old"), keys)
-    both = (old.select(*trial, "frame", F.col("old"), F.lit(None).cast("double").alias("new"))
-            .unionByName(warped.select(*trial, "frame", F.lit(None).cast("double").alias("old"), F.col("_w").alias("new")))
-            .groupBy(*trial, "frame").agg(F.max("old").alias("old"), F.max("new").alias("new")))
+    both = settle(old.select(*trial, "frame", F.col("old"), F.lit(None).cast("double").alias("new"))
+                  .unionByName(warped.select(*trial, "frame", F.lit(None).cast("double").alias("old"), F.col("_w").alias("new")))
+                  .groupBy(*trial, "frame").agg(F.max("old").alias("old"), F.max("new").alias("new")))
     curve = peaks(offset_curve(both, trial, reach, size=size), trial)
     top = curve.groupBy(*trial).agg(F.max(F.struct("r", (-F.col("lag")).alias("l"), "_left", "_right")).alias("_b"))
     left, mid, right = F.col("_b._left"), F.col("_b.r"), F.col("_b._right")
@@ -603,7 +605,7 @@ def band_correlation(bands: DataFrame, keys: Sequence[str], reach: int, value: s
     moving = (F.sqrt("_vx") > 1e-9) & (F.sqrt("_vy") > 1e-9)
     w = F.when(moving, F.col("_sx") if weight == "energy" else F.col("_vx")).otherwise(0.0)
     whole = Window.partitionBy(*keys)
-    weighed = totals.withColumn("_w", w).withColumn("_tw", F.sum("_w").over(whole)).where(
+    weighed = settle(totals).withColumn("_w", w).withColumn("_tw", F.sum("_w").over(whole)).where(
         (F.col("_tw") > 0) & (F.col("_w") > 1e-4 * F.col("_tw")))
     weighed = weighed.withColumn("_w", F.col("_w") / F.sum("_w").over(whole))
     sums = lag_sums(bands, banded, -reach, reach, value, ref, size=size).join(weighed, banded)
@@ -640,13 +642,14 @@ def align_group(curve: DataFrame, group: Sequence[str], member: str, given: Data
 
     group = list(group)
     keys = [*group, member]
+    curve = settle(curve)
     found = best_and_runner_up(curve, keys, round(C.RUNNER_UP_S * fps)).withColumn("lag_s", F.col("lag") / fps)
     sure = (F.col("r") >= C.STEM_MIN_R) & ~F.col("edge") & (F.col("margin").isNull() | (F.col("margin") >= C.STEM_MIN_MARGIN))
-    found = found.withColumn("sure", sure)
+    found = settle(found.withColumn("sure", sure))
     trusted = found.where("sure")
     if given is not None:
         trusted = trusted.join(given.select(*keys), keys, "left_anti")
-    voted = majority(trusted.withColumn("lag_s", F.round("lag_s", 6)), group, "lag_s", member)
+    voted = settle(majority(trusted.withColumn("lag_s", F.round("lag_s", 6)), group, "lag_s", member))
     agreed = voted.groupBy(*group).agg(F.max("agreed").alias("agreed"))
     spread = round(C.AGREE_S * fps)
     near = (peaks(curve, keys, edges=False).join(agreed, group).where(

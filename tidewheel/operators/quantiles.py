@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.operators.blocks import prefix
+from tidewheel.session import settle
 
 _SUB = 4096
 
@@ -67,7 +68,7 @@ def exact_percentiles(
         .withColumn("_val", inside)
         .groupBy(*keys, "_slot", "_sub", "_val").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
     )
-    ranked = prefix(counted, keys, {"_cum": ("sum", "_c")}, order=["_slot", "_sub", "_val"], block=F.col("_sub"))
+    ranked = prefix(settle(counted), keys, {"_cum": ("sum", "_c")}, order=["_slot", "_sub", "_val"], block=F.col("_sub"))
 
     def at(rank):
         return F.max(F.when((rank >= F.col("_cum") - F.col("_c")) & (rank < F.col("_cum")), F.col("_val")))

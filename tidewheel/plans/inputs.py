@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.operators.series import frame_grid, level
-from tidewheel.session import table
+from tidewheel.session import settle, table
 
 SERIES = ["series_id"]
 EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
@@ -44,16 +44,18 @@ hourly AS (
 # ---- weekly sales per supplier: a catalogue that grows with the data
 def weekly(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("series_id"), "l_shipdate", "l_extendedprice")
-    return frame_grid(lines, SERIES, days() / F.lit(7.0), F.col("l_extendedprice") / 70000.0, 1.0)
+    return frame_grid(lines, SERIES, days() / F.lit(7.0), F.col("l_extendedprice") / 71993.37, 1.0)
 
 
 def weekly_levels(spark: SparkSession, sf: str) -> DataFrame:
-    return level(weekly(spark, sf)).select("series_id", "frame", F.col("frame").cast("double").alias("t"), "value", "n", "rmsdb")
+    """The catalogue's level table, settled: most operators read it more than once."""
+    return settle(level(weekly(spark, sf)).select(
+        "series_id", "frame", F.col("frame").cast("double").alias("t"), "value", "n", "rmsdb"))
 
 
 WEEKLY = """
 weekly AS (
-  WITH b AS (SELECT l_suppkey AS series_id, l_extendedprice / 70000.0 AS v,
+  WITH b AS (SELECT l_suppkey AS series_id, l_extendedprice / 71993.37 AS v,
                     CAST(floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 7.0 + 0.5) AS BIGINT) AS frame
              FROM lineitem),
        e AS (SELECT series_id, max(frame) + 1 AS cnt FROM b GROUP BY 1),
@@ -81,20 +83,20 @@ def versions(spark: SparkSession, sf: str) -> DataFrame:
     """(series_id, frame, old, new) in dB; the new version lags series_id % 4 weeks and lacks one flag."""
     lines = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("series_id"), "l_shipdate", "l_extendedprice", "l_returnflag")
-    t, v = days() / F.lit(7.0), F.col("l_extendedprice") / 70000.0
+    t, v = days() / F.lit(7.0), F.col("l_extendedprice") / 71993.37
     old = level(frame_grid(lines, SERIES, t, v, 1.0)).select("series_id", "frame", F.col("rmsdb").alias("value"))
     later = t + F.col("series_id") % 4
     new = level(frame_grid(lines.where(F.col("l_returnflag") != "R"), SERIES, later, v, 1.0)).select(
         "series_id", "frame", F.col("rmsdb").alias("value"))
     from tidewheel.operators.align import pair_up
 
-    return pair_up(old, new, SERIES)
+    return settle(pair_up(old, new, SERIES))
 
 
 def _version_sql(name: str, shift: str, where: str) -> str:
     return f"""
 {name} AS (
-  WITH b AS (SELECT l_suppkey AS series_id, l_extendedprice / 70000.0 AS v,
+  WITH b AS (SELECT l_suppkey AS series_id, l_extendedprice / 71993.37 AS v,
                     CAST(floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 7.0 + {shift} + 0.5) AS BIGINT) AS frame
              FROM lineitem WHERE {where}),
        e AS (SELECT series_id, max(frame) + 1 AS cnt FROM b GROUP BY 1),

@@ -10,7 +10,7 @@ from tidewheel.operators import series as O
 from tidewheel.operators.joins import interval_join
 from tidewheel.plans.inputs import (HOURLY, SERIES, WEEKLY, WEEKLY_FLUX, days, hourly, seconds, weekly, weekly_flux,
                                     weekly_levels)
-from tidewheel.session import table
+from tidewheel.session import settle, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -79,7 +79,7 @@ def quiet_passages(spark, sf):
 d AS (SELECT series_id, frame, frame - row_number() OVER (PARTITION BY series_id ORDER BY frame) AS isl FROM weekly WHERE n > 2)
 SELECT series_id, min(frame) AS first, max(frame) AS last FROM d GROUP BY series_id, isl""")
 def consecutive_ranges(spark, sf):
-    return O.consecutive_ranges(weekly(spark, sf).where("n > 2"), SERIES, "frame")
+    return O.consecutive_ranges(weekly_levels(spark, sf).where("n > 2"), SERIES, "frame")
 
 
 @query("percentile_normalize", f"""WITH {WEEKLY},
@@ -102,7 +102,7 @@ def sounding_normalize(spark, sf):
 SELECT series_id, frame, round(CASE WHEN ref > 0 THEN least(greatest(flux / ref, 0.0), 1.5) ELSE 0.0 END, 6) AS level
 FROM weekly_flux JOIN q USING (series_id)""")
 def flux_normalize(spark, sf):
-    return O.flux_normalize(weekly_flux(spark, sf), SERIES, "flux", "level").select("series_id", "frame", *r6("level"))
+    return O.flux_normalize(settle(weekly_flux(spark, sf)), SERIES, "flux", "level").select("series_id", "frame", *r6("level"))
 
 
 @query("relative_level", f"""WITH {WEEKLY}, m AS (SELECT series_id, max(rmsdb) AS p FROM weekly GROUP BY 1)
@@ -119,8 +119,9 @@ SELECT series_id, start_frame, CAST(length AS BIGINT) AS length, round(power, 6)
        round(least(greatest(0.0, 2.0 + 4.0 * least(greatest(round_even((start_frame - 2.0) / 4.0, 0), ceil(-2.0 / 4.0 - 1e-9)), floor((latest - 2.0) / 4.0 + 1e-9))), latest), 6) AS start
 FROM w""")
 def loudest_window(spark, sf):
-    found = O.loudest_window(weekly_levels(spark, sf), SERIES, "rmsdb", 80)
-    sized = weekly(spark, sf).groupBy("series_id").agg((F.count("*") - 80.0).alias("latest"))
+    levels = weekly_levels(spark, sf)
+    found = O.loudest_window(levels, SERIES, "rmsdb", 80)
+    sized = levels.groupBy("series_id").agg((F.count("*") - 80.0).alias("latest"))
     return O.snap_start_to_bar(found.join(sized, SERIES), F.col("start_frame").cast("double"), F.lit(2.0), F.lit(4.0),
                                F.col("latest"), "start").select("series_id", "start_frame", "length", *r6("power", "start"))
 
@@ -143,7 +144,7 @@ y AS (SELECT *, CASE WHEN value > 0 THEN ln(value) - frame * ln(0.99) END AS y F
 m AS (SELECT *, exp(greatest(coalesce(max(y) OVER (PARTITION BY series_id ORDER BY frame), ln(1e-3) + ln(0.99)), ln(1e-3) + ln(0.99)) + frame * ln(0.99)) AS ref FROM y)
 SELECT series_id, frame, round(ref, 6) AS gain_ref, round(least(greatest(value / ref, 0.0), 1.0), 6) AS gain FROM m""")
 def auto_gain(spark, sf):
-    return O.auto_gain(weekly(spark, sf), SERIES, "value", "gain", decay=0.99).select(
+    return O.auto_gain(weekly_levels(spark, sf), SERIES, "value", "gain", decay=0.99).select(
         "series_id", "frame", *r6("gain_ref", "gain"))
 
 
@@ -167,13 +168,13 @@ def vector_novelty(spark, sf):
         "label", "vec_id", *r6("novelty"))
 
 
-@query("legacy_scales", f"""WITH {WEEKLY}, x AS (SELECT series_id, frame, CASE WHEN series_id % 2 = 0 THEN value * 50 ELSE value / 10 END AS v, value * 400 AS hz FROM weekly),
+@query("legacy_scales", f"""WITH {WEEKLY}, x AS (SELECT series_id, frame, CASE WHEN series_id % 2 = 0 THEN value * 50 ELSE value / 10.37 END AS v, value * 400 AS hz FROM weekly),
 m AS (SELECT series_id, max(v) FILTER (WHERE frame < 100) > 1.5 AS bytes, max(hz) > 1.5 AS in_hz FROM x GROUP BY 1)
 SELECT series_id, frame, round(least(greatest(v / CASE WHEN bytes THEN 255.0 ELSE 1.0 END, 0.0), 1.0), 6) AS v,
        round(least(greatest(hz / CASE WHEN bytes THEN 255.0 WHEN in_hz THEN 8000.0 ELSE 1.0 END, 0.0), 1.0), 6) AS hz FROM x JOIN m USING (series_id)""")
 def legacy_scales(spark, sf):
     stored = weekly(spark, sf).select("series_id", "frame", F.when(F.col("series_id") % 2 == 0, F.col("value") * 50)
-                                      .otherwise(F.col("value") / 10).alias("v"), (F.col("value") * 400).alias("hz"))
+                                      .otherwise(F.col("value") / 10.37).alias("v"), (F.col("value") * 400).alias("hz"))
     return O.read_scales(stored, SERIES, "v", "v", "hz", head=100).select("series_id", "frame", *r6("v", "hz"))
 
 
@@ -235,7 +236,7 @@ w AS (SELECT series_id, max(CASE WHEN rn = 1 THEN pos END) AS winner, max(CASE W
 SELECT w.series_id, CAST(winner AS INTEGER) AS winner, CAST(runner_up AS INTEGER) AS runner_up, round(avg(CASE WHEN gap > 0.05 AND top = winner THEN 1.0 ELSE 0.0 END), 2) AS confidence
 FROM w JOIN bb USING (series_id) GROUP BY 1, 2, 3""")
 def bar_evidence(spark, sf):
-    beats = weekly_flux(spark, sf).withColumnRenamed("frame", "idx")
+    beats = settle(weekly_flux(spark, sf)).withColumnRenamed("frame", "idx")
     return A.beat_of_bar_evidence(beats, SERIES, ["flux", "value"])
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,7 @@ def build_session(app: str = "tidewheel", cores: str | None = None) -> SparkSess
             .config("spark.sql.shuffle.partitions", cores)
             .config("spark.driver.memory", "12g")
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
         )
     return builder.getOrCreate()
 
@@ -38,5 +42,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_SETTLED: list[str] = []
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    A result used several times would otherwise be computed once per use, and its lineage with
+    it. The written table survives lost executors and gives the planner its true size.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _SETTLED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Drop the settled tables of this process; results built on them become unreadable."""
+    for path in _SETTLED:
+        if path.startswith("/") or path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+    _SETTLED.clear()
+
+
+atexit.register(release)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
