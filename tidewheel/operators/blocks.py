@@ -121,38 +121,40 @@ _FOLD = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 def prefix(
     df: DataFrame,
     keys: Sequence[str],
-    specs: Mapping[str, tuple[str, str]],
+    specs: Mapping[str, tuple],
     index: str | None = None,
     size: int = BLOCK,
     order: Sequence[str] | None = None,
     block: Column | None = None,
     reverse: bool = False,
 ) -> DataFrame:
-    """Running folds from the start of each series to each row, inclusive (`reverse`: to the end).
+    """Running folds from the start of each series to each row, inclusive.
 
     `specs` is `{new: (fold, column)}` with fold one of sum, max, min, count, last (the last
-    non-NULL value). Order is `index` in blocks of `size`, or `order` columns with an explicit
+    non-NULL value); `{new: (fold, column, "reverse")}` runs from the end instead, as `reverse`
+    makes all of them. Order is `index` in blocks of `size`, or `order` columns with an explicit
     `block` that never decreases along them.
     """
     keys = list(keys)
     order = list(order) if order is not None else [index]
     block = block if block is not None else block_of(index, size)
     src = df.withColumn("_blk", block)
-    directed = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
-    w = Window.partitionBy(*keys, "_blk").orderBy(*directed).rowsBetween(Window.unboundedPreceding, 0)
-    wb = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col("_blk").desc() if reverse else F.col("_blk").asc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
     position = F.struct(*order)
 
+    def windows(back: bool):
+        directed = [F.col(c).desc() if back else F.col(c).asc() for c in order]
+        w = Window.partitionBy(*keys, "_blk").orderBy(*directed).rowsBetween(Window.unboundedPreceding, 0)
+        across = F.col("_blk").desc() if back else F.col("_blk").asc()
+        return w, Window.partitionBy(*keys).orderBy(across).rowsBetween(Window.unboundedPreceding, -1)
+
     local, totals, carry, joined = [], [], [], []
-    for name, (fold, column) in specs.items():
+    for name, (fold, column, *direction) in specs.items():
+        back = reverse or bool(direction)
+        w, wb = windows(back)
         c = F.col(column)
         if fold == "last":
             local.append(F.last(c, ignorenulls=True).over(w).alias(f"_l_{name}"))
-            pick = F.min_by if reverse else F.max_by
+            pick = F.min_by if back else F.max_by
             totals.append(pick(c, F.when(c.isNotNull(), position)).alias(f"_t_{name}"))
             carry.append(F.last(f"_t_{name}", ignorenulls=True).over(wb).alias(f"_c_{name}"))
             joined.append(F.coalesce(f"_l_{name}", f"_c_{name}").alias(name))

@@ -48,15 +48,41 @@ def asof_join(
 
 def nearest_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t: str, right_t: str,
                  out: str = "nearest_t", bucket: float = 3600.0) -> DataFrame:
-    """Each left row with the nearest right time (the earlier of two equally near) and the gap."""
-    times = right.select(*keys, F.col(right_t).cast("double").alias("_before"))
-    later = times.withColumnRenamed("_before", "_after")
-    found = asof_join(left, times, keys, left_t, "_before", ["_before"], 0.0, bucket)
-    found = asof_join(found, later, keys, left_t, "_after", ["_after"], 0.0, bucket, forward=True)
-    t = F.col(left_t).cast("double")
-    back, ahead = t - F.col("_before"), F.col("_after") - t
-    pick = F.when(F.col("_before").isNull() | (ahead < back), F.col("_after")).otherwise(F.col("_before"))
-    return found.withColumn(out, pick).withColumn("gap", F.abs(t - F.col(out))).drop("_before", "_after")
+    """Each left row with the nearest right time (the earlier of two equally near) and the gap.
+
+    One merge serves both directions: a right row sorts before the left rows at its time for the
+    backward carry, and a second copy sorts after them for the forward one.
+    """
+    keys = list(keys)
+    at = F.col(right_t).cast("double")
+    none = F.lit(None).cast("double")
+    rights = right.select(*keys, at.alias("_t"), F.explode(F.array(F.lit(0), F.lit(2))).alias("_tag"))
+    rights = rights.select(*keys, "_t", "_tag", F.when(F.col("_tag") == 0, F.col("_t")).alias("_before"),
+                           F.when(F.col("_tag") == 2, F.col("_t")).alias("_after"))
+    lefts = left.select(*keys, F.col(left_t).cast("double").alias("_t"), F.lit(1).alias("_tag"), none.alias("_before"),
+                        none.alias("_after"), F.struct(*left.columns).alias("_left"))
+    both = lefts.unionByName(rights, allowMissingColumns=True)
+    found = prefix(both, keys, {"_b": ("last", "_before"), "_a": ("last", "_after", "reverse")}, order=["_t", "_tag"],
+                   block=F.floor(F.col("_t") / bucket).cast("bigint")).where(F.col("_left").isNotNull())
+    ahead, back = F.col("_a") - F.col("_t"), F.col("_t") - F.col("_b")
+    pick = F.when(F.col("_b").isNull() | (ahead < back), F.col("_a")).otherwise(F.col("_b"))
+    return found.withColumn(out, pick).select("_left.*", out, F.abs(F.col("_t") - F.col(out)).alias("gap"))
+
+
+def rank_at(probes: DataFrame, events: DataFrame, keys: Sequence[str], probe_t: str, event_t: str, out: str,
+            tolerance: float = 1e-6, inclusive: bool = True, bucket: float = 3600.0) -> DataFrame:
+    """How many events of the key lie at or before each probe (`inclusive`, an event up to
+    `tolerance` past it counts) or strictly before it (one within `tolerance` does not)."""
+    keys = list(keys)
+    shift = tolerance if inclusive else -tolerance
+    marks = events.select(*keys, F.col(event_t).cast("double").alias("_t"), F.lit(0 if inclusive else 2).alias("_tag"),
+                          F.lit(1).alias("_one"))
+    asked = probes.select(*keys, (F.col(probe_t).cast("double") + shift).alias("_t"), F.lit(1).alias("_tag"),
+                          F.struct(*probes.columns).alias("_left"))
+    both = asked.unionByName(marks, allowMissingColumns=True)
+    return prefix(both, keys, {out: ("count", "_one")}, order=["_t", "_tag"],
+                  block=F.floor(F.col("_t") / bucket).cast("bigint")).where(
+        F.col("_left").isNotNull()).select("_left.*", out)
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], t: str, start: str, end: str,
@@ -117,23 +143,26 @@ def sample_linear(
 
 
 def keyframe_values(times: DataFrame, points: DataFrame, keys: Sequence[str], t: str, key_t: str, key_v: str,
-                    out: str, ease: bool = True, bucket: float = 3600.0) -> DataFrame:
+                    out: str, ease: bool = True, bucket: float = 3600.0, order: str | None = None) -> DataFrame:
     """A value over time from breakpoints: eased between the two around `t`, held at both ends.
 
-    Two breakpoints at one time make a jump: the later row's value holds from there on.
+    Breakpoints at one time make a jump: the last of them in `order` holds from there on, the
+    first is what the ramp before it reaches.
     """
     keys = list(keys)
-    before = points.select(*keys, F.col(key_t).cast("double").alias("_t0"), F.col(key_v).alias("_v0"))
-    after = points.select(*keys, F.col(key_t).cast("double").alias("_t1"), F.col(key_v).alias("_v1"))
-    hit = asof_join(times, before, keys, t, "_t0", ["_t0", "_v0"], 0.0, bucket)
-    hit = asof_join(hit, after, keys, t, "_t1", ["_t1", "_v1"], 0.0, bucket, forward=True, strict=True)
-    x = F.col(t).cast("double")
-    u = F.least(F.greatest((x - F.col("_t0")) / (F.col("_t1") - F.col("_t0")), F.lit(0.0)), F.lit(1.0))
+    rank = F.lit(0) if order is None else F.col(order)
+    marks = points.select(*keys, F.col(key_t).cast("double").alias("_t"), F.lit(0).alias("_tag"), rank.cast("double").alias("_ord"),
+                          F.struct(F.col(key_t).cast("double").alias("t"), F.col(key_v).cast("double").alias("v")).alias("_key"))
+    asked = times.select(*keys, F.col(t).cast("double").alias("_t"), F.lit(1).alias("_tag"), F.lit(0.0).alias("_ord"),
+                         F.struct(*times.columns).alias("_left"))
+    both = asked.unionByName(marks, allowMissingColumns=True)
+    hit = prefix(both, keys, {"_p": ("last", "_key"), "_n": ("last", "_key", "reverse")}, order=["_t", "_tag", "_ord"],
+                 block=F.floor(F.col("_t") / bucket).cast("bigint")).where(F.col("_left").isNotNull())
+    t0, v0, t1, v1 = F.col("_p.t"), F.col("_p.v"), F.col("_n.t"), F.col("_n.v")
+    u = F.least(F.greatest((F.col("_t") - t0) / (t1 - t0), F.lit(0.0)), F.lit(1.0))
     u = u * u * (3.0 - 2.0 * u) if ease else u
-    value = (F.when(F.col("_t0").isNull(), F.col("_v1"))
-             .when(F.col("_t1").isNull(), F.col("_v0"))
-             .otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * u))
-    return hit.withColumn(out, value).drop("_t0", "_v0", "_t1", "_v1")
+    value = F.when(t0.isNull(), v1).when(t1.isNull(), v0).otherwise(v0 + (v1 - v0) * u)
+    return hit.select("_left.*", value.alias(out))
 
 
 def hash_order(seed: Column, *parts: Column) -> Column:
@@ -141,15 +170,17 @@ def hash_order(seed: Column, *parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(seed, *parts), 11)).cast("double") / F.lit(float(1 << 53))
 
 
-def round_robin(slots: DataFrame, pool: DataFrame, keys: Sequence[str], slot: str, item: str, seed: Column,
-                out: str, buckets: int = 64) -> DataFrame:
-    """Slot i of a key takes item i mod n of that key's pool, in seeded hash order.
+def round_robin(slots: DataFrame, pool: DataFrame, keys: Sequence[str], slot: str, item: str, out: str,
+                seed: Column | None = None, shuffle: Column | None = None, buckets: int = 64) -> DataFrame:
+    """Slot i of a key takes item i mod n of that key's pool, in seeded hash order (or by any
+    `shuffle` column in [0, 1)).
 
     The pool is numbered in hash-range buckets, so a pool holding most items is still
     numbered in parallel.
     """
     keys = list(keys)
-    ordered = pool.withColumn("_h", hash_order(seed, F.col(item)))
+    key = shuffle if shuffle is not None else hash_order(seed if seed is not None else F.lit(0), F.col(item))
+    ordered = pool.withColumn("_h", key)
     numbered = number_rows(ordered, keys, ["_h", item], F.floor(F.col("_h") * buckets).cast("bigint"), "_rank")
     sized = numbered.groupBy(*keys).agg(F.count("*").alias("_n"))
     placed = slots.join(sized, keys).withColumn("_rank", F.pmod(F.col(slot), F.col("_n")) + 1)
