@@ -8,8 +8,9 @@ import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What a draft must not contain, in the order the breaks are listed.
 CAPTION_RULES = (
@@ -84,22 +85,22 @@ def unique_suffixes(df: DataFrame, keys: Sequence[str], base: str, order: str, o
     numbered = number_rows(clean, [*keys, base], [order], block, "_n")
     simple = numbered.withColumn(out, F.when(F.col("_n") == 1, F.col(base)).otherwise(
         F.concat(F.col(base), F.lit("-"), F.col("_n").cast("string"))))
-    schema = df.schema.add(out, "string")
+    columns = list(df.columns)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def walk(batches):
-        taken: dict[str, int] = {}
+        taken: set[str] = set()
+        last: dict[str, int] = {}
         for pdf in batches:
             names = []
             for name in pdf[base]:
-                n = taken.get(name, 1)
-                candidate = name if n == 1 else f"{name}-{n}"
-                while candidate in taken:
-                    n += 1
-                    candidate = f"{name}-{n}"
-                taken[name] = n
-                taken.setdefault(candidate, 1)
-                names.append(candidate)
-            yield pdf[df.columns].assign(**{out: names})
+                pick = name
+                while pick in taken:
+                    last[name] = last.get(name, 1) + 1
+                    pick = f"{name}-{last[name]}"
+                taken.add(pick)
+                names.append(pick)
+            yield pdf[columns].assign(**{out: names})
 
     from collections.abc import Iterator
 
