@@ -48,8 +48,9 @@ def lag_sums(pairs: DataFrame, keys: Sequence[str], lo: int, hi: int, a: str = "
         out = []
         for k, i, x, y in zip(blk, at, xs, ys):
             start = int(k) * size
-            left = K.dense(i, x, start, size)
-            right = K.dense(i, y, start + lo, size + hi - lo)
+            own = max(1, min(size, int(i[-1]) + 1 - start))
+            left = K.dense(i, x, start, own)
+            right = K.dense(i, y, start + lo, own + hi - lo)
             out.append([dict(zip(_MOMENTS, row)) for row in K.lag_moments(left, right).T])
         return pd.Series(out)
 
@@ -157,8 +158,9 @@ def window_curves(pairs: DataFrame, keys: Sequence[str], width: int, hop: int, r
         for k, i, x, y, n in zip(blk, at, xs, ys, length):
             base = int(k) * size
             span = min(width, int(n))
-            old = K.dense(i, x, base, size + width)
-            new = np.nan_to_num(K.dense(i, y, base - reach, size + width + 2 * reach), nan=fill)
+            own = max(1, min(size, int(n) - base))
+            old = K.dense(i, x, base, own + width)
+            new = np.nan_to_num(K.dense(i, y, base - reach, own + width + 2 * reach), nan=fill)
             rows = []
             for start in range(base, min(base + size, max(1, int(n) - span + 1)), hop):
                 a = old[start - base: start - base + span]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel import constants as C
@@ -73,7 +73,7 @@ def cut_boundaries(sections: DataFrame, beats: DataFrame, keys: Sequence[str], f
     divisor = F.create_map(*[F.lit(x) for k, v in C.BEATS_PER_CUT.items() if v for x in (k, v)])[F.col("cut_density")]
     base = settle(sections.select(*sec, "start", "end", "bpm", divisor.alias("_div")))
     rhythmic = base.where(F.col("_div").isNotNull())
-    found = interval_join(beats.select(*keys, "t"), rhythmic, keys, "t", "start", "end", bucket, closed_end=True)
+    found = settle(interval_join(beats.select(*keys, "t"), rhythmic, keys, "t", "start", "end", bucket, closed_end=True))
     silent = rhythmic.join(found.select(*sec).distinct(), sec, "left_anti").where(F.col("bpm") > 0)
     step = 60.0 / F.col("bpm")
     count = F.ceil((F.col("end") - F.col("start")) / step - 1e-9)
@@ -81,7 +81,7 @@ def cut_boundaries(sections: DataFrame, beats: DataFrame, keys: Sequence[str], f
         "t", F.col("start") + F.col("_k") * step)
     inner = found.select(*sec, "t", "start", "end", "_div").unionByName(grid.select(*sec, "t", "start", "end", "_div"))
     edges = rhythmic.select(*sec, F.explode(F.array("start", "end")).alias("t"), "start", "end", "_div")
-    points = inner.unionByName(edges).distinct()
+    points = settle(inner.unionByName(edges).distinct())
     placed = F.floor((F.col("t") - F.col("start")) / 64.0).cast("bigint")
     ranked = number_rows(points, sec, ["t"], placed, "_n")
     picked = ranked.where(((F.col("_n") - 1) % F.col("_div") == 0) | (F.col("t") == F.col("end")))
@@ -89,7 +89,6 @@ def cut_boundaries(sections: DataFrame, beats: DataFrame, keys: Sequence[str], f
     snapped = picked.select(*sec, "t", "start", "end").unionByName(static).select(
         *sec, S.snap_to_frame(F.col("t"), fps).alias("t"), S.snap_to_frame(F.col("end"), fps).alias("_end"),
         S.snap_to_frame(F.col("start"), fps).alias("_start")).distinct()
-    w = Window.partitionBy(*sec, "_blk").orderBy("t")
     from tidewheel.operators.series import previous_row
 
     framed = settle(snapped.withColumn("_f", F.rint(F.col("t") * fps).cast("bigint")))

@@ -350,12 +350,13 @@ def bar_lines(meters: DataFrame, spans: DataFrame, keys: Sequence[str], size: in
         *keys, "q", "num", "den", "pulse")
     segments = start.unionByName(later).withColumn("_u", F.floor(F.col("q") * 960).cast("bigint"))
     # The next segment's start, through the order reversed.
+    segments = settle(segments)
     flipped = previous_row(segments.withColumn("_neg", -F.col("_u")).withColumn("_q", F.col("q")), keys, "_neg", "_q", "_next", size * 960)
     placed = flipped.join(spans, keys).withColumn("_len", F.col("num") * 4.0 / F.col("den"))
-    stop = F.least(F.coalesce("_next", F.col("q_to") + F.col("_len")), F.col("q_to") + F.col("_len"))
-    whole = F.ceil((F.coalesce("_next", F.col("q_to") + 1e-9) - F.col("q")) / F.col("_len") - 1e-9)
+    whole = F.when(F.col("_next").isNull(), F.floor((F.col("q_to") - F.col("q")) / F.col("_len") + 1e-9) + 1).otherwise(
+        F.ceil((F.col("_next") - F.col("q")) / F.col("_len") - 1e-9))
     counted = placed.withColumn("_bars", F.greatest(whole, F.lit(0)).cast("bigint"))
-    numbered = prefix(counted, keys, {"_through": ("sum", "_bars")}, index="_u", size=size * 960)
+    numbered = prefix(settle(counted), keys, {"_through": ("sum", "_bars")}, index="_u", size=size * 960)
     first = F.greatest(F.lit(0), F.floor((F.col("q_from") - F.col("q")) / F.col("_len") + 1e-9)).cast("bigint")
     last = F.least(F.col("_bars") - 1, F.floor((F.col("q_to") - F.col("q")) / F.col("_len") + 1e-9).cast("bigint"))
     after = numbered.withColumn("_k0", first).withColumn("_k1", last).where(F.col("_k0") <= F.col("_k1")).withColumn(
@@ -395,11 +396,11 @@ def session_grid(meters: DataFrame, tempos: DataFrame, songs: DataFrame, keys: S
     keys = list(keys)
     ends = songs.select(*keys, (-F.col("offset") - C.EDGE_S).alias("_a"), (F.col("dur") - F.col("offset")).alias("_b"),
                         F.coalesce(F.col("downbeat") - F.col("offset"), F.lit(0.0)).alias("_c"), "downbeat")
-    spans = quarters_at(ends, tempos, keys, "_a", "q_from")
-    spans = quarters_at(spans, tempos, keys, "_b", "q_to")
+    spans = settle(quarters_at(settle(ends), tempos, keys, "_a", "q_from"))
+    spans = settle(quarters_at(spans, tempos, keys, "_b", "q_to"))
     spans = quarters_at(spans, tempos, keys, "_c", "_anchor").withColumn(
         "anchor", F.when(F.col("downbeat").isNull(), 0.0).otherwise(F.col("_anchor"))).select(*keys, "q_from", "q_to", "anchor")
-    lines = bar_lines(meters, spans, keys)
+    lines = settle(bar_lines(meters, settle(spans), keys))
 
     def on_song(rows: DataFrame) -> DataFrame:
         timed = seconds_at(rows, tempos, keys, "q", "t").join(songs.select(*keys, "offset", "dur"), keys)

@@ -18,8 +18,11 @@ MAX_STEP_PER_ROUND_DB = 3.0
 
 def findings(df: DataFrame, keys: Sequence[str], rules: Sequence[tuple[str, Column, Column]]) -> DataFrame:
     """One row per broken rule: `rules` are (rule, level or NULL, message). A NULL level is no finding."""
-    cells = [F.struct(F.lit(rule).alias("rule"), level.alias("level"), message.alias("message")) for rule, level, message in rules]
-    return df.select(*keys, F.explode(F.array(*cells)).alias("_f")).select(*keys, "_f.*").where(F.col("level").isNotNull())
+    graded = df.select("*", *[level.alias(f"_level{i}") for i, (_, level, _) in enumerate(rules)])
+    cells = [F.when(F.col(f"_level{i}").isNotNull(), F.struct(
+        F.lit(rule).alias("rule"), F.col(f"_level{i}").alias("level"), message.alias("message")))
+        for i, (rule, _, message) in enumerate(rules)]
+    return graded.select(*keys, F.explode(F.array(*cells)).alias("_f")).where(F.col("_f").isNotNull()).select(*keys, "_f.*")
 
 
 def validate(df: DataFrame, keys: Sequence[str], rules: Mapping[str, Column]) -> DataFrame:
@@ -96,14 +99,17 @@ def platform_findings(artifacts: DataFrame, keys: Sequence[str], specs: DataFram
     video = a("kind") == "video"
     own = F.struct(a("s_width").alias("w"), a("s_height").alias("h"))
     sizes = F.concat(F.array(own), a("sizes"))
-    known = a("width").isNotNull() & a("height").isNotNull() & ~F.exists(
-        sizes, lambda s: (s["w"] == a("width")) & (s["h"] == a("height")))
+    known = a("width").isNotNull() & a("height").isNotNull() & ~F.array_contains(
+        sizes, F.struct(a("width").cast("int").alias("w"), a("height").cast("int").alias("h")))
     broken = F.lit(False)
     for outside in (a("width") < a("min_width"), a("height") < a("min_height"),
                     a("width") > a("max_width"), a("height") > a("max_height")):
         broken = broken | F.coalesce(outside, F.lit(False))
     alike = F.filter(sizes, lambda s: S.same_aspect(a("width").cast("double"), a("height").cast("double"), s["w"], s["h"]))
-    shaped, first = F.size(alike) > 0, F.get(alike, F.lit(0))
+    # Computed once: the lists are short, but walking them is the costly part of a row.
+    joined = joined.withColumn("_known", known).withColumn("_shape", F.get(alike, F.lit(0)))
+    known, first = a("_known"), a("_shape")
+    shaped = first.isNotNull()
     area, want = a("width").cast("bigint") * a("height"), first["w"].cast("bigint") * first["h"]
     size_level = (F.when(known & broken, "refuse")
                   .when(known & shaped & (area < want) & a("min_width").isNull() & a("min_height").isNull(), "warn")

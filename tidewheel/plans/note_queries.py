@@ -88,7 +88,7 @@ def tempo_lookup(spark, sf):
 
 
 @query("bar_lines", """WITH RECURSIVE mt AS (SELECT c_nationkey AS song, CAST(c_custkey * 7 AS DOUBLE) AS q, 2 + CAST(c_custkey % 4 AS INTEGER) AS num, CAST(4 * (1 + c_custkey % 2) AS INTEGER) AS den FROM customer),
-sp AS (SELECT song, 3.0 AS q_from, max(q) + 10.0 AS q_to, 5.0 AS anchor FROM mt GROUP BY 1),
+sp AS (SELECT song, CAST(3 AS DOUBLE) AS q_from, max(q) + 10.0 AS q_to, CAST(5 AS DOUBLE) AS anchor FROM mt GROUP BY 1),
 hd AS (SELECT sp.song, coalesce(max_by(num, q) FILTER (WHERE q <= anchor), min_by(num, q)) AS num, coalesce(max_by(den, q) FILTER (WHERE q <= anchor), min_by(den, q)) AS den FROM mt JOIN sp USING (song) GROUP BY 1),
 sg AS (SELECT song, anchor AS q, num, den FROM hd JOIN sp USING (song) UNION ALL SELECT song, q, num, den FROM mt JOIN sp USING (song) WHERE q > anchor),
 nx AS (SELECT sg.*, lead(sg.q) OVER (PARTITION BY song ORDER BY sg.q) AS nq, num * 4.0 / den AS len, q_from, q_to FROM sg JOIN sp USING (song)),
@@ -216,11 +216,11 @@ def impulse_align(spark, sf):
 
 
 # ---- tempo
-FOLD_BPM = (6.0, 7.5, 9.25)
+FOLD_BPM = (6.07, 7.51, 9.13)
 
 
 @query("fold_search", f"""WITH {WEEKLY_FLUX}, c AS (SELECT series_id, count(*) AS cnt FROM weekly_flux GROUP BY 1),
-x AS (SELECT series_id, b.bpm, 60.0 / b.bpm AS period, greatest(1, round_even(60.0 / b.bpm, 0)) AS nb, frame, flux FROM weekly_flux, (SELECT CAST(unnest([6.0, 7.5, 9.25]) AS DOUBLE) AS bpm) b WHERE flux > 0),
+x AS (SELECT series_id, b.bpm, 60.0 / b.bpm AS period, greatest(1, round_even(60.0 / b.bpm, 0)) AS nb, frame, flux FROM weekly_flux, (SELECT CAST(unnest([6.07, 7.51, 9.13]) AS DOUBLE) AS bpm) b WHERE flux > 0),
 f AS (SELECT series_id, bpm, CAST(least(CAST(floor((frame - period * floor(frame / period)) * (nb / period)) AS BIGINT), nb - 1) AS INTEGER) AS bin, nb, sum(flux) AS w FROM x GROUP BY ALL)
 SELECT series_id, bpm, bin, round(w * nb / cnt, 6) AS score FROM f JOIN c USING (series_id)""")
 def fold_search(spark, sf):

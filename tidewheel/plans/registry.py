@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("series_queries", "align_queries", "event_queries", "rule_queries", "note_queries")
+MODULES = ("series_queries", "align_queries", "event_queries", "rule_queries", "note_queries", "live_queries")
 
 
 def _merged(attribute: str) -> dict:

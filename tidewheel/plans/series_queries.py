@@ -209,7 +209,7 @@ SELECT series_id, section, round(floor(round(avg(v), 9) / 0.05 + 0.5) * 0.05, 6)
        round(floor(round(max(CASE WHEN rn = floor(0.95 * (n - 1) + 0.5) + 1 THEN v END), 9) / 0.05 + 0.5) * 0.05, 6) AS p95,
        round(floor(round(max(v), 9) / 0.05 + 0.5) * 0.05, 6) AS max FROM x GROUP BY 1, 2""")
 def section_distribution(spark, sf):
-    placed = interval_join(weekly_levels(spark, sf), fixed_sections(spark, sf), SERIES, "t", "start", "end", 60.0)
+    placed = settle(interval_join(weekly_levels(spark, sf), fixed_sections(spark, sf), SERIES, "t", "start", "end", 60.0))
     raw = A.section_distribution(placed, ["series_id", "section"], "value", step=None)
     step = lambda c: F.round(F.floor(F.round(c, 9) / 0.05 + 0.5) * 0.05, 6).alias(c)
     return raw.select("series_id", "section", step("mean"), step("p95"), step("max"))

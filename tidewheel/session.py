@@ -26,6 +26,7 @@ def build_session(app: str = "tidewheel", cores: str | None = None) -> SparkSess
             builder.master(f"local[{cores}]")
             .config("spark.sql.shuffle.partitions", cores)
             .config("spark.driver.memory", "12g")
+            .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
             .config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
         )
