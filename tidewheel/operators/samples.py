@@ -23,7 +23,7 @@ def sample_blocks(samples: DataFrame, keys: Sequence[str], index: str, value: st
     keys = list(keys)
     cols = [F.col(value).alias("l")] + ([F.col(right).alias("r")] if right else [])
     rows = F.array_sort(F.collect_list(F.struct(F.col(index), *cols)))
-    blocks = samples.groupBy(*keys, (F.floor(F.col(index) / size) * size).cast("bigint").alias("start_sample")).agg(rows.alias("_r"))
+    blocks = samples.groupBy(*keys, F.floor(F.col(index) / size).alias("_b")).agg(rows.alias("_r"), F.min(index).cast("bigint").alias("start_sample"))
     side = F.col("_r.r") if right else F.lit(None).cast("array<double>")
     return blocks.select(*keys, "start_sample", F.col("_r.l").alias("left"), side.alias("right"))
 

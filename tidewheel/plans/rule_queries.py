@@ -12,7 +12,7 @@ from tidewheel.operators import rules as R
 from tidewheel.operators.aggregates import mood_line
 from tidewheel.plans.event_queries import CUTS, FPS, songs
 from tidewheel.plans.inputs import SERIES, WEEKLY, weekly_levels
-from tidewheel.session import ensure_checkpoint_dir, settle, table
+from tidewheel.session import ensure_checkpoint_dir, settle, spread, table
 from tidewheel.sources import packs as K
 
 QUERIES, ORACLES = {}, {}
@@ -135,7 +135,7 @@ found AS (SELECT * FROM f WHERE level IS NOT NULL)"""
 def artifacts(spark, sf):
     pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (1 + k).cast("int"))
     c = F.col
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         *LINE, pick(_ids, (c("l_orderkey") * 7 + c("l_linenumber")) % 20).alias("platform"),
         F.when(c("l_quantity") <= 48, pick((1080, 720, 3000, 1920, 640), c("l_partkey") % 5)).alias("width"),
         pick((1920, 1280, 3000, 1080, 640), c("l_suppkey") % 5).alias("height"),
@@ -255,7 +255,7 @@ def documents(spark, sf):
     k = F.col("doc_id")
     marked = (F.when(k % 5 == 0, F.concat("text", F.lit(" #tag"))).when(k % 7 == 0, F.concat("text", F.lit(" see https://x.example")))
               .when(k % 11 == 0, F.concat("text", F.lit(" wow!"))).otherwise(F.col("text")))
-    return table(spark, sf, "documents").select("doc_id", marked.alias("text"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", marked.alias("text"))
 
 
 @query("rule_breaks", f"""WITH d AS (SELECT doc_id, {_MARKED} AS t FROM documents)

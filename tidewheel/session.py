@@ -72,3 +72,12 @@ atexit.register(release)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, dealt out over all cores; any larger scan as it is.
+
+    For work that costs much per row. Only the plan is inspected; no job runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
