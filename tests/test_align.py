@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tidewheel.operators import align as L
 from tidewheel.operators import grid as G

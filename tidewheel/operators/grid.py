@@ -13,7 +13,7 @@ from tidewheel import constants as C
 from tidewheel.constants import BLOCK
 from tidewheel.functions import kernels as K
 from tidewheel.functions import scalar as S
-from tidewheel.operators.align import bar_number, lag_sums, peaks, section_of, vertex
+from tidewheel.operators.align import lag_sums, peaks, section_of, vertex
 from tidewheel.operators.blocks import pack, prefix
 from tidewheel.operators.joins import asof_join
 from tidewheel.session import settle

@@ -13,7 +13,7 @@ from tidewheel import constants as C
 from tidewheel.constants import BLOCK
 from tidewheel.functions.chords import chord_name
 from tidewheel.operators.align import best_and_runner_up, lag_sums
-from tidewheel.operators.blocks import neighbour, number_rows, over_blocks, prefix
+from tidewheel.operators.blocks import neighbour, number_rows, prefix
 from tidewheel.operators.grid import quarters_at, seconds_at
 from tidewheel.operators.joins import asof_join, changes, interval_join
 from tidewheel.operators.series import previous_row

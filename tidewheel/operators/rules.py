@@ -11,7 +11,6 @@ from tidewheel import constants as C
 from tidewheel.functions import scalar as S
 from tidewheel.functions.platform_specs import platforms
 from tidewheel.operators.blocks import neighbour, number_rows
-from tidewheel.operators.series import previous_row
 
 MAX_STEP_PER_ROUND_DB = 3.0
 

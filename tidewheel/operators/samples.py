@@ -172,5 +172,12 @@ def fine_segments(old: DataFrame, new: DataFrame, lags: DataFrame, spans: DataFr
     a = slices(old, keys, rows.select(*ids, F.col("_s").alias("lo"), (F.col("_s") + F.col("_len")).alias("hi")), ["left"], size)
     b = slices(new, keys, rows.select(*ids, (F.col("_s") + F.col("base") - reach).alias("lo"),
                                       (F.col("_s") + F.col("base") + F.col("_len") + reach).alias("hi")), ["left"], size)
-    flat = lambda d, n: d.select(*ids, F.flatten(F.col("pieces.left")).alias(n))
+    def flat(cut: DataFrame, name: str) -> DataFrame:
+        """The range as one array, silence where nothing is stored."""
+        body = F.flatten(F.col("pieces.left")).cast("array<double>")
+        head = (F.col("pieces")[0]["at"] - F.col("lo")).cast("int")
+        quiet = lambda n: F.array_repeat(F.lit(0.0), F.greatest(n, F.lit(0)))
+        tail = (F.col("hi") - F.col("lo")).cast("int") - head - F.size(body)
+        return cut.select(*ids, F.concat(quiet(head), body, quiet(tail)).alias(name))
+
     return flat(a, "old").join(flat(b, "new"), ids)

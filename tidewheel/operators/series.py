@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from tidewheel import constants as C
 from tidewheel.constants import BLOCK
 from tidewheel.functions import scalar as S
-from tidewheel.operators.blocks import islands, neighbour, over_blocks, prefix, sliding_sum
+from tidewheel.operators.blocks import halo, islands, over_blocks, prefix, sliding_sum
 from tidewheel.operators.joins import spread_index
 from tidewheel.operators.quantiles import exact_percentiles
+from tidewheel.session import settle
 
 
 # ---- framing
@@ -56,20 +57,25 @@ def rising(df: DataFrame, keys: Sequence[str], value: str, out: str = "flux", in
     }, before=1, size=size).drop("_x")
 
 
-def onset_strength(df: DataFrame, keys: Sequence[str], flux: str, out: str = "onset", index: str = "frame",
-                   fps: int = C.FPS, size: int = BLOCK) -> DataFrame:
+def onset_strength(df: DataFrame, keys: Sequence[str], flux: str | None = None, out: str = "onset", index: str = "frame",
+                   fps: int = C.FPS, level: str | None = None, size: int = BLOCK) -> DataFrame:
     """Flux over its centred half-second average, rectified, then a 3-frame box.
 
     The average always divides by its whole width, so it counts zeros past either end; an even
-    width reaches one row further back than ahead.
+    width reaches one row further back than ahead. Given a `level` instead of a flux, the flux is
+    its rise, taken in the same pass.
     """
     width = max(1, round(fps * 0.5))
     back, ahead = width // 2, (width - 1) // 2
-    return over_blocks(df, keys, index, {
-        "_over": lambda w: F.greatest(
-            F.col(flux) - F.sum(flux).over(w.rowsBetween(-back, ahead)) / width, F.lit(0.0)),
-        out: lambda w: F.sum("_over").over(w.rowsBetween(-1, 1)) / 3.0,
-    }, before=back + 1, after=ahead + 1, size=size).drop("_over")
+    steps = {}
+    if level is not None:
+        flux = "_flux"
+        steps[flux] = lambda w: F.greatest(
+            F.col(level) - F.coalesce(F.lag(level).over(w), F.col(level)), F.lit(0.0))
+    steps["_over"] = lambda w: F.greatest(
+        F.col(flux) - F.sum(flux).over(w.rowsBetween(-back, ahead)) / width, F.lit(0.0))
+    steps[out] = lambda w: F.sum("_over").over(w.rowsBetween(-1, 1)) / 3.0
+    return over_blocks(df, keys, index, steps, before=back + 2, after=ahead + 1, size=size).drop("_over", "_flux")
 
 
 def energy_jumps(df: DataFrame, keys: Sequence[str], value: str, index: str = "frame", z: float = 2.0,
@@ -78,6 +84,7 @@ def energy_jumps(df: DataFrame, keys: Sequence[str], value: str, index: str = "f
     keys = list(keys)
     stepped = over_blocks(df, keys, index, {
         "_d": lambda w: F.col(value) - F.coalesce(F.lag(value).over(w), F.col(value))}, before=1, size=size)
+    stepped = settle(stepped)
     shape = stepped.groupBy(*keys).agg(F.avg("_d").alias("_m"), F.stddev_pop("_d").alias("_s"),
                                        F.count("*").alias("_n"))
     score = (F.col("_d") - F.col("_m")) / F.when(F.col("_s") == 0, F.lit(1e-9)).otherwise(F.col("_s"))
@@ -207,22 +214,27 @@ def audible_span(df: DataFrame, keys: Sequence[str], db: str, index: str = "fram
 
 
 # ---- smoothing
+def _memory(tau: float) -> tuple[int, int]:
+    """(rows after which tau^k is below double precision, block size that keeps tau^-k in range)."""
+    fall = -math.log(tau)
+    return math.ceil(37.0 / fall), math.floor(600.0 / fall)
+
+
 def exponential_smooth(df: DataFrame, keys: Sequence[str], value: str, out: str, tau: float = 0.55,
-                       index: str = "frame", reach: int = 63) -> DataFrame:
+                       index: str = "frame") -> DataFrame:
     """x = tau*x_before + (1-tau)*v from x = 0, as a running sum in short blocks.
 
-    Within a block the weights tau^(n-j) factor into tau^n * tau^-j; blocks of 8 reaches keep
-    both factors in range, and terms older than `reach` rows are below double precision.
+    Within a block the weights tau^(n-j) factor into tau^n * tau^-j; each block starts far enough
+    back that what it leaves out is below double precision.
     """
-    size = 8 * (reach + 1)
-    place = F.col(index) - F.col("_blk") * size
-    grow = F.pow(F.lit(tau), -place.cast("double"))
+    reach, size = _memory(tau)
+    grow = F.pow(F.lit(tau), -(F.col(index) - F.col("_blk") * size).cast("double"))
 
     def smooth(w):
         w = w.rowsBetween(Window.unboundedPreceding, 0)
         return (1.0 - tau) * F.sum(F.col(value) * grow).over(w) / grow
 
-    return over_blocks(df, keys, index, {out: smooth}, before=reach + 1, size=size)
+    return over_blocks(df, keys, index, {out: smooth}, before=reach, size=size)
 
 
 def auto_gain(df: DataFrame, keys: Sequence[str], value: str, out: str, decay: float = 0.9995,
@@ -240,27 +252,17 @@ def auto_gain(df: DataFrame, keys: Sequence[str], value: str, out: str, decay: f
             .drop("_y", "_m"))
 
 
-def glide(df: DataFrame, keys: Sequence[str], target: str, out: str, rate: float, index: str = "frame",
-          reach: int = 511) -> DataFrame:
-    """v = v + (target - v)*rate from the first target: smoothing with tau = 1 - rate plus the start."""
+def glide(df: DataFrame, keys: Sequence[str], target: str, out: str, rate: float, index: str = "frame") -> DataFrame:
+    """v = v + (target - v)*rate from the first target: smoothing of the distance from it."""
     tau = 1.0 - rate
-    reach = min(reach, max(8, math.ceil(math.log(1e-16) / math.log(tau))))
-    size = max(64, min(4 * (reach + 1), math.floor(600.0 / -math.log(tau)) if tau < 1 else BLOCK))
-    size = max(size, reach + 1)
-    place = F.col(index) - F.col("_blk") * size
-    grow = F.pow(F.lit(tau), -place.cast("double"))
-
-    def follow(w):
-        running = w.rowsBetween(Window.unboundedPreceding, 0)
-        first = F.first(target).over(running)
-        from_first = F.col(target) - first
-        return first + rate * F.sum(from_first * grow).over(running) / grow
+    reach, size = _memory(tau)
+    grow = F.pow(F.lit(tau), -(F.col(index) - F.col("_blk") * size).cast("double"))
 
-    w = Window.partitionBy(*keys, "_blk").orderBy(index)
-    from tidewheel.operators.blocks import halo
-
-    out_df = halo(df, index, size, before=reach + 1).withColumn(out, follow(w))
-    return out_df.where("_own").drop("_blk", "_own")
+    w = Window.partitionBy(*keys, "_blk").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    placed = halo(df, index, size, before=reach).withColumn("_from", F.first(target).over(w)).withColumn(
+        "_away", (F.col(target) - F.col("_from")) * grow)
+    level = F.col("_from") + rate * F.sum("_away").over(w) / grow
+    return placed.withColumn(out, level).where("_own").drop("_blk", "_own", "_from", "_away")
 
 
 def box_mean(samples: DataFrame, frames: DataFrame, keys: Sequence[str], t: str, value: str, out: str,
@@ -357,5 +359,3 @@ def held_levels(times: DataFrame, frames: DataFrame, keys: Sequence[str], t: str
     placed = times.withColumn("_pos", S.held_time(F.col(t), rate) * fps)
     return sample_linear(placed, frames, keys, "_pos", value, out).drop("_pos")
 
-
-__all__ = [n for n in dir() if not n.startswith("_")]

@@ -46,10 +46,8 @@ def level_map(frames: DataFrame, levels: DataFrame, keys: Sequence[str], value:
     on 512 evenly spaced ranks.
     """
     keys = list(keys)
-    ranks = {f"_q{k}": (k + 0.5) / 512 * 0.95 for k in range(512)}
     edges = exact_percentiles(frames, keys, value, {"_r95": 0.95}, kind="nearest")
     spread = frames.groupBy(*keys).agg(F.min(value).alias("_r0"), F.max(value).alias("_r1"), F.count("*").alias("_n"))
-    del ranks
     placed = frames.join(settle(edges.join(spread, keys)), keys)
     body = F.col(value) < F.col("_r95")
     span = F.nullif(F.col("_r95") - F.col("_r0"), F.lit(0.0))
@@ -90,8 +88,6 @@ def level_map(frames: DataFrame, levels: DataFrame, keys: Sequence[str], value:
     joined = shaped.join(maps, keys, "left")
     low = F.col("_fit.floor") + (F.col("_p95") - F.col("_fit.floor")) * F.pow(F.greatest(F.col("_u"), F.lit(0.0)), F.col("_fit.power"))
     high = F.col("_p95") + (F.col("_max") - F.col("_p95")) * top_rise
-    flat = joined.select(*keys).columns
-    del flat
     mapped = F.when(body, low).otherwise(high)
     missing = levels.select(*keys, F.col("mean").alias("_flat"))
     return joined.join(missing, keys, "left").select(*frames.columns, S.clamp(F.coalesce(mapped, F.col("_flat")), 0.0, ceiling).alias(out))
@@ -173,7 +169,7 @@ def wander(frames: DataFrame, keys: Sequence[str], out: str, seed: int) -> DataF
     from tidewheel.operators.series import exponential_smooth
 
     noise = (S.hash_noise(seed, F.lit(out), *[F.col(k) for k in keys], F.col("frame")) - 0.5) * 0.03 / 0.015
-    return exponential_smooth(frames.withColumn("_n", noise), keys, "_n", out, tau=0.985, reach=511).drop("_n")
+    return exponential_smooth(frames.withColumn("_n", noise), keys, "_n", out, tau=0.985).drop("_n")
 
 
 def synthesize(songs: DataFrame, keys: Sequence[str], seed: int = 7, fps: float = C.FPS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewheel.operators import aggregates as A
 from tidewheel.operators import align as L
 from tidewheel.operators import series as O
-from tidewheel.operators.joins import full_span, lined_up
+from tidewheel.operators.joins import lined_up
 from tidewheel.plans.inputs import SERIES, VERSIONS, WEEKLY, WEEKLY_FLUX, versions, weekly, weekly_flux, weekly_levels
 from tidewheel.session import settle, table
 

@@ -228,7 +228,6 @@ def user_signal(spark, sf):
     def signal(value, n):
         return value * 2 + n ** 0.5
 
-    from collections.abc import Callable  # noqa: F401
     import pandas as pd
 
     signal.__annotations__ = {"value": pd.Series, "n": pd.Series, "return": pd.Series}
@@ -249,6 +248,30 @@ def user_program(spark, sf):
     return out.select("series_id", "frame", F.round("total", 6).alias("total"))
 
 
+@query("user_score", """SELECT l_orderkey, l_linenumber, round(max(l_quantity * 1.37 - abs(l_discount * 100 - 5)), 6) AS score FROM lineitem GROUP BY 1, 2""")
+def user_score(spark, sf):
+    """A user's vectorised score of independent candidate rows; the best per line."""
+    import pandas as pd
+
+    def score(quantity, discount):
+        return quantity * 1.37 - (discount * 100 - 5).abs()
+
+    score.__annotations__ = {"quantity": pd.Series, "discount": pd.Series, "return": pd.Series}
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    scored = E.score_candidates(rows, score, ["l_quantity", "l_discount"])
+    return scored.groupBy("l_orderkey", "l_linenumber").agg(F.round(F.max("score"), 6).alias("score"))
+
+
+@query("stepped_levels", f"""WITH {WEEKLY}, t AS (SELECT series_id, frame, CAST((frame // 13) * 7 % 11 AS DOUBLE) AS target FROM weekly), f AS (SELECT series_id, target AS t0 FROM t WHERE frame = 0)
+SELECT a.series_id, a.frame, round(max(t0) + sum(0.3 * power(0.7, a.frame - b.frame) * (b.target - t0)), 6) AS level FROM t a JOIN f USING (series_id) JOIN t b ON b.series_id = a.series_id AND b.frame BETWEEN a.frame - 120 AND a.frame GROUP BY 1, 2""")
+def stepped_levels(spark, sf):
+    """A level that glides to a new target every quarter."""
+    from tidewheel.operators.series import glide
+
+    frames = weekly_levels(spark, sf).select("series_id", "frame", (F.floor(F.col("frame") / 13) * 7 % 11).cast("double").alias("target"))
+    return glide(frames, SERIES, "target", "level", 0.3).select("series_id", "frame", F.round("level", 6).alias("level"))
+
+
 @query("bar_function", """WITH s AS (SELECT s_suppkey AS series_id, (s_suppkey % 5) * 0.7 AS d FROM supplier) SELECT series_id, CAST(k + 1 AS INTEGER) AS bar, round(d + k * 2.0, 6) AS t FROM s, range(-3, 20) r(k) WHERE d + k * 2.0 >= -1e-12 AND d + k * 2.0 < 20""")
 def bar_function(spark, sf):
     """Bar lines from SQL through the table function."""

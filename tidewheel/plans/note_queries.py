@@ -230,6 +230,39 @@ def fold_search(spark, sf):
         "series_id", "bpm", "bin", F.round("score", 6).alias("score"))
 
 
+@query("comb_scores", f"""WITH {WEEKLY_FLUX}, c AS (SELECT series_id, count(*) AS cnt FROM weekly_flux GROUP BY 1),
+k AS (SELECT series_id, cnt, CAST(j AS BIGINT) AS comb, 60.0 / (6.13 + j * 0.71) AS p, 1.37 * j - floor(1.37 * j / (60.0 / (6.13 + j * 0.71))) * (60.0 / (6.13 + j * 0.71)) AS ph FROM c, range(0, 5) r(j)),
+t AS (SELECT series_id, comb, unnest(list_transform(range(0, CAST(floor((cnt - 1 - ph) / p) AS BIGINT) + 1), lambda i: ph + i * p)) AS pos FROM k)
+SELECT t.series_id, comb, round(avg(a.flux + (coalesce(b.flux, a.flux) - a.flux) * (pos - floor(pos))), 6) AS score FROM t JOIN weekly_flux a ON a.series_id = t.series_id AND a.frame = CAST(floor(pos) AS BIGINT)
+ LEFT JOIN weekly_flux b ON b.series_id = t.series_id AND b.frame = CAST(floor(pos) AS BIGINT) + 1 GROUP BY 1, 2""")
+def comb_scores(spark, sf):
+    onsets = settle(weekly_flux(spark, sf))
+    j = F.col("comb")
+    combs = onsets.select("series_id").distinct().withColumn("comb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint")))).select(
+        "series_id", "comb", (6.13 + j * 0.71).alias("bpm"), (j * 1.37).alias("phase"))
+    return G.comb_scores(onsets, combs, SERIES, "flux", fps=1.0).select("series_id", "comb", F.round("score", 6).alias("score"))
+
+
+@query("key_signatures", """SELECT l_orderkey, CAST(min_by(l_quantity % 15 - 7, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey % 1000) AS INTEGER) AS key_signature FROM lineitem GROUP BY 1""")
+def key_signatures(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("tick"), (F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("track"),
+                                               (F.col("l_quantity") % 15 - 7).cast("int").alias("key"))
+    return N.key_signature(rows, ["l_orderkey"], "tick", "track", "key")
+
+
+@query("grid_findings")
+def grid_findings(spark, sf):
+    """What to double-check before trusting each supplier's estimated grid."""
+    from tidewheel.operators.aggregates import beat_of_bar_evidence
+
+    flux = settle(weekly_flux(spark, sf))
+    tempos = settle(G.estimate_tempo(flux, SERIES, "flux", fps=1.0, lo=4.0, hi=12.0))
+    beats = settle(G.beat_rows(tempos, SERIES, F.col("beat0"), F.col("period"), F.lit(350.0)).withColumn("bar", F.floor(F.col("idx") / 4).cast("bigint") + 1))
+    fits = settle(G.grid_fit(flux, beats, SERIES, "flux", 4, fps=1.0))
+    near = settle(O.near_event_max(flux, beats, SERIES, "flux", "t", "near", fps=1.0))
+    return G.grid_findings(tempos, fits, beat_of_bar_evidence(near, SERIES, ["near"]), SERIES, 4.0, 12.0)
+
+
 @query("tempo_estimate")
 def tempo_estimate(spark, sf):
     """The repeating period of each supplier's sales onsets, as a beat grid."""

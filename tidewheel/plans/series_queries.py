@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewheel.functions import scalar as S
 from tidewheel.operators import aggregates as A
 from tidewheel.operators import series as O
 from tidewheel.operators.joins import interval_join
-from tidewheel.plans.inputs import (HOURLY, SERIES, WEEKLY, WEEKLY_FLUX, days, hourly, seconds, weekly, weekly_flux,
-                                    weekly_levels)
+from tidewheel.plans.inputs import HOURLY, SERIES, WEEKLY, WEEKLY_FLUX, hourly, weekly, weekly_flux, weekly_levels
 from tidewheel.session import settle, table
 
 QUERIES, ORACLES = {}, {}
@@ -44,7 +42,7 @@ SELECT series_id, frame, round(onset, 6) AS onset, round((d - m) / s, 6) AS z FR
 def energy_jumps(spark, sf):
     """At which hours did each event type's level rise by more than two deviations?"""
     levels = O.level(hourly(spark, sf))
-    onset = O.onset_strength(O.rising(levels, SERIES, "rmsdb", "flux"), SERIES, "flux")
+    onset = O.onset_strength(levels, SERIES, level="rmsdb")
     return O.energy_jumps(onset, SERIES, "onset").select("series_id", "frame", *r6("onset", "z"))
 
 
