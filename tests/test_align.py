@@ -139,3 +139,27 @@ def test_group_settles_repeaters_and_refuses_outliers(spark):
     got = {r["stem"]: (r["status"], r["lag_s"]) for r in L.align_group(df, ["song"], "stem").collect()}
     assert got["drums"] == ("auto", 0.05) and got["loop"] == ("auto", pytest.approx(0.05, abs=0.002))
     assert got["other"][0] == "refused" and got["noise"][0] == "refused"
+
+
+def test_members_line_up_from_samples(spark):
+    sr, n = 8000, 8000 * 8
+    rng = np.random.default_rng(11)
+    gate = lambda seed, period: np.repeat((np.random.default_rng(seed).random(n // period) < 0.4).astype(float), period)
+    voice = np.sin(2 * np.pi * 440 * np.arange(n) / sr) * gate(1, 800)
+    drums = rng.normal(size=n) * gate(2, 400)
+    mix = voice + drums
+    late = 2400  # the mix starts 0.3 s into the session
+
+    def table(**parts):
+        rows = [("song", k, i, float(v)) for k, vs in parts.items() for i, v in enumerate(vs)]
+        return spark.createDataFrame(rows, "song string, stem string, i long, l double")
+
+    stems = settle(A.sample_blocks(table(voice=voice, drums=drums), ["song", "stem"], "i", "l", 4000))
+    master = settle(A.sample_blocks(table(mix=mix[late:]).drop("stem"), ["song"], "i", "l", 4000))
+    got = settle(A.align_members(stems, master, ["song"], "stem", sr, search_s=0.6, frames_per_block=200))
+    lags = {r["stem"]: (r["status"], r["lag_s"]) for r in got.collect()}
+    assert lags["voice"] == ("auto", pytest.approx(-0.3, abs=0.006)) and lags["drums"] == ("auto", pytest.approx(-0.3, abs=0.006))
+    lengths = master.groupBy("song").agg({"start_sample": "max"}).selectExpr("song", f"CAST({n - late} AS BIGINT) AS length")
+    moved = settle(A.lined_up_blocks(stems, got, lengths, ["song", "stem"], ["song"], sr))
+    levels = A.raw_levels(A.measure(moved, ["song", "stem"], sr, 256), ["song", "stem"])
+    assert levels.groupBy("stem").count().collect()[0]["count"] == 1 + (n - late) // 80

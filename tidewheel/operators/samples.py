@@ -13,8 +13,8 @@ from tidewheel import constants as C
 from tidewheel.functions import kernels as K
 from tidewheel.functions import scalar as S
 from tidewheel.operators.blocks import over_blocks
-from tidewheel.operators.series import (cosine_novelty, flux_normalize, percentile_normalize, sounding_normalize,
-                                        vocal_presence)
+from tidewheel.operators.series import (cosine_novelty, flux_normalize, onset_strength, percentile_normalize,
+                                        sounding_normalize, vocal_presence)
 from tidewheel.session import settle
 
 
@@ -60,14 +60,8 @@ def _assemble(pieces, column: str, lo: int, hi: int) -> np.ndarray | None:
     return out
 
 
-def measure(blocks: DataFrame, keys: Sequence[str], sr: int, frames_per_block: int = 1024) -> DataFrame:
-    """Per-frame measures of sample blocks: (keys, frame, rms_ms, band powers, flux sums, cent, side_ms).
-
-    Frame i is centred on sample i*hop. Each frame block takes its samples plus half a window either
-    side and one frame of history (flux needs the previous spectrum), so blocks are measured
-    independently: one FFT and one matrix product per block.
-    """
-    keys = list(keys)
+def framed_pieces(blocks: DataFrame, keys: Sequence[str], sr: int, frames_per_block: int) -> DataFrame:
+    """The samples each frame block needs: its own, half a window either side, and one frame of history."""
     hop, win = K.analysis_sizes(sr)
     lengths = blocks.groupBy(*keys).agg(F.max(F.col("start_sample") + F.size("left")).alias("_n"), F.max(F.col("right").isNotNull()).alias("_stereo"))
     count = F.floor(F.col("_n") / hop) + 1
@@ -78,7 +72,17 @@ def measure(blocks: DataFrame, keys: Sequence[str], sr: int, frames_per_block: i
     plan = settle(plan.select(*keys, "fb", "_stereo", f0.alias("f0"), own.cast("bigint").alias("own"),
                               (f0 * hop - win // 2 - F.when(F.col("fb") > 0, hop).otherwise(0)).alias("lo"),
                               ((f0 + own - 1) * hop + win // 2).alias("hi")))
-    pieces = slices(blocks, keys, plan, ["left", "right"], max(frames_per_block * hop, win))
+    return slices(blocks, keys, plan, ["left", "right"], max(frames_per_block * hop, win))
+
+
+def measure(blocks: DataFrame, keys: Sequence[str], sr: int, frames_per_block: int = 1024) -> DataFrame:
+    """Per-frame measures of sample blocks: (keys, frame, rms_ms, band powers, flux sums, cent, side_ms).
+
+    Frame i is centred on sample i*hop. Blocks carry their margins (flux needs the previous
+    spectrum), so they are measured independently: one FFT and one matrix product per block.
+    """
+    keys = list(keys)
+    pieces = framed_pieces(blocks, keys, sr, frames_per_block)
     names = ["rms_ms", *[f"{b}_ms" for b in C.BANDS], "vocal_ms", *C.FLUX_BANDS, "tempo_flux", "cent", "side_ms"]
     kind = "struct<" + ",".join(f"{n}:array<double>" for n in names) + ">"
 
@@ -115,6 +119,72 @@ def raw_levels(measured: DataFrame, keys: Sequence[str]) -> DataFrame:
         S.to_db(F.col("side_ms")).alias("vocal_side_db"), F.when(F.col("_s") > 0, F.col("side_to_mid_db")).alias("side_to_mid_db"))
 
 
+def alignment_bands(blocks: DataFrame, keys: Sequence[str], sr: int, frames_per_block: int = 1024,
+                    lo: float = C.ALIGN_RANGE[0], hi: float = C.ALIGN_RANGE[1], per_octave: int = C.ALIGN_BANDS_PER_OCTAVE) -> DataFrame:
+    """Power and onset of narrow bands per frame: (keys, frame, band, power, onset)."""
+    keys = list(keys)
+    pieces = framed_pieces(blocks, keys, sr, frames_per_block)
+
+    @F.pandas_udf("array<array<struct<power:double,rise:double>>>")
+    def bands(fb: pd.Series, a: pd.Series, z: pd.Series, own: pd.Series, parts: pd.Series, stereo: pd.Series) -> pd.Series:
+        out = []
+        for b, x, y, n, p, two in zip(fb, a, z, own, parts, stereo):
+            mono = _assemble(p, "left", int(x), int(y))
+            if two:
+                mono = 0.5 * (mono + _assemble(p, "right", int(x), int(y)))
+            power, rise = K.band_block(mono, sr, int(n), b > 0, lo, hi, per_octave)
+            out.append([[{"power": float(u), "rise": float(v)} for u, v in zip(ps, rs)] for ps, rs in zip(power, rise)])
+        return pd.Series(out)
+
+    rows = pieces.select(*keys, "f0", F.posexplode(bands("fb", "lo", "hi", "own", "pieces", "_stereo")).alias("_i", "_b")).select(
+        *keys, (F.col("f0") + F.col("_i")).alias("frame"), F.posexplode("_b").alias("band", "_v")).select(*keys, "frame", "band", "_v.*")
+    banded = [*keys, "band"]
+    late = over_blocks(settle(rows), banded, "frame", {"_late": lambda w: F.lag("rise", 1, 0.0).over(w)}, before=1)
+    return onset_strength(late, banded, "_late").select(*keys, "frame", "band", "power", "onset")
+
+
+def align_members(members: DataFrame, masters: DataFrame, group: Sequence[str], member: str, sr: int,
+                  search_s: float = C.STEM_SEARCH_S, given: DataFrame | None = None, frames_per_block: int = 1024) -> DataFrame:
+    """Each member's lag on its group's master, from sample blocks: lag_s, r, margin and status.
+
+    Band power and band onsets each vote; members that repeat themselves settle on the lag the
+    others share (align_group). A member with nothing to line up by has no row.
+    """
+    from tidewheel.operators.align import align_group, band_correlation, member_correlation
+
+    keys = [*group, member]
+    whole = alignment_bands(masters, group, sr, frames_per_block).select(
+        *group, "frame", "band", F.col("power").alias("_mp"), F.col("onset").alias("_mo"))
+    part = alignment_bands(members, keys, sr, frames_per_block)
+    names = part.select(*keys).distinct()
+    # Every frame either has: a member may start before its master or end after it.
+    wide = whole.join(names, list(group))
+    both = settle(part.join(wide, [*keys, "frame", "band"], "full"))
+    reach = round(search_s * C.FPS)
+    power = band_correlation(both, keys, reach, "power", "_mp", "energy")
+    onset = band_correlation(both, keys, reach, "onset", "_mo", "variance")
+    curve = member_correlation(settle(power), settle(onset), keys, round(C.AGREE_S * C.FPS))
+    return align_group(curve, group, member, given)
+
+
+def lined_up_blocks(blocks: DataFrame, lags: DataFrame, lengths: DataFrame, keys: Sequence[str], group: Sequence[str], sr: int) -> DataFrame:
+    """Member blocks moved onto their master: shifted by lag_s, cut to its `length` samples. Ends
+    that were never stored read as silence."""
+    shift = F.rint(F.col("lag_s") * sr).cast("bigint")
+    moved = blocks.join(lags.where(F.col("lag_s").isNotNull()).select(*keys, "lag_s"), list(keys)).join(lengths.select(*group, "length"), list(group))
+    start = F.col("start_sample") + shift
+    cut = F.greatest(F.lit(0).cast("bigint"), -start)
+    size = F.least(F.size("left").cast("bigint"), F.col("length") - start) - cut
+    trim = lambda c: F.slice(c, (cut + 1).cast("int"), size.cast("int"))
+    placed = moved.where(size > 0).select(*keys, (start + cut).alias("start_sample"), trim("left").alias("left"), trim("right").alias("right"), "length")
+    # A last silent sample keeps every member at its master's length.
+    ends = placed.groupBy(*keys).agg(F.max("length").alias("length"), F.max(F.col("start_sample") + F.size("left")).alias("_end")).where(
+        F.col("_end") < F.col("length"))
+    silence = ends.select(*keys, (F.col("length") - 1).alias("start_sample"), F.array(F.lit(0.0)).cast(blocks.schema["left"].dataType).alias("left"),
+                          F.lit(None).cast(blocks.schema["right"].dataType).alias("right"))
+    return placed.drop("length").unionByName(silence)
+
+
 def envelopes(raw: DataFrame, keys: Sequence[str], member: bool = False) -> DataFrame:
     """Raw levels on the pack's scales. A group member keeps its digital silence out of the
     percentiles, where it reads 0."""

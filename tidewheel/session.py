@@ -34,13 +34,15 @@ def build_session(app: str = "tidewheel", cores: str | None = None) -> SparkSess
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.environ.get("TIDEWHEEL_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The shared folder for intermediate results: the one the cluster names in spark.checkpoint.dir,
+    else the context's own; a temporary one is made only where neither is set, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
 
 
 _SETTLED: list[str] = []
