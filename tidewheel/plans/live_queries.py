@@ -13,7 +13,7 @@ from tidewheel.operators import synth as Y
 from tidewheel.operators.blocks import number_rows
 from tidewheel.operators.quantiles import exact_percentiles
 from tidewheel.plans.inputs import SERIES, WEEKLY, WEEKLY_FLUX, weekly_flux, weekly_levels
-from tidewheel.session import ensure_checkpoint_dir, settle, table
+from tidewheel.session import settle, shared_path, table
 from tidewheel.streaming import live as R
 
 QUERIES, ORACLES = {}, {}
@@ -91,7 +91,7 @@ def events_stream(spark, sf):
 
 
 def run(spark, stream):
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "stream")
     R.run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
@@ -129,7 +129,7 @@ def stream_quiet(spark, sf):
 
 
 def frames_stream(spark, frames):
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/frames-{uuid.uuid4().hex}"
+    path = shared_path(spark, "frames")
     frames.write.parquet(path)
     return spark.readStream.schema(frames.schema).parquet(path)
 

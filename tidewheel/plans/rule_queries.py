@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from tidewheel.operators import rules as R
 from tidewheel.operators.aggregates import mood_line
 from tidewheel.plans.event_queries import CUTS, FPS, songs
 from tidewheel.plans.inputs import SERIES, WEEKLY, weekly_levels
-from tidewheel.session import ensure_checkpoint_dir, settle, spread, table
+from tidewheel.session import settle, shared_path, spread, table
 from tidewheel.sources import packs as K
 
 QUERIES, ORACLES = {}, {}
@@ -357,7 +356,7 @@ def release_notes(spark, sf):
 def pack_round_trip(spark, sf):
     """Levels written as packs and read back through the tag check."""
     levels = weekly_levels(spark, sf).withColumnRenamed("value", "rms")
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/packs-{uuid.uuid4().hex}"
+    path = shared_path(spark, "packs")
     K.write_packs(levels, path, ["rms", "rmsdb"])
     docs, _ = K.read_packs(spark, path, levels=("rms", "rmsdb"))
     return K.pack_frames(docs, ("rms", "rmsdb")).select("series_id", "frame", "rmsdb", "rms")

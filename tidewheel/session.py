@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
-import shutil
 import tempfile
 import uuid
 
@@ -35,17 +35,27 @@ def build_session(app: str = "tidewheel", cores: str | None = None) -> SparkSess
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate results: the one the cluster names in spark.checkpoint.dir,
-    else the context's own; a temporary one is made only where neither is set, as in tests."""
+    else the context's own. A local session, whose tasks all share the driver's disk, may do without;
+    on a cluster a missing setting is an error, since a machine's own folder would lose files."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
-_SETTLED: list[str] = []
+_SETTLED: list[tuple[SparkSession, str]] = []
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A fresh path in the shared folder, deleted by release()."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _SETTLED.append((spark, path))
+    return path
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -55,17 +65,17 @@ def settle(df: DataFrame) -> DataFrame:
     it. The written table survives lost executors and gives the planner its true size.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = shared_path(spark, "settled")
     df.write.parquet(path)
-    _SETTLED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release() -> None:
-    """Drop the settled tables of this process; results built on them become unreadable."""
-    for path in _SETTLED:
-        if path.startswith("/") or path.startswith("file:"):
-            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+    """Drop the folders this process wrote, on any file system; results built on them become unreadable."""
+    for spark, path in _SETTLED:
+        with contextlib.suppress(Exception):  # at exit the session may be gone already
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
     _SETTLED.clear()
 
 
