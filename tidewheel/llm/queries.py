@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import sharding
+from tidewheel.llm import mixing, sharding, topk
 from tidewheel.session import table
 
 
@@ -16,8 +16,56 @@ def op1_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best matches of every hundredth vector among all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0, 10)
+
+
+OP8_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+# Target shares by bytes: one dominant source is brought down to a tenth, the others share the rest evenly.
+SOURCE_WEIGHTS = {"src0": 0.1, **{f"src{i}": 0.9 / 19 for i in range(1, 20)}}
+MIX_SEED = 17
+
+
+def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of every document in the mix by SOURCE_WEIGHTS, in the mix's order."""
+    mixed = mixing.replicate(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, MIX_SEED)
+    return mixed.select("doc_id", "source", "copy", "copies", "shuffle_key")
+
+
+_WEIGHTS_SQL = ", ".join(f"('{s}', CAST({w!r} AS DOUBLE))" for s, w in SOURCE_WEIGHTS.items())
+OP10_SQL = f"""
+WITH RECURSIVE w(source, weight) AS (VALUES {_WEIGHTS_SQL}),
+held AS (SELECT source, CAST(sum(coalesce(strlen(text), 0) + 1) AS DOUBLE) AS held FROM documents GROUP BY source),
+both_ AS (SELECT w.source, weight, held FROM w JOIN held USING (source)),
+r AS (SELECT source, (SELECT sum(held) FROM both_) * (weight / (SELECT sum(weight) FROM both_)) / held AS rate FROM both_),
+p(source, rate, parts) AS (SELECT source, rate / greatest(1, ceil(rate / 64)), greatest(1, CAST(ceil(rate / 64) AS INTEGER)) FROM r),
+c(source, rate, k, term, total) AS (
+  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM p
+  UNION ALL SELECT source, rate, k + 1, term * (rate / (k + 1)), total + term * (rate / (k + 1)) FROM c WHERE k < 255),
+d AS (SELECT doc_id, source, part, CAST('0x' || substr(md5('{MIX_SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || part), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+      FROM documents LEFT JOIN p USING (source), LATERAL (SELECT unnest(range(1, coalesce(parts, 1) + 1)) AS part)),
+n AS (SELECT d.doc_id, d.source, CAST(CASE WHEN max(p.source) IS NULL THEN 1 ELSE count(c.k) END AS INTEGER) AS copies
+      FROM d LEFT JOIN p ON p.source = d.source LEFT JOIN c ON c.source = d.source AND c.total <= d.u GROUP BY d.doc_id, d.source)
+SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, copies,
+       CAST('0x' || substr(md5('order{MIX_SEED}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || copy), 1, 13) AS BIGINT) AS shuffle_key
+FROM n, LATERAL (SELECT unnest(range(0, copies)) AS copy)"""
+
+
 QUERIES = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
+    "op8_block_topk": op8_block_topk,
+    "op10_poisson_mixing": op10_poisson_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op8_block_topk": OP8_SQL,
+    "op10_poisson_mixing": OP10_SQL,
+}
