@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import mixing, sharding, topk
+from tidewheel.llm import mixing, packing, sharding, topk
 from tidewheel.session import table
 
 
@@ -16,6 +16,17 @@ def op1_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best matches of every hundredth vector among all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0, 10)
@@ -61,6 +72,7 @@ FROM n, LATERAL (SELECT unnest(range(0, copies)) AS copy)"""
 
 QUERIES = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op8_block_topk": op8_block_topk,
     "op10_poisson_mixing": op10_poisson_mixing,
 }
