@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import mixing, packing, sharding, topk
+from tidewheel.llm import language, mixing, packing, sharding, topk
 from tidewheel.session import table
 
 
@@ -16,6 +16,13 @@ def op1_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose id's CRC is not 1 modulo 3."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return language.identify(docs, ~held_out, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -72,6 +79,7 @@ FROM n, LATERAL (SELECT unnest(range(0, copies)) AS copy)"""
 
 QUERIES = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
+    "op2_hyperdimensional_language": op2_hyperdimensional_language,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op8_block_topk": op8_block_topk,
     "op10_poisson_mixing": op10_poisson_mixing,
