@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import fixity, language, mixing, packing, sharding, topk
+from tidewheel.llm import fixity, language, mixing, packing, secrets, sharding, topk
 from tidewheel.session import settle, table
 
 
@@ -34,6 +34,34 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts and digest of the base rules' spans, and the spans of all rules."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE_RULES))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select("doc_id", *[count(r.kind).alias(f"n_{r.kind}") for r in secrets.BASE_RULES],
+                        F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+def _op5_sql() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    rules = secrets.BASE_RULES + secrets.MORE_RULES
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, '{r.kind}' AS kind, {i} AS rank, {r.least} AS least, regexp_extract_all(t, {quoted(r.pattern)}, 0) AS m, "
+        f"regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS g, regexp_split_to_array(t, {quoted(r.pattern)}) AS b FROM d"
+        for i, r in enumerate(rules))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
+u AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
+s AS (SELECT doc_id, kind, rank, list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS st,
+             length(m[i]) AS n FROM u WHERE length(g[i]) >= least),
+j AS (SELECT doc_id, kind, rank, st, kind || ':' || CAST(st AS BIGINT) || ':' || CAST(st + n AS BIGINT) AS span FROM s)
+SELECT d.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY st, rank) FILTER (rank < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY st, rank), '') AS spans
+FROM d LEFT JOIN j ON j.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 def op8_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best matches of every hundredth vector among all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0, 10)
@@ -107,12 +135,14 @@ QUERIES = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
     "op2_hyperdimensional_language": op2_hyperdimensional_language,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_trigram_secrets": op5_trigram_secrets,
     "op8_block_topk": op8_block_topk,
     "op9_merkle_fixity": op9_merkle_fixity,
     "op10_poisson_mixing": op10_poisson_mixing,
 }
 
 ORACLES = {
+    "op5_trigram_secrets": _op5_sql(),
     "op8_block_topk": OP8_SQL,
     "op9_merkle_fixity": OP9_SQL,
     "op10_poisson_mixing": OP10_SQL,
