@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import fixity, language, mixing, packing, secrets, sharding, topk
+from tidewheel.llm import fixity, language, mixing, packing, quality_rules, secrets, sharding, topk
 from tidewheel.session import settle, table
 
 
@@ -62,6 +62,39 @@ SELECT d.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank =
 FROM d LEFT JOIN j ON j.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
+def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document, by language."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op7_sql() -> str:
+    rules = quality_rules.RULES
+    share = quality_rules.ALPHA / len(rules)
+    space = "[\\x20\\x09-\\x0D]+"
+    values = " UNION ALL ".join(f"SELECT stratum, {i} AS rule, CAST({r.value} AS DOUBLE) AS v FROM g" for i, r in enumerate(rules))
+    grid = ", ".join(f"({i}, CAST({c!r} AS DOUBLE))" for i, r in enumerate(rules) for c in r.grid)
+    fires = " OR ".join(f"coalesce({r.value} > (SELECT min(cutoff) FROM c WHERE c.stratum = b.stratum AND c.rule = {i}), false)" for i, r in enumerate(rules))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+                  list_filter(regexp_split_to_array(coalesce(text, ''), '{space}'), lambda w: w <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM rep, range(0, 3) AS x(o) GROUP BY doc_id),
+m AS (SELECT d.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars,
+        length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+      FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d) d
+      LEFT JOIN cov ON cov.doc_id = d.doc_id),
+b AS (SELECT *, ({quality_rules.BASE_FAILED}) AS base_failed FROM m),
+g AS (SELECT b.* FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
+v AS ({values}), grid(rule, cutoff) AS (VALUES {grid}),
+k AS (SELECT v.stratum, v.rule, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM v JOIN grid USING (rule) GROUP BY ALL),
+c AS (SELECT stratum, rule, cutoff FROM k WHERE k < n * {share!r} AND
+      list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}) + (n - i) * ln(1 - {share!r}))))
+      <= {quality_rules.DELTA} / (SELECT count(*) FROM k))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({fires}) AS kept FROM b"""
+
+
 def op8_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best matches of every hundredth vector among all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0, 10)
@@ -136,6 +169,7 @@ QUERIES = {
     "op2_hyperdimensional_language": op2_hyperdimensional_language,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_trigram_secrets": op5_trigram_secrets,
+    "op7_risk_controlled_rules": op7_risk_controlled_rules,
     "op8_block_topk": op8_block_topk,
     "op9_merkle_fixity": op9_merkle_fixity,
     "op10_poisson_mixing": op10_poisson_mixing,
@@ -143,6 +177,7 @@ QUERIES = {
 
 ORACLES = {
     "op5_trigram_secrets": _op5_sql(),
+    "op7_risk_controlled_rules": _op7_sql(),
     "op8_block_topk": OP8_SQL,
     "op9_merkle_fixity": OP9_SQL,
     "op10_poisson_mixing": OP10_SQL,
