@@ -11,8 +11,7 @@ os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
 def spark(tmp_path_factory):
     from tidewheel.session import build_session
 
-    session = build_session("tests", "8")
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    session = build_session("tests", "8", str(tmp_path_factory.mktemp("shared")))
     session.conf.set("spark.sql.shuffle.partitions", "4")
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "tidewheel", cores: str | None = None) -> SparkSession:
+def build_session(app: str = "tidewheel", cores: str | None = None, checkpoint_dir: str | None = None) -> SparkSession:
     """A session tuned for this library: AQE with skew handling, UTC, Arrow transfer."""
     builder = (
         SparkSession.builder.appName(app)
@@ -21,6 +21,8 @@ def build_session(app: str = "tidewheel", cores: str | None = None) -> SparkSess
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if checkpoint_dir is not None:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     if cores is not None:
         builder = (
             builder.master(f"local[{cores}]")
