@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +16,12 @@ from tidewheel.session import settle
 
 CAPACITY = 4096
 RANK_ROWS = 512
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = ".,;:!?*$%&#"
 _SPACE = re.compile(r"[^\S\x1c-\x1f]+")
-# Words remembered by a worker between rows, and characters of a text that are split at a time.
-REMEMBERED = 400_000
+# Words remembered by a worker between rows, the longest of them, and characters of a text that are split at a time.
+REMEMBERED = 1_000_000
+LONGEST = 64
 SLICE = 1 << 20
 
 
@@ -117,38 +120,50 @@ def _words(text: str) -> list[str]:
     return text.split()
 
 
-def word_ids(path: str, known: dict[str, bytes]) -> Callable[[list[str]], Callable[[str], Iterator[bytes]]]:
-    """For a batch of texts, a function from text to its ids as little-endian bytes, in parts.
+class WordIds(dict):
+    """word -> its ids as little-endian bytes, tokenized when first met; for tokenizers that fold case, drop
+    white space and never join what it or a change from letters to other marks parts. A full one is emptied.
 
-    For tokenizers that drop white space and never join what it parts: each word's ids are looked up,
-    and only words not met before are tokenized. `known` is emptied when it is full.
+    Words of Latin letters, with or without marks behind them, skip the steps before the merges: their
+    parts are known beforehand. All others go the tokenizer's whole way.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-
-    def batch(texts: list[str]) -> Callable[[str], Iterator[bytes]]:
-        def ids(text: str) -> Iterator[bytes]:
-            for part in _slices(text):
-                words = _words(part)
-                fresh = list(set(words).difference(known))
-                if len(known) + len(fresh) > REMEMBERED:
-                    known.clear()
-                    fresh = list(set(words))
-                for w, e in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                    known[w] = array("I", e.ids).tobytes()
-                yield b"".join([known[w] for w in words])
-
-        fresh = list({w for t in texts if len(t) <= SLICE for w in _words(t)}.difference(known))
-        if len(known) + len(fresh) <= REMEMBERED:  # one call for the whole batch
-            for w, e in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        letters = [c for c in map(chr, range(0x250)) if _LETTERS.fullmatch(c)]
+        split = lambda c: self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(c))
+        self.spelled = {ord(c): "".join(part for part, _ in split(c)) for c in letters}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        core = word.rstrip(_MARKS)
+        if core and len(core) < len(word) and _LETTERS.fullmatch(core[-1]):
+            ids = self[core] + self[word[len(core):]]
+        elif word.isascii() and word != word.lower() and "<" not in word:  # special tokens keep their case
+            ids = self[word.lower()]
+        elif _LETTERS.fullmatch(word):
+            ids = array("I", [t.id for t in self.model.tokenize(word.translate(self.spelled))]).tobytes()
+        else:
+            ids = self._whole(word)
+        if len(word) <= LONGEST:
+            self[word] = ids
         return ids
 
-    return batch
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def parts(self, text: str) -> Iterator[bytes]:
+        """The ids of a text, in parts."""
+        for part in _slices(text):
+            yield b"".join(map(self.__getitem__, _words(part)))
 
 
-_KNOWN: dict[str, dict[str, bytes]] = {}
+_KNOWN: dict[str, WordIds] = {}
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -160,14 +175,15 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of = word_ids(tokenizer_path, _KNOWN.setdefault(tokenizer_path, {}))
+        if tokenizer_path not in _KNOWN:
+            _KNOWN[tokenizer_path] = WordIds(tokenizer_path)
+        known = _KNOWN[tokenizer_path]
         end, full = array("I", [end_id]).tobytes(), 4 * capacity
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids, out = ids_of(texts), []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+            out = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 piece, held = 0, b""
-                for part in ids(text):
+                for part in known.parts(text or ""):
                     held += part
                     while len(held) > full:
                         out.append((doc, piece, piece * capacity, capacity, zlib.crc32(held[:full])))
