@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import fixity, language, mixing, packing, quality_rules, secrets, sharding, topk
+from tidewheel.llm import fixity, language, mixing, ngram_join, packing, quality_rules, secrets, sharding, topk
 from tidewheel.session import settle, table
 
 
@@ -34,6 +34,23 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of at least 0.9."""
+    linked = ngram_join.link(table(spark, sf_dir, "documents"), 3, 90, 100)
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
+OP4_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN w ELSE w[i:i+2] END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id)
+SELECT r.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+
+
 def op5_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts and digest of the base rules' spans, and the spans of all rules."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
@@ -168,6 +185,7 @@ QUERIES = {
     "op1_karmarkar_karp": op1_karmarkar_karp,
     "op2_hyperdimensional_language": op2_hyperdimensional_language,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_trigram_secrets": op5_trigram_secrets,
     "op7_risk_controlled_rules": op7_risk_controlled_rules,
     "op8_block_topk": op8_block_topk,
@@ -176,6 +194,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_ngram_jaccard": OP4_SQL,
     "op5_trigram_secrets": _op5_sql(),
     "op7_risk_controlled_rules": _op7_sql(),
     "op8_block_topk": OP8_SQL,
