@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import fixity, language, mixing, ngram_join, packing, quality_rules, secrets, sharding, topk
+from tidewheel.llm import fixity, language, mixing, ngram_join, packing, perplexity, quality_rules, secrets, sharding, topk
 from tidewheel.session import settle, table
 
 
@@ -79,6 +79,12 @@ SELECT d.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank =
 FROM d LEFT JOIN j ON j.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
+def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document, its language's threshold, and whether it is kept."""
+    judged = perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
 def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document, by language."""
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -187,6 +193,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_trigram_secrets": op5_trigram_secrets,
+    "op6_kneser_ney_quality": op6_kneser_ney_quality,
     "op7_risk_controlled_rules": op7_risk_controlled_rules,
     "op8_block_topk": op8_block_topk,
     "op9_merkle_fixity": op9_merkle_fixity,
