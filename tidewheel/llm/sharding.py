@@ -98,7 +98,7 @@ def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
 def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's shard and its slot there: id, size, text_crc32, shard, slot.
 
-    Rows of equal text stay together; so do all rows without text. A row weighs its text's UTF-8
+    Rows of equal text stay together; NULL counts as empty. A row weighs its text's UTF-8
     bytes plus 8. Slots run from 0 without gaps in each shard. NULL and repeated ids are rows like any
     other; an empty table gives an empty result; other columns are ignored. Group sizes and counts are
     aggregated before they are shuffled, and groups are attached by a join that adaptive execution can
@@ -108,7 +108,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     rows = settle(docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(raw) + F.lit(8)).cast("bigint").alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
-        F.coalesce(F.substring(F.sha2(F.col(text_col).cast("binary"), 256), 1, 32), F.lit("-")).alias("item"),
+        F.substring(F.sha2(raw.cast("binary"), 256), 1, 32).alias("item"),
         F.monotonically_increasing_id().alias("_row")))
     groups = settle(rows.groupBy("item").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
     shard_of = settle(assign_groups(groups, shards).join(groups.select("item", "n"), "item"))
