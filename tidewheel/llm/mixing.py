@@ -66,22 +66,21 @@ def replicate(docs: DataFrame, weights: Mapping[str, float], seed: int = 0, id_c
     number of copies is the smallest k with P(count <= k) > u, for its source's Poisson rate and u the
     hash of seed and id: the same on every run, whatever the partitioning. Sources that weights doesn't name, NULL among
     them, are left as they are, one copy a row. Rows without text weigh one byte. Repeated ids draw
-    the same count. The order is that of a hash of seed, id and copy; ties go by id, then copy.
+    the same count. The order is that of a hash of seed, id and copy; ties go by id, then copy. Columns named like the new ones are replaced.
     An empty table gives an empty result.
     """
-    clash = {"copy", "copies", "rate", "shuffle_key"} & {c.lower() for c in docs.columns}
-    if clash:
-        docs = docs.drop(*clash)
-    columns = docs.columns
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1
     # At most len(weights) rows of at most TOP numbers: broadcast.
-    table = inversion(rates(docs.select(source_col, text_col), weights, source_col, size)).withColumnRenamed("source", "_source")
-    joined = docs.join(F.broadcast(table), F.col(source_col) == F.col("_source"), "left")
-    one = lambda part: F.size(F.filter("cumulative", lambda c: c <= unit_hash(F.lit(seed), F.col(id_col), part)))
+    table = inversion(rates(docs.select(source_col, text_col), weights, source_col, size))
+    # The caller's columns travel in one, so that no name can clash.
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"))
+    joined = rows.join(F.broadcast(table), F.col("_source") == F.col("source"), "left")
+    one = lambda part: F.size(F.filter("cumulative", lambda c: c <= unit_hash(F.lit(seed), F.col("_id"), part)))
     drawn = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, part: n + one(part))
-    counted = joined.withColumn("copies", F.when(F.col("_source").isNull(), 1).otherwise(drawn))
+    counted = joined.withColumn("copies", F.when(F.col("source").isNull(), 1).otherwise(drawn))
     exploded = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    digest = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy")).cast("binary"))
-    return (exploded.withColumn("shuffle_key", F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint"))
-            .select(*columns, "copy", "copies", F.coalesce("rate", F.lit(1.0)).alias("rate"), "shuffle_key")
-            .orderBy("shuffle_key", id_col, "copy"))
+    digest = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.col("copy")).cast("binary"))
+    key = F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").alias("shuffle_key")
+    ordered = exploded.select("_row", "_id", "copy", "copies", F.coalesce("rate", F.lit(1.0)).alias("rate"), key).orderBy("shuffle_key", "_id", "copy")
+    added = ["copy", "copies", "rate", "shuffle_key"]
+    return ordered.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in added], *added)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidewheel.session import settle
 
 CAPACITY = 4096
-RANK_ROWS = 512
+RANK_ROWS = 128
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKS = ".,;:!?*$%&#"
 _SPACE = re.compile(r"[^\S\x1c-\x1f]+")

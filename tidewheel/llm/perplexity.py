@@ -108,7 +108,7 @@ def _discounts(counts: DataFrame) -> DataFrame:
     """(lang, d1, d2, d3): a language's discounts for counts of 1, 2 and more; 0.5, 1 and 1.5 where its counts of counts can't tell."""
     ones = [F.sum(F.when(F.col("n") == i, 1).otherwise(0)).alias(f"n{i}") for i in (1, 2, 3, 4)]
     found = counts.groupBy("lang").agg(*ones)
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     raw = [F.try_subtract(F.lit(float(i)), (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))) for i in (1, 2, 3)]
     fine = F.lit(True)
     for i, d in enumerate(raw, 1):
@@ -229,8 +229,6 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     labels and ids are passed over; repeated rows are judged alike, and repeated trusted rows each count. Columns of
     `docs` named like the new ones are replaced. An empty table gives an empty result.
     """
-    docs = docs.drop("perplexity", "threshold", "kept", "_lang", "_text", "_bits")
-    columns = [F.col(c) for c in docs.columns]
     lang = F.coalesce(F.col(lang_col), F.lit(""))
     trusted = (labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id"))
                .agg(F.min("quality").alias("q"), F.max("toxic").alias("t"), F.count(F.when(F.col("quality").isNull() | F.col("toxic").isNull(), 1)).alias("unknown"))
@@ -251,7 +249,10 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     up = Window.partitionBy("_lang").orderBy("_bits")
     ranked = bins.withColumn("_below", F.sum("n").over(up)).withColumn("_all", F.sum("n").over(Window.partitionBy("_lang")))
     limits = settle(ranked.where(F.col("_below") >= F.lit(quantile) * F.col("_all")).groupBy("_lang").agg(F.min("_bits").alias("_limit")))
-    judged = scored(docs.withColumn("_lang", lang).withColumn("_text", F.col(text_col))).join(limits, "_lang", "left")
+    # The caller's columns travel in one, so that no name can clash.
+    rows = docs.select(F.struct("*").alias("_row"), lang.alias("_lang"), F.col(text_col).alias("_text"))
+    judged = scored(rows).join(limits, "_lang", "left")
+    columns = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in ("perplexity", "threshold", "kept")]
     has_text = F.coalesce(F.length("_text") > 0, F.lit(False))
     return judged.select(*columns, F.pow(F.lit(2.0), F.col("_bits") / GRID).alias("perplexity"), F.pow(F.lit(2.0), F.col("_limit") / GRID).alias("threshold"),
                          (has_text & F.coalesce(F.col("_bits") <= F.col("_limit"), F.lit(True))).alias("kept"))

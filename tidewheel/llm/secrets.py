@@ -140,11 +140,11 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULES, id_co
     so repeated and NULL ids are no matter, and each repeated row gets its spans. A column
     named `spans` is replaced. An empty table gives an empty result.
     """
-    docs = docs.drop("spans")
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_hash", F.xxhash64(text_col))
-    keys = ["_id", "_hash"]
+    # The caller's columns travel in one, so that no name can clash.
+    keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
+                        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), F.xxhash64(text_col).alias("_hash"))
+    text, keys = F.col("_text"), ["_id", "_hash"]
     grams = sorted({g for q in queries.values() for a in q for g in a})
     if queries:
         chosen = candidates(postings(keyed, keys, text, grams), keys, queries)
@@ -156,7 +156,8 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + MORE_RULES, id_co
         # Rules without a trigram query first ask whether there is any match long enough.
         gate = F.array_contains("rules", rule.kind) if rule.kind in queries else _long_enough(text, rule)
         parts.append(F.when(gate, spans_of(text, rule, rank)).otherwise(F.array().cast(_SPAN)))
-    return keyed.select(*[F.col(c) for c in docs.columns], F.array_sort(F.concat(*parts)).alias("spans"))
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() != "spans"]
+    return keyed.select(*kept, F.array_sort(F.concat(*parts)).alias("spans"))
 
 
 def _long_enough(text: Column, rule: Rule) -> Column:
