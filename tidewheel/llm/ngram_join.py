@@ -184,12 +184,13 @@ def link(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: s
     prefixes = settle(_prefixes(docs, width, sketch, num, den).where("n > 0")
                       .join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
     postings = prefixes.select("id", "n", F.posexplode("prefix").alias("at", "shingle"))
-    lists = (postings.groupBy("shingle").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.struct("id", "n", "at")).alias("centre"))
-             .where("lo < hi").select("shingle", "centre"))
+    lists = (postings.groupBy("shingle").agg(F.min("id").alias("head"), F.max("id").alias("last"))
+             .where("head < last").select("shingle", "head"))
     members = settle(postings.join(lists, "shingle"))
-    near = _may_link(F.col("n"), F.col("at"), F.col("centre.n"), F.col("centre.at"), num, den)
-    stars = settle(members.where((F.col("id") != F.col("centre.id")) & near)
-                   .select(F.col("centre.id").alias("a"), F.col("id").alias("b")).distinct())
+    heads = members.where("id = head").select("shingle", F.col("n").alias("head_n"), F.col("at").alias("head_at"))
+    near = _may_link(F.col("n"), F.col("at"), F.col("head_n"), F.col("head_at"), num, den)
+    stars = settle(members.where("id <> head").join(heads, "shingle").where(near)
+                   .select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
     ids = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
     links = settle(_verified(stars, _sets(docs, width, ids), num, den))
     joined = settle(components(links))
@@ -200,7 +201,7 @@ def link(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: s
     left = settle(placed.join(open_lists, "shingle", "left_semi"))
     sizes = left.groupBy("shingle", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-    marked = left.join(main, "shingle").select("shingle", "id", "n", "at", "component", "main", (F.col("id") == F.col("centre.id")).alias("star"))
+    marked = left.join(main, "shingle").select("shingle", "id", "n", "at", "component", "main", (F.col("id") == F.col("head")).alias("star"))
     # Members outside a list's largest component meet all others; two such meet once, smaller id first.
     x, y = marked.where("component <> main").alias("x"), marked.alias("y")
     meets = ((F.col("x.component") != F.col("y.component")) & ~F.col("x.star") & ~F.col("y.star")
