@@ -571,10 +571,10 @@ def fine_lag(segments: DataFrame, coarse: DataFrame, keys: Sequence[str], sr: in
 
     @F.pandas_udf("double")
     def shift(old: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series([K.phase_peak(np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.float64), reach)
-                          for x, y in zip(old, new)], dtype="float64")
+        pieces = [[np.asarray(x, dtype=np.float64) for x in side] for side in (old, new)]
+        return pd.Series(K.phase_lags(*pieces, reach))
 
-    answers = segments.withColumn("_a", (F.col("base") + shift("old", "new")) / sr).where(F.col("_a").isNotNull())
+    answers = segments.withColumn("_a", (F.col("base") + shift("old", "new")) / sr).where(F.col("_a").isNotNull() & ~F.isnan("_a"))
     spread = answers.groupBy(*keys).agg(F.count("*").alias("_n"), (F.max("_a") - F.min("_a")).alias("_d"))
     middle = exact_percentiles(answers, keys, "_a", {"_m": 0.5})
     sure = (F.col("_n") >= 2) & (F.col("_d") <= C.FINE_SPREAD_S)

@@ -87,7 +87,8 @@ def fold_search(onsets: DataFrame, tempos: DataFrame, keys: Sequence[str], value
             x = np.asarray(x, dtype=np.float64)
             active = x > 0
             where, weight = np.asarray(i, dtype=np.float64)[active], x[active]
-            out.append([{"bpm": b, "bins": K.fold_bins(where, weight, 60.0 * fps / b)} for b in tempo])
+            folded = K.fold_all(where, weight, 60.0 * fps / np.asarray(tempo, dtype=np.float64))
+            out.append([{"bpm": b, "bins": bins} for b, bins in zip(tempo, folded)])
         return pd.Series(out)
 
     blocks = pack(onsets, keys, "frame", [value], size).join(listed, keys)
@@ -260,9 +261,8 @@ def grid_fit(onsets: DataFrame, beats: DataFrame, keys: Sequence[str], value: st
     def fit(at: pd.Series, v: pd.Series, beats_: pd.Series) -> pd.DataFrame:
         rows = []
         for i, x, b in zip(at, v, beats_):
-            found = K.section_pulse(np.asarray(x, dtype=np.float64), int(i[0]), np.asarray(b, dtype=np.float64), fps,
-                                    C.PULSE_CONTRAST)
-            rows.append((None,) * 4 if found is None else (*found[:3], int((found[3] > tolerance).sum())))
+            rows.append(K.section_fit(np.asarray(x, dtype=np.float64), int(i[0]), np.asarray(b, dtype=np.float64), fps,
+                                      C.PULSE_CONTRAST, tolerance) or (None,) * 4)
         return pd.DataFrame(rows, columns=["stretch", "shift", "worst", "off"]).astype({"off": "Int64"})
 
     fitted = usable.join(slices, sect).select(*sect, fit("_rows.frame", f"_rows.{value}", "_beats").alias("_fit"))

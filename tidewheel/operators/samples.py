@@ -94,7 +94,7 @@ def measure(blocks: DataFrame, keys: Sequence[str], sr: int, frames_per_block: i
             right = _assemble(p, "right", int(a), int(z)) if two else None
             middle = left if right is None else 0.5 * (left + right)
             side = None if right is None else 0.5 * (left - right)
-            got = K.measure_block(middle, side, sr, int(n), b > 0, C.BANDS, C.FLUX_BANDS, C.VOCAL_BAND, C.TEMPO_FLUX_BAND)
+            got = K.measures(middle, side, sr, int(n), int(b > 0), C.BANDS, C.FLUX_BANDS, C.VOCAL_BAND, C.TEMPO_FLUX_BAND)
             rows.append([got.get(name) for name in names])
         return pd.DataFrame(rows, columns=names)
 
