@@ -124,11 +124,18 @@ def test_unique_suffixes_skip_taken_names(spark):
 
 def test_text_helpers(spark):
     df = spark.createDataFrame([("Bajo Eléctrico!", "كتاب ABC x ي", '{"a": ["/srv/x/y", "ok"], "b.wav": {"c": "host7"}}')], "n string, f string, j string")
-    r = df.select(X.slug(F.col("n")).alias("s"), X.persian(F.col("f"), ["x ي"]).alias("p"), X.leaks(F.col("j"), ["HOST7"]).alias("l")).first()
+    r = df.select(X.slug(F.col("n")).alias("s"), X.persian(F.col("f"), ["x ي"]).alias("p")).first()
     assert r["s"] == "bajo-electrico"
     assert r["p"] == "کتاب ⁨ABC x⁩ ي"
-    assert {(x["path"], x["reason"]) for x in r["l"]} == {("$.a[0]", "looks like a path"), ("${key #2}", "names a file"),
-                                                          ("${#2}.c", "holds private token #1")}
+    documents = [(1, '{"a": ["/srv/x/y", "ok", 7, null], "b.wav": {"c": "host7"}, "z": {"y": {"x": [["~/deep"]]}}}'), (2, "see /srv/x/y"), (3, None), (4, "[]")]
+    found = X.leaks(spark.createDataFrame(documents, "id int, j string"), ["id"], "j", ["HOST7"]).collect()
+    assert {tuple(x) for x in found} == {(1, "$.a[0]", "looks like a path"), (1, "${key #2}", "names a file"), (1, "${#2}.c", "holds private token #1"),
+                                         (1, "$.z.y.x[0][0]", "looks like a path"), (2, "$", "looks like a path")}
+
+
+def test_link_rule_knows_letters_of_any_script(spark):
+    df = spark.createDataFrame([("see café.com",), ("see plain.com",), ("WWW.x",), ("no link",)], "t string")
+    assert [r[0] for r in df.select(X.rule_breaks(F.col("t"))).collect()] == [["a link"], ["a link"], ["a link"], []]
 
 
 def test_closest_names(spark):

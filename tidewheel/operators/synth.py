@@ -1,4 +1,4 @@
-"""Synthetic catalogues: coarse twins of real series, level maps, event generators, whole packs."""
+"""Coarse twins of real series, and level maps onto them."""
 
 from __future__ import annotations
 
@@ -18,9 +18,6 @@ from tidewheel.operators.quantiles import exact_percentiles
 from tidewheel.operators.series import glide, rising
 from tidewheel.session import settle
 
-# General MIDI drum notes, and how the level of a mix weighs its bands.
-DRUMS = {"kick": 36, "snare": 38, "hat": 42, "open": 46, "crash": 49}
-RMS_WEIGHTS = {"bass": 0.32, "lowmid": 0.22, "mid": 0.3, "high": 0.12, "air": 0.04}
 TWIN_STEP = 0.05
 
 
@@ -91,119 +88,3 @@ def level_map(frames: DataFrame, levels: DataFrame, keys: Sequence[str], value:
     mapped = F.when(body, low).otherwise(high)
     missing = levels.select(*keys, F.col("mean").alias("_flat"))
     return joined.join(missing, keys, "left").select(*frames.columns, S.clamp(F.coalesce(mapped, F.col("_flat")), 0.0, ceiling).alias(out))
-
-
-# ---- events
-def drum_events(songs: DataFrame, keys: Sequence[str], seed: int = 7) -> DataFrame:
-    """A drum pattern on the song's 16ths: (keys, track, t, strength, pitch).
-
-    `songs` has bpm, dur, downbeat. Noise is hashed from the song and the step, so a step draws the
-    same whatever else the song holds.
-    """
-    keys = list(keys)
-    six = 15.0 / F.col("bpm")
-    steps = spread_index(songs.withColumn("_c", F.ceil((F.col("dur") - F.col("downbeat")) / six).cast("bigint")), keys, "_c", "step")
-    rows = steps.join(songs, keys).withColumn("t", F.col("downbeat") + F.col("step") * six)
-    r = [S.hash_noise(seed, F.lit(f"drums{k}"), *[F.col(c) for c in keys], F.col("step")) for k in range(4)]
-    in_bar = F.col("step") % 16
-    sub, beat = in_bar % 4, F.floor(in_bar / 4)
-    kick = (F.when(sub == 0, F.least(F.lit(1.0), 0.8 + 0.2 * r[0] + F.when(in_bar == 0, 0.08).otherwise(0.0)))
-            .when((in_bar == 10) & (r[0] < 0.2), 0.5 + 0.25 * r[1]))
-    snare = (F.when((sub == 0) & (beat % 2 == 1), 0.85 + 0.15 * r[1])
-             .when(in_bar.isin(6, 15) & (r[1] < 0.12), 0.25 + 0.2 * r[2]))
-    opened = (in_bar == 14) & (r[2] < 0.3)
-    hat = (F.when(opened, None).when(sub % 2 == 0, F.when(r[2] > 0.04, F.when(sub == 2, 0.95).otherwise(0.7) * (0.85 + 0.3 * r[3])))
-           .when(r[2] < 0.08, 0.45 * (0.85 + 0.3 * r[3])))
-    hits = [("kick", kick), ("snare", snare), ("hat", hat), ("open", F.when(opened, 0.85 + 0.15 * r[3]))]
-    cells = F.array(*[F.struct(F.lit(n).alias("track"), F.least(s, F.lit(1.0)).alias("strength"), F.lit(DRUMS[n]).alias("pitch")) for n, s in hits])
-    return rows.select(*keys, F.round("t", 4).alias("t"), F.explode(cells).alias("_h")).select(
-        *keys, "t", "_h.track", F.round("_h.strength", 3).alias("strength"), "_h.pitch").where(F.col("strength").isNotNull())
-
-
-def chord_events(songs: DataFrame, keys: Sequence[str], progression: Sequence[str], bars: float = 1.0) -> DataFrame:
-    """A progression on the bar lines inside each song: (keys, t, chord); bars before the downbeat
-    play the end of the progression."""
-    keys = list(keys)
-    step = 240.0 / F.col("bpm") * bars
-    first = F.ceil(-F.col("downbeat") / step - 1e-9).cast("bigint")
-    count = F.ceil((F.col("dur") - 1e-9 - F.col("downbeat")) / step).cast("bigint") - first
-    rows = spread_index(songs.withColumn("_c", count), keys, "_c", "_i").join(songs.withColumn("_first", first), keys)
-    k = F.col("_i") + F.col("_first")
-    names = F.array(*[F.lit(c) for c in progression])
-    return rows.select(*keys, F.round(F.col("downbeat") + k * step, 4).alias("t"),
-                       F.element_at(names, (F.pmod(k, F.lit(len(progression))) + 1).cast("int")).alias("chord"))
-
-
-def onset_events(windows: DataFrame, keys: Sequence[str], seed: int = 7) -> DataFrame:
-    """Onsets at a rate inside windows, on the song's 16ths, humanised by at most 20 ms.
-
-    `windows` has bpm, downbeat, start, end, rate, strength. The first step always sounds.
-    """
-    keys = list(keys)
-    six = 15.0 / F.col("bpm")
-    first = F.ceil((F.col("start") - F.col("downbeat")) / six - 1e-9).cast("bigint")
-    last = F.ceil((F.col("end") - F.col("downbeat")) / six - 1e-9).cast("bigint") - 1
-    rows = windows.withColumn("_six", six).withColumn("_k", F.explode(F.when(first <= last, F.sequence(first, last)))).withColumn("_first", F.col("_k") == first)
-    noise = lambda n: S.hash_noise(seed, F.lit(n), *[F.col(c) for c in keys], F.col("_k"))
-    g, per = F.col("downbeat") + F.col("_k") * F.col("_six"), F.col("rate") * F.col("_six")
-    extra = (per > 1) & (noise("extra") < per - 1) & (g + F.col("_six") / 2 < F.col("end"))
-    places = F.array(F.when(F.col("_first") | (noise("plays") < per), g), F.when(extra, g + F.col("_six") / 2))
-    spread = rows.select(*keys, "_k", "start", "end", "strength", F.posexplode(places).alias("_p", "_g")).where(F.col("_g").isNotNull())
-    draw = lambda n: S.hash_noise(seed, F.lit(n), *[F.col(c) for c in keys], F.col("_k"), F.col("_p"))
-    t = S.clamp(F.col("_g") + (draw("a") + draw("b") - 1) * 0.0195, 0.0, 1e12)
-    return spread.select(*keys, F.round(F.least(F.greatest(t, F.col("start")), F.col("end") - 0.001), 3).alias("t"),
-                         F.round(F.col("strength") * (0.65 + 0.7 * draw("s")), 2).alias("strength"))
-
-
-def stepped_level(frames: DataFrame, keys: Sequence[str], out: str, t: Column, length: Column, lo: float, hi: float,
-                  glide_s: float, seed: int, fps: float) -> DataFrame:
-    """A level that takes a new hashed target every `length` seconds and glides there."""
-    step = F.floor(t / length).cast("bigint")
-    target = lo + (hi - lo) * S.hash_noise(seed, F.lit(out), *[F.col(k) for k in keys], step)
-    rate = 1.0 - float(np.exp(-1.0 / (fps * glide_s)))
-    return glide(frames.withColumn("_target", target), keys, "_target", out, rate).drop("_target")
-
-
-def wander(frames: DataFrame, keys: Sequence[str], out: str, seed: int) -> DataFrame:
-    """Slow noise of about +-0.1: hashed steps smoothed over many frames."""
-    from tidewheel.operators.series import exponential_smooth
-
-    noise = (S.hash_noise(seed, F.lit(out), *[F.col(k) for k in keys], F.col("frame")) - 0.5) * 0.03 / 0.015
-    return exponential_smooth(frames.withColumn("_n", noise), keys, "_n", out, tau=0.985).drop("_n")
-
-
-def synthesize(songs: DataFrame, keys: Sequence[str], seed: int = 7, fps: float = C.FPS) -> DataFrame:
-    """Whole catalogues of band levels from song specs: (keys, frame, t, bands, rms, rmsdb, flux).
-
-    `songs` has bpm, dur, downbeat. Drums ring on their steps over beds that move with the bar.
-    """
-    keys = list(keys)
-    songs = songs.withColumn("_frames", (F.ceil(F.col("dur") * fps) + 1).cast("bigint"))
-    drums = drum_events(songs.drop("_frames"), keys, seed).join(songs.select(*keys, "_frames"), keys)
-    drums = settle(drums)
-    frames = spread_index(songs, keys, "_frames", "frame").join(songs, keys).withColumn("t", F.col("frame") / fps)
-    bar = 240.0 / F.col("bpm")
-    since = F.col("t") - F.col("downbeat")
-    frames = stepped_level(frames, keys, "phrase", since, 4 * bar, 0.8, 1.1, 0.6, seed, fps)
-    frames = stepped_level(frames, keys, "bassline", since, bar / 2, 0.35, 1.0, 0.03, seed, fps)
-    frames = stepped_level(frames, keys, "chords", since, bar, 0.5, 1.0, 0.08, seed, fps)
-    rings = None
-    for name, track, hold, decay in (("kick_low", "kick", 0.05, 0.16), ("kick_mid", "kick", 0.01, 0.05), ("snare_mid", "snare", 0.01, 0.09),
-                                     ("snare_high", "snare", 0.005, 0.07), ("hat_high", "hat", 0.0, 0.035), ("open_high", "open", 0.02, 0.18)):
-        ring = additive_hits(drums.where(F.col("track") == track), keys, "t", "strength", "_frames", "v", fps, hold, decay)
-        tagged = ring.withColumn("_name", F.lit(name))
-        rings = tagged if rings is None else rings.unionByName(tagged)
-    wide = rings.groupBy(*keys, "frame").pivot("_name", ["kick_low", "kick_mid", "snare_mid", "snare_high", "hat_high", "open_high"]).agg(F.sum("v"))
-    mix = settle(frames.join(wide, [*keys, "frame"], "left").fillna(0.0))
-    c, g = F.col, F.col("phrase")
-    bands = {
-        "bass": g * (0.5 * c("bassline") + c("kick_low")),
-        "lowmid": g * (0.5 * c("chords") + 0.45 * c("kick_mid") + 0.55 * c("snare_mid")),
-        "mid": g * (0.55 * c("chords") + 0.8 * c("snare_mid")),
-        "high": g * (0.2 + 0.75 * c("snare_high") + 0.35 * c("hat_high")),
-        "air": g * (0.15 + 0.85 * c("hat_high") + 0.8 * c("open_high")),
-    }
-    levels = mix.select(*keys, "frame", "t", *[S.clamp(e / 2.0).alias(n) for n, e in bands.items()])
-    levels = levels.withColumn("rms", sum((w * c(b) for b, w in RMS_WEIGHTS.items()), F.lit(0.0)))
-    levels = rising(levels.withColumn("rmsdb", -60.0 + 54.0 * c("rms")), keys, "rms", "flux")
-    return levels

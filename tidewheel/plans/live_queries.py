@@ -1,4 +1,4 @@
-"""Queries over sample blocks, streams run to completion, synthetic catalogues and extensions."""
+"""Queries over sample blocks, streams run to completion, level maps and extensions."""
 
 from __future__ import annotations
 
@@ -182,37 +182,7 @@ def stream_loops(spark, sf):
     return out.select("series_id", "t", F.round("strength", 6).alias("strength"), "loop")
 
 
-# ---- synthetic catalogues and extensions
-def song_specs(spark, sf):
-    c = table(spark, sf, "supplier")
-    k = F.col("s_suppkey")
-    return c.select(k.alias("series_id"), (80.0 + k % 60).alias("bpm"), F.lit(12.0).alias("dur"), ((k % 5) * 0.1).alias("downbeat"))
-
-
-@query("synth_catalogue")
-def synth_catalogue(spark, sf):
-    """One synthetic song per supplier, as level rows."""
-    return Y.synthesize(settle(song_specs(spark, sf)), SERIES).select(
-        "series_id", "frame", *[F.round(c, 4).alias(c) for c in ("bass", "mid", "air", "rms", "flux")])
-
-
-@query("synth_drums")
-def synth_drums(spark, sf):
-    return Y.drum_events(song_specs(spark, sf), SERIES)
-
-
-@query("synth_chords", """WITH s AS (SELECT s_suppkey AS series_id, 240.0 / (80.0 + s_suppkey % 60) AS p, (s_suppkey % 5) * 0.1 AS d FROM supplier), k AS (SELECT series_id, p, d, k FROM s, range(-2, 12) r(k) WHERE k >= ceil(-d / p - 1e-9) AND d + k * p < 12 - 1e-9)
-SELECT series_id, round(d + k * p, 4) AS t, ['Am', 'F', 'C', 'G'][1 + ((k % 4) + 4) % 4] AS chord FROM k""")
-def synth_chords(spark, sf):
-    return Y.chord_events(song_specs(spark, sf), SERIES, ["Am", "F", "C", "G"])
-
-
-@query("synth_onsets")
-def synth_onsets(spark, sf):
-    windows = song_specs(spark, sf).select("series_id", "bpm", "downbeat", F.lit(1.0).alias("start"), F.lit(9.0).alias("end"), F.lit(6.0).alias("rate"), F.lit(0.9).alias("strength"))
-    return Y.onset_events(windows, SERIES)
-
-
+# ---- level maps and extensions
 @query("level_map")
 def level_map(spark, sf):
     """Each supplier's weekly levels reshaped, section by section, onto a coarse twin's levels."""
