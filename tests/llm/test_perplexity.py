@@ -44,8 +44,10 @@ def text(rng, letters, n):
     return "".join(rng.choice(letters) for _ in range(n))
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_probabilities_equal_the_definition_and_add_to_one(spark, order):
+@pytest.mark.parametrize(("order", "slots"), [(2, 2), (3, 21)])
+def test_probabilities_equal_the_definition_and_add_to_one(spark, monkeypatch, order, slots):
+    monkeypatch.setattr(P, "SLOT_BITS", slots)
+    monkeypatch.setattr(P, "CHARS", 150)
     rng = random.Random(order)
     trained = {"x": [text(rng, "aab b", 400) for _ in range(3)], "y": [text(rng, "cdée", 300), "c"]}
     asked = {"x": [text(rng, "abz\0", 200)], "y": ["cdzé😀"], "none": ["abc"]}

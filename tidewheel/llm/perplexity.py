@@ -16,8 +16,9 @@ from tidewheel.session import settle
 ORDER = 5
 QUANTILE = 0.99
 FOLDS = 10  # one in so many trusted documents sets thresholds and isn't trained on
-CHARS = 1 << 22  # characters handled at once
+CHARS = 1 << 18  # characters handled at once: what a processor's cache holds
 SHARD = 1 << 22  # most n-grams of one shard of probabilities: 48 MB
+SLOT_BITS = 21  # n-grams that a task remembers while it counts: at most two million
 GRID = 1000  # thresholds are exact on thousandths of a bit
 MOST_BITS = 27
 
@@ -54,9 +55,11 @@ def keyed_grams(langs: list[str], texts: list[str | None], order: int) -> Iterat
         codes = np.where(codes == 0, 0x10FFFF, codes)  # NUL would end a numpy string
         sizes = np.array([len(p) - order + 1 for _, p in held])
         start = np.arange(sizes.sum()) + np.repeat((order - 1) * np.arange(len(held)), sizes)
-        key = np.repeat(np.array([_lang_key(langs[r]) for r, _ in held], dtype=np.uint64), sizes)
-        for j in range(order):
-            key += codes[start + j].astype(np.uint64) * _U(_KEYS[j])
+        wide, ends = codes.astype(np.uint64), len(codes) - order + 1
+        sums = wide[:ends] * _U(_KEYS[0])
+        for j in range(1, order):
+            sums += wide[j:j + ends] * _U(_KEYS[j])
+        key = sums[start] + np.repeat(np.array([_lang_key(langs[r]) for r, _ in held], dtype=np.uint64), sizes)
         return np.repeat(np.array([r for r, _ in held]), sizes), _mix(key).view(np.int64), start, codes
 
     pending, size = [], 0
@@ -71,26 +74,56 @@ def keyed_grams(langs: list[str], texts: list[str | None], order: int) -> Iterat
 
 
 def grams(docs: DataFrame, order: int, counted: bool) -> DataFrame:
-    """(lang, gram, key, n): n-grams of (lang, text), with counts; or, if not `counted`, without, each once a task."""
+    """(lang, gram, key, n): n-grams of (lang, text) with their counts; or, if not `counted`, each with n 1.
+
+    A task remembers n-grams in a table of fixed size, one to a slot; those are counted there and given out once. An n-gram
+    whose slot another one holds is given out with each run's count.
+    """
     schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
+    shift = _U(64 - SLOT_BITS)
+
+    def batch_of(langs: list[np.ndarray], codes: list[np.ndarray], key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        spelled = np.ascontiguousarray(np.concatenate(codes)).astype("<u4").view(f"<U{order}").reshape(-1)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(langs), pa.string()), pa.array(spelled.tolist(), pa.string()), pa.array(key), pa.array(n)], schema=schema)
 
     def run(batches):
-        seen = np.zeros(0, dtype=np.int64)
+        held, taken = np.zeros(1 << SLOT_BITS, dtype=np.int64), np.zeros(1 << SLOT_BITS, dtype=bool)
+        counts = np.zeros(1 << SLOT_BITS if counted else 0, dtype=np.int64)
+        hits, slots_of, langs_of, codes_of = [], [], [], []
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for row, key, start, codes in keyed_grams(langs, batch.column("text").to_pylist(), order):
-                by = np.argsort(key)
+            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+            for row, key, start, codes in keyed_grams(langs.tolist(), batch.column("text").to_pylist(), order):
+                slot = (key.view(np.uint64) >> shift).astype(np.int64)
+                known = taken[slot] & (held[slot] == key)
+                if counted:
+                    hits.append(slot[known])
+                    if sum(map(len, hits)) > len(counts):
+                        counts += np.bincount(np.concatenate(hits), minlength=len(counts))
+                        hits = []
+                rest = np.flatnonzero(~known)
+                by = rest[np.argsort(key[rest])]
                 ordered = key[by]
-                first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-                kinds, n = ordered[first], np.diff(np.append(first, len(ordered)))
-                if not counted:
-                    fresh = ~np.isin(kinds, seen, assume_unique=True)
-                    seen = np.sort(np.concatenate([seen, kinds[fresh]]))
-                    first, kinds, n = first[fresh], kinds[fresh], n[fresh]
-                at = by[first]
-                spelled = np.ascontiguousarray(codes[start[at][:, None] + np.arange(order)]).astype("<u4").view(f"<U{order}").reshape(-1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(langs, dtype=object)[row[at]], pa.string()), pa.array(spelled.tolist(), pa.string()), pa.array(kinds), pa.array(n)], schema=schema)
+                first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(by) else by
+                kinds, n, at = ordered[first], np.diff(np.append(first, len(ordered))), by[first]
+                place = (kinds.view(np.uint64) >> shift).astype(np.int64)
+                # The first n-gram of each free slot takes it.
+                lead = np.zeros(len(kinds), dtype=bool)
+                lead[np.unique(place, return_index=True)[1]] = True
+                lead &= ~taken[place]
+                held[place[lead]], taken[place[lead]] = kinds[lead], True
+                out = ~lead if counted else np.ones(len(kinds), dtype=bool)
+                letters = lambda pick: codes[start[at[pick]][:, None] + np.arange(order)]
+                if counted:
+                    counts[place[lead]] += n[lead]
+                    slots_of.append(place[lead])
+                    langs_of.append(langs[row[at[lead]]])
+                    codes_of.append(letters(lead))
+                if out.any():
+                    yield batch_of([langs[row[at[out]]]], [letters(out)], kinds[out], n[out])
+        if slots_of:
+            slots = np.concatenate(slots_of)
+            counts += np.bincount(np.concatenate([slots[:0], *hits]), minlength=len(counts))
+            yield batch_of(langs_of, codes_of, held[slots], counts[slots])
 
     rows = docs.mapInArrow(run, "lang string, gram string, key long, n long").groupBy("lang", "gram", "key")
     return rows.agg(F.sum("n").alias("n")) if counted else rows.agg(F.lit(1).alias("n"))
@@ -150,25 +183,31 @@ def probabilities(top: DataFrame, wanted: DataFrame, order: int) -> DataFrame:
 
 
 def _lookup(keys: np.ndarray, bits: np.ndarray):
-    """key array -> bits, 0 for keys that aren't there: a table of buckets by the keys' high bits."""
-    order = np.argsort(keys.view(np.uint64))
-    keys, bits = keys[order], np.append(bits[order], 0.0)
+    """key array -> bits, 0 for keys that aren't there.
+
+    A table has a slot for every value of the keys' high bits, and of the keys that share one the likeliest stands
+    in it, beside its bits; the others are found in their sorted order.
+    """
     width = max(4, (4 * len(keys)).bit_length())
     shift = _U(64 - width)
-    starts = np.searchsorted(keys.view(np.uint64) >> shift, np.arange((1 << width) + 1, dtype=np.uint64)).astype(np.int32)
-    padded = np.append(keys, 0)
+    slot_of = lambda k: (k.view(np.uint64) >> shift).astype(np.int64)
+    table, beside = ~np.arange(1 << width, dtype=np.int64) << np.int64(64 - width), np.zeros(1 << width)  # keys that can't come to their slots
+    likely = np.argsort(-bits, kind="stable")  # of equal slots the last assignment stays
+    slots = slot_of(keys[likely])
+    table[slots], beside[slots] = keys[likely], bits[likely]
+    order = np.argsort(keys)
+    keys, bits = keys[order], bits[order]
 
     def find(asked: np.ndarray) -> np.ndarray:
-        slot = (asked.view(np.uint64) >> shift).astype(np.int64)
-        at, end = starts[slot], starts[slot + 1]
-        out = np.zeros(len(asked))
-        open_ = np.flatnonzero(at < end)
-        at, end, want = at[open_], end[open_], asked[open_]
-        while len(open_):
-            hit = padded[at] == want
-            out[open_[hit]] = bits[at[hit]]
-            more = ~hit & (at + 1 < end)
-            open_, at, end, want = open_[more], at[more] + 1, end[more], want[more]
+        slot = slot_of(asked)
+        out = beside[slot]
+        other = np.flatnonzero(table[slot] != asked)
+        if len(other):
+            out[other] = 0.0
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, asked[other]), len(keys) - 1)
+                hit = keys[at] == asked[other]
+                out[other[hit]] = bits[at[hit]]
         return out
 
     return find
