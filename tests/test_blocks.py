@@ -77,13 +77,12 @@ def test_islands(series):
         assert {r["i"]: r["island"] for r in runs if r["k"] == k} == want
 
 
-@pytest.mark.parametrize("small", [0, 100, 10_000])
 @pytest.mark.parametrize("kind", ["linear", "nearest"])
-def test_percentiles_by_brackets_and_by_buffer(spark, small, kind):
+def test_percentiles(spark, kind):
     rng = np.random.default_rng(3)
     data = {"wide": rng.exponential(size=3000), "ties": rng.integers(0, 5, size=2500).astype(float), "few": rng.normal(size=9)}
     df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs], "k string, v double")
-    got = {r["k"]: r for r in exact_percentiles(df, ["k"], "v", {"lo": 0.05, "mid": 0.5, "hi": 0.995}, kind=kind, small=small).collect()}
+    got = {r["k"]: r for r in exact_percentiles(df, ["k"], "v", {"lo": 0.05, "mid": 0.5, "hi": 0.995}, kind=kind).collect()}
     for k, vs in data.items():
         s = np.sort(vs)
         for name, p in (("lo", 0.05), ("mid", 0.5), ("hi", 0.995)):
@@ -91,6 +90,22 @@ def test_percentiles_by_brackets_and_by_buffer(spark, small, kind):
             assert got[k][name] == pytest.approx(want, abs=1e-12)
 
 
+def test_percentiles_without_keys_and_with_null_keys(spark):
+    rows = [(None if i % 3 == 0 else "x", float(i * 7 % 1001)) for i in range(1001)] + [("x", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    whole = exact_percentiles(df, [], "v", {"p": 0.25}).collect()
+    assert len(whole) == 1 and whole[0]["p"] == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.25))
+    got = {r["k"]: r["p"] for r in exact_percentiles(df, ["k"], "v", {"p": 0.25}).collect()}
+    assert got == {k: pytest.approx(np.quantile([v for g, v in rows if g == k and v is not None], 0.25)) for k in (None, "x")}
+    assert exact_percentiles(df.limit(0), ["k"], "v", {"p": 0.5}).count() == 0
+
+
+def test_running_sums_carry_over_null_keys(spark):
+    df = spark.createDataFrame([(None, i, 1.0) for i in range(40)], "k string, i long, v double")
+    got = {r["i"]: r["s"] for r in B.prefix(df, ["k"], {"s": ("sum", "v")}, index="i", size=8).collect()}
+    assert got == {i: i + 1.0 for i in range(40)}
+
+
 def test_asof_nearest_and_rank_across_buckets(spark):
     rng = random.Random(5)
     events = sorted(round(rng.uniform(0, 500), 3) for _ in range(60))
@@ -134,3 +149,12 @@ def test_top_k_is_whole(spark):
     rows = [("hot" if i % 3 else "cold", i % 50, i) for i in range(400)]
     want = {(k, i) for key in ("hot", "cold") for k, s, i in sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))[:4]}
     assert got == want
+
+
+def test_box_mean_keeps_equal_samples(spark):
+    from tidewheel.operators.series import box_mean
+
+    frames = spark.createDataFrame([("s", i, float(i)) for i in range(50)], "k string, frame long, v double")
+    samples = spark.createDataFrame([("s", 2.0), ("s", 2.0), ("s", 3.0)], "k string, t double")
+    got = sorted((r["t"], round(r["m"], 6)) for r in box_mean(samples, frames, ["k"], "t", "v", "m", 0.1, 10.0).collect())
+    assert got == [(2.0, 20.0), (2.0, 20.0), (3.0, 30.0)]

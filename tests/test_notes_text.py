@@ -156,6 +156,22 @@ def test_level_map_meets_its_level(spark):
     assert [l for _, l in sorted(out)] == pytest.approx(levels)
 
 
+def test_level_map_of_ties_flats_and_low_peaks(spark):
+    schema = "series_id string, section int, frame long, value double"
+    rows = [("tied", 0, i, 0.0 if i < 970 else 0.5 + i / 5000) for i in range(1000)] + [("flat", 0, i, 0.4) for i in range(9)]
+    rows += [("low", 0, i, i / 100) for i in range(101)]
+    want = [("tied", 0, 0.2, 0.6, 0.9), ("flat", 0, 0.3, 0.6, 0.9), ("low", 0, 0.3, 0.8, 0.5)]
+    got = {}
+    for r in Y.level_map(spark.createDataFrame(rows, schema), spark.createDataFrame(want, "series_id string, section int, mean double, p95 double, max double"),
+                         ["series_id", "section"], "value", "level").collect():
+        got.setdefault(r["series_id"], []).append((r["value"], r["level"]))
+    assert len(got["tied"]) == 1000 and sum(l for _, l in got["tied"]) / 1000 == pytest.approx(0.2, abs=0.002)
+    assert max(got["tied"])[1] == pytest.approx(0.9) and min(l for v, l in got["tied"] if v > 0) == pytest.approx(0.6)
+    assert {l for _, l in got["flat"]} == {0.3}
+    levels = [l for _, l in sorted(got["low"])]
+    assert levels == sorted(levels) and levels[-1] == pytest.approx(0.8)
+
+
 def test_user_program_keeps_state_between_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     df = spark.createDataFrame([("s", i, float(i)) for i in range(40)], "k string, i long, v double")

@@ -173,7 +173,14 @@ def prefix(
             joined.append(both(f"_c_{name}", f"_l_{name}").alias(name))
     inside = src.select("*", *local)
     across_blocks = src.groupBy(*keys, "_blk").agg(*totals).select(*keys, "_blk", *carry)
-    return inside.join(across_blocks, [*keys, "_blk"], "left").select(*df.columns, *joined)
+    return join_keys(inside, across_blocks, [*keys, "_blk"], "left").select(*df.columns, *joined)
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which NULL is one like any other; the left side's keys stay."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def islands(df: DataFrame, keys: Sequence[str], index: str, inside: str, out: str = "island",

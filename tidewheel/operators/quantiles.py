@@ -7,18 +7,14 @@ only counted, and the rank is then found exactly among the few values inside.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.operators.blocks import prefix
-from tidewheel.session import settle
+from tidewheel.operators.blocks import join_keys, prefix
 
 _SUB = 4096
-# Groups up to this many rows fit an aggregation buffer (about 10 MB at worst).
-SMALL_GROUP = 100_000
 
 
 def exact_percentiles(
@@ -28,47 +24,14 @@ def exact_percentiles(
     probs: Mapping[str, float],
     kind: str = "linear",
     accuracy: int = 1000,
-    small: int = SMALL_GROUP,
 ) -> DataFrame:
     """One row per group: `{name: p}` as columns, plus nothing else but the keys.
 
     kind "linear" interpolates between ranks around p*(n-1); "nearest" takes rank
-    floor(p*(n-1) + 0.5). NULL values do not take part. Groups are counted first: those of at most
-    `small` rows are ranked in their aggregation buffer, larger ones by brackets. Both are exact.
+    floor(p*(n-1) + 0.5). NULL values do not take part; NULL keys are groups. The plan is the same
+    for groups of every size, and building it runs no job.
     """
     keys = list(keys)
-    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value))
-    sizes = values.groupBy(*keys).agg(F.count("*").alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= small:
-        return _buffered(values, keys, value, probs, kind)
-    big = settle(sizes.where(F.col("_n") > small).select(*keys))
-    few = values.join(big, keys, "left_anti") if keys else values.limit(0)
-    many = values.join(big, keys, "left_semi") if keys else values
-    return _buffered(few, keys, value, probs, kind).unionByName(_bracketed(many, keys, value, probs, kind, accuracy))
-
-
-def _buffered(values: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], kind: str) -> DataFrame:
-    """Percentiles of groups whose size has been checked."""
-    if kind == "linear":
-        wanted = list(probs.values())
-        found = values.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(p) for p in wanted])).alias("_p"))
-        return found.select(*keys, *[F.col("_p")[i].alias(name) for i, name in enumerate(probs)])
-    ranked = values.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_v"))
-    at = lambda p: F.col("_v")[F.floor(F.lit(p) * (F.size("_v") - 1) + 0.5).cast("int")]
-    return ranked.select(*keys, *[at(p).alias(name) for name, p in probs.items()])
-
-
-def _bracketed(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    kind: str = "linear",
-    accuracy: int = 1000,
-) -> DataFrame:
-    """Percentiles of groups of any size; see exact_percentiles()."""
-    keys = list(keys)
     slack = 4.0 / accuracy
     wanted = sorted(set(probs.values()))
     edges = [e for p in wanted for e in (max(0.0, p - slack), min(1.0, p + slack))]
@@ -97,14 +60,16 @@ def _bracketed(
         inside = F.when(here, F.when(v >= lo, v)).otherwise(inside)
         sub = F.when(here & (v >= lo), F.lit(1) + F.floor(
             F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(0.0) * _SUB)).otherwise(sub)
+    # Without keys the brackets are one row.
+    placed = join_keys(values, brackets, keys) if keys else values.crossJoin(F.broadcast(brackets))
     counted = (
-        values.join(brackets, keys)
+        placed
         .withColumn("_slot", slot)
         .withColumn("_sub", (F.col("_slot") * (_SUB + 4) + sub).cast("bigint"))
         .withColumn("_val", inside)
         .groupBy(*keys, "_slot", "_sub", "_val").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
     )
-    ranked = prefix(settle(counted), keys, {"_cum": ("sum", "_c")}, order=["_slot", "_sub", "_val"], block=F.col("_sub"))
+    ranked = prefix(counted, keys, {"_cum": ("sum", "_c")}, order=["_slot", "_sub", "_val"], block=F.col("_sub"))
 
     def at(rank):
         return F.max(F.when((rank >= F.col("_cum") - F.col("_c")) & (rank < F.col("_cum")), F.col("_val")))
@@ -132,8 +97,3 @@ def _bracketed(
 
 def median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
     return exact_percentiles(df, keys, value, {out: 0.5})
-
-
-def tile_edges(rows: int, tiles: int) -> list[int]:
-    """Start index of each of `tiles` equal-count tiles over `rows` rows, and the end."""
-    return [math.floor(rows * k / tiles) for k in range(tiles + 1)]

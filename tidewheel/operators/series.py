@@ -271,12 +271,14 @@ def box_mean(samples: DataFrame, frames: DataFrame, keys: Sequence[str], t: str,
     from tidewheel.operators.joins import sample_linear
 
     count = math.floor((2 * width + 1e-9) / step) + 1
-    numbered = samples.withColumn("_row", F.struct(*samples.columns))
+    # Equal samples are read once and given back as often as they came.
+    numbered = samples.groupBy(*samples.columns).agg(F.count("*").alias("_copies")).withColumn("_row", F.struct(*samples.columns, "_copies"))
     spread = numbered.select(*keys, "_row", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("_k"),
                              F.col(t).alias("_t")).withColumn(
         "_pos", (F.col("_t") - width + F.col("_k") * step) * fps)
     read = sample_linear(spread, frames, keys, "_pos", value, "_v")
-    return read.groupBy("_row").agg(F.avg("_v").alias(out)).select("_row.*", out)
+    means = read.groupBy("_row").agg(F.avg("_v").alias(out))
+    return means.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_row._copies").cast("int")))).select("_row.*", out).drop("_copies")
 
 
 # ---- vectors

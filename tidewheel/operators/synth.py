@@ -4,19 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel import constants as C
 from tidewheel.functions import scalar as S
 from tidewheel.operators.aggregates import section_distribution
-from tidewheel.operators.events import additive_hits
-from tidewheel.operators.joins import spread_index
+from tidewheel.operators.blocks import join_keys
 from tidewheel.operators.quantiles import exact_percentiles
-from tidewheel.operators.series import glide, rising
-from tidewheel.session import settle
 
 TWIN_STEP = 0.05
 
@@ -35,56 +29,55 @@ def default_peaks(mean: Column) -> tuple[Column, Column]:
     return p95, p95 + 0.75 * (1 - p95) * F.least(F.lit(1.0), m / 0.05)
 
 
+# The body's exponent is bracketed by powers of two up to 2**DOUBLINGS, and then by STEPS steps between two of them.
+DOUBLINGS, STEPS = 9, 32
+
+
 def level_map(frames: DataFrame, levels: DataFrame, keys: Sequence[str], value: str, out: str, ceiling: float = 1.0) -> DataFrame:
     """Carry each section's values onto its [mean, p95, max], keeping their order.
 
     The top 5 % rise in a line from p95 to max, the rest from a floor that makes the section average
-    its mean, bent into a power where even a zero floor is too loud. The power is solved per section
-    on 512 evenly spaced ranks.
+    its mean, bent into a power where even a zero floor is too loud. Where 95 % tie at the lowest value,
+    those are the body and all others the top. max is held at p95 or above; a flat section is its mean. The
+    power's effect on the mean is summed over all values for a ladder of exponents, then for a finer one
+    between the two that enclose the wanted mean, so no section is gathered.
     """
-    keys = list(keys)
-    edges = exact_percentiles(frames, keys, value, {"_r95": 0.95}, kind="nearest")
-    spread = frames.groupBy(*keys).agg(F.min(value).alias("_r0"), F.max(value).alias("_r1"), F.count("*").alias("_n"))
-    placed = frames.join(settle(edges.join(spread, keys)), keys)
-    body = F.col(value) < F.col("_r95")
-    span = F.nullif(F.col("_r95") - F.col("_r0"), F.lit(0.0))
-    u = F.when(body, (F.col(value) - F.col("_r0")) / span)
-    top_rise = F.when(F.col("_r1") > F.col("_r95"), (F.col(value) - F.col("_r95")) / F.nullif(F.col("_r1") - F.col("_r95"), F.lit(0.0))).otherwise(1.0)
-    # The body's shape as a 512-step histogram of its normalised values: enough for its mean power.
-    shaped = placed.withColumn("_u", u).withColumn("_bin", F.floor(F.col("_u") * 511.999).cast("int"))
-    counts = shaped.where(F.col("_bin").isNotNull()).groupBy(*keys, "_bin").agg(F.count("*").alias("c"), F.avg("_u").alias("m"))
-    packed = counts.groupBy(*keys).agg(F.collect_list(F.struct("m", "c")).alias("_shape"))
-    tops = shaped.groupBy(*keys).agg(F.sum(F.when(~body, top_rise)).alias("_ts"), F.count(F.when(~body, 1)).alias("_tn"), F.count(F.when(body, 1)).alias("_nb"))
-    lv = levels.select(*keys, *[S.clamp(F.col(c), 0.0, ceiling).alias(f"_{c}") for c in ("mean", "p95", "max")])
-    solve = settle(packed.join(tops, keys).join(lv, keys))
-
-    @F.pandas_udf("struct<floor:double,power:double>")
-    def fit(shape: pd.Series, want: pd.Series, top: pd.Series) -> pd.DataFrame:
-        rows = []
-        for s, w, p in zip(shape, want, top):
-            m = np.array([x["m"] for x in s])
-            share = np.array([x["c"] for x in s], dtype=np.float64)
-            share /= share.sum()
-            ub = float(m @ share)
-            floor = (w - p * ub) / (1 - ub) if ub < 1 else p
-            power = 1.0
-            if floor < 0:
-                floor, lo, hi = 0.0, 1.0, 2.0
-                mean = lambda e: p * float(np.power(m, e) @ share)
-                while mean(hi) > w and hi < 512:
-                    lo, hi = hi, 2 * hi
-                for _ in range(24):
-                    half = 0.5 * (lo + hi)
-                    lo, hi = (half, hi) if mean(half) > w else (lo, half)
-                power = 0.5 * (lo + hi)
-            rows.append((min(floor, p), power))
-        return pd.DataFrame(rows, columns=["floor", "power"])
-
-    want = (F.col("_mean") * (F.col("_nb") + F.col("_tn")) - (F.col("_p95") * F.col("_tn") + (F.col("_max") - F.col("_p95")) * F.col("_ts"))) / F.greatest(F.col("_nb"), F.lit(1))
-    maps = solve.select(*keys, "_mean", "_p95", "_max", fit("_shape", want, "_p95").alias("_fit"))
-    joined = shaped.join(maps, keys, "left")
-    low = F.col("_fit.floor") + (F.col("_p95") - F.col("_fit.floor")) * F.pow(F.greatest(F.col("_u"), F.lit(0.0)), F.col("_fit.power"))
-    high = F.col("_p95") + (F.col("_max") - F.col("_p95")) * top_rise
-    mapped = F.when(body, low).otherwise(high)
-    missing = levels.select(*keys, F.col("mean").alias("_flat"))
-    return joined.join(missing, keys, "left").select(*frames.columns, S.clamp(F.coalesce(mapped, F.col("_flat")), 0.0, ceiling).alias(out))
+    keys, v = list(keys), F.col(value)
+    held = lambda c: S.clamp(F.col(c), 0.0, ceiling)
+    wanted = levels.select(*keys, held("mean").alias("_m"), held("p95").alias("_p"), F.greatest(held("p95"), held("max")).alias("_x"))
+    ends = frames.groupBy(*keys).agg(F.min(value).alias("_r0"), F.max(value).alias("_r1"))
+    edges = join_keys(exact_percentiles(frames, keys, value, {"_r95": 0.95}, kind="nearest"), ends, keys)
+    above = join_keys(frames.select(*keys, value), ends, keys).where(v > F.col("_r0")).groupBy(*keys).agg(F.min(value).alias("_next"))
+    tied = F.col("_r95") <= F.col("_r0")
+    shape = join_keys(join_keys(edges, above, keys, "left"), wanted, keys, "left").withColumn("_tied", tied).withColumn(
+        "_cut", F.when(tied, F.col("_next")).otherwise(F.col("_r95")))
+    rows = join_keys(frames, shape, keys)
+    body = v < F.col("_cut")
+    u = F.when(body, (v - F.col("_r0")) / F.nullif(F.col("_cut") - F.col("_r0"), F.lit(0.0)))
+    rise = F.when(~body, F.when(F.col("_r1") > F.col("_cut"), (v - F.col("_cut")) / F.nullif(F.col("_r1") - F.col("_cut"), F.lit(0.0)))
+                  .otherwise(F.when(F.col("_tied"), 0.0).otherwise(1.0)))
+    rows = rows.withColumn("_u", u).withColumn("_rise", rise)
+    nb, nt = F.count("_u").alias("_nb"), F.count("_rise").alias("_nt")
+    ladder = F.array(*[F.coalesce(F.avg(F.pow("_u", F.lit(2.0**k))), F.lit(0.0)) for k in range(DOUBLINGS + 1)]).alias("_means")
+    sums = join_keys(rows.groupBy(*keys).agg(nb, nt, F.sum("_rise").alias("_rises"), ladder), shape, keys)
+    m, p, x = F.col("_m"), F.col("_p"), F.col("_x")
+    top = F.when(F.col("_tied"), F.col("_nt") * (p + x) / 2).otherwise(p * F.col("_nt") + (x - p) * F.coalesce("_rises", F.lit(0.0)))
+    want = (m * (F.col("_nb") + F.col("_nt")) - top) / F.greatest(F.col("_nb"), F.lit(1))
+    plain = F.col("_means")[0]
+    floor = F.when(F.col("_tied"), want).otherwise(F.when(plain < 1, (want - p * plain) / F.nullif(1 - plain, F.lit(0.0))).otherwise(p))
+    low = F.size(F.filter(F.slice("_means", 2, DOUBLINGS), lambda mean: mean * p > want))
+    fits = sums.select(*keys, want.alias("_want"), S.clamp(floor, 0.0, p).alias("_floor"),
+                       F.when(~F.col("_tied") & (floor < 0), F.least(low, F.lit(DOUBLINGS - 1))).alias("_low"), p.alias("_p"))
+    bent = join_keys(rows.select(*keys, "_u"), fits.where(F.col("_low").isNotNull()), keys)
+    exponent = lambda j: F.pow(F.lit(2.0), F.col("_low") + j / STEPS)
+    finer = F.array(*[F.avg(F.pow("_u", exponent(F.lit(float(j))))) for j in range(STEPS + 1)]).alias("_fine")
+    curves = bent.groupBy(*keys, "_low", "_want", "_p").agg(finer)
+    at = F.least(F.size(F.filter("_fine", lambda mean: mean * F.col("_p") > F.col("_want"))), F.lit(STEPS))
+    # Between the two exponents that enclose the mean, in a line; beyond the last, the last.
+    before, after = F.element_at("_fine", F.greatest(at, F.lit(1))) * F.col("_p"), F.element_at("_fine", at + 1) * F.col("_p")
+    part = F.when(at > 0, S.clamp((before - F.col("_want")) / F.nullif(before - after, F.lit(0.0)))).otherwise(1.0)
+    powers = curves.select(*keys, exponent(at - 1 + F.coalesce(part, F.lit(1.0))).alias("_power"))
+    solved = join_keys(join_keys(rows, fits.select(*keys, "_floor"), keys), powers, keys, "left")
+    carried = F.col("_floor") + (p - F.col("_floor")) * F.pow(F.greatest(F.col("_u"), F.lit(0.0)), F.coalesce("_power", F.lit(1.0)))
+    mapped = F.when(F.col("_r1") - F.col("_r0") <= 1e-12, m).when(F.col("_u").isNotNull(), carried).otherwise(p + (x - p) * F.col("_rise"))
+    return solved.select(*[F.col(c) for c in frames.columns], S.clamp(mapped, 0.0, ceiling).alias(out))

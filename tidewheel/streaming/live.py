@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,23 +135,26 @@ class DelayedFrame(StatefulProcessor):
 
 
 class LoopHits(StatefulProcessor):
-    """Hits of a looped track in loop time; a new loop drops the hits of earlier ones."""
+    """Hits of a looped track in loop time, each once; hits of a loop before the newest one heard are dropped."""
 
     def __init__(self, loop_s: float):
         self.loop = loop_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.hits = handle.getListState("hits", "t double, strength double")
+        self.newest = handle.getValueState("newest", "loop long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("t")
-        kept = [(float(t), float(s)) for t, s in self.hits.get()] if self.hits.exists() else []
-        kept += [(float(t), float(s)) for t, s in zip(batch["t"], batch["strength"])]
-        current = math.floor(max(t for t, _ in kept) / self.loop) * self.loop
-        kept = [h for h in kept if h[0] >= current - 1e-6]
-        self.hits.put(kept)
-        yield pd.DataFrame([(key[0], t - current, s, int(round(current / self.loop))) for t, s in kept],
-                           columns=["series_id", "t", "strength", "loop"])
+        newest = self.newest.get()[0] if self.newest.exists() else None
+        for batch in rows:
+            loops = np.floor((batch["t"] + 1e-6) / self.loop).astype("int64")
+            # The newest loop heard before each hit, in time order within the batch.
+            order = batch["t"].argsort(kind="stable")
+            batch, loops = batch.iloc[order], loops.iloc[order]
+            kept = loops >= (loops.iloc[0] if newest is None else newest)
+            newest = int(loops.max()) if newest is None else max(newest, int(loops.max()))
+            yield pd.DataFrame({"series_id": key[0], "t": (batch["t"] - loops * self.loop)[kept], "strength": batch["strength"][kept], "loop": loops[kept]})
+        if newest is not None:
+            self.newest.update((newest,))
 
     def close(self) -> None:
         pass
