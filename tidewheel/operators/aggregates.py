@@ -115,11 +115,6 @@ def _median_slope(x: np.ndarray, y: np.ndarray) -> float:
     total = n * (n - 1) // 2 - int(np.sum(same * (same - 1) // 2))
     if total == 0:
         return 0.0
-    if n <= 1024:
-        i, j = np.triu_indices(n, k=1)
-        dx = x[j] - x[i]
-        keep = dx != 0
-        return float(np.median((y[j] - y[i])[keep] / dx[keep]))
     group = np.searchsorted(x, x)
 
     def at_most(s: float) -> int:

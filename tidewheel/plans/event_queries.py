@@ -89,9 +89,12 @@ def event_envelope(spark, sf):
 
 
 @query("additive_hits", f"""WITH {TIMED}, h AS (SELECT user_id, CAST(floor(t / 3600 + 0.5) AS BIGINT) AS i0, value / 711.3 AS s FROM er), k AS (SELECT user_id, i0 + k AS frame, s * CASE WHEN k < 2 THEN 1.0 ELSE exp(-(k - 2) / 3.0) END AS v, CASE WHEN k < 2 THEN 1.0 ELSE exp(-(k - 2) / 3.0) END AS e FROM h, range(0, 30) r(k))
-SELECT user_id, frame, round(sum(v), 6) AS level FROM k WHERE e >= 1e-3 AND frame >= 0 AND frame < 720 GROUP BY 1, 2""")
+SELECT user_id, frame, round(sum(v), 6) AS level FROM k WHERE e >= 1e-3 AND frame >= 0 GROUP BY 1, 2""")
 def additive_hits(spark, sf):
-    hits = timed(spark, sf, "error").select("user_id", (F.col("t") / 3600).alias("t"), (F.col("value") / 711.3).alias("s"), F.lit(720).alias("frames"))
+    hits = timed(spark, sf, "error").select("user_id", (F.col("t") / 3600).alias("t"), (F.col("value") / 711.3).alias("s"))
+    # Each user's series lasts until its last hit has rung out: 2 frames held, then 3 ln 1000 more.
+    ends = hits.groupBy("user_id").agg((F.floor(F.max("t") + 0.5) + 24).cast("int").alias("frames"))
+    hits = hits.join(ends, "user_id")
     return E.additive_hits(hits, USER, "t", "s", "frames", fps=1.0, hold=2.0, decay=3.0).select("user_id", "frame", *r6("level"))
 
 
@@ -220,7 +223,7 @@ def round_robin(spark, sf):
 
 # ---- edit plans
 FPS = 24
-_SONGS = """sections AS (SELECT series_id, k AS section, k * 22.2 AS s, (k + 1) * 22.2 AS e, ['every_2_beats', 'every_beat', 'static', 'every_bar'][1 + (k + series_id) % 4] AS density FROM (SELECT DISTINCT series_id FROM weekly), range(0, 6) r(k)),
+_SONGS = """sections AS (SELECT series_id, k AS section, k * 22.2 AS s, (k + 1) * 22.2 AS e, ['every_2_beats', 'every_beat', 'static', 'every_bar'][1 + (k + series_id) % 4] AS density FROM (SELECT series_id, unnest(range(0, CAST(floor(max(frame) * 0.37 / 22.2) AS BIGINT) + 1)) AS k FROM weekly GROUP BY series_id)),
 beats AS (SELECT series_id, frame * 0.37 AS t FROM weekly WHERE n >= 2)"""
 _CUTS = """pts AS (SELECT DISTINCT series_id, section, t, e, dv FROM (
    SELECT x.series_id, x.section, b.t, x.e, dv FROM sx x JOIN beats b ON b.series_id = x.series_id AND b.t >= x.s AND b.t <= x.e WHERE dv > 0
@@ -233,10 +236,10 @@ CUTS = WEEKLY + "," + _SONGS + ", sx AS (SELECT *, CASE density WHEN 'every_beat
 
 def songs(spark, sf):
     levels = weekly_levels(spark, sf)
-    ids = levels.select("series_id").distinct()
+    ids = levels.groupBy("series_id").agg(F.floor(F.max("frame") * 0.37 / 22.2).cast("bigint").alias("last"))
     density = F.element_at(F.array(*[F.lit(d) for d in ("every_2_beats", "every_beat", "static", "every_bar")]),
                            (1 + (F.col("section") + F.col("series_id")) % 4).cast("int"))
-    sections = ids.withColumn("section", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint")))).select(
+    sections = ids.withColumn("section", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last")))).select(
         "series_id", "section", (F.col("section") * 22.2).alias("start"), ((F.col("section") + 1) * 22.2).alias("end"),
         density.alias("cut_density"), F.lit(120.0).alias("bpm"),
         F.array(*[F.lit(e) for e in ("grain", "kaleidoscope", "freeze_on_peak", "strobe")]).alias("effects"),
@@ -299,10 +302,10 @@ def propose_sections(spark, sf):
     return X.sections_of(X.propose_sections(span, quiet, jumps, SERIES), SERIES).select("series_id", "section", "start", "end")
 
 
-@query("auto_style", f"""WITH {WEEKLY}, m AS (SELECT series_id, frame // 60 AS section, avg(value) AS v FROM weekly WHERE frame < 360 GROUP BY 1, 2)
+@query("auto_style", f"""WITH {WEEKLY}, m AS (SELECT series_id, frame // 60 AS section, avg(value) AS v FROM weekly GROUP BY 1, 2)
 SELECT series_id, CAST(section AS BIGINT) AS section, CASE WHEN round(v, 9) < 0.6 THEN 'every_2_beats' ELSE 'every_beat' END AS cut_density, CASE WHEN round(v, 9) < 0.6 THEN 'grain,vignette' ELSE 'grain,strobe,vignette' END AS effects FROM m""")
 def auto_style(spark, sf):
-    loud = weekly(spark, sf).where("frame < 360").groupBy("series_id", F.floor(F.col("frame") / 60).cast("bigint").alias("section")).agg(
+    loud = weekly(spark, sf).groupBy("series_id", F.floor(F.col("frame") / 60).cast("bigint").alias("section")).agg(
         F.round(F.avg("value"), 9).alias("loudness"))
     return X.auto_style(loud, "loudness").select("series_id", "section", "cut_density", F.array_join("effects", ",").alias("effects"))
 

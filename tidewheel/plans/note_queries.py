@@ -114,7 +114,8 @@ def session_grid(spark, sf):
     meters = settle(c.select(F.col("c_nationkey").alias("song"), (k * 7).cast("double").alias("q"), (2 + k % 4).cast("int").alias("num"),
                              (4 * (1 + k % 2)).cast("int").alias("den")).withColumn("pulse", 4.0 / F.col("den")))
     tempos = settle(G.tempo_map(c.select(F.col("c_nationkey").alias("song"), (k * 960).alias("tick"), (400000 + k % 7 * 50000).alias("us")), ["song"], "tick", "us", 480.0))
-    songs = meters.select("song").distinct().withColumn("offset", F.lit(-1.0)).withColumn("dur", F.lit(120.0)).withColumn("downbeat", F.lit(None).cast("double"))
+    # A song lasts until a little after its last change of tempo.
+    songs = tempos.groupBy("song").agg((F.max("seconds") + 5.0).alias("dur")).withColumn("offset", F.lit(-1.0)).withColumn("downbeat", F.lit(None).cast("double"))
     return G.session_grid(meters, tempos, settle(songs), ["song"])["beats"].select("song", "bar", F.round("t", 6).alias("t"))
 
 
@@ -222,11 +223,13 @@ FOLD_BPM = (6.07, 7.51, 9.13)
 @query("fold_search", f"""WITH {WEEKLY_FLUX}, c AS (SELECT series_id, count(*) AS cnt FROM weekly_flux GROUP BY 1),
 x AS (SELECT series_id, b.bpm, 60.0 / b.bpm AS period, greatest(1, round_even(60.0 / b.bpm, 0)) AS nb, frame, flux FROM weekly_flux, (SELECT CAST(unnest([6.07, 7.51, 9.13]) AS DOUBLE) AS bpm) b WHERE flux > 0),
 f AS (SELECT series_id, bpm, CAST(least(CAST(floor((frame - period * floor(frame / period)) * (nb / period)) AS BIGINT), nb - 1) AS INTEGER) AS bin, nb, sum(flux) AS w FROM x GROUP BY ALL)
-SELECT series_id, bpm, bin, round(w * nb / cnt, 6) AS score FROM f JOIN c USING (series_id)""")
+SELECT g.series_id, g.bpm, CAST(g.bin AS INTEGER) AS bin, round(coalesce(f.w, 0.0) * g.nb / cnt, 6) AS score
+FROM (SELECT series_id, cnt, b.bpm, CAST(greatest(1, round_even(60.0 / b.bpm, 0)) AS BIGINT) AS nb, unnest(range(0, CAST(greatest(1, round_even(60.0 / b.bpm, 0)) AS BIGINT))) AS bin FROM c, (SELECT CAST(unnest([6.07, 7.51, 9.13]) AS DOUBLE) AS bpm) b) g
+LEFT JOIN f ON f.series_id = g.series_id AND f.bpm = g.bpm AND f.bin = g.bin""")
 def fold_search(spark, sf):
     onsets = settle(weekly_flux(spark, sf))
     tempos = onsets.select("series_id").distinct().withColumn("bpm", F.explode(F.array(*[F.lit(b) for b in FOLD_BPM])))
-    return G.fold_search(onsets, tempos, SERIES, "flux", fps=1.0).where("score > 0").select(
+    return G.fold_search(onsets, tempos, SERIES, "flux", fps=1.0).select(
         "series_id", "bpm", "bin", F.round("score", 6).alias("score"))
 
 
@@ -257,7 +260,8 @@ def grid_findings(spark, sf):
 
     flux = settle(weekly_flux(spark, sf))
     tempos = settle(G.estimate_tempo(flux, SERIES, "flux", fps=1.0, lo=4.0, hi=12.0))
-    beats = settle(G.beat_rows(tempos, SERIES, F.col("beat0"), F.col("period"), F.lit(350.0)).withColumn("bar", F.floor(F.col("idx") / 4).cast("bigint") + 1))
+    lengths = flux.groupBy("series_id").agg((F.max("frame") + 1).cast("double").alias("n"))
+    beats = settle(G.beat_rows(tempos.join(lengths, "series_id"), SERIES, F.col("beat0"), F.col("period"), F.col("n")).withColumn("bar", F.floor(F.col("idx") / 4).cast("bigint") + 1))
     fits = settle(G.grid_fit(flux, beats, SERIES, "flux", 4, fps=1.0))
     near = settle(O.near_event_max(flux, beats, SERIES, "flux", "t", "near", fps=1.0))
     return G.grid_findings(tempos, fits, beat_of_bar_evidence(near, SERIES, ["near"]), SERIES, 4.0, 12.0)

@@ -193,12 +193,13 @@ def next_setting(spark, sf):
     return R.next_setting(rounds, settings, ["l_orderkey"]).withColumn("worst_peak", F.round("worst_peak", 6))
 
 
-@query("edge_levels", f"""WITH {WEEKLY}, c AS (SELECT DISTINCT series_id, k AS cut, k * 40.0 AS s, k * 40.0 + 38.0 AS e, k % 2 AS fi, series_id % 2 AS fo FROM weekly, range(0, 8) r(k)),
+@query("edge_levels", f"""WITH {WEEKLY}, c AS (SELECT DISTINCT series_id, k AS cut, k * 40.0 AS s, k * 40.0 + 38.0 AS e, k % 2 AS fi, series_id % 2 AS fo FROM (SELECT series_id, unnest(range(0, CAST(max(frame) AS BIGINT) // 40 + 1)) AS k FROM weekly GROUP BY series_id)),
 ed AS (SELECT series_id, cut, 'start' AS edge, s AS a FROM c WHERE fi = 0 UNION ALL SELECT series_id, cut, 'end', e - 2.0 FROM c WHERE fo = 0)
 SELECT ed.series_id, cut, edge, round(max(rmsdb - 3.0), 6) AS level FROM ed JOIN weekly w ON w.series_id = ed.series_id AND t >= a AND t < a + 2.0 GROUP BY 1, 2, 3 HAVING max(rmsdb - 3.0) > -60""")
 def edge_levels(spark, sf):
     levels = weekly_levels(spark, sf)
-    cuts = levels.select("series_id").distinct().withColumn("cut", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint")))).select(
+    ends = levels.groupBy("series_id").agg(F.floor(F.max("frame") / 40).cast("bigint").alias("last"))
+    cuts = ends.withColumn("cut", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last")))).select(
         "series_id", "cut", (F.col("cut") * 40.0).alias("start"), (F.col("cut") * 40.0 + 38.0).alias("end"),
         (F.col("cut") % 2).alias("fade_in"), (F.col("series_id") % 2).alias("fade_out"), F.lit(-3.0).alias("gain_db"))
     return R.edge_levels(levels, cuts, SERIES, "t", "rmsdb", width=2.0).withColumn("level", F.round("level", 6))
@@ -308,12 +309,12 @@ def persian_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.persian(arabic, ("يك Band",)).alias("text"))
 
 
-@query("slug_unique")
+@query("slug_unique", """WITH s AS (SELECT p_partkey, p_brand, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part)
+SELECT p_partkey, p_brand, slug, CASE WHEN row_number() OVER w = 1 THEN slug ELSE slug || '-' || row_number() OVER w END AS "unique" FROM s WINDOW w AS (PARTITION BY p_brand, slug ORDER BY p_partkey)""")
 def slug_unique(spark, sf):
-    """First words of every document as unique keys within its language."""
-    titles = table(spark, sf, "documents").select("doc_id", "lang", F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("title"))
-    keyed = settle(titles.select("doc_id", "lang", X.slug(F.col("title")).alias("slug")))
-    return X.unique_suffixes(keyed, ["lang"], "slug", "doc_id", "unique").select("doc_id", "lang", "slug", "unique")
+    """Every part's whole name as a unique key within its brand."""
+    keyed = settle(table(spark, sf, "part").select("p_partkey", "p_brand", X.slug(F.col("p_name")).alias("slug")))
+    return X.unique_suffixes(keyed, ["p_brand"], "slug", "p_partkey", "unique").select("p_partkey", "p_brand", "slug", "unique")
 
 
 def _leak_sql() -> str:
@@ -371,12 +372,12 @@ def pack_round_trip(spark, sf):
     return K.pack_frames(docs, ("rms", "rmsdb")).select("series_id", "frame", "rmsdb", "rms")
 
 
-@query("twin_spec", f"""WITH {WEEKLY}, x AS (SELECT series_id, frame // 120 AS section, value AS v, row_number() OVER (PARTITION BY series_id, frame // 120 ORDER BY value) AS rn, count(*) OVER (PARTITION BY series_id, frame // 120) AS n FROM weekly WHERE frame < 360 AND frame % 120 < 117)
+@query("twin_spec", f"""WITH {WEEKLY}, x AS (SELECT series_id, frame // 120 AS section, value AS v, row_number() OVER (PARTITION BY series_id, frame // 120 ORDER BY value) AS rn, count(*) OVER (PARTITION BY series_id, frame // 120) AS n FROM weekly WHERE frame % 120 < 117)
 SELECT series_id, CAST(section AS BIGINT) AS section, round(floor(round(avg(v), 9) / 0.05 + 0.5) * 0.05, 2) AS mean, round(floor(round(max(CASE WHEN rn = floor(0.95 * (n - 1) + 0.5) + 1 THEN v END), 9) / 0.05 + 0.5) * 0.05, 2) AS p95, round(floor(round(max(v), 9) / 0.05 + 0.5) * 0.05, 2) AS max FROM x GROUP BY 1, 2""")
 def twin_spec(spark, sf):
     """A coarse twin of each series: per section [mean, p95, max], its last frames left out."""
     from tidewheel.operators.synth import twin_levels
 
-    levels = weekly_levels(spark, sf).where("frame < 360").withColumn("section", F.floor(F.col("frame") / 120).cast("bigint"))
+    levels = weekly_levels(spark, sf).withColumn("section", F.floor(F.col("frame") / 120).cast("bigint"))
     inner = levels.where(F.col("frame") % 120 < 117).withColumn("value", F.round("value", 9))
     return twin_levels(inner, ["series_id", "section"], "value")

@@ -182,12 +182,13 @@ def stride_rows(spark, sf):
     return O.stride_rows(weekly(spark, sf), SERIES, 100).select("series_id", "frame", *r6("value"))
 
 
-_SECTIONS = "sections AS (SELECT series_id, k AS section, k * 60.0 AS s, (k + 1) * 60.0 AS e FROM (SELECT DISTINCT series_id FROM weekly), range(0, 7) r(k))"
+_SECTIONS = "sections AS (SELECT series_id, k AS section, k * 60.0 AS s, (k + 1) * 60.0 AS e FROM (SELECT series_id, unnest(range(0, CAST(max(frame) AS BIGINT) // 60 + 1)) AS k FROM weekly GROUP BY series_id))"
 
 
 def fixed_sections(spark, sf):
-    ids = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("series_id")).distinct()
-    return ids.select("series_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(6).cast("bigint"))).alias("section")).select(
+    """Sections of 60 weeks from the start of each series to its end."""
+    last = weekly_levels(spark, sf).groupBy("series_id").agg(F.floor(F.max("frame") / 60).cast("bigint").alias("last"))
+    return last.select("series_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("section")).select(
         "series_id", "section", (F.col("section") * 60.0).alias("start"), ((F.col("section") + 1) * 60.0).alias("end"))
 
 
