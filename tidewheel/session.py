@@ -69,15 +69,30 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, "settled")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # at exit the session may be gone already
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*settled: DataFrame) -> None:
+    """Delete settled tables that nothing will read again; other DataFrames are left alone."""
+    for df in settled:
+        path = getattr(df, "_settled_path", None)
+        if path is not None:
+            _delete(df.sparkSession, path)
+            _SETTLED[:] = [held for held in _SETTLED if held[1] != path]
 
 
 def release() -> None:
     """Drop the folders this process wrote, on any file system; results built on them become unreadable."""
     for spark, path in _SETTLED:
-        with contextlib.suppress(Exception):  # at exit the session may be gone already
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, path)
     _SETTLED.clear()
 
 
