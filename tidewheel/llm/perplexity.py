@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.session import settle
+from tidewheel.session import discard, settle
 
 ORDER = 5
 QUANTILE = 0.99
 FOLDS = 10  # one in so many trusted documents sets thresholds and isn't trained on
 CHARS = 1 << 18  # characters handled at once: what a processor's cache holds
 SHARD = 1 << 22  # most n-grams of one shard of probabilities: 48 MB
-SLOT_BITS = 21  # n-grams that a task remembers while it counts: at most two million
+SLOT_BITS = 22  # n-grams that a task remembers while it counts: at most four million
 GRID = 1000  # thresholds are exact on thousandths of a bit
 MOST_BITS = 27
 
@@ -73,12 +73,14 @@ def keyed_grams(langs: list[str], texts: list[str | None], order: int) -> Iterat
         yield run(pending)
 
 
-def grams(docs: DataFrame, order: int, counted: bool) -> DataFrame:
+def grams(docs: DataFrame, order: int, counted: bool, skip: np.ndarray | None = None) -> DataFrame:
     """(lang, gram, key, n): n-grams of (lang, text) with their counts; or, if not `counted`, each with n 1.
 
     A task remembers n-grams in a table of fixed size, one to a slot; those are counted there and given out once. An n-gram
-    whose slot another one holds is given out with each run's count.
+    whose slot another one holds is given out with each run's count. Without counts, most n-grams whose keys are in
+    `skip` are left out.
     """
+    passed = None if skip is None else docs.sparkSession.sparkContext.broadcast(skip)
     schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
     shift = _U(64 - SLOT_BITS)
 
@@ -89,6 +91,9 @@ def grams(docs: DataFrame, order: int, counted: bool) -> DataFrame:
     def run(batches):
         held, taken = np.zeros(1 << SLOT_BITS, dtype=np.int64), np.zeros(1 << SLOT_BITS, dtype=bool)
         counts = np.zeros(1 << SLOT_BITS if counted else 0, dtype=np.int64)
+        if passed is not None:
+            place = (passed.value.view(np.uint64) >> shift).astype(np.int64)
+            held[place], taken[place] = passed.value, True
         hits, slots_of, langs_of, codes_of = [], [], [], []
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
@@ -131,7 +136,7 @@ def grams(docs: DataFrame, order: int, counted: bool) -> DataFrame:
 
 def _orders(top: DataFrame, order: int) -> list[DataFrame]:
     """(lang, gram, n) of each order from 1 up: raw counts at the top, and below it how many letters each n-gram follows."""
-    out = [settle(top.select("lang", "gram", "n"))]
+    out = [top.select("lang", "gram", "n")]
     for _ in range(order - 1):
         out.insert(0, settle(out[0].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))))
     return out
@@ -172,13 +177,14 @@ def probabilities(top: DataFrame, wanted: DataFrame, order: int) -> DataFrame:
         context = F.expr(f"substring(gram, 1, {size - 1})")
         contexts = known.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
         seen = known.select("lang", "gram", (F.col("n") - F.col("d")).alias("held"))
-        below = lower if size == 1 else lower.withColumnRenamed("gram", "suffix")
+        below = lower
         joined = grams_asked.withColumn("context", context).withColumn("suffix", F.expr("substring(gram, 2)"))
         joined = joined.join(seen, ["lang", "gram"], "left").join(contexts, ["lang", "context"], "left")
-        joined = joined.join(below, ["lang", "gram" if size == 1 else "suffix"])
+        joined = joined.join(below if size == 1 else below.withColumnRenamed("gram", "suffix"), ["lang", "gram" if size == 1 else "suffix"])
         p = F.when(F.col("total").isNull(), F.col("p")).otherwise(
             (F.coalesce("held", F.lit(0.0)) + F.col("left") * F.col("p")) / F.col("total"))
         lower = settle(joined.select("lang", "gram", p.alias("p")))
+        discard(below, grams_asked)
     return wanted.join(lower, ["lang", "gram"]).select("key", (-F.log2("p")).alias("bits"))
 
 
@@ -274,9 +280,14 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
                .where("q = 1 AND t = 0 AND unknown = 0").select("id", (F.pmod(F.xxhash64("id"), F.lit(FOLDS)) == 0).alias("held_out")))
     plain = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.col(text_col).alias("text"))
     known = settle(_near_ids(plain.where(F.length("text") > 0), settle(trusted)).select("lang", "text", "held_out"))
-    top = grams(known.where("NOT held_out").select("lang", "text"), order, True)
-    wanted = settle(grams(plain.where(F.length("text") > 0).select("lang", "text"), order, False).select("lang", "gram", "key"))
+    top = settle(grams(known.where("NOT held_out").select("lang", "text"), order, True))
+    # Trained n-grams are wanted anyway. Up to SHARD of their keys (32 MB) spare the tasks from asking for them again.
+    parts = max(1, math.ceil(1.1 * top.count() / SHARD))
+    trained = top.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == 0).select("key").toArrow()["key"].to_numpy()
+    others = grams(plain.where(F.length("text") > 0).select("lang", "text"), order, False, trained)
+    wanted = settle(others.select("lang", "gram", "key").union(top.select("lang", "gram", "key")).distinct())
     table = settle(probabilities(top, wanted, order))
+    discard(top, wanted)
 
     def scored(rows: DataFrame) -> DataFrame:
         """bits a character, on the grid, of rows with _lang and _text."""
@@ -288,6 +299,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     up = Window.partitionBy("_lang").orderBy("_bits")
     ranked = bins.withColumn("_below", F.sum("n").over(up)).withColumn("_all", F.sum("n").over(Window.partitionBy("_lang")))
     limits = settle(ranked.where(F.col("_below") >= F.lit(quantile) * F.col("_all")).groupBy("_lang").agg(F.min("_bits").alias("_limit")))
+    discard(known)
     # The caller's columns travel in one, so that no name can clash.
     rows = docs.select(F.struct("*").alias("_row"), lang.alias("_lang"), F.col(text_col).alias("_text"))
     judged = scored(rows).join(limits, "_lang", "left")
