@@ -89,6 +89,18 @@ def discard(*settled: DataFrame) -> None:
             _SETTLED[:] = [held for held in _SETTLED if held[1] != path]
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Within it, jobs hand at most so many rows at once to Python: for rows that carry long texts or arrays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(held)) if int(held) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)
+
+
 def release() -> None:
     """Drop the folders this process wrote, on any file system; results built on them become unreadable."""
     for spark, path in _SETTLED:
