@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.components import components
 from tidewheel.llm.shingles import mix, shingle_sets
-from tidewheel.session import settle
+from tidewheel.session import arrow_batches, discard, settle
 
 # The sketch that ranks shingles by how many sets hold them: 2**SKETCH_BITS counts, and in how many rows they travel.
 SKETCH_BITS = 20
 SKETCH_ROWS = 64
 SALTS = 64
+# Rows handed to Python at once: each may carry a long text or two sets.
+BATCH = 1024
 # Bits of the filter that keeps most sets out of the shuffle to their pairs: at most 2**MOST_BITS (16 MB).
 MOST_BITS = 27
 
@@ -177,6 +179,17 @@ def link(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: s
     not m squared, and no link between components is lost. Pairs pass length and positional filters first.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    with arrow_batches(docs.sparkSession, BATCH):
+        rows, classes, final = _linked(docs, width, num, den)
+    known = rows.join(classes, ["n", "c1", "c2"], "left")
+    out = known.join(final.withColumnRenamed("id", "rep"), "rep", "left")
+    # Rows that repeat an id with other sets tie their classes through that id.
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("id").isNotNull(), F.col("rep")), F.col("id")).alias("class_id"),
+                      F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
+
+
+def _linked(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, components of class representatives), all written; see link()."""
     profiled = settle(_profiles(docs, width))
     rows = profiled.where("n >= 0").select("id", "n", "c1", "c2")
     classes = settle(rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "c1", "c2").agg(F.min("id").alias("rep")))
@@ -212,9 +225,5 @@ def link(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: s
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     more = _verified(pairs, _sets(docs, width, ids), num, den)
     final = settle(components(links.unionByName(more)))
-
-    known = rows.join(classes, ["n", "c1", "c2"], "left")
-    out = known.join(final.withColumnRenamed("id", "rep"), "rep", "left")
-    # Rows that repeat an id with other sets tie their classes through that id.
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("id").isNotNull(), F.col("rep")), F.col("id")).alias("class_id"),
-                      F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
+    discard(prefixes, members, left, links, stars, pairs)
+    return rows, classes, final
