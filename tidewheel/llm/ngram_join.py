@@ -13,7 +13,7 @@ from tidewheel.llm.shingles import mix, shingle_sets
 from tidewheel.session import arrow_batches, discard, settle
 
 # The sketch that ranks shingles by how many sets hold them: 2**SKETCH_BITS counts, and in how many rows they travel.
-SKETCH_BITS = 20
+SKETCH_BITS = 21
 SKETCH_ROWS = 64
 SALTS = 64
 # Rows handed to Python at once: each may carry a long text or two sets.
@@ -53,20 +53,23 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
             none = pa.nulls(len(parts), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [none, pa.array([-1] * len(parts), pa.int64()), none, none, pa.array([i for i, _ in parts], pa.int32()),
-                 pa.array([c.astype("<i8").tobytes() for _, c in parts], pa.binary())], schema=schema)
+                 pa.array([c.astype("<i4").tobytes() for _, c in parts], pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, "id long, n long, c1 long, c2 long, part int, counts binary")
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
-    """The summed counts: 2**SKETCH_BITS numbers (8 MB), whatever the input."""
+    """The summed counts: 2**SKETCH_BITS numbers (16 MB), whatever the input."""
 
-    def total(held: pd.DataFrame) -> pd.DataFrame:
-        summed = sum(np.frombuffer(c, "<i8") for c in held["counts"])
-        return pd.DataFrame({"part": held["part"].iloc[:1], "counts": [summed.astype("<i8").tobytes()]})
+    def total(kind: str):
+        def run(held: pd.DataFrame) -> pd.DataFrame:
+            summed = sum(np.frombuffer(c, kind).astype("<i8") for c in held["counts"])
+            return pd.DataFrame({"part": held["part"].iloc[:1], "counts": [summed.tobytes()]})
 
-    salted = parts.groupBy("part", F.pmod(F.xxhash64("counts"), F.lit(SALTS)).alias("_salt")).applyInPandas(total, "part int, counts binary")
-    rows = salted.groupBy("part").applyInPandas(total, "part int, counts binary").collect()
+        return run
+
+    salted = parts.groupBy("part", F.pmod(F.xxhash64("counts"), F.lit(SALTS)).alias("_salt")).applyInPandas(total("<i4"), "part int, counts binary")
+    rows = salted.groupBy("part").applyInPandas(total("<i8"), "part int, counts binary").collect()
     out = np.zeros((SKETCH_ROWS, (1 << SKETCH_BITS) // SKETCH_ROWS), dtype=np.int64)
     for r in rows:
         out[r["part"]] = np.frombuffer(r["counts"], "<i8")
