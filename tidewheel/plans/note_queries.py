@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewheel.functions import chords as H
+from tidewheel import constants as C
 from tidewheel.operators import grid as G
 from tidewheel.operators import notes as N
 from tidewheel.operators import series as O
@@ -157,7 +158,10 @@ def played(spark, sf):
         (F.col("user_id") % 24 + 48).cast("int").alias("pitch"), (F.col("user_id") % 127 + 1).alias("velocity"), F.lit(False).alias("drum_like"))
 
 
-@query("onset_clusters")
+@query("onset_clusters", """WITH RECURSIVE n AS (SELECT event_type AS track, round(date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 1e6 / 3600.0, 6) AS t, CAST(user_id % 24 + 48 AS INTEGER) AS pitch FROM events),
+d AS (SELECT DISTINCT track, t FROM n),
+c(track, anchor) AS (SELECT track, min(t) FROM d GROUP BY track UNION ALL SELECT c.track, min(d.t) FROM c JOIN d ON d.track = c.track AND d.t - c.anchor >= 0.03 GROUP BY c.track)
+SELECT n.track, n.t, n.pitch, c.anchor AS cluster FROM n ASOF JOIN c ON c.track = n.track AND n.t >= c.anchor""")
 def onset_clusters(spark, sf):
     return N.onset_clusters(played(spark, sf).select("track", "t", "pitch"), TRACK, 0.03, False)
 
@@ -284,7 +288,10 @@ def grid_fit(spark, sf):
     return G.grid_fit(levels, settle(beats), SERIES, "flux", 4, fps=1.0)
 
 
-@query("dedupe_tempos")
+@query("dedupe_tempos", f"""WITH RECURSIVE l AS (SELECT o_orderkey, list_transform(range(0, 8), lambda i: CAST(60 + o_custkey * (i + 3) % 97 AS DOUBLE)) AS b FROM orders),
+r(o_orderkey, b, i, kept) AS (SELECT o_orderkey, b, 1, CAST([] AS DOUBLE[]) FROM l UNION ALL
+ SELECT o_orderkey, b, i + 1, CASE WHEN len(list_filter(kept, lambda k: abs(b[i] - k) <= {C.COMB_SPAN!r} * k)) > 0 THEN kept ELSE list_append(kept, b[i]) END FROM r WHERE i <= 8)
+SELECT o_orderkey, array_to_string(list_transform(kept, lambda x: CAST(x AS VARCHAR)), ',') AS kept FROM r WHERE i = 9""")
 def dedupe_tempos(spark, sf):
     """Tempo lists without near repeats, first kept."""
     k = F.col("o_custkey")

@@ -302,7 +302,7 @@ def log_measurements(spark, sf):
                        F.when(c("l_linenumber") <= 5, block).alias("input_i"), X.done_rate(F.col("log")).alias("fps"))
 
 
-@query("persian_text")
+@query("persian_text", f"""SELECT doc_id, regexp_replace(translate('كتاب يك ' || text, '{X.ARABIC}', '{X.PERSIAN}'), '({X.LATIN_RUN.replace("'", "''")})', '{X.ISOLATE}\\1{X.POP}', 'g') AS text FROM documents""")
 def persian_text(spark, sf):
     """Every document with Arabic letters folded and Latin runs isolated, names kept."""
     arabic = F.concat(F.lit("كتاب يك "), F.col("text"))
@@ -334,10 +334,20 @@ def leak_scan(spark, sf):
     return X.leaks(pages, ["page_id"], "doc", ("example",))
 
 
-@query("did_you_mean")
+_KNOWN = sorted({name for name, _ in P.alias_rows()})
+
+
+@query("did_you_mean", f"""WITH k AS (SELECT unnest([{", ".join(f"'{n}'" for n in _KNOWN)}]) AS c), a AS (SELECT list(c ORDER BY c) AS l FROM k),
+w AS (SELECT DISTINCT left(n, p) || substr(n, p + 2) AS word FROM (SELECT l[1 + o_orderkey % len(l)] AS n, CAST(o_custkey % length(l[1 + o_orderkey % len(l)]) AS INTEGER) AS p FROM orders, a)),
+s AS (SELECT word, c, round(1.0 - levenshtein(word, c) / CAST(greatest(length(word), length(c)) AS DOUBLE), 9) AS s FROM w, k),
+t AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY s DESC, c) AS r FROM s WHERE s >= 0.6)
+SELECT word, string_agg(c, ',' ORDER BY r) AS closest FROM t WHERE r <= 2 GROUP BY word""")
 def did_you_mean(spark, sf):
-    """Page path words against the platform names and aliases."""
-    words = table(spark, sf, "pages").select(F.explode(F.split(F.lower("url"), "[^a-z-]+")).alias("word")).where(F.length("word") > 2)
+    """Platform names and aliases with one letter lost, as orders choose it, against the names themselves."""
+    known = F.array(*[F.lit(n) for n in _KNOWN])
+    picked = table(spark, sf, "orders").select(F.element_at(known, (F.col("o_orderkey") % len(_KNOWN) + 1).cast("int")).alias("n"), "o_custkey")
+    at = (F.col("o_custkey") % F.length("n")).cast("int")
+    words = picked.select(F.concat(F.left("n", at), F.substring(F.col("n"), at + 2, F.length("n"))).alias("word"))
     return X.closest(words, P.aliases(spark), "word", "alias").where(F.size("closest") > 0).select(
         "word", F.array_join("closest", ",").alias("closest"))
 
