@@ -62,7 +62,7 @@ def test_clusters_are_anchored(spark, inclusive):
         t = round(t + rng.choice([0.004, 0.011, 0.02, 0.05]), 3)
         rows.append(("a", t, 60))
     df = spark.createDataFrame(rows, "track string, t double, pitch int")
-    got = {r["t"]: r["cluster"] for r in N.onset_clusters(df, TRACK, 0.02, inclusive, bucket=0.3).collect()}
+    got = {r["t"]: r["cluster"] for r in N.onset_clusters(df, TRACK, 0.02, inclusive, bucket=0.3, size=8).collect()}
     anchor = None
     for _, at, _ in rows:
         if anchor is None or (at - anchor > 0.02 if inclusive else at - anchor >= 0.02):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,12 +12,12 @@ from pyspark.sql import types as T
 
 from tidewheel import constants as C
 from tidewheel.constants import BLOCK
+from tidewheel.functions import kernels as K
 from tidewheel.functions.chords import chord_name
 from tidewheel.operators.align import best_and_runner_up, lag_sums
-from tidewheel.operators.blocks import neighbour, number_rows, prefix
+from tidewheel.operators.blocks import join_keys, neighbour, number_rows, pack, prefix
 from tidewheel.operators.grid import quarters_at, seconds_at
 from tidewheel.operators.joins import asof_join, changes, interval_join
-from tidewheel.operators.series import previous_row
 from tidewheel.session import settle
 
 # Words that name a drum track.
@@ -125,41 +126,41 @@ def emit_events(notes: DataFrame, songs: DataFrame, keys: Sequence[str]) -> tupl
 
 # ---- clusters
 def onset_clusters(notes: DataFrame, keys: Sequence[str], width: float, inclusive: bool, t: str = "t",
-                   bucket: float = 64.0) -> DataFrame:
+                   bucket: float = 64.0, size: int = BLOCK) -> DataFrame:
     """Adds `cluster`: the time of the first note of each note's onset cluster.
 
-    A cluster is anchored on its first note, not chained. Notes further apart than the width always
-    split, so only chains longer than one width are walked in order, in batches.
+    A cluster is anchored on its first note, not chained. Each block of a key's distinct times is summed up
+    by where an anchor carried into it comes out: a few (last entry, last anchor) steps, since clusters that start
+    anywhere soon fall together. Only these summaries are followed from block to block; then every block
+    places its own clusters. A key of any size is so spread over tasks.
     """
     keys = list(keys)
-    linked = previous_row(notes, keys, t, t, "_prev", bucket)
-    gap = F.col(t) - F.col("_prev")
-    splits = F.col("_prev").isNull() | ((gap > width) if inclusive else (gap >= width))
-    chained = prefix(settle(linked.withColumn("_start", F.when(splits, F.col(t)))), keys, {"_chain": ("max", "_start")},
-                     order=[t], block=F.floor(F.col(t) / bucket).cast("bigint"))
-    chained = settle(chained.drop("_prev", "_start"))
-    spans = chained.groupBy(*keys, "_chain").agg(F.max(t).alias("_last"))
-    placed = chained.join(spans, [*keys, "_chain"])
-    reach = F.col("_last") - F.col("_chain")
-    short = (reach <= width) if inclusive else (reach < width)
-    simple = placed.where(short).select(*notes.columns, F.col("_chain").alias("cluster"))
-    columns = list(notes.columns)
-    schema = T.StructType([*notes.schema.fields, T.StructField("cluster", T.DoubleType())])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        anchor = None
-        for pdf in batches:
-            anchors = []
-            for at in pdf[t]:
-                if anchor is None or ((at - anchor > width) if inclusive else (at - anchor >= width)):
-                    anchor = at
-                anchors.append(anchor)
-            yield pdf[columns].assign(cluster=anchors)
-
-    walk.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    long = placed.where(~short)
-    ordered = long.repartition(*[F.col(k) for k in [*keys, "_chain"]]).sortWithinPartitions(*keys, "_chain", t)
-    return simple.unionByName(ordered.groupBy(*keys, "_chain").applyInPandas(walk, schema))
+    times = number_rows(notes.select(*keys, t).distinct(), keys, [t], F.floor(F.col(t) / bucket).cast("bigint"), "_n")
+    blocks = settle(pack(times.withColumn("_n", F.col("_n") - 1), keys, "_n", [t], size).select(*keys, "_blk", F.col(t).alias("_at")))
+
+    @F.pandas_udf("array<struct<upto:double,anchor:double>>")
+    def steps(at: pd.Series) -> pd.Series:
+        return at.map(lambda x: [{"upto": u, "anchor": v} for u, v in K.anchor_steps(np.asarray(x), width, inclusive)])
+
+    def follow(summaries: pd.DataFrame) -> pd.DataFrame:
+        summaries = summaries.sort_values("_blk")
+        held, carried = None, []
+        for block in summaries["_steps"]:
+            carried.append(held)
+            held = next((s["anchor"] for s in block if K.starts_anew(s["upto"], held, width, inclusive)), held)
+        return summaries.drop(columns="_steps").assign(_held=np.array(carried, dtype="float64"))
+
+    fields = T.StructType([*[f for f in blocks.schema.fields if f.name in [*keys, "_blk"]], T.StructField("_held", T.DoubleType())])
+    held = blocks.select(*keys, "_blk", steps("_at").alias("_steps")).groupBy(*keys).applyInPandas(follow, fields)
+
+    @F.pandas_udf("array<double>")
+    def place(at: pd.Series, before: pd.Series) -> pd.Series:
+        return pd.Series([K.anchors(np.asarray(x), None if np.isnan(h) else h, width, inclusive) for x, h in zip(at, before)])
+
+    placed = join_keys(blocks, held, [*keys, "_blk"])
+    each = placed.select(*keys, F.explode(F.arrays_zip(F.col("_at").alias("t"), place("_at", "_held").alias("c"))).alias("_x")).select(
+        *keys, F.col("_x.t").alias(t), F.col("_x.c").alias("cluster"))
+    return join_keys(notes, each, [*keys, t])
 
 
 def onset_impulses(notes: DataFrame, keys: Sequence[str], drum: str = "drum_like", cluster: float = C.ONSET_CLUSTER_S) -> DataFrame:
