@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ ORDER = 5
 QUANTILE = 0.99
 FOLDS = 10  # one in so many trusted documents sets thresholds and isn't trained on
 CHARS = 1 << 18  # characters handled at once: what a processor's cache holds
+ROWS = 512  # texts turned into Python strings at once
 SHARD = 1 << 22  # most n-grams of one shard of probabilities: 48 MB
 SLOT_BITS = 22  # n-grams that a task remembers while it counts: at most four million
 GRID = 1000  # thresholds are exact on thousandths of a bit
@@ -73,6 +75,14 @@ def keyed_grams(langs: list[str], texts: list[str | None], order: int) -> Iterat
         yield run(pending)
 
 
+def _some_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str | None]]]:
+    """(languages, texts) of a few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            some = batch.slice(at, ROWS)
+            yield np.array(some.column("lang").to_pylist(), dtype=object), some.column("text").to_pylist()
+
+
 def grams(docs: DataFrame, order: int, counted: bool, skip: np.ndarray | None = None) -> DataFrame:
     """(lang, gram, key, n): n-grams of (lang, text) with their counts; or, if not `counted`, each with n 1.
 
@@ -95,9 +105,8 @@ def grams(docs: DataFrame, order: int, counted: bool, skip: np.ndarray | None =
             place = (passed.value.view(np.uint64) >> shift).astype(np.int64)
             held[place], taken[place] = passed.value, True
         hits, slots_of, langs_of, codes_of = [], [], [], []
-        for batch in batches:
-            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-            for row, key, start, codes in keyed_grams(langs.tolist(), batch.column("text").to_pylist(), order):
+        for langs, texts in _some_rows(batches):
+            for row, key, start, codes in keyed_grams(langs.tolist(), texts, order):
                 slot = (key.view(np.uint64) >> shift).astype(np.int64)
                 known = taken[slot] & (held[slot] == key)
                 if counted:
@@ -194,7 +203,7 @@ def _lookup(keys: np.ndarray, bits: np.ndarray):
     A table has a slot for every value of the keys' high bits, and of the keys that share one the likeliest stands
     in it, beside its bits; the others are found in their sorted order.
     """
-    width = max(4, (4 * len(keys)).bit_length())
+    width = max(4, (2 * len(keys)).bit_length())
     shift = _U(64 - width)
     slot_of = lambda k: (k.view(np.uint64) >> shift).astype(np.int64)
     table, beside = ~np.arange(1 << width, dtype=np.int64) << np.int64(64 - width), np.zeros(1 << width)  # keys that can't come to their slots
@@ -219,8 +228,8 @@ def _lookup(keys: np.ndarray, bits: np.ndarray):
     return find
 
 
-def _score(docs: DataFrame, table: DataFrame, order: int) -> DataFrame:
-    """Adds to `_bits` of (..., _lang, _text, _bits) the bits of every character. One pass goes over the rows for each shard of
+def _score(docs: DataFrame, table: DataFrame, order: int, text_col: str) -> DataFrame:
+    """Adds to `_bits` of (_row, _lang, _bits) the bits of every character of `text_col` in _row. One pass goes over the rows for each shard of
     at most SHARD probabilities, which that pass's tasks hold whole; the passes form one stage."""
     spark, total = docs.sparkSession, table.count()
     shards = max(1, math.ceil(1.1 * total / SHARD))
@@ -232,8 +241,11 @@ def _score(docs: DataFrame, table: DataFrame, order: int) -> DataFrame:
             find = _lookup(*held.value)
             for batch in batches:
                 sums = batch.column("_bits").to_numpy(zero_copy_only=False).copy()
-                for row, key, _, _ in keyed_grams(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist(), order):
-                    sums += np.bincount(row, weights=find(key), minlength=len(sums))
+                langs, texts = batch.column("_lang"), pc.struct_field(batch.column("_row"), text_col)
+                for at in range(0, batch.num_rows, ROWS):
+                    some = slice(at, at + ROWS)
+                    for row, key, _, _ in keyed_grams(langs[some].to_pylist(), texts[some].to_pylist(), order):
+                        sums[some] += np.bincount(row, weights=find(key), minlength=len(sums[some]))
                 yield batch.set_column(batch.schema.get_field_index("_bits"), "_bits", pa.array(sums))
 
         docs = docs.mapInArrow(run, docs.schema)
@@ -289,21 +301,21 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     table = settle(probabilities(top, wanted, order))
     discard(top, wanted)
 
-    def scored(rows: DataFrame) -> DataFrame:
-        """bits a character, on the grid, of rows with _lang and _text."""
-        summed = _score(rows.withColumn("_bits", F.lit(0.0)), table, order)
-        return summed.withColumn("_bits", F.when((F.length("_text") > 0) & (F.col("_bits") > 0), F.ceil(F.col("_bits") / F.length("_text") * GRID)))
+    # The caller's columns travel in one, so that no name can clash and texts travel once.
+    def scored(rows: DataFrame, name: str) -> DataFrame:
+        """bits a character, on the grid, of rows (_row, _lang)."""
+        size = F.length(F.col("_row")[name])
+        summed = _score(rows.withColumn("_bits", F.lit(0.0)), table, order, name)
+        return summed.withColumn("_bits", F.when((size > 0) & (F.col("_bits") > 0), F.ceil(F.col("_bits") / size * GRID)))
 
-    tested = scored(known.where("held_out").select(F.col("lang").alias("_lang"), F.col("text").alias("_text")))
+    tested = scored(known.where("held_out").select(F.struct("text").alias("_row"), F.col("lang").alias("_lang")), "text")
     bins = tested.where("_bits IS NOT NULL").groupBy("_lang", "_bits").agg(F.count("*").alias("n"))
     up = Window.partitionBy("_lang").orderBy("_bits")
     ranked = bins.withColumn("_below", F.sum("n").over(up)).withColumn("_all", F.sum("n").over(Window.partitionBy("_lang")))
     limits = settle(ranked.where(F.col("_below") >= F.lit(quantile) * F.col("_all")).groupBy("_lang").agg(F.min("_bits").alias("_limit")))
     discard(known)
-    # The caller's columns travel in one, so that no name can clash.
-    rows = docs.select(F.struct("*").alias("_row"), lang.alias("_lang"), F.col(text_col).alias("_text"))
-    judged = scored(rows).join(limits, "_lang", "left")
+    judged = scored(docs.select(F.struct("*").alias("_row"), lang.alias("_lang")), text_col).join(limits, "_lang", "left")
     columns = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in ("perplexity", "threshold", "kept")]
-    has_text = F.coalesce(F.length("_text") > 0, F.lit(False))
+    has_text = F.coalesce(F.length(F.col("_row")[text_col]) > 0, F.lit(False))
     return judged.select(*columns, F.pow(F.lit(2.0), F.col("_bits") / GRID).alias("perplexity"), F.pow(F.lit(2.0), F.col("_limit") / GRID).alias("threshold"),
                          (has_text & F.coalesce(F.col("_bits") <= F.col("_limit"), F.lit(True))).alias("kept"))
