@@ -101,6 +101,14 @@ def arrow_batches(spark: SparkSession, rows: int):
         spark.conf.set(key, held)
 
 
+def limit_arrow_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Lower the session's Arrow batches to at most so many rows, for results with long texts that run later."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(key))
+    if held <= 0 or held > rows:
+        spark.conf.set(key, str(rows))
+
+
 def release() -> None:
     """Drop the folders this process wrote, on any file system; results built on them become unreadable."""
     for spark, path in _SETTLED:
