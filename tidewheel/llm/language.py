@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.session import limit_arrow_batches
+
 DIMENSIONS = 1024
 # Characters handled at once, documents profiled at once, and distinct trigrams multiplied at once.
 CHARS = 1 << 21
@@ -139,6 +141,7 @@ def identify(docs: DataFrame, learn: Column, keep: dict[str, Column], lang_col:
     Repeated and NULL ids, empty tables and further columns make no difference. More than LANGUAGES
     languages are refused, since every task holds all prototypes.
     """
+    limit_arrow_batches(docs.sparkSession)
     found = prototypes(docs.where(learn), lang_col, text_col).limit(LANGUAGES + 1).collect()
     if len(found) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")

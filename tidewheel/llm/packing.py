@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.session import settle
+from tidewheel.session import limit_arrow_batches, settle
 
 CAPACITY = 4096
 RANK_ROWS = 128
@@ -212,6 +212,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    limit_arrow_batches(spark)
     pieces = settle(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col)
                     .withColumn("_row", F.monotonically_increasing_id()))
     per_length = pieces.groupBy("length").agg(F.count("*").alias("n"))

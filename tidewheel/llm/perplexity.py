@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.session import discard, settle
+from tidewheel.session import discard, limit_arrow_batches, settle
 
 ORDER = 5
 QUANTILE = 0.99
@@ -286,6 +286,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     labels and ids are passed over; repeated rows are judged alike, and repeated trusted rows each count. Columns of
     `docs` named like the new ones are replaced. An empty table gives an empty result.
     """
+    limit_arrow_batches(docs.sparkSession)
     lang = F.coalesce(F.col(lang_col), F.lit(""))
     trusted = (labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id"))
                .agg(F.min("quality").alias("q"), F.max("toxic").alias("t"), F.count(F.when(F.col("quality").isNull() | F.col("toxic").isNull(), 1)).alias("unknown"))
