@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,7 +33,26 @@ def build_session(app: str = "tidewheel", cores: str | None = None, checkpoint_d
             .config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
         )
-    return builder.getOrCreate()
+    # Workers that the JVM starts on the driver find the package by this path, those of executors by ship().
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors: functions in its modules are looked up there by name."""
+    context = spark.sparkContext
+    if getattr(context, "_tidewheel_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp()  # executors fetch from it as long as the driver lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "tidewheel"), "zip", root, "tidewheel"))
+    context._tidewheel_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
