@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from tidewheel.llm.shingles import mix, shingle_sets
 from tidewheel.session import arrow_batches, discard, settle
 
 # The sketch that ranks shingles by how many sets hold them: 2**SKETCH_BITS counts, and in how many rows they travel.
-SKETCH_BITS = 21
+SKETCH_BITS = 20
 SKETCH_ROWS = 64
 SALTS = 64
 # Rows handed to Python at once: each may carry a long text or two sets.
@@ -59,7 +60,7 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
-    """The summed counts: 2**SKETCH_BITS numbers (16 MB), whatever the input."""
+    """The summed counts: 2**SKETCH_BITS numbers (8 MB), whatever the input."""
 
     def total(kind: str):
         def run(held: pd.DataFrame) -> pd.DataFrame:
@@ -76,18 +77,16 @@ def _sketch(parts: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _prefixes(docs: DataFrame, width: int, sketch: np.ndarray, num: int, den: int) -> DataFrame:
+def _prefixes(docs: DataFrame, width: int, ranks: Broadcast, num: int, den: int) -> DataFrame:
     """(id, n, prefix): the rarest n - ceil(t n) + 1 shingles of each set, rarest first.
 
     The order is by sketch count, then by hash: one order for all sets, which is all that a prefix needs to be exact.
     """
-    held = docs.sparkSession.sparkContext.broadcast(sketch)
-
     def run(batches):
         for batch in batches:
             sizes, lengths, flat = [], [], []
             for _, bounds, values in shingle_sets(batch.column("text"), width):
-                rank = held.value[_bucket(values)]
+                rank = ranks.value[_bucket(values)]
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                     n = int(b - a)
                     keep = n + (-n * num // den) + 1 if n else 0  # n - ceil(n num / den) + 1
@@ -196,9 +195,10 @@ def _linked(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame,
     profiled = settle(_profiles(docs, width))
     rows = profiled.where("n >= 0").select("id", "n", "c1", "c2")
     classes = settle(rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "c1", "c2").agg(F.min("id").alias("rep")))
-    sketch = _sketch(profiled.where("n < 0").select("part", "counts"))
-    prefixes = settle(_prefixes(docs, width, sketch, num, den).where("n > 0")
+    ranks = docs.sparkSession.sparkContext.broadcast(_sketch(profiled.where("n < 0").select("part", "counts")))
+    prefixes = settle(_prefixes(docs, width, ranks, num, den).where("n > 0")
                       .join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+    ranks.destroy()
     postings = prefixes.select("id", "n", F.posexplode("prefix").alias("at", "shingle"))
     lists = (postings.groupBy("shingle").agg(F.min("id").alias("head"), F.max("id").alias("last"))
              .where("head < last").select("shingle", "head"))

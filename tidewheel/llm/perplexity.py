@@ -20,7 +20,7 @@ FOLDS = 10  # one in so many trusted documents sets thresholds and isn't trained
 CHARS = 1 << 18  # characters handled at once: what a processor's cache holds
 ROWS = 512  # texts turned into Python strings at once
 SHARD = 1 << 22  # most n-grams of one shard of probabilities: 48 MB
-SLOT_BITS = 22  # n-grams that a task remembers while it counts: at most four million
+SLOT_BITS = 21  # n-grams that a task remembers while it counts: at most two million
 GRID = 1000  # thresholds are exact on thousandths of a bit
 MOST_BITS = 27
 
@@ -235,7 +235,9 @@ def _score(docs: DataFrame, table: DataFrame, order: int, text_col: str) -> Data
     shards = max(1, math.ceil(1.1 * total / SHARD))
     for s in range(shards):
         part = table.where(F.pmod(F.xxhash64("key"), F.lit(shards)) == s).toArrow()
-        held = spark.sparkContext.broadcast((part["key"].to_numpy().astype(np.int64), part["bits"].to_numpy().astype(np.float64)))
+        held = spark.sparkContext.broadcast((part["key"].to_numpy(), part["bits"].to_numpy()))
+        del part
+        pa.default_memory_pool().release_unused()  # the driver keeps nothing of the shard
 
         def run(batches, held=held):
             find = _lookup(*held.value)
