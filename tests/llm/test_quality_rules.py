@@ -72,3 +72,45 @@ def test_judge_defines_every_case(spark):
     got = sorted((str(r.doc_id), r.n_words, r.base_failed, r.kept) for r in Q.judge(docs, labels).collect())
     assert got == sorted([("1", 60, False, True), ("1", 60, False, True), ("2", 0, True, False), ("3", 1, True, False), ("4", 80, True, False), ("None", 60, False, True)])
     assert Q.judge(docs.limit(0), labels).count() == 0 and Q.judge(docs, labels.limit(0)).count() == 6
+
+
+def goods(spark, n, symbols=lambda i: 2, stratum="x"):
+    rows = [(stratum, 100, 400, symbols(i)) for i in range(n)]
+    return spark.createDataFrame(rows, "stratum string, n_words int, word_chars int, n_symbols int")
+
+
+def test_nested_cutoffs_test_the_union_in_sequence(spark):
+    # Vectors: symbols 0.2; long_words 9.0; symbols 0.05; long_words 3.0, which rejects all; two with nothing new.
+    one = lambda *parts, **kw: {r.stratum: (r.symbols, r.long_words) for r in Q.nested_cutoffs(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), RULES, **kw).collect()}
+    assert one(goods(spark, 300), alpha=0.01, delta=0.05) == {"x": (0.05, 9.0)}
+    assert one(goods(spark, 298), alpha=0.01, delta=0.05) == {"x": (None, None)}
+    # 40 of 4,000 are above every cutoff for symbols: 1 % can't be certified against 1 %, but against 2 %.
+    many = goods(spark, 4000, lambda i: 100 if i % 100 == 0 else 2)
+    assert one(many, alpha=0.01, delta=0.05) == {"x": (None, None)} and one(many, alpha=0.02, delta=0.05) == {"x": (0.05, 9.0)}
+    # Above 0.05 only: the sequence stops after long_words 9.0.
+    assert one(goods(spark, 4000, lambda i: 40 if i % 100 == 0 else 2), alpha=0.01, delta=0.05) == {"x": (0.2, 9.0)}
+    # Two strata share delta only if both could pass: 368 documents are needed then, 299 alone.
+    assert one(goods(spark, 2000), goods(spark, 367, stratum="y"), alpha=0.01, delta=0.05) == {"x": (0.05, 9.0), "y": (None, None)}
+    assert one(goods(spark, 2000), goods(spark, 368, stratum="y"), alpha=0.01, delta=0.05) == {"x": (0.05, 9.0), "y": (0.05, 9.0)}
+
+
+def test_nested_cutoffs_hold_their_guarantee(spark):
+    # Six corpora of ten languages whose second vector is just above alpha: at most delta of them may certify it.
+    rng = random.Random(5)
+    wrong = 0
+    for _ in range(6):
+        rows = [(f"s{s}", 100, 400, 40 if rng.random() < 0.021 else 2) for s in range(10) for _ in range(600)]
+        got = Q.nested_cutoffs(spark.createDataFrame(rows, "stratum string, n_words int, word_chars int, n_symbols int"), RULES[:1], alpha=0.02, delta=0.05).collect()
+        assert all(r.symbols is not None for r in got)
+        wrong += any(r.symbols < 0.2 for r in got)
+    assert wrong <= 1
+
+
+def test_judge_rejects_in_a_language_of_500_good_documents(spark):
+    clean = " ".join(f"word{i}" for i in range(60))
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(clean).alias("text"), F.lit("fr").alias("lang"))
+    junk = spark.createDataFrame([(1000, clean + "".join(f" ###{i}" for i in range(40)), "fr")], docs.schema)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    got = {r.doc_id: r.kept for r in Q.judge(docs.unionByName(junk), labels).where("NOT base_failed").collect()}
+    assert got == {**{i: True for i in range(500)}, 1000: False}
+    assert Q.judge(docs.unionByName(junk), labels, certify=Q.cutoffs).where("NOT kept AND NOT base_failed").count() == 0

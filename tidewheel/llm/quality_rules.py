@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,12 +115,45 @@ def cutoffs(good: DataFrame, rules: Sequence[Rule] = RULES, alpha: float = ALPHA
     return certified.groupBy("stratum").agg(*pick)
 
 
+def nested_cutoffs(good: DataFrame, rules: Sequence[Rule] = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, and a column of each rule's name): the strictest certified vector of cutoffs, NULL for rules not begun.
+
+    `good` is as in `cutoffs`. The vectors are fixed before any label is seen and nested: they start without
+    rules, and each adds the next rule's next cutoff from lax to strict, the rules taking turns. The good
+    documents that a vector rejects by any rule are tested against the whole alpha, vector by vector until one
+    fails: only the first vector whose true share is above alpha can be certified wrongly, so the sequence
+    costs nothing. The m strata that are tested share delta evenly. They are the largest, as many as could pass if no
+    good document were rejected, which their sizes alone tell: (1 - alpha)^n <= delta / m. A stratum that
+    passes still needs its share for its next vector, so none is handed on to the others.
+    """
+    turns = len(rules)
+    steps = turns * max(len(r.grid) for r in rules)
+    above = [F.size(F.filter(F.array(*[F.lit(float(c)) for c in r.grid]), lambda c: F.expr(r.value) > c)) for r in rules]
+    # The first vector that rejects the document; NULL if none does.
+    first = F.array_min(F.array(*[F.when(n > 0, (len(r.grid) - n) * turns + i) for i, (r, n) in enumerate(zip(rules, above))]))
+    counts = settle(good.select("stratum", first.alias("first")).groupBy("stratum", "first").agg(F.count("*").alias("n")))
+    sizes = counts.groupBy("stratum").agg(F.sum("n").alias("_n"))
+    ranked = sizes.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("_n"), "stratum")))  # one row a stratum
+    can = F.when(F.pow(F.lit(1 - alpha), F.col("_n")) <= delta / F.col("_rank"), F.col("_rank"))
+    tested = ranked.withColumn("_m", F.max(can).over(Window.partitionBy()))
+    tried = tested.select("stratum", "_n", "_rank", "_m", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
+    rejected = tried.join(counts, "stratum").groupBy("stratum", "_n", "_rank", "_m", "step").agg(
+        F.sum(F.when(F.col("first") <= F.col("step"), F.col("n")).otherwise(0)).cast("bigint").alias("_k"))
+    passed = (F.col("_rank") <= F.col("_m")) & (binomial_tail(F.col("_n"), F.col("_k"), alpha) <= delta / F.col("_m"))
+    last = rejected.groupBy("stratum").agg(F.max(F.when(passed, F.col("step"))).alias("_last"))
+    at = lambda i, r: F.element_at(F.array(*[F.lit(float(c)) for c in r.grid]), F.greatest(
+        F.lit(len(r.grid)) - F.floor((F.col("_last") - i) / turns), F.lit(1)).cast("int"))
+    return last.select("stratum", *[F.when(F.col("_last") >= i, at(i, r)).alias(r.name) for i, r in enumerate(rules)])
+
+
 def judge(docs: DataFrame, labels: DataFrame, rules: Sequence[Rule] = RULES, alpha: float = ALPHA, delta: float = DELTA,
-          id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+          id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
+          certify: Callable[[DataFrame, Sequence[Rule], float, float], DataFrame] = nested_cutoffs) -> DataFrame:
     """id, the five measures, base_failed and kept of every row.
 
     Every labelled document of good quality that the base rules pass is a holdout of its stratum, since
-    nothing else is fitted. kept is false if base_failed, else unless a rule's value is above its stratum's cutoff. Strata
+    nothing else is fitted. `certify` chooses the cutoffs: `nested_cutoffs`, or `cutoffs` with a share of alpha for
+    each rule. kept is false if base_failed, else unless a rule's value is above its stratum's cutoff. Strata
     without labels, or with too few to certify a cutoff, have no rules but the base ones; NULL is a stratum. Text that is
     NULL has no words and fails. A document with several labels is good if all say so; NULL labels and ids are passed over.
     Repeated rows are judged alike. An empty table gives an empty result; other columns are ignored.
@@ -129,7 +162,7 @@ def judge(docs: DataFrame, labels: DataFrame, rules: Sequence[Rule] = RULES, alp
                                ["doc_id", "stratum"], "_text").withColumn("base_failed", F.expr(BASE_FAILED)))
     trusted = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_q"))
                .where("_q = 1").select("doc_id"))
-    chosen = settle(cutoffs(measured.where(~F.col("base_failed")).join(trusted, "doc_id", "left_semi"), rules, alpha, delta))
+    chosen = settle(certify(measured.where(~F.col("base_failed")).join(trusted, "doc_id", "left_semi"), rules, alpha, delta))
     fires = F.lit(False)
     for r in rules:
         fires = fires | F.coalesce(F.expr(r.value) > F.col(r.name), F.lit(False))
