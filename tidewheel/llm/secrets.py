@@ -30,8 +30,14 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+# A key's body up to its END line: whatever holds no five dashes, so that no other key is crossed. Loops over groups
+# are bounded, since Java's regex recurses in them; keys have lines of 64 characters and few dashes.
+_TO_END = r"[^-]*(?:-{1,4}[^-]+){0,400}-{5,}END [A-Z ]*PRIVATE KEY-----"
+# Without END: header lines, then base64 from a first stretch of 16 on, over line ends (escaped ones too) and indents.
+_KEY_LINES = (r"(?:(?:[\x20\t]*[\r\n]+[\x20\t]*[A-Za-z][A-Za-z0-9-]*:[^\r\n]*){0,16}[\x20\t\r\n\\]*[A-Za-z0-9+/=]{16}(?:[A-Za-z0-9+/=\\\r\n]*[A-Za-z0-9+/=\\])?"
+              r"(?:[\r\n]+[\x20\t]+[A-Za-z0-9+/=\\\r\n]*[A-Za-z0-9+/=\\]){0,400})?")
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_TO_END}|{_KEY_LINES})"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
