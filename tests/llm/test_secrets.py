@@ -102,3 +102,14 @@ def test_private_keys_are_taken_whole(spark):
     assert found[len(KEYS) + 1].clean == "write [SECRET] before the key, and so on."
     assert found[len(KEYS) + 2].clean == rows[-1].replace(HEAD, "[SECRET]")
     assert secrets.trigram_query(secrets.MORE_RULES[0].pattern) == secrets.trigram_query(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+
+
+def test_logins_of_any_length_and_without_user(spark):
+    logins = [f"https://user:github_pat_{'aB3' * 27}z@", f"https://{'u' * 65}:p@", "redis://:password@", f"amqp://u:{'%2F' * 50_000}@", "http://u:p@"]
+    rows = [f"see {x}host/path" for x in logins] + ["http://host:80/a@b", "http://user:@host", "http://:/@", "a://" + "x" * 200_000 + ": y@"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    found = {r.doc_id: r for r in secrets.scan(docs, secrets.MORE_RULES).withColumn("clean", secrets.redact(F.col("text"), F.col("spans"))).collect()}
+    for i, text in enumerate(rows):
+        assert [tuple(s) for s in found[i].spans] == brute(text, secrets.MORE_RULES), i
+        assert found[i].clean == ("see [SECRET]host/path" if i < len(logins) else text)
+    assert secrets.trigram_query(secrets.MORE_RULES[-1].pattern) == [frozenset({"://"})]

@@ -42,7 +42,7 @@ MORE_RULES = (
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^/\s:@]{1,64}:[^/\s:@]{1,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^/\s:@]*:[^/\s:@]+@"),
 )
 
 _GAP = None
