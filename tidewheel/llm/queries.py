@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import fixity, language, mixing, ngram_join, packing, perplexity, quality_rules, secrets, sharding, topk
+from tidewheel.llm import fixity, language, mixing, more_queries, ngram_join, packing, perplexity, quality_rules, secrets, sharding, topk
 from tidewheel.session import settle, table
 
 
@@ -198,6 +198,7 @@ QUERIES = {
     "op8_block_topk": op8_block_topk,
     "op9_merkle_fixity": op9_merkle_fixity,
     "op10_poisson_mixing": op10_poisson_mixing,
+    **more_queries.QUERIES,
 }
 
 ORACLES = {
@@ -207,4 +208,5 @@ ORACLES = {
     "op8_block_topk": OP8_SQL,
     "op9_merkle_fixity": OP9_SQL,
     "op10_poisson_mixing": OP10_SQL,
+    **more_queries.ORACLES,
 }
