@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import spelling
+from tidewheel.llm import prefix_trie, spelling
 from tidewheel.session import table
 
 
@@ -15,6 +15,31 @@ def crc32_sql(text: str) -> str:
             "[xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), CAST(4294967295 AS BIGINT))")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations, with totals of its subtree."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) AS position, digest, bytes
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, strlen(coalesce(text, '')) AS bytes,
+               sha256(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS head, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h, n FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id)),
+p AS (SELECT c.*, least(c.h, coalesce(f.n, 0)) AS taken, least(c.h, coalesce(f.n, 0)) + greatest(c.n - c.h, 0) AS len FROM c LEFT JOIN c f ON f.conv_id = c.head),
+r AS (SELECT t.conv_id, position - h + taken AS position, digest, bytes, len FROM t JOIN p ON p.conv_id = t.conv_id WHERE position > h
+  UNION ALL SELECT p.conv_id, position, digest, bytes, len FROM t JOIN p ON p.head = t.conv_id WHERE position <= taken),
+m AS (SELECT conv_id, position AS depth, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY position) AS key, bytes, len FROM r
+  UNION ALL SELECT conv_id, 0, '', 0, len FROM p),
+n AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes, left(key, 64 * (depth - 1)) AS above,
+             coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len = depth), '') AS ends FROM m GROUP BY depth, key),
+k AS (SELECT above, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY above),
+s AS (SELECT m.key, count(*) FILTER (k.above IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved
+  FROM n JOIN m ON m.conv_id = n.conv_id AND m.depth <= n.depth LEFT JOIN k ON k.above = n.key GROUP BY m.key)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN s ON s.key = n.key LEFT JOIN k ON k.above = n.key LEFT JOIN n AS up ON up.key = n.above AND n.depth > 0"""
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frequent word of all documents with the more frequent spelling it may stand for."""
     return spelling.variants(table(spark, sf_dir, "documents"))
@@ -35,6 +60,6 @@ f AS (SELECT v.word, v.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 5 *
 way(word, last_form, next_form) AS (SELECT word, word, form FROM f UNION ALL SELECT way.word, f.word, f.form FROM way JOIN f ON f.word = way.next_form)
 SELECT f.word, form, last_form AS root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN way ON way.word = f.word AND way.next_form IS NULL"""
 
-QUERIES = {"op12_spelling_variants": op12_spelling_variants}
+QUERIES = {"op11_prefix_trie": op11_prefix_trie, "op12_spelling_variants": op12_spelling_variants}
 
-ORACLES = {"op12_spelling_variants": OP12_SQL}
+ORACLES = {"op11_prefix_trie": OP11_SQL, "op12_spelling_variants": OP12_SQL}
