@@ -41,29 +41,6 @@ def test_binomial_tail_is_exact(spark):
 RULES = (Q.Rule("symbols", "n_symbols / greatest(word_chars, 1)", (0.01, 0.05, 0.2)), Q.Rule("long_words", "word_chars / greatest(n_words, 1)", (3.0, 9.0)))
 
 
-def test_cutoffs_are_the_strictest_certified(spark):
-    # 4,000 good documents in x, 1 % of them with many symbols; 20 in y, too few for any certificate.
-    good = spark.range(4000).select(F.lit("x").alias("stratum"), F.lit(100).alias("n_words"), F.lit(400).alias("word_chars"),
-                                    F.when(F.col("id") % 100 == 0, 100).otherwise(2).alias("n_symbols"))
-    few = spark.range(20).select(F.lit("y").alias("stratum"), F.lit(100).alias("n_words"), F.lit(400).alias("word_chars"), F.lit(0).alias("n_symbols"))
-    got = {r.stratum: r for r in Q.cutoffs(good.unionByName(few), RULES, alpha=0.04, delta=0.05).collect()}
-    # symbols: 0.01 and 0.05 reject 40 of 4,000, certified against 2 %; long_words: 3.0 rejects all, 9.0 none.
-    assert (got["x"].symbols, got["x"].long_words) == (0.01, 9.0)
-    assert (got["y"].symbols, got["y"].long_words) == (None, None)
-    tight = {r.stratum: r for r in Q.cutoffs(good, RULES, alpha=0.02, delta=0.05).collect()}
-    assert tight["x"].symbols is None or tight["x"].symbols > 0.2 - 1e-9
-
-
-def test_false_rejections_stay_below_alpha(spark):
-    # Many draws in which every cutoff's true share is just above what may be rejected: certificates must be rare.
-    rng = random.Random(3)
-    share, wrong = 0.02, 0
-    rows = [(f"s{s}", 100, 400, 100 if rng.random() < share else 0) for s in range(40) for _ in range(500)]
-    got = Q.cutoffs(spark.createDataFrame(rows, "stratum string, n_words int, word_chars int, n_symbols int"), RULES[:1], alpha=share, delta=0.05).collect()
-    wrong = sum(r.symbols is not None and r.symbols < 0.25 for r in got)
-    assert wrong <= 1
-
-
 def test_judge_defines_every_case(spark):
     clean = " ".join(f"word{i}" for i in range(60))
     rows = [(1, clean, "en", 0), (2, None, "en", 0), (3, "short", "en", 0), (4, "x y " * 40, None, 0), (None, clean, None, 0), (1, clean, "en", 0)]
@@ -113,4 +90,54 @@ def test_judge_rejects_in_a_language_of_500_good_documents(spark):
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
     got = {r.doc_id: r.kept for r in Q.judge(docs.unionByName(junk), labels).where("NOT base_failed").collect()}
     assert got == {**{i: True for i in range(500)}, 1000: False}
-    assert Q.judge(docs.unionByName(junk), labels, certify=Q.cutoffs).where("NOT kept AND NOT base_failed").count() == 0
+
+
+def plain_cutoffs(rows, rules, alpha, delta):
+    """{stratum: cutoffs} of (stratum, n_words, word_chars, n_symbols), vector by vector."""
+    value = (lambda r: r[3] / max(r[2], 1), lambda r: r[2] / max(r[1], 1))
+    strata = {}
+    for r in rows:
+        strata.setdefault(r[0], []).append(r)
+    order = sorted(strata, key=lambda x: (-len(strata[x]), x))
+    share = max([i for i, x in enumerate(order, 1) if (1 - alpha) ** len(strata[x]) <= delta / i], default=0)
+    out = {}
+    for place, x in enumerate(order, 1):
+        held, best = [None] * len(rules), [None] * len(rules)
+        for step in range(len(rules) * len(rules[0].grid) if place <= share else 0):
+            i, level = step % len(rules), step // len(rules)
+            held[i] = rules[i].grid[max(0, len(rules[i].grid) - 1 - level)]
+            n, k = len(strata[x]), sum(any(c is not None and value[j](r) > c for j, c in enumerate(held)) for r in strata[x])
+            tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(alpha) + (n - i) * math.log1p(-alpha)) for i in range(k + 1))
+            if k < n * alpha and tail <= delta / share:
+                best = list(held)
+        out[x] = tuple(best)
+    return out
+
+
+def test_nested_cutoffs_equal_a_plain_version(spark):
+    rng = random.Random(9)
+    rows = []
+    for s, n in enumerate((60, 310, 420, 700, 1500, 2500)):
+        bad = rng.choice([0.0, 0.002, 0.006])
+        rows += [(f"s{s}", 100, rng.choice([200, 400, 950]) if rng.random() < bad else 280, rng.choice([5, 30, 120]) if rng.random() < bad else 1) for _ in range(n)]
+    want = plain_cutoffs(rows, RULES, 0.01, 0.05)
+    got = {r.stratum: (r.symbols, r.long_words) for r in Q.nested_cutoffs(spark.createDataFrame(rows, "stratum string, n_words int, word_chars int, n_symbols int"), RULES, 0.01, 0.05).collect()}
+    assert got == want and len(set(want.values())) > 2
+
+
+def test_the_sql_twin_decides_rows_too(spark, tmp_path):
+    import duckdb
+    from tidewheel.llm.queries import ORACLES, op7_risk_controlled_rules
+
+    rng = random.Random(4)
+    text = lambda junk: " ".join(f"w{rng.randrange(10**6)}" for _ in range(55)) + " #" * junk
+    rows = [(i, text(0 if i % 5 else rng.choice([0, 6, 40])), "en" if i % 2 else "fr") for i in range(1600)] + [(5000, "few", "de"), (5001, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 1) for i, t, _ in rows if t and "#" not in t] + [(5000, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted(tuple(r) for r in op7_risk_controlled_rules(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(tuple(r) for r in con.execute(ORACLES["op7_risk_controlled_rules"]).fetchall())
+    assert sum(not r[6] and not r[7] for r in got) > 100

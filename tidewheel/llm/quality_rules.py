@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,34 +91,10 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).when(k == 0, first).otherwise(first * tail)
 
 
-def cutoffs(good: DataFrame, rules: Sequence[Rule] = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, and a column of each rule's name): the strictest certified cutoff, NULL where there is none.
-
-    `good` has a row for each held-out document of good quality: stratum and measures. A cutoff that would
-    reject k of a stratum's n good documents is certified if k or fewer rejections have a probability of at most
-    delta / (number of cutoffs tried in all strata) were the true share alpha / (number of rules): then
-    the exact upper bound on that share is below it, and all chosen cutoffs hold at once.
-    """
-    above = [F.struct(F.lit(i).alias("rule"), F.size(F.filter(F.array(*[F.lit(float(c)) for c in r.grid]), lambda c: F.expr(r.value) > c)).alias("level"))
-             for i, r in enumerate(rules)]
-    counts = settle(good.select("stratum", F.explode(F.array(*above)).alias("x")).groupBy("stratum", "x.rule", "x.level").agg(F.count("*").alias("n")))
-    sizes = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("_n"))
-    grid = F.element_at(F.array(*[F.array(*[F.lit(float(c)) for c in r.grid]) for r in rules]), F.col("rule") + 1)
-    tried = sizes.select("stratum", "rule", "_n", F.posexplode(grid).alias("place", "cutoff"))
-    rejected = tried.join(counts, ["stratum", "rule"]).groupBy("stratum", "rule", "_n", "place", "cutoff").agg(
-        F.sum(F.when(F.col("level") > F.col("place"), F.col("n")).otherwise(0)).cast("bigint").alias("_k"))
-    tests = sum(len(r.grid) for r in rules)
-    strata = F.count("*").over(Window.partitionBy()) / tests  # one row a test: strata times rules times cutoffs
-    chance = binomial_tail(F.col("_n"), F.col("_k"), alpha / len(rules))
-    certified = rejected.withColumn("_ok", chance <= delta / (tests * strata))
-    pick = [F.min(F.when(F.col("_ok") & (F.col("rule") == i), F.col("cutoff"))).alias(r.name) for i, r in enumerate(rules)]
-    return certified.groupBy("stratum").agg(*pick)
-
-
 def nested_cutoffs(good: DataFrame, rules: Sequence[Rule] = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, and a column of each rule's name): the strictest certified vector of cutoffs, NULL for rules not begun.
 
-    `good` is as in `cutoffs`. The vectors are fixed before any label is seen and nested: they start without
+    `good` has a row for each held-out document of good quality: stratum and measures. The vectors are fixed before any label is seen and nested: they start without
     rules, and each adds the next rule's next cutoff from lax to strict, the rules taking turns. The good
     documents that a vector rejects by any rule are tested against the whole alpha, vector by vector until one
     fails: only the first vector whose true share is above alpha can be certified wrongly, so the sequence
@@ -147,13 +123,11 @@ def nested_cutoffs(good: DataFrame, rules: Sequence[Rule] = RULES, alpha: float
 
 
 def judge(docs: DataFrame, labels: DataFrame, rules: Sequence[Rule] = RULES, alpha: float = ALPHA, delta: float = DELTA,
-          id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
-          certify: Callable[[DataFrame, Sequence[Rule], float, float], DataFrame] = nested_cutoffs) -> DataFrame:
+          id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """id, the five measures, base_failed and kept of every row.
 
     Every labelled document of good quality that the base rules pass is a holdout of its stratum, since
-    nothing else is fitted. `certify` chooses the cutoffs: `nested_cutoffs`, or `cutoffs` with a share of alpha for
-    each rule. kept is false if base_failed, else unless a rule's value is above its stratum's cutoff. Strata
+    nothing else is fitted. kept is false if base_failed, else unless a rule's value is above its stratum's cutoff. Strata
     without labels, or with too few to certify a cutoff, have no rules but the base ones; NULL is a stratum. Text that is
     NULL has no words and fails. A document with several labels is good if all say so; NULL labels and ids are passed over.
     Repeated rows are judged alike. An empty table gives an empty result; other columns are ignored.
@@ -162,7 +136,7 @@ def judge(docs: DataFrame, labels: DataFrame, rules: Sequence[Rule] = RULES, alp
                                ["doc_id", "stratum"], "_text").withColumn("base_failed", F.expr(BASE_FAILED)))
     trusted = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_q"))
                .where("_q = 1").select("doc_id"))
-    chosen = settle(certify(measured.where(~F.col("base_failed")).join(trusted, "doc_id", "left_semi"), rules, alpha, delta))
+    chosen = settle(nested_cutoffs(measured.where(~F.col("base_failed")).join(trusted, "doc_id", "left_semi"), rules, alpha, delta))
     fires = F.lit(False)
     for r in rules:
         fires = fires | F.coalesce(F.expr(r.value) > F.col(r.name), F.lit(False))

@@ -91,12 +91,11 @@ def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op7_sql() -> str:
-    rules = quality_rules.RULES
-    share = quality_rules.ALPHA / len(rules)
-    space = "[\\x20\\x09-\\x0D]+"
-    values = " UNION ALL ".join(f"SELECT stratum, {i} AS rule, CAST({r.value} AS DOUBLE) AS v FROM g" for i, r in enumerate(rules))
-    grid = ", ".join(f"({i}, CAST({c!r} AS DOUBLE))" for i, r in enumerate(rules) for c in r.grid)
-    fires = " OR ".join(f"coalesce({r.value} > (SELECT min(cutoff) FROM c WHERE c.stratum = b.stratum AND c.rule = {i}), false)" for i, r in enumerate(rules))
+    """A document is rejected if the first vector that rejects it comes no later than its stratum's last certified one."""
+    rules, alpha, delta = quality_rules.RULES, quality_rules.ALPHA, quality_rules.DELTA
+    space, turns = "[\\x20\\x09-\\x0D]+", len(rules)
+    above = [" + ".join(f"CASE WHEN {r.value} > {c!r} THEN 1 ELSE 0 END" for c in r.grid) for r in rules]
+    first = ", ".join(f"CASE WHEN {n} > 0 THEN ({len(r.grid)} - ({n})) * {turns} + {i} END" for i, (r, n) in enumerate(zip(rules, above, strict=True)))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
                   list_filter(regexp_split_to_array(coalesce(text, ''), '{space}'), lambda w: w <> '') AS w FROM documents),
@@ -108,14 +107,17 @@ m AS (SELECT d.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, length(array_
         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
       FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d) d
       LEFT JOIN cov ON cov.doc_id = d.doc_id),
-b AS (SELECT *, ({quality_rules.BASE_FAILED}) AS base_failed FROM m),
-g AS (SELECT b.* FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
-v AS ({values}), grid(rule, cutoff) AS (VALUES {grid}),
-k AS (SELECT v.stratum, v.rule, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM v JOIN grid USING (rule) GROUP BY ALL),
-c AS (SELECT stratum, rule, cutoff FROM k WHERE k < n * {share!r} AND
-      list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}) + (n - i) * ln(1 - {share!r}))))
-      <= {quality_rules.DELTA} / (SELECT count(*) FROM k))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({fires}) AS kept FROM b"""
+b AS (SELECT *, ({quality_rules.BASE_FAILED}) AS base_failed, least({first}) AS first_step FROM m),
+g AS (SELECT stratum, first_step FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)),
+z AS (SELECT stratum, n, row_number() OVER (ORDER BY n DESC, stratum) AS place FROM (SELECT stratum, count(*) AS n FROM g GROUP BY stratum)),
+y AS (SELECT *, (SELECT max(place) FROM z WHERE pow(1 - {alpha!r}, n) <= {delta!r} / place) AS shares FROM z),
+k AS (SELECT y.stratum, n, shares, step, count(*) FILTER (first_step <= step) AS k FROM y JOIN g ON g.stratum = y.stratum, range(0, {turns * max(len(r.grid) for r in rules)}) AS x(step)
+      WHERE place <= shares GROUP BY y.stratum, n, shares, step),
+c AS (SELECT stratum, max(step) AS last_step FROM k WHERE k < n * {alpha!r} AND
+      list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha!r}) + (n - i) * ln(1 - {alpha!r}))))
+      <= {delta!r} / shares GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(first_step <= last_step, false) AS kept
+FROM b LEFT JOIN c ON c.stratum = b.stratum"""
 
 
 def op8_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
