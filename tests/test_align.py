@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidewheel.functions import kernels as K
 from tidewheel.operators import align as L
 from tidewheel.operators import grid as G
 from tidewheel.operators import notes as N
@@ -36,6 +38,48 @@ def test_offset_curve_matches_numpy_across_blocks(spark, pairs):
         assert got["same", lag] == pytest.approx(np.corrcoef(a[lo:hi], a[lo + lag: hi + lag])[0, 1], abs=1e-9)
 
 
+def test_a_wide_lag_search_over_gaps_matches_direct_sums(spark):
+    rng = np.random.default_rng(6)
+    a = song(9000, 6)
+    b = np.concatenate([np.full(1700, -100.0), a])[:9500]
+    holes = rng.random(len(a)) < 0.05
+    old = spark.createDataFrame([(None, i, float(v)) for i, v in enumerate(a) if not holes[i]] + [("flat", i, 7.0) for i in range(500)], "series_id string, frame long, value double")
+    new = spark.createDataFrame([(None, i, float(v)) for i, v in enumerate(b)] + [("flat", i, float(v)) for i, v in enumerate(a[:500])], "series_id string, frame long, value double")
+    pair = old.withColumnRenamed("value", "old").join(new.withColumnRenamed("value", "new"), [old.series_id.eqNullSafe(new.series_id), old.frame == new.frame], "full").select(
+        F.coalesce(old.series_id, new.series_id).alias("series_id"), F.coalesce(old.frame, new.frame).alias("frame"), "old", "new")
+    sums = {r.lag: r for r in L.lag_sums(pair.where("series_id IS NULL"), KEYS, -2000, 2000, size=4096).collect()}
+    assert sorted(sums) == list(range(-2000, 2001))
+    for lag in (-2000, -333, 0, 1700, 2000):
+        at = np.array([i for i in range(len(a)) if not holes[i] and 0 <= i + lag < len(b)])
+        x, y = a[at], b[at + lag]
+        r = sums[lag]
+        assert r.n == len(at)
+        assert [r.sa, r.sb, r.saa, r.sbb, r.sab] == pytest.approx([x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum()], rel=1e-10)
+    flat = L.offset_curve(pair.where("series_id = 'flat'"), KEYS, 2000)
+    assert {r.r for r in flat.collect()} == {-1.0}
+    curve = {r.lag: r.r for r in L.offset_curve(pair.where("series_id IS NULL").withColumn("series_id", F.lit("x")), KEYS, 2000).collect()}
+    assert max(curve, key=curve.get) == 1700 and curve[1700] == pytest.approx(1.0, abs=1e-9)
+
+
+def test_windows_find_their_peaks_as_one_by_one():
+    rng = np.random.default_rng(2)
+    old, span, reach = np.repeat(rng.normal(size=80), 5) * 9, 60, 25
+    new = np.concatenate([np.full(reach + 7, -100.0), old, np.full(reach, -100.0)])[:len(old) + 2 * reach]
+    old[100:170] = 3.0
+    starts = np.arange(0, len(old) - span + 1, 10)
+    still, lag, r = K.window_peaks(old, new, starts, span, reach, 1.0, 0.002)
+    for k, s in enumerate(starts):
+        a = old[s:s + span]
+        assert still[k] == (a.std() < 1.0)
+        curve = []
+        for g in range(2 * reach + 1):
+            b = new[s + g:s + g + span]
+            curve.append(np.corrcoef(a, b)[0, 1] if a.std() > 1e-9 and b.std() > 1e-6 else 0.0)
+        peaks = [g - reach for g, v in enumerate(curve) if v >= max(curve) - 0.002 and v >= max([*curve[max(0, g - 1):g], *curve[g + 1:g + 2]]) - 1e-12]
+        if not still[k]:
+            assert lag[k] == min(peaks, key=lambda g: (abs(g), g)) and r[k] == pytest.approx(curve[lag[k] + reach], abs=1e-9)
+
+
 def test_global_and_local_lags_find_the_delay(pairs):
     found = {r["series_id"]: r for r in L.global_offset(pairs, KEYS, 60, size=256).collect()}
     assert found["same"]["lag"] == 0 and found["same"]["r"] == 1.0

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +27,6 @@ from tidewheel.operators.quantiles import exact_percentiles
 from tidewheel.session import settle
 
 _MOMENTS = ("n", "sa", "sb", "saa", "sbb", "sab")
-_MOMENT_SCHEMA = T.ArrayType(T.StructType([T.StructField(m, T.DoubleType()) for m in _MOMENTS]))
-
-
 def pair_up(old: DataFrame, new: DataFrame, keys: Sequence[str], value: str = "value",
             index: str = "frame") -> DataFrame:
     """Two versions on one index as (keys, frame, old, new)."""
@@ -42,22 +40,36 @@ def lag_sums(pairs: DataFrame, keys: Sequence[str], lo: int, hi: int, a: str = "
     keys = list(keys)
     before, after = max(0, -lo), max(0, hi)
     size = max(size, 2 * (before + after + 1))
-
-    @F.pandas_udf(_MOMENT_SCHEMA)
-    def moments(blk: pd.Series, at: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
-        out = []
-        for k, i, x, y in zip(blk, at, xs, ys):
-            start = int(k) * size
-            own = max(1, min(size, int(i[-1]) + 1 - start))
-            left = K.dense(i, x, start, own)
-            right = K.dense(i, y, start + lo, own + hi - lo)
-            out.append([dict(zip(_MOMENTS, row)) for row in K.lag_moments(left, right).T])
-        return pd.Series(out)
-
-    blocks = pack(pairs, keys, index, [a] if a == b else [a, b], size, before, after)
-    rows = blocks.select(*keys, F.posexplode(moments("_blk", index, a, b)).alias("_k", "_m"))
-    return rows.groupBy(*keys, (F.col("_k") + lo).cast("int").alias("lag")).agg(
-        *[F.sum(f"_m.{m}").alias(m) for m in _MOMENTS])
+    lags = hi - lo + 1
+
+    def moments(batches):
+        """One row for each series of a batch: its blocks meet in the spectra, so there is one inverse transform."""
+        for batch in batches:
+            series: dict[str, list[int]] = {}
+            for row, key in enumerate(batch.select(keys).to_pylist()):
+                series.setdefault(repr(key), []).append(row)
+            blk, index_, x, y = (batch.column(c) for c in ("_blk", index, a, b))
+            found = []
+            for rows in series.values():
+                pieces = []
+                for row in rows:
+                    at = index_[row].values.to_numpy(zero_copy_only=False)
+                    start = blk[row].as_py() * size
+                    own = max(1, min(size, int(at[-1]) + 1 - start))
+                    left, right = (v[row].values.to_numpy(zero_copy_only=False) for v in (x, y))
+                    pieces.append((K.dense(at, left, start, own), K.dense(at, right, start + lo, own + hi - lo)))
+                found.append(K.lag_moments(pieces, lags))
+            if found:
+                head = batch.select(keys).take(pa.array([rows[0] for rows in series.values()]))
+                columns = [pa.array([m[i] for m in found], pa.list_(pa.float64())) for i in range(len(_MOMENTS))]
+                yield pa.RecordBatch.from_arrays([*head.columns, *columns], names=[*keys, *(f"_{m}" for m in _MOMENTS)])
+
+    values = [a] if a == b else [a, b]
+    blocks = pack(pairs.withColumns({v: F.col(v).cast("double") for v in values}), keys, index, values, size, before, after)
+    schema = T.StructType([*blocks.select(*keys).schema.fields, *[T.StructField(f"_{m}", T.ArrayType(T.DoubleType())) for m in _MOMENTS]])
+    summed = blocks.mapInArrow(moments, schema)
+    rows = summed.select(*keys, F.posexplode(F.arrays_zip(*[f"_{m}" for m in _MOMENTS])).alias("_k", "_m"))
+    return rows.groupBy(*keys, (F.col("_k") + lo).cast("int").alias("lag")).agg(*[F.sum(f"_m._{m}").alias(m) for m in _MOMENTS])
 
 
 def offset_curve(pairs: DataFrame, keys: Sequence[str], reach: int, a: str = "old", b: str = "new",
@@ -70,7 +82,9 @@ def offset_curve(pairs: DataFrame, keys: Sequence[str], reach: int, a: str = "ol
     n = F.col("n")
     va, vb = F.col("saa") - F.col("sa") * F.col("sa") / n, F.col("sbb") - F.col("sb") * F.col("sb") / n
     cov = F.col("sab") - F.col("sa") * F.col("sb") / n
-    r = F.when((n >= least) & (va > 1e-9) & (vb > 1e-9), cov / F.sqrt(va * vb)).otherwise(-1.0)
+    # Below these a version's spread can't be told from the rounding of its sums.
+    moves = (va > F.greatest(F.lit(1e-9), F.col("saa") * 1e-13)) & (vb > F.greatest(F.lit(1e-9), F.col("sbb") * 1e-13))
+    r = F.when((n >= least) & moves, cov / F.sqrt(va * vb)).otherwise(-1.0)
     return sums.select(*keys, "lag", r.alias("r"))
 
 
@@ -134,49 +148,31 @@ def local_lags(pairs: DataFrame, keys: Sequence[str], width: int, hop: int, reac
     new version reads `fill`. The last partial window is left out.
     """
     keys = list(keys)
-    curve = settle(window_curves(pairs, keys, width, hop, reach, flat, fill, index, size))
-    flat_rows = curve.where(F.col("lag").isNull()).select(
-        *keys, "start", F.lit(None).cast("int").alias("lag"), F.lit(None).cast("double").alias("r"))
-    found = best_lag(curve.where(F.col("lag").isNotNull()), [*keys, "start"])
-    matched = found.select(*keys, "start", F.when(F.col("r") >= min_r, F.col("lag")).alias("lag"),
-                           F.round("r", 3).alias("r"))
-    return matched.unionByName(flat_rows)
-
-
-def window_curves(pairs: DataFrame, keys: Sequence[str], width: int, hop: int, reach: int,
-                  flat: float = C.FLAT_DB, fill: float = C.FLOOR_DB, index: str = "frame",
-                  size: int = BLOCK) -> DataFrame:
-    """r of every window at every lag; one row with a NULL lag for a flat window."""
-    keys = list(keys)
     size = max(1, max(size, 2 * (width + reach)) // hop) * hop
-    curve_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("lag", T.IntegerType()),
-                                           T.StructField("r", T.DoubleType())]))
+    window_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("lag", T.IntegerType()),
+                                            T.StructField("r", T.DoubleType())]))
 
-    @F.pandas_udf(curve_type)
-    def curves(blk: pd.Series, at: pd.Series, xs: pd.Series, ys: pd.Series, length: pd.Series) -> pd.Series:
+    @F.pandas_udf(window_type)
+    def best_of(blk: pd.Series, at: pd.Series, xs: pd.Series, ys: pd.Series, length: pd.Series) -> pd.Series:
         out = []
         for k, i, x, y, n in zip(blk, at, xs, ys, length):
             base = int(k) * size
             span = min(width, int(n))
-            own = max(1, min(size, int(n) - base))
-            old = K.dense(i, x, base, own + width)
-            new = np.nan_to_num(K.dense(i, y, base - reach, own + width + 2 * reach), nan=fill)
-            rows = []
-            for start in range(base, min(base + size, max(1, int(n) - span + 1)), hop):
-                a = old[start - base: start - base + span]
-                if a.std() < flat:
-                    rows.append((start, None, None))
-                    continue
-                moved = np.lib.stride_tricks.sliding_window_view(
-                    new[start - base: start - base + span + 2 * reach], span)
-                rows += [(start, lag - reach, r) for lag, r in enumerate(K.pearson_rows(moved, a).tolist())]
-            out.append([{"start": s, "lag": lag, "r": r} for s, lag, r in rows])
+            starts = np.arange(base, min(base + size, max(1, int(n) - span + 1)), hop)
+            if not span or not len(starts):
+                out.append([])
+                continue
+            own = int(starts[-1]) - base + span
+            old = K.dense(i, x, base, own)
+            new = np.nan_to_num(K.dense(i, y, base - reach, own + 2 * reach), nan=fill)
+            still, lag, r = K.window_peaks(old, new, starts - base, span, reach, flat, C.TIE_R)
+            out.append([{"start": int(s), "lag": None if f else int(g), "r": None if f else float(v)} for s, f, g, v in zip(starts, still, lag, r)])
         return pd.Series(out)
 
     lengths = pairs.groupBy(*keys).agg(F.count("old").alias("_n"))
     blocks = pack(pairs, keys, index, ["old", "new"], size, reach, width + reach).join(lengths, keys)
-    return blocks.select(*keys, F.explode(curves("_blk", index, "old", "new", "_n")).alias("_c")).select(
-        *keys, "_c.start", "_c.lag", "_c.r")
+    found = blocks.select(*keys, F.explode(best_of("_blk", index, "old", "new", "_n")).alias("_w"))
+    return found.select(*keys, "_w.start", F.when(F.col("_w.r") >= min_r, F.col("_w.lag")).alias("lag"), F.round("_w.r", 3).alias("r"))
 
 
 def classify_lags(windows: DataFrame, offsets: DataFrame, keys: Sequence[str], fps: float = C.FPS,
