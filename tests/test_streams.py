@@ -1,6 +1,7 @@
 """Streams: the same answer as the batch operator, over several batches and across a restart."""
 
 import os
+import random
 import tempfile
 
 import pytest
@@ -10,23 +11,61 @@ from tidewheel.operators import series as O
 from tidewheel.streaming import live as R
 
 
-def test_gain_across_files_and_a_restart_equals_batch(spark):
+SCHEMA = "series_id string, frame long, value double"
+
+
+def fed(spark, parts, processor, delay):
+    """Output rows and late count of a processor fed part by part, in the order of the lists, with a restart after each."""
     R.stateful_session(spark)
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    rows = [("s", i, float((i * 37) % 11) / 3) for i in range(60) if i not in (20, 21)]
-    schema = "series_id string, frame long, value double"
+    frames = [spark.createDataFrame(part, SCHEMA).coalesce(1) for part in parts]
+    everything = spark.createDataFrame([r for part in parts for r in part], SCHEMA)
+    frames[-1] = frames[-1].unionByName(R.closing(everything, 10_000))
+    out, late = R.run_parts(frames, tempfile.mkdtemp(prefix="spark-", dir="/tmp"), lambda s: R.run_processor(s, processor, delay=delay, hop_ms=1000))
+    rows = out.collect()
+    assert len({(r.series_id, r.frame) for r in rows}) == len(rows)
+    return {(r.series_id, r.frame): r for r in rows}, late
+
+
+def shuffled():
+    rng = random.Random(4)
+    rows = [(s, i, float((i * 37 + len(s)) % 11) / 3) for s in ("s", "other") for i in range(60) if i not in (20, 21)]
+    early = [r for r in rows if r[1] < 30 and not (r[1] >= 22 and r[1] % 2)]
+    rest = [r for r in rows if r not in early]
+    for part in (early, rest):
+        rng.shuffle(part)
+    return rows, [early, rest]
+
+
+def test_gain_out_of_order_and_across_a_restart_equals_batch(spark):
+    rows, parts = shuffled()
+    got, late = fed(spark, parts, R.AutoGain(decay=0.9), "15 seconds")
+    want = O.auto_gain(spark.createDataFrame(rows, SCHEMA), ["series_id"], "value", "gain", decay=0.9, size=8).collect()
+    assert late == 0 and {k: r.gain for k, r in got.items()} == pytest.approx({(r.series_id, r.frame): r.gain for r in want})
+
+
+def test_smoothing_and_delay_out_of_order(spark):
+    rows, parts = shuffled()
+    smooth, late = fed(spark, parts, R.SmoothAndFlux(0.5), "15 seconds")
+    heard, _ = fed(spark, parts, R.DelayedFrame(1.0, 3.0, 2.0), "15 seconds")
+    assert late == 0 and len(smooth) == len(heard) == len(rows)
+    for s in ("s", "other"):
+        mine, level = sorted(r[1:] for r in rows if r[0] == s), 0.0
+        known = dict(mine)
+        for k, (frame, value) in enumerate(mine):
+            before, level = level, 0.5 * level + 0.5 * value
+            assert smooth[s, frame].smooth == pytest.approx(level) and smooth[s, frame].flux == pytest.approx(max(level - before, 0.0) if k else 0.0)
+            past = max((f for f in known if frame - 6 <= f <= frame - 3), default=None)
+            assert (heard[s, frame].heard, heard[s, frame].value) == (past, known.get(past))
+
 
-    def feed(part):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
-        R.run_available(R.run_processor(stream, R.AutoGain(decay=0.9)), f"{folder}/out", f"{folder}/checkpoint")
-
-    feed(rows[:25])
-    feed(rows[25:40])
-    feed(rows[40:])
-    got = {r["frame"]: r["gain"] for r in spark.read.parquet(f"{folder}/out").collect()}
-    want = {r["frame"]: r["gain"] for r in O.auto_gain(spark.createDataFrame(rows, schema), ["series_id"], "value", "gain", decay=0.9, size=8).collect()}
-    assert len(got) == len(rows) and got == pytest.approx(want)
+def test_late_frames_are_counted_and_leave_the_rest_right(spark):
+    rows = [("s", i, 1.0 + i % 5) for i in range(50)]
+    held = [r for r in rows if r[1] in (3, 17, 28)]
+    parts = [[r for r in rows if r[1] < 30 and r not in held], [r for r in rows if r[1] >= 30] + held]
+    got, late = fed(spark, parts, R.AutoGain(decay=0.9), "5 seconds")
+    kept = [r for r in rows if r[1] not in (3, 17)]
+    want = O.auto_gain(spark.createDataFrame(kept, SCHEMA), ["series_id"], "value", "gain", decay=0.9, size=8).collect()
+    assert late == 2 and {k[1]: r.gain for k, r in got.items()} == pytest.approx({r.frame: r.gain for r in want})
 
 
 def test_nothing_is_written_twice(spark):

@@ -138,8 +138,17 @@ def frames_stream(spark, frames, batches=(None,)):
     return (reader.option("maxFilesPerTrigger", 1) if len(batches) > 1 else reader).parquet(path)
 
 
-def weekly_stream(spark, sf):
-    return frames_stream(spark, weekly_levels(spark, sf).select(F.col("series_id").cast("string").alias("series_id"), "frame", "value"))
+def weekly_frames(spark, sf):
+    return settle(weekly_levels(spark, sf).select(F.col("series_id").cast("string").alias("series_id"), "frame", "value"))
+
+
+def in_order(spark, frames, processor, first="frame < 60 AND NOT (frame >= 40 AND frame % 3 = 1)", stops=(), delay=30):
+    """The processor's output over several parts with a restart between them, the second of which holds frames that the first should have had."""
+    edges = [0, *stops, 2**62]
+    rest = [frames.where(f"NOT ({first}) AND frame >= {lo} AND frame < {hi}") for lo, hi in zip(edges, edges[1:])]
+    parts = [frames.where(first), *rest[:-1], rest[-1].unionByName(R.closing(frames, 10_000))]
+    build = lambda stream: R.run_processor(stream, processor, delay=f"{delay} seconds", hop_ms=1000)
+    return R.run_parts(parts, shared_path(spark, "stream"), build)
 
 
 @query("stream_scaled", f"""WITH {WEEKLY_FLUX}, q AS (SELECT series_id, quantile_cont(flux, 0.995) AS ref FROM weekly_flux GROUP BY 1)
@@ -157,7 +166,7 @@ m AS (SELECT *, exp(greatest(coalesce(max(y) OVER (PARTITION BY series_id ORDER
 SELECT CAST(series_id AS VARCHAR) AS series_id, frame, round(ref, 6) AS gain_ref, round(least(greatest(value / ref, 0.0), 1.0), 6) AS gain FROM m""")
 def stream_auto_gain(spark, sf):
     R.stateful_session(spark)
-    out = run(spark, R.run_processor(weekly_stream(spark, sf), R.AutoGain(decay=0.99)))
+    out, _ = in_order(spark, weekly_frames(spark, sf), R.AutoGain(decay=0.99))
     return out.select("series_id", "frame", F.round("gain_ref", 6).alias("gain_ref"), F.round("gain", 6).alias("gain"))
 
 
@@ -165,17 +174,31 @@ def stream_auto_gain(spark, sf):
 SELECT CAST(series_id AS VARCHAR) AS series_id, frame, round(smooth, 6) AS smooth, round(greatest(smooth - coalesce(lag(smooth) OVER (PARTITION BY series_id ORDER BY frame), smooth), 0.0), 6) AS flux FROM s""")
 def stream_smooth(spark, sf):
     R.stateful_session(spark)
-    out = run(spark, R.run_processor(weekly_stream(spark, sf), R.SmoothAndFlux()))
+    out, _ = in_order(spark, weekly_frames(spark, sf), R.SmoothAndFlux())
     return out.select("series_id", "frame", F.round("smooth", 6).alias("smooth"), F.round("flux", 6).alias("flux"))
 
 
 @query("stream_delay", f"""WITH {WEEKLY} SELECT CAST(a.series_id AS VARCHAR) AS series_id, a.frame, b.frame AS heard, round(b.value, 6) AS value FROM weekly a LEFT JOIN weekly b ON a.series_id = b.series_id AND b.frame = a.frame - 3""")
 def stream_delay(spark, sf):
     R.stateful_session(spark)
-    out = run(spark, R.run_processor(weekly_stream(spark, sf), R.DelayedFrame(0.75, 4.0)))
+    out, _ = in_order(spark, weekly_frames(spark, sf), R.DelayedFrame(0.75, 4.0))
     return out.select("series_id", "frame", "heard", F.round("value", 6).alias("value"))
 
 
+@query("stream_restart", f"""WITH {WEEKLY}, p AS (SELECT *, frame < 60 AND frame % 10 = 5 AS held_back FROM weekly),
+w AS (SELECT max(frame) - 20 AS wm FROM p WHERE frame < 60 AND NOT held_back), k AS (SELECT p.* FROM p, w WHERE NOT (held_back AND frame <= wm)),
+l AS (SELECT count(*) AS late FROM p, w WHERE held_back AND frame <= wm),
+y AS (SELECT *, CASE WHEN value > 0 THEN ln(value) - frame * ln(0.99) END AS y FROM k),
+m AS (SELECT *, exp(greatest(coalesce(max(y) OVER (PARTITION BY series_id ORDER BY frame), ln(1e-3) + ln(0.99)), ln(1e-3) + ln(0.99)) + frame * ln(0.99)) AS ref FROM y)
+SELECT CAST(series_id AS VARCHAR) AS series_id, frame, round(least(greatest(value / ref, 0.0), 1.0), 6) AS gain, late FROM m, l""")
+def stream_restart(spark, sf):
+    """A gain stopped and started again from its checkpoint twice, with every tenth frame held back: of those, the ones that the
+    watermark (20 frames) has passed are dropped and counted."""
+    R.stateful_session(spark)
+    out, late = in_order(spark, weekly_frames(spark, sf), R.AutoGain(decay=0.99), "frame < 60 AND frame % 10 <> 5", (120,), 20)
+    return out.select("series_id", "frame", F.round("gain", 6).alias("gain"), F.lit(late).cast("bigint").alias("late"))
+
+
 @query("stream_loops", f"""WITH {WEEKLY}, h AS (SELECT series_id, frame * 1.0 AS t, value FROM weekly WHERE n >= 3), c AS (SELECT series_id, floor(max(t) / 52) AS loop FROM h GROUP BY 1)
 SELECT CAST(h.series_id AS VARCHAR) AS series_id, t - loop * 52 AS t, round(value, 6) AS strength, CAST(loop AS BIGINT) AS loop FROM h JOIN c USING (series_id) WHERE t >= loop * 52""")
 def stream_loops(spark, sf):

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewheel.constants import FLUX_CEILING
@@ -57,81 +60,115 @@ def scale_live(frames: DataFrame, scales: DataFrame, series: str, value: str, ou
         out, F.when(ref > 0, S.clamp(F.col(value) / ref, 0.0, ceiling)).otherwise(0.0)).drop("reference")
 
 
-class AutoGain(StatefulProcessor):
-    """value over a decaying running maximum; frames that never came still decay it."""
+class InOrder(StatefulProcessor):
+    """Frames of a series in event-time order, whatever order they came in.
 
-    def __init__(self, decay: float = 0.9995, start: float = 1e-3):
-        self.decay, self.floor = decay, start
+    Frames wait in state until the watermark has passed them; a timer at the earliest one waiting makes sure that they come out
+    even if the series falls silent. `step` then gets them sorted, a batch at a time. What waits is what the watermark's delay
+    allows, so neither the state nor a call grows with the stream. Frames behind the watermark are dropped by Spark and
+    counted in the query's progress (see run_available).
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("gain", "peak double, frame long")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, frame long, value double")
+        self.begin(handle)
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        """Declare the state of `step`."""
+
+    def step(self, key: tuple, frames: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("frame")
-        peak, last = self.state.get() if self.state.exists() else (self.floor, -1)
-        out = []
-        for frame, value in zip(batch["frame"], batch["value"]):
-            peak = max(peak * self.decay ** (int(frame) - last), float(value))
-            last = int(frame)
-            out.append((key[0], last, peak, min(max(float(value) / peak, 0.0), 1.0)))
-        self.state.update((float(peak), last))
-        yield pd.DataFrame(out, columns=["series_id", "frame", "gain_ref", "gain"])
+        for batch in rows:
+            at = batch["ts"].astype("datetime64[ms]").astype("int64")
+            self.waiting.appendList(list(zip(at.tolist(), batch["frame"].tolist(), batch["value"].tolist())))
+        yield from self.released(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.released(key, timerValues)
+
+    def released(self, key, timerValues) -> Iterator[pd.DataFrame]:
+        if not self.waiting.exists():
+            return
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = sorted(self.waiting.get())
+        count = next((i for i, row in enumerate(held) if row[0] > passed), len(held))
+        due, rest = held[:count], held[count:]
+        if rest:
+            self.handle.registerTimer(int(rest[0][0]))
+        if not due:
+            return
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        yield self.step(key, np.array([r[1] for r in due], dtype=np.int64), np.array([r[2] for r in due], dtype=np.float64))
 
     def close(self) -> None:
         pass
 
 
-class SmoothAndFlux(StatefulProcessor):
+class AutoGain(InOrder):
+    """value over a decaying running maximum; frames that never came still decay it."""
+
+    def __init__(self, decay: float = 0.9995, start: float = 1e-3):
+        self.decay, self.floor = decay, start
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("gain", "peak double, frame long")
+
+    def step(self, key, frames, values) -> pd.DataFrame:
+        peak, last = self.state.get() if self.state.exists() else (self.floor, -1)
+        # In logarithms the decay is a slope, and the peak a running maximum over it.
+        fall = math.log(self.decay) * (frames - last)
+        logs = np.log(np.where(values > 0, values, 1e-300))
+        peaks = np.exp(np.maximum(np.maximum.accumulate(logs - fall), math.log(peak)) + fall)
+        self.state.update((float(peaks[-1]), int(frames[-1])))
+        return pd.DataFrame({"series_id": key[0], "frame": frames, "gain_ref": peaks, "gain": np.clip(values / peaks, 0.0, 1.0)})
+
+
+class SmoothAndFlux(InOrder):
     """Exponential smoothing and the rectified step from the smoothed frame before."""
 
     def __init__(self, tau: float = 0.55):
         self.tau = tau
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def begin(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("smooth", "level double, frame long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("frame")
+    def step(self, key, frames, values) -> pd.DataFrame:
         first = not self.state.exists()
-        level, last = (0.0, -1) if first else self.state.get()
-        out = []
-        for frame, value in zip(batch["frame"], batch["value"]):
-            before = level
-            level = self.tau * level + (1.0 - self.tau) * float(value)
-            out.append((key[0], int(frame), level, 0.0 if first else max(level - before, 0.0)))
-            first, last = False, int(frame)
-        self.state.update((float(level), last))
-        yield pd.DataFrame(out, columns=["series_id", "frame", "smooth", "flux"])
+        level = 0.0 if first else self.state.get()[0]
+        levels = np.array(list(accumulate(values.tolist(), lambda held, v: self.tau * held + (1.0 - self.tau) * v, initial=level)))
+        flux = np.maximum(np.diff(levels), 0.0)
+        if first:
+            flux[0] = 0.0
+        self.state.update((float(levels[-1]), int(frames[-1])))
+        return pd.DataFrame({"series_id": key[0], "frame": frames, "smooth": levels[1:], "flux": flux})
 
-    def close(self) -> None:
-        pass
 
-
-class DelayedFrame(StatefulProcessor):
+class DelayedFrame(InOrder):
     """Each frame answered with the frame heard `latency` seconds before it, from a short ring."""
 
     def __init__(self, latency: float, fps: float, keep_s: float = 4.0):
         self.latency, self.fps, self.keep = min(max(latency, 0.0), 1.0), fps, keep_s
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def begin(self, handle: StatefulProcessorHandle) -> None:
         self.ring = handle.getListState("ring", "frame long, value double")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("frame")
-        ring = sorted((int(f), float(v)) for f, v in self.ring.get()) if self.ring.exists() else []
-        out = []
-        for frame, value in zip(batch["frame"], batch["value"]):
-            ring.append((int(frame), float(value)))
-            heard = frame - self.latency * self.fps
-            ring = [r for r in ring if r[0] >= frame - self.keep * self.fps]
-            past = [r for r in ring if r[0] <= heard + 1e-9]
-            out.append((key[0], int(frame), past[-1][0] if past else None, past[-1][1] if past else None))
-        self.ring.put(ring)
-        frame = pd.DataFrame(out, columns=["series_id", "frame", "heard", "value"])
-        yield frame.astype({"heard": "Int64"})
-
-    def close(self) -> None:
-        pass
+    def step(self, key, frames, values) -> pd.DataFrame:
+        ring = list(self.ring.get()) if self.ring.exists() else []
+        known = np.concatenate([np.array([r[0] for r in ring], dtype=np.int64), frames])
+        heard = np.concatenate([np.array([r[1] for r in ring], dtype=np.float64), values])
+        place = np.searchsorted(known, frames - self.latency * self.fps + 1e-9, side="right") - 1
+        there = (place >= 0) & (known[np.maximum(place, 0)] >= frames - self.keep * self.fps)
+        kept = np.flatnonzero(known >= frames[-1] - self.keep * self.fps)
+        self.ring.put([(int(known[i]), float(heard[i])) for i in kept])
+        place = np.maximum(place, 0)
+        return pd.DataFrame({"series_id": key[0], "frame": frames, "heard": pd.array(np.where(there, known[place], 0), dtype="Int64").astype("Int64"),
+                             "value": np.where(there, heard[place], np.nan)}).assign(heard=lambda d: d["heard"].where(there), value=lambda d: d["value"].astype("Float64").where(there))
 
 
 class LoopHits(StatefulProcessor):
@@ -168,19 +205,65 @@ OUTPUTS = {
 }
 
 
-def run_processor(frames: DataFrame, processor: StatefulProcessor, series: str = "series_id", mode: str = "Append") -> DataFrame:
-    """Apply a stateful processor per series of a stream."""
-    return frames.groupBy(series).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=OUTPUTS[type(processor)], outputMode=mode, timeMode="None")
+def run_processor(frames: DataFrame, processor: StatefulProcessor, series: str = "series_id", mode: str = "Append",
+                  delay: str = "0 seconds", hop_ms: int = 10) -> DataFrame:
+    """Apply a stateful processor per series of a stream. Processors in event-time order need `ts`, else
+    a frame (from 0 on) ends `hop_ms` after the one before; time 0 is behind any watermark."""
+    if not isinstance(processor, InOrder):
+        return frames.groupBy(series).transformWithStateInPandas(
+            statefulProcessor=processor, outputStructType=OUTPUTS[type(processor)], outputMode=mode, timeMode="None")
+    timed = frames if "ts" in frames.columns else frames.withColumn("ts", F.timestamp_millis((F.col("frame") + 1) * hop_ms))
+    return timed.withWatermark("ts", delay).groupBy(series).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=OUTPUTS[type(processor)], outputMode=mode, timeMode="EventTime")
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there and stop; started again with the same checkpoint it goes on exactly
-    where it stopped and writes nothing twice."""
-    (stream.writeStream.format("parquet").outputMode(mode).option("path", path)
-     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+class LateRows(StreamingQueryListener):
+    """Counts the rows that a query's watermark dropped, from the progress of every batch."""
+
+    def __init__(self) -> None:
+        self.count, self.over = 0, threading.Event()
 
+    def onQueryStarted(self, event) -> None:
+        pass
 
-def count_late(events: DataFrame, ts: str, horizon: Column) -> DataFrame:
-    """Rows the watermark policy would drop, counted rather than lost silently."""
-    return events.agg(F.count_if(F.col(ts) < horizon).alias("late"), F.count("*").alias("rows"))
+    def onQueryProgress(self, event) -> None:
+        self.count += sum(operator.numRowsDroppedByWatermark for operator in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.over.set()
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> int:
+    """Process what is there and stop; started again with the same checkpoint it goes on exactly
+    where it stopped and writes nothing twice. Returns how many rows came behind the watermark and were dropped."""
+    streams, late = stream.sparkSession.streams, LateRows()
+    streams.addListener(late)
+    try:
+        (stream.writeStream.format("parquet").outputMode(mode).option("path", path)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+        late.over.wait(30)  # progress is reported in another thread, the end last
+    finally:
+        streams.removeListener(late)
+    return late.count
+
+
+def run_parts(parts: Iterable[DataFrame], folder: str, build: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+    """Feed a stream part by part, with a stop after each, as a job that is restarted again and again; its output and late rows.
+
+    Event-time results come out as the watermark passes them: the last part needs a time that closes what is open (`closing`).
+    """
+    late = 0
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = build(part.sparkSession.readStream.schema(part.schema).parquet(f"{folder}/in"))
+        late += run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return part.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out"), late
+
+
+def closing(frames: DataFrame, ahead: int) -> DataFrame:
+    """One row, `ahead` frames past the last and of no series: after the part that holds it the watermark has passed all others."""
+    last = frames.agg(F.max("frame").alias("frame"))
+    return last.select(*[(F.col("frame") + ahead if f.name == "frame" else F.lit("" if f.name == "series_id" else None)).cast(f.dataType).alias(f.name) for f in frames.schema])
