@@ -5,11 +5,14 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewheel.operators import blocks as B
 from tidewheel.operators import joins as J
-from tidewheel.operators.aggregates import _median_slope, top_k
+from tidewheel.operators import slopes
+from tidewheel.operators.aggregates import majority, top_k
 from tidewheel.operators.quantiles import exact_percentiles
 
 RNG = np.random.default_rng(7)
@@ -140,7 +143,7 @@ def test_median_slope_selects_without_listing_pairs():
         i, j = np.triu_indices(n, 1)
         dx = x[j] - x[i]
         keep = dx != 0
-        assert _median_slope(x, y) == pytest.approx(np.median((y[j] - y[i])[keep] / dx[keep]), abs=1e-6)
+        assert slopes.median_slope(x, y) == pytest.approx(np.median((y[j] - y[i])[keep] / dx[keep]), abs=1e-6)
 
 
 def test_top_k_is_whole(spark):
@@ -158,3 +161,46 @@ def test_box_mean_keeps_equal_samples(spark):
     samples = spark.createDataFrame([("s", 2.0), ("s", 2.0), ("s", 3.0)], "k string, t double")
     got = sorted((r["t"], round(r["m"], 6)) for r in box_mean(samples, frames, ["k"], "t", "v", "m", 0.1, 10.0).collect())
     assert got == [(2.0, 20.0), (2.0, 20.0), (3.0, 30.0)]
+
+
+def test_median_slopes_of_large_groups_by_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    points = [("noise", float(a), float(b)) for a, b in zip(rng.integers(0, 400, 700), rng.normal(size=700))]
+    points += [("line", float(i), 0.1 * i + 3.0) for i in range(500)]
+    points += [("ties", float(a), float(b)) for a, b in zip(rng.integers(0, 6, 600), rng.integers(0, 4, 600))]
+    points += [(None, 5.0, float(i)) for i in range(300)] + [("huge", 1e-3 * i, float(1e6 * rng.normal() + 2e9 * i)) for i in range(201)]
+    points += [("few", 0.0, 1.0), ("few", 2.0, 2.0), ("one", 1.0, 1.0), ("line", 1.0, None)]
+    frame = spark.createDataFrame(points, "g string, x double, y double")
+    whole = {r.g: r.slope for r in slopes.theil_sen(frame, ["g"], "x", "y").collect()}
+    monkeypatch.setattr(slopes, "ROWS", 64)
+    monkeypatch.setattr(slopes, "SAMPLED", 100)
+    blocks = {r.g: r.slope for r in slopes.theil_sen(frame, ["g"], "x", "y").collect()}
+    for g in {p[0] for p in points}:
+        x, y = (np.array([p[k] for p in points if p[0] == g and p[2] is not None]) for k in (1, 2))
+        i, j = np.triu_indices(len(x), 1)
+        apart = x[i] != x[j]
+        want = np.median((y[j] - y[i])[apart] / (x[j] - x[i])[apart]) if apart.any() else 0.0
+        assert blocks[g] == pytest.approx(want, rel=1e-9, abs=1e-9) and whole[g] == pytest.approx(want, rel=1e-9, abs=1e-9), g
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 6), st.integers(1, 4)), min_size=1, max_size=25))
+def test_falling_pairs_by_weight(points):
+    group, z, w = (np.array([p[k] for p in points]) for k in range(3))
+    want = sum(w[i] * w[j] for i in range(len(points)) for j in range(len(points)) if group[i] < group[j] and z[i] >= z[j])
+    assert slopes.falling_pairs(group, z.astype(float), w) == want
+
+
+def test_majority_of_a_large_group(spark):
+    rng = np.random.default_rng(3)
+    values = np.round(rng.normal(size=900), 2)
+    values[:500] = np.round(4 + 0.01 * rng.integers(-2, 3, 500), 2)
+    frame = spark.createDataFrame([("a" if i % 9 else None, int(i), float(v)) for i, v in enumerate(values)], "g string, m long, v double")
+    got = majority(frame, ["g"], "v", "m", radius=0.0201).collect()
+    for g in ("a", None):
+        mine = np.array([r.v for r in got if r.g == g])
+        near = np.array([(np.abs(mine - v) <= 0.0201).sum() for v in mine])
+        best = max(zip(near, mine))
+        inside = np.abs(mine - best[1]) <= 0.0201
+        assert all(r.agreed == (pytest.approx(np.median(mine[inside])) if 2 * best[0] > len(mine) else None) for r in got if r.g == g)
+        assert [r.outlier for r in got if r.g == g] == (~inside if 2 * best[0] > len(mine) else np.ones(len(mine), bool)).tolist()

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel import constants as C
+from tidewheel.operators.blocks import join_keys
 from tidewheel.operators.joins import interval_join, range_count
 from tidewheel.operators.quantiles import exact_percentiles
+from tidewheel.session import settle
 
 
 def section_loudness(frames: DataFrame, sections: DataFrame, keys: Sequence[str], t: str, db: str,
@@ -102,88 +102,11 @@ def pearson(df: DataFrame, keys: Sequence[str], a: str, b: str, out: str = "r",
     return agg.select(*keys, F.when(ok, F.col("_r")).otherwise(F.lit(when_flat).cast("double")).alias(out))
 
 
-def _median_slope(x: np.ndarray, y: np.ndarray) -> float:
-    """Median of all pairwise slopes, in n log n: slopes are selected by rank, not listed.
-
-    The number of pairs with slope <= s is the number of inversions of y - s*x, so the two middle
-    ranks are found by bisection on s.
-    """
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    n = len(x)
-    same = np.unique(x, return_counts=True)[1].astype(np.int64)
-    total = n * (n - 1) // 2 - int(np.sum(same * (same - 1) // 2))
-    if total == 0:
-        return 0.0
-    group = np.searchsorted(x, x)
-
-    def at_most(s: float) -> int:
-        z = np.round(y - s * x, 12)
-        # Pairs of equal x never count: ascending inside a group, only their ties need taking out.
-        rank = np.unique(z, return_inverse=True)[1].astype(np.int64)
-        seq = rank[np.lexsort((rank, group))]
-        return _non_increasing_pairs(seq) - _equal_pairs(seq, group)
-
-    def select(k: int) -> float:
-        spread = np.ptp(y)
-        gap = np.diff(np.unique(x)).min()
-        lo, hi = -spread / gap, spread / gap
-        for _ in range(200):
-            middle = 0.5 * (lo + hi)
-            if middle in (lo, hi) or hi - lo <= 1e-13 * max(1.0, abs(lo), abs(hi)):
-                break
-            if at_most(middle) >= k:
-                hi = middle
-            else:
-                lo = middle
-        return hi
-
-    if total % 2:
-        return select(total // 2 + 1)
-    return 0.5 * (select(total // 2) + select(total // 2 + 1))
-
-
-def _non_increasing_pairs(seq: np.ndarray) -> int:
-    """Pairs i < j with seq[i] >= seq[j]: at each width, every right half against its left half."""
-    span = int(seq.max()) + 1
-    place = np.arange(len(seq))
-    count, width = 0, 1
-    while width < len(seq):
-        pair, is_left = place // (2 * width), (place // width) % 2 == 0
-        left = np.sort(pair[is_left] * span + seq[is_left])
-        right_pair, right = pair[~is_left], seq[~is_left]
-        count += int(np.sum(np.searchsorted(left, (right_pair + 1) * span)
-                            - np.searchsorted(left, right_pair * span + right)))
-        width *= 2
-    return count
-
-
-def _equal_pairs(seq: np.ndarray, group: np.ndarray) -> int:
-    """Pairs of equal values inside one x group (sorted ascending there, so only ties count)."""
-    joined = np.stack([group, seq], axis=1)
-    counts = np.unique(joined, axis=0, return_counts=True)[1].astype(np.int64)
-    return int(np.sum(counts * (counts - 1) // 2))
-
-
 def safe_corr(a: Column, b: Column) -> Column:
     """Pearson r as an aggregate; NULL when either side does not move."""
     return F.covar_pop(a, b) / (F.nullif(F.stddev_pop(a), F.lit(0.0)) * F.nullif(F.stddev_pop(b), F.lit(0.0)))
 
 
-def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "slope") -> DataFrame:
-    """Median of pairwise slopes per group, without listing the pairs; 0 when there are none.
-
-    Meant for summaries (one row per comparison window, a few hundredths of a percent of the
-    series): a group costs 16 bytes a row and n log n time in its task.
-    """
-    @F.pandas_udf("double")
-    def slope(x: pd.Series, y: pd.Series) -> float:
-        return _median_slope(x.to_numpy("float64"), y.to_numpy("float64"))
-
-    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(
-        slope(F.col(x).cast("double"), F.col(y).cast("double")).alias(out))
-
-
 def majority(df: DataFrame, keys: Sequence[str], value: str, member: str, radius: float = C.AGREE_S) -> DataFrame:
     """The value more than half of a group's members share within `radius`.
 
@@ -191,14 +114,14 @@ def majority(df: DataFrame, keys: Sequence[str], value: str, member: str, radius
     `outlier`. Equal values are counted first, so the sliding count runs over distinct values.
     """
     keys = list(keys)
-    distinct = df.groupBy(*keys, value).agg(F.count("*").alias("_w"))
+    distinct = settle(df.groupBy(*keys, value).agg(F.count("*").alias("_w")))
     near = range_count(distinct, keys, value, radius, "_w", "_near")
     centre = near.groupBy(*keys).agg(F.max(F.struct("_near", F.col(value).alias("_c"))).alias("_best"),
                                      F.sum("_w").alias("_n"))
-    placed = df.join(centre, keys).withColumn("_in", F.abs(F.col(value) - F.col("_best._c")) <= radius)
+    placed = join_keys(df, centre, keys).withColumn("_in", F.abs(F.col(value) - F.col("_best._c")) <= radius)
     middle = exact_percentiles(placed.where("_in"), keys, value, {"_agreed": 0.5})
     wins = 2 * F.col("_best._near") > F.col("_n")
-    return placed.join(middle, keys, "left").select(
+    return join_keys(placed, middle, keys, "left").select(
         *keys, member, value, F.when(wins, F.col("_agreed")).alias("agreed"), (~(wins & F.col("_in"))).alias("outlier"))
 
 

@@ -20,10 +20,11 @@ from tidewheel import constants as C
 from tidewheel.constants import BLOCK
 from tidewheel.functions import kernels as K
 from tidewheel.functions import scalar as S
-from tidewheel.operators.aggregates import safe_corr, theil_sen
+from tidewheel.operators.aggregates import safe_corr
 from tidewheel.operators.blocks import over_blocks, pack
 from tidewheel.operators.joins import full_span, sample_linear, spread_index
 from tidewheel.operators.quantiles import exact_percentiles
+from tidewheel.operators.slopes import theil_sen
 from tidewheel.session import settle
 
 _MOMENTS = ("n", "sa", "sb", "saa", "sbb", "sab")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.constants import BLOCK
 from tidewheel.operators.blocks import neighbour, number_rows, over_blocks, prefix
+from tidewheel.session import settle
 
 
 def asof_join(
@@ -255,10 +256,24 @@ def best_match(items: DataFrame, profiles: DataFrame, keys: Sequence[str], score
 
 
 def range_count(df: DataFrame, keys: Sequence[str], value: str, radius: float, weight: str, out: str) -> DataFrame:
-    """Total weight within `radius` of each value, by a sliding value range (no self join)."""
-    part = f"PARTITION BY {', '.join(f'`{k}`' for k in keys)} " if keys else ""
-    return df.withColumn(out, F.expr(
-        f"sum(`{weight}`) OVER ({part}ORDER BY `{value}` RANGE BETWEEN {radius}D PRECEDING AND {radius}D FOLLOWING)"))
+    """Total weight within `radius` of each value: the running weight up to its far end less that before its near end.
+
+    Each end is looked up among the values in one merged order, which is dealt out by ranges of it; the running weights cross
+    ranges by one summary row each. So neither a key nor a stretch of close values is ever one task.
+    """
+    keys = list(keys)
+    at, w = F.col(value).cast("double"), F.col(weight)
+    zero = F.lit(0).cast(df.schema[weight].dataType)
+    row = F.struct(*df.columns)
+    # At equal places a near end stands before the values, a far end after them.
+    marks = F.array(F.struct((at - radius).alias("_t"), F.lit(0).alias("_tag"), zero.alias("_w"), row.alias("_row")),
+                    F.struct(at.alias("_t"), F.lit(1).alias("_tag"), w.alias("_w"), F.lit(None).cast(df.select(row).schema[0].dataType).alias("_row")),
+                    F.struct((at + radius).alias("_t"), F.lit(2).alias("_tag"), zero.alias("_w"), row.alias("_row")))
+    merged = df.select(*keys, F.explode(marks).alias("_m")).select(*keys, "_m.*")
+    ranged = settle(merged.repartitionByRange(*keys, "_t", "_tag").withColumn("_range", F.spark_partition_id()))
+    ran = prefix(ranged, keys, {"_sum": ("sum", "_w")}, order=["_t", "_tag"], block=F.col("_range")).where("_tag <> 1")
+    ends = ran.groupBy("_row").agg(F.sum(F.when(F.col("_tag") == 2, F.col("_sum")).otherwise(-F.col("_sum"))).alias(out))
+    return ends.select("_row.*", out)
 
 
 def changes(df: DataFrame, keys: Sequence[str], index: str, cols: Sequence[str], size: int = BLOCK) -> DataFrame:

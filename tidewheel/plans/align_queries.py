@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewheel.operators import aggregates as A
 from tidewheel.operators import align as L
 from tidewheel.operators import series as O
+from tidewheel.operators import slopes
 from tidewheel.operators.joins import lined_up
 from tidewheel.plans.inputs import SERIES, VERSIONS, WEEKLY, WEEKLY_FLUX, versions, weekly, weekly_flux, weekly_levels
 from tidewheel.session import settle, table
@@ -114,7 +115,7 @@ th AS (SELECT a.series_id, quantile_cont((b.lag - a.lag) / CAST(b.start - a.star
 
 @query("theil_sen", f"WITH {LOCAL}, {THEIL} SELECT l.series_id, round(coalesce(max(slope), 0.0), 9) AS slope FROM lags l LEFT JOIN th USING (series_id) WHERE lag IS NOT NULL GROUP BY 1")
 def theil_sen(spark, sf):
-    return A.theil_sen(windows(versions(spark, sf)), SERIES, "start", "lag").select("series_id", F.round("slope", 9).alias("slope"))
+    return slopes.theil_sen(windows(versions(spark, sf)), SERIES, "start", "lag").select("series_id", F.round("slope", 9).alias("slope"))
 
 
 CLASSIFY = LOCAL + "," + curve_sql("curve", "versions", SERIES, "old", "new", "vsize", REACH) + "," + best_sql("best", "curve", SERIES) + "," + THEIL + """,
