@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,7 @@ SHARD = 1 << 22  # most n-grams of one shard of probabilities: 48 MB
 SLOT_BITS = 21  # n-grams that a task remembers while it counts: at most two million
 GRID = 1000  # thresholds are exact on thousandths of a bit
 MOST_BITS = 27
+LANGUAGES = 8192  # most rows of a table of languages that is sent to all tasks
 
 _U = np.uint64
 _PAD = "\n"
@@ -168,6 +169,12 @@ def _discount(n: Column) -> Column:
     return F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
 
 
+def _beside(languages: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How tables of one row a language meet those of n-grams: as broadcasts up to LANGUAGES rows (1 MB), so that n-grams stay
+    where they are and aren't dealt by language, of which there are few. Beyond that by a shuffle, which then has many keys."""
+    return F.broadcast if languages.limit(LANGUAGES + 1).count() <= LANGUAGES else lambda table: table
+
+
 def probabilities(top: DataFrame, wanted: DataFrame, order: int) -> DataFrame:
     """(key, bits) of each wanted (lang, gram, key): minus log2 of the last letter's probability after the others.
 
@@ -180,9 +187,10 @@ def probabilities(top: DataFrame, wanted: DataFrame, order: int) -> DataFrame:
     for _ in range(order - 1):
         asked.insert(0, settle(asked[0].select("lang", F.expr("substring(gram, 2)").alias("gram")).distinct()))
     letters = levels[0].groupBy("lang").agg((F.count("*") + 1).alias("letters"))
-    lower = asked[0].join(letters, "lang").select("lang", "gram", (F.lit(1.0) / F.col("letters")).alias("p"))
+    beside = _beside(letters)
+    lower = asked[0].join(beside(letters), "lang").select("lang", "gram", (F.lit(1.0) / F.col("letters")).alias("p"))
     for size, (counts, grams_asked) in enumerate(zip(levels, asked, strict=True), 1):
-        known = counts.join(_discounts(counts), "lang").withColumn("d", _discount(F.col("n")))
+        known = counts.join(beside(_discounts(counts)), "lang").withColumn("d", _discount(F.col("n")))
         context = F.expr(f"substring(gram, 1, {size - 1})")
         contexts = known.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
         seen = known.select("lang", "gram", (F.col("n") - F.col("d")).alias("held"))
