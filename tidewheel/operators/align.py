@@ -78,7 +78,11 @@ def offset_curve(pairs: DataFrame, keys: Sequence[str], reach: int, a: str = "ol
     """Pearson r of the overlap at each lag; -1 where it is under half the shorter version, or flat."""
     keys = list(keys)
     sizes = pairs.groupBy(*keys).agg(F.count(a).alias("_na"), F.count(b).alias("_nb"))
-    sums = lag_sums(pairs, keys, -reach, reach, a, b, index, size).join(sizes, keys)
+    return _overlap_r(lag_sums(pairs, keys, -reach, reach, a, b, index, size).join(sizes, keys), keys)
+
+
+def _overlap_r(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Moments and both versions' lengths (_na, _nb) -> (keys, lag, r)."""
     least = F.greatest(F.lit(1), F.floor(F.least("_na", "_nb") / 2))
     n = F.col("n")
     va, vb = F.col("saa") - F.col("sa") * F.col("sa") / n, F.col("sbb") - F.col("sb") * F.col("sb") / n
@@ -477,8 +481,8 @@ def tempo_change(pairs: DataFrame, windows: DataFrame, keys: Sequence[str], fps:
                  size: int = BLOCK) -> DataFrame:
     """Pairs whose new version is the old one at another speed: ratio, lag_s, r.
 
-    Trial ratios are rows: around the windows' drift and the ratio of audible lengths, first in
-    0.1 % then in 0.01 % steps. Each trial warps and correlates block by block.
+    Trial ratios lie around the windows' drift and the ratio of audible lengths, first in
+    0.1 % then in 0.01 % steps. All trials of a block are warped and correlated in one step.
     """
     keys = list(keys)
     matched = settle(windows.where(F.col("lag").isNotNull()).withColumn("_t", F.col("start") / fps).withColumn(
@@ -531,22 +535,72 @@ def tempo_change(pairs: DataFrame, windows: DataFrame, keys: Sequence[str], fps:
             .where(gains | proven).select(*keys, "ratio", "lag_s", "r"))
 
 
+def warped_curves(pairs: DataFrame, ratios: DataFrame, keys: Sequence[str], reach: int, size: int = BLOCK) -> DataFrame:
+    """r of the old version against the new one stretched by each trial ratio, at each lag: (keys, ratio, lag, r).
+
+    A block of old frames meets the few blocks of the new version that its trials read, once for all trials. It resamples
+    them in place and gives one set of moments a trial and lag, summed over a task's blocks first; no frame of a trial is a row.
+    """
+    keys = list(keys)
+    size = max(size, 4 * (reach + 1))
+    lags = 2 * reach + 1
+    series = F.struct(*keys).alias("_g")
+    sizes = pairs.groupBy(series).agg(F.count("old").alias("_na"), F.count("new").alias("_nn"))
+    # A key has a few tens of trials.
+    trials = ratios.groupBy(series).agg(F.sort_array(F.collect_set("ratio")).alias("_ratios")).join(sizes, "_g")
+    named = pairs.withColumn("_g", series)
+    old = pack(named.where("old IS NOT NULL").withColumn("old", F.col("old").cast("double")), ["_g"], "frame", ["old"], size).withColumnsRenamed({"frame": "_at", "_blk": "_b"})
+    new = pack(named.where("new IS NOT NULL").withColumn("new", F.col("new").cast("double")), ["_g"], "frame", ["new"], size)
+    first, last = F.col("_b") * size - reach, (F.col("_b") + 1) * size + reach
+    slowest, fastest = F.array_min("_ratios"), F.array_max("_ratios")
+    low = F.greatest(F.floor(first / F.when(first < 0, slowest).otherwise(fastest)) - 1, F.lit(0))
+    high = F.ceil(last / slowest) + 1
+    blocks = F.sequence(F.floor(low / size).cast("bigint"), F.floor(F.least(high, F.greatest("_nn", F.lit(1))) / size).cast("bigint"))
+    asked = old.join(trials, "_g").where(low <= F.col("_nn")).withColumn("_blk", F.explode(blocks))
+    met = asked.join(new, ["_g", "_blk"]).groupBy("_g", "_b").agg(
+        F.any_value("_at").alias("_at"), F.any_value("old").alias("old"), F.any_value("_ratios").alias("_ratios"), F.any_value("_nn").alias("_nn"),
+        F.array_sort(F.collect_list(F.struct("_blk", "frame", "new"))).alias("_new"))
+
+    def moments(batches):
+        for batch in batches:
+            found: dict[tuple, np.ndarray] = {}
+            heads: dict[tuple, int] = {}
+            names = [repr(g) for g in batch.column("_g").to_pylist()]
+            for row, name in enumerate(names):
+                start, total = batch.column("_b")[row].as_py() * size, batch.column("_nn")[row].as_py()
+                frames, values = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("_at", "old"))
+                own = int(frames[-1]) + 1 - start
+                left = K.dense(frames, values, start, own)
+                pieces = batch.column("_new")[row].values
+                at, read = (np.concatenate([p.values.to_numpy(zero_copy_only=False) for p in pieces.field(c)]) for c in ("frame", "new"))
+                wanted = np.arange(start - reach, start + own + reach, dtype=np.float64)
+                for ratio in batch.column("_ratios")[row].as_py():
+                    inside = (wanted >= 0) & (wanted < np.rint(total * ratio))
+                    right = np.where(inside, np.interp(wanted / ratio, at, read), np.nan)
+                    summed = K.lag_moments([(left, right)], lags)
+                    key = (name, ratio)
+                    found[key] = found[key] + summed if key in found else summed
+                    heads.setdefault(key, row)
+            if found:
+                columns = [pa.array([m[i] for m in found.values()], pa.list_(pa.float64())) for i in range(len(_MOMENTS))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_g").take(pa.array([heads[k] for k in found])), pa.array([k[1] for k in found], pa.float64()), *columns],
+                    names=["_g", "ratio", *(f"_{m}" for m in _MOMENTS)])
+
+    schema = T.StructType([met.select("_g").schema["_g"], T.StructField("ratio", T.DoubleType()), *[T.StructField(f"_{m}", T.ArrayType(T.DoubleType())) for m in _MOMENTS]])
+    rows = met.mapInArrow(moments, schema).select("_g", "ratio", F.posexplode(F.arrays_zip(*[f"_{m}" for m in _MOMENTS])).alias("_k", "_m"))
+    sums = rows.groupBy("_g", "ratio", (F.col("_k") - reach).cast("int").alias("lag")).agg(*[F.sum(f"_m._{m}").alias(m) for m in _MOMENTS])
+    lengths = sizes.select("_g", "_na", "_nn")
+    placed = sums.join(lengths, "_g").withColumn("_nb", F.rint(F.col("_nn") * F.col("ratio")))
+    return _overlap_r(placed, ["_g", "ratio"]).select(*[F.col("_g")[k].alias(k) for k in keys], "ratio", "lag", "r")
+
+
 def warped_peaks(pairs: DataFrame, ratios: DataFrame, keys: Sequence[str], reach: int, fps: float = C.FPS,
                  size: int = BLOCK) -> DataFrame:
-    """Best (r, lag_s) of each trial ratio: the new version stretched onto the old timeline, then
-    the offset curve's peak read between whole frames."""
+    """Best (r, lag_s) of each trial ratio: the offset curve's peak, read between whole frames."""
     keys = list(keys)
     trial = [*keys, "ratio"]
-    counts = pairs.groupBy(*keys).agg(F.count("new").alias("_nn"))
-    warped_len = F.rint(F.col("_nn") * F.col("ratio")).cast("bigint")
-    spine = spread_index(ratios.join(counts, keys).withColumn("_count", warped_len), trial, "_count", "frame", size)
-    new = pairs.where(F.col("new").isNotNull()).select(*keys, "frame", "new")
-    warped = sample_linear(spine.withColumn("_pos", F.col("frame") / F.col("ratio")), new, keys, "_pos", "new", "_w", size=size)
-    old = ratios.join(pairs.where(F.col("old").isNotNull()).select(*keys, "frame", "old"), keys)
-    both = settle(old.select(*trial, "frame", F.col("old"), F.lit(None).cast("double").alias("new"))
-                  .unionByName(warped.select(*trial, "frame", F.lit(None).cast("double").alias("old"), F.col("_w").alias("new")))
-                  .groupBy(*trial, "frame").agg(F.max("old").alias("old"), F.max("new").alias("new")))
-    curve = peaks(offset_curve(both, trial, reach, size=size), trial)
+    curve = peaks(warped_curves(pairs, ratios, keys, reach, size), trial)
     top = curve.groupBy(*trial).agg(F.max(F.struct("r", (-F.col("lag")).alias("l"), "_left", "_right")).alias("_b"))
     left, mid, right = F.col("_b._left"), F.col("_b.r"), F.col("_b._right")
     usable = left.isNotNull() & right.isNotNull() & (F.least(left, right) > -1.0)

@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +22,8 @@ from pyspark.sql import types as T
 from tidewheel.operators.blocks import number_rows
 from tidewheel.session import discard, settle
 
-#: Rows of a group that is counted in place, and of a block of a larger one; slopes tried in a round; rows that set the ranges; most ranges.
-ROWS, TRIED, SAMPLED, RANGES = 65_536, 3, 4_096, 512
+#: Rows of a group that is counted in place, and of a block of a larger one; rows that set the ranges; most ranges.
+ROWS, SAMPLED, RANGES = 65_536, 4_096, 512
 #: Slopes closer than this, relative to their size or to 1, are one.
 CLOSE = 1e-13
 
@@ -75,13 +76,19 @@ def _double(order: int) -> float:
 _LARGEST = float(np.finfo(np.float64).max)
 
 
-def between(low: float, high: float, tried: int) -> list[float]:
-    """Slopes that part [low, high] evenly in the order of doubles; none when the ends are close."""
+def tries_between(low: float, high: float, k: int, at_low: int | None, at_high: int | None) -> list[float]:
+    """Slopes to try for the k-th, of which the counts at both ends are given where known; none when the ends are close.
+
+    One halves [low, high] in the order of doubles, whatever the slopes are; three stand about the place where a straight line
+    between the counts would put the k-th, which leaves little of the interval where slopes are spread evenly.
+    """
     if high - low <= CLOSE * max(1.0, abs(low), abs(high)):
         return []
-    a, b = _ordered(low), _ordered(high)
-    cuts = {a + (b - a) * k // (tried + 1) for k in range(1, tried + 1)} - {a, b}
-    return [_double(c) for c in sorted(cuts)]
+    tries = {_double((_ordered(low) + _ordered(high)) // 2)}
+    if at_low is not None and at_high is not None and high - low < _LARGEST:
+        centre = low + (high - low) * (k - 0.5 - at_low) / (at_high - at_low)
+        tries |= {centre + step * (high - low) for step in (-1 / 128, 0.0, 1 / 128)}
+    return sorted(t for t in tries if low < t < high)
 
 
 def median_slope(x: np.ndarray, y: np.ndarray) -> float:
@@ -109,8 +116,8 @@ def median_slope(x: np.ndarray, y: np.ndarray) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def _median_of(points: pd.Series) -> pd.Series:
-    return pd.Series([median_slope(*(np.array([p[c] for p in held], dtype=np.float64) for c in ("x", "y"))) for held in points])
+def _median_of(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([median_slope(a, b) for a, b in zip(x, y)])
 
 
 def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "slope") -> DataFrame:
@@ -123,7 +130,7 @@ def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "sl
     small = points
     if any_large := not large.isEmpty():
         small = points.join(large.select("_g"), "_g", "left_anti")
-    solved = small.groupBy("_g").agg(F.collect_list(F.struct("x", "y")).alias("_p")).select("_g", _median_of("_p").alias(out))
+    solved = small.groupBy("_g").agg(F.collect_list(F.struct("x", "y")).alias("_p")).select("_g", _median_of("_p.x", "_p.y").alias(out))
     if any_large:
         solved = solved.unionByName(_by_rounds(points.join(large, "_g"), out))
     return solved.select(*[F.col("_g")[k].alias(k) for k in keys], out)
@@ -143,90 +150,115 @@ def _by_rounds(points: DataFrame, out: str) -> DataFrame:
     sample = weighed.where(near).groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("sample"))
     shape = settle(blocks.groupBy("_g").agg(F.count("*").alias("n_blocks")).join(sample, "_g", "left"))
     two = F.array_distinct(F.array(*[m.cast("decimal(38,0)") for m in (F.floor((F.col("pairs") + 1) / 2), F.floor(F.col("pairs") / 2) + 1)]))
-    state = settle(totals.where("pairs > 0").select("_g", F.explode(two).alias("k"), F.lit(-_LARGEST).alias("low"), F.lit(_LARGEST).alias("high"))
-                   .join(shape.select("_g", "sample"), "_g", "left").withColumn("tries", _first_tries("sample")).drop("sample"))
+    count = lambda: F.lit(None).cast("decimal(38,0)")
+    state = settle(totals.where("pairs > 0").select("_g", F.explode(two).alias("k"), F.lit(-_LARGEST).alias("low"), F.lit(_LARGEST).alias("high"), count().alias("at_low"), count().alias("at_high"))
+                   .join(shape.select("_g", "sample"), "_g", "left").withColumn("tries", _first_tries("sample.x", "sample.y")).drop("sample"))
     none = totals.where("pairs = 0").select("_g", F.lit(0.0).alias(out))
     while not state.where(F.size("tries") > 0).isEmpty():
         tried = state.where(F.size("tries") > 0).select("_g", "k", F.explode("tries").alias("s"))
         counts = _counts(blocks, shape, tried.select("_g", "s").distinct())
-        seen = tried.join(counts, ["_g", "s"]).groupBy("_g", "k").agg(
-            F.max(F.when(F.col("pairs") < F.col("k"), F.col("s"))).alias("above"), F.min(F.when(F.col("pairs") >= F.col("k"), F.col("s"))).alias("below"))
-        moved = state.join(seen, ["_g", "k"], "left").select("_g", "k", F.greatest("low", F.coalesce("above", "low")).alias("low"), F.least("high", F.coalesce("below", "high")).alias("high"))
-        now = settle(moved.withColumn("tries", _tries("low", "high")))
+        under, pair = F.col("pairs") < F.col("k"), F.struct("s", "pairs")
+        seen = tried.join(counts, ["_g", "s"]).groupBy("_g", "k").agg(F.max(F.when(under, pair)).alias("above"), F.min(F.when(~under, pair)).alias("below"))
+        moved = state.join(seen, ["_g", "k"], "left").select(
+            "_g", "k", F.coalesce("above.s", "low").alias("low"), F.coalesce("below.s", "high").alias("high"),
+            F.coalesce("above.pairs", "at_low").alias("at_low"), F.coalesce("below.pairs", "at_high").alias("at_high"))
+        now = settle(moved.withColumn("tries", _tries("low", "high", *[F.col(c).cast("string") for c in ("k", "at_low", "at_high")])))
         discard(state)
         state = now
     return state.groupBy("_g").agg(F.avg("high").alias(out)).unionByName(none)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _first_tries(sample: pd.Series) -> pd.Series:
-    """Slopes about the median of pairs of a sample; they only save rounds."""
+def _first_tries(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    """Slopes about the median of pairs of a sample, near and very near; they only save rounds."""
     out = []
-    for points in sample:
-        x, y = (np.array([p[c] for p in points], dtype=np.float64) if points is not None else np.zeros(0) for c in ("x", "y"))
+    for x, y in zip(xs, ys):
+        x, y = (np.zeros(0) if v is None else np.asarray(v, dtype=np.float64) for v in (x, y))
         rng = np.random.default_rng(0)
         i, j = (rng.integers(0, max(1, len(x)), 20_000 if len(x) else 0) for _ in range(2))
         apart = x[i] != x[j]
         slopes = (y[i] - y[j])[apart] / (x[i] - x[j])[apart]
-        out.append(sorted({float(q) for q in np.quantile(slopes, (0.48, 0.5, 0.52))}) if len(slopes) else [0.0])
+        if not len(slopes):
+            out.append([0.0])
+            continue
+        low, middle, high = (float(q) for q in np.quantile(slopes, (0.48, 0.5, 0.52)))
+        step = max(1.0, abs(middle))
+        out.append(sorted({low, high, *(middle + d * step for d in (-1e-9, -1e-12, 0.0, 1e-12, 1e-9))}))
     return pd.Series(out)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _tries(low: pd.Series, high: pd.Series) -> pd.Series:
-    return pd.Series([between(a, b, TRIED) for a, b in zip(low, high)])
+def _tries(low: pd.Series, high: pd.Series, k: pd.Series, at_low: pd.Series, at_high: pd.Series) -> pd.Series:
+    whole = lambda v: None if v is None else int(v)
+    return pd.Series([tries_between(a, b, int(r), whole(c), whole(d)) for a, b, r, c, d in zip(low, high, k, at_low, at_high)])
 
 
 def _counts(blocks: DataFrame, shape: DataFrame, tried: DataFrame) -> DataFrame:
     """(_g, s, pairs): the pairs of each group with a slope of at most s."""
-    work = blocks.join(shape, "_g").join(tried.groupBy("_g").agg(F.array_sort(F.collect_list("s")).alias("slopes")), "_g")
-    part = "array<struct<s:double,inside:bigint,held:array<bigint>,ranges:array<struct<range:int,z:array<double>,w:array<bigint>>>>>"
-
-    @F.pandas_udf(part)
-    def looked(points: pd.Series, sample: pd.Series, n_blocks: pd.Series, slopes: pd.Series) -> pd.Series:
-        out = []
-        for held, some, count, tries in zip(points, sample, n_blocks, slopes):
-            x, y = (np.array([p[c] for p in held], dtype=np.float64) for c in ("x", "y"))
-            w = np.array([p["w"] for p in held], dtype=np.int64)
-            sx, sy = (np.array([p[c] for p in some], dtype=np.float64) if some is not None else np.zeros(0) for c in ("x", "y"))
-            rows = []
-            for s in tries:
+    work = blocks.join(shape, "_g").join(tried.groupBy("_g").agg(F.sort_array(F.collect_list("s")).alias("slopes")), "_g")
+    work = work.select("_g", "block", *[F.col(f"points.{c}").alias(c) for c in ("x", "y", "w")], F.col("sample.x").alias("sx"), F.col("sample.y").alias("sy"), "n_blocks", "slopes")
+    group = work.schema["_g"]
+    seen = settle(work.mapInArrow(_looked, T.StructType([group, *_SEEN.fields])))
+    whole = F.col("range") < 0
+    inside = seen.where(whole).select("_g", "s", F.col("inside").alias("pairs"))
+    ranged = seen.where(~whole).groupBy("_g", "s", "range").agg(F.collect_list(F.struct("block", "z", "w")).alias("parts")).where(F.size("parts") > 1)
+    counted = T.StructType([group, T.StructField("s", T.DoubleType()), T.StructField("pairs", T.LongType())])
+    met = ranged.mapInArrow(_across, counted)
+    # Histograms pass in the blocks' order; one running sum stays.
+    named = seen.where(whole).select(F.xxhash64("_g", "s").alias("_h"), "_g", "s", "block", "w")
+    apart = named.repartition("_h").sortWithinPartitions("_h", "_g", "s", "block").select("_g", "s", "w").mapInArrow(_between_ranges, counted)
+    every = inside.unionByName(met).unionByName(apart)
+    sums = settle(every.groupBy("_g", "s").agg(F.sum(F.col("pairs").cast("decimal(38,0)")).alias("pairs")))
+    discard(seen)
+    return sums
+
+
+_SEEN = T.StructType([
+    T.StructField("s", T.DoubleType()), T.StructField("block", T.LongType()), T.StructField("range", T.IntegerType()), T.StructField("inside", T.LongType()),
+    T.StructField("z", T.ArrayType(T.DoubleType())), T.StructField("w", T.ArrayType(T.LongType()))])
+
+
+def _values(column: pa.Array, row: int) -> np.ndarray:
+    held = column[row].values
+    return held.to_numpy(zero_copy_only=False) if held is not None else np.zeros(0)
+
+
+def _looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block and slope: a row of range -1 with its own pairs and its weight in each range, and a row per range with what is there."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            x, y, w, sx, sy, slopes = (_values(batch.column(c), row) for c in ("x", "y", "w", "sx", "sy", "slopes"))
+            ranges = min(RANGES, max(2, batch.column("n_blocks")[row].as_py()))
+            for s in slopes.tolist():
                 z = _rest(x, y, s)
-                ranges = min(RANGES, max(2, int(count)))
                 edges = np.unique(np.quantile(_rest(sx, sy, s), np.arange(1, ranges) / ranges)) if len(sx) else np.zeros(0)
                 value, at = np.unique(z, return_inverse=True)
-                weight = np.bincount(at, weights=w).astype(np.int64)
+                weight = np.zeros(len(value), dtype=np.int64)
+                np.add.at(weight, at, w)
                 place = np.searchsorted(edges, value, side="left")
-                cuts = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(value)]])
+                cuts = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
                 histogram = np.zeros(len(edges) + 1, dtype=np.int64)
                 np.add.at(histogram, place, weight)
-                rows.append({"s": s, "inside": falling_pairs(x, z, w), "held": histogram.tolist(), "ranges": [
-                    {"range": int(place[a]), "z": value[a:b].tolist(), "w": weight[a:b].tolist()} for a, b in zip(cuts[:-1], cuts[1:])]})
-            out.append(rows)
-        return pd.Series(out)
-
-    @F.pandas_udf("bigint")
-    def across(parts: pd.Series) -> pd.Series:
-        """Pairs of different blocks in one range."""
-        out = []
-        for held in parts:
-            block = np.concatenate([np.full(len(p["z"]), p["block"]) for p in held])
-            z, w = (np.concatenate([np.asarray(p[c]) for p in held]) for c in ("z", "w"))
-            out.append(falling_pairs(block, z.astype(np.float64), w.astype(np.int64)))
-        return pd.Series(out)
-
-    seen = work.select("_g", "block", F.explode(looked("points", "sample", "n_blocks", "slopes")).alias("_l")).select("_g", "block", "_l.*")
-    inside = seen.select("_g", "s", F.col("inside").alias("pairs"))
-    ranged = seen.select("_g", "s", "block", F.explode("ranges").alias("_r")).groupBy("_g", "s", "_r.range").agg(
-        F.collect_list(F.struct("block", F.col("_r.z").alias("z"), F.col("_r.w").alias("w"))).alias("parts"))
-    met = ranged.where(F.size("parts") > 1).select("_g", "s", across("parts").alias("pairs"))
-    # Histograms pass in the blocks' order; one running sum stays.
-    named = seen.select(F.xxhash64("_g", "s").alias("_h"), "_g", "s", "block", "held")
-    ordered = named.repartition("_h").sortWithinPartitions("_h", "_g", "s", "block")
-    kind = ordered.select("_g").schema["_g"].dataType.simpleString()
-    apart = ordered.select("_g", "s", "held").mapInArrow(_between_ranges, f"_g {kind}, s double, pairs bigint")
-    every = inside.unionByName(met).unionByName(apart)
-    return every.groupBy("_g", "s").agg(F.sum(F.col("pairs").cast("decimal(38,0)")).alias("pairs"))
+                count = len(cuts) + 1
+                lists = lambda first, values, kind: pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0, len(first)], len(first) + np.append(cuts[1:], len(value))]), pa.int32()), pa.array(np.concatenate([first, values]), kind))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_g").take(pa.array([row] * count)), pa.array([s] * count), batch.column("block").take(pa.array([row] * count)),
+                     pa.array(np.concatenate([[-1], place[cuts]]), pa.int32()), pa.array([falling_pairs(x, z, w)] + [0] * (count - 1), pa.int64()),
+                     lists(np.zeros(0), value, pa.float64()), lists(histogram, weight, pa.int64())], names=["_g", *_SEEN.names])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different blocks in one range."""
+    for batch in batches:
+        pairs = []
+        for row in range(batch.num_rows):
+            parts = batch.column("parts")[row].values
+            z, w = (parts.field(c) for c in ("z", "w"))
+            sizes = pc.list_value_length(z).to_numpy(zero_copy_only=False)
+            block = np.repeat(parts.field("block").to_numpy(zero_copy_only=False), sizes)
+            pairs.append(falling_pairs(block, z.flatten().to_numpy(zero_copy_only=False), w.flatten().to_numpy(zero_copy_only=False)))
+        yield pa.RecordBatch.from_arrays([batch.column("_g"), batch.column("s"), pa.array(pairs, pa.int64())], names=["_g", "s", "pairs"])
 
 
 def _between_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +266,7 @@ def _between_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     name, before = None, None
     for batch in batches:
         pairs = []
-        groups, slopes, held = batch.column("_g").to_pylist(), batch.column("s").to_pylist(), batch.column("held")
+        groups, slopes, held = batch.column("_g").to_pylist(), batch.column("s").to_pylist(), batch.column("w")
         for row, now in enumerate(zip(map(repr, groups), slopes)):
             histogram = held[row].values.to_numpy(zero_copy_only=False)
             if now != name:
