@@ -195,8 +195,13 @@ def hit(t: Column, t0: Column, attack: float, decay: float) -> Column:
 
 # ---- hash noise
 def hash_noise(seed: int, name: Column, *key: Column) -> Column:
-    """Repeatable noise in [0, 1): a named stream read at any key, in any partition."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), name, *key), 11).cast("double") / float(1 << 53)
+    """Repeatable noise in [0, 1): a named stream read at any key, in any partition and by any engine that has MD5.
+
+    The first 52 bits of the MD5 of seed, name and key, joined by bars; NULL reads as "null".
+    """
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("null")) for k in (name, *key)])
+    return F.conv(F.left(F.md5(text.cast("binary")), F.lit(13)), 16, 10).cast("bigint") / float(1 << 52)
+
 
 
 # ---- sizes

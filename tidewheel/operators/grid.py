@@ -293,9 +293,15 @@ def grid_findings(tempos: DataFrame, fits: DataFrame, downbeats: DataFrame, keys
 
 
 # ---- tempo maps and meters
-def tempo_map(changes: DataFrame, keys: Sequence[str], tick: str, micros: str, ppq: float, size: int = BLOCK) -> DataFrame:
-    """Tempo changes as (keys, tick, quarters, seconds, bpm): seconds accumulate at the tempo before;
-    120 BPM until the first change."""
+def tempo_map(changes: DataFrame, keys: Sequence[str], tick: str, micros: str, ppq: float | None = None, size: int = BLOCK,
+              smpte: tuple[float, int] | None = None) -> DataFrame:
+    """Tempo changes as (keys, tick, quarters, seconds, bpm); 120 BPM until the first change.
+
+    With `ppq` ticks are parts of a quarter note, and seconds accumulate at the tempo before. With `smpte` (frames a second, ticks a
+    frame) ticks are parts of a second, and quarter notes accumulate.
+    """
+    if (ppq is None) == (smpte is None):
+        raise ValueError("a tempo map has either ppq or smpte")
     keys = list(keys)
     rows = changes.select(*keys, F.col(tick).cast("bigint").alias("tick"), F.col(micros).cast("double").alias("_us"))
     heads = rows.groupBy(*keys).agg(F.min("tick").alias("_first")).where(F.col("_first") > 0).select(
@@ -303,9 +309,12 @@ def tempo_map(changes: DataFrame, keys: Sequence[str], tick: str, micros: str, p
     from tidewheel.operators.series import previous_row
 
     linked = previous_row(rows.unionByName(heads).withColumn("_pair", F.struct("tick", "_us")), keys, "tick", "_pair", "_prev", size)
-    step = F.coalesce((F.col("tick") - F.col("_prev.tick")) * F.col("_prev._us") / (ppq * 1e6), F.lit(0.0))
-    summed = prefix(linked.withColumn("_step", step), keys, {"seconds": ("sum", "_step")}, index="tick", size=size)
-    return summed.select(*keys, "tick", (F.col("tick") / ppq).alias("quarters"), "seconds", (60e6 / F.col("_us")).alias("bpm"))
+    ticks = F.col("tick") - F.col("_prev.tick")
+    step = ticks * F.col("_prev._us") / (ppq * 1e6) if smpte is None else ticks / (smpte[0] * smpte[1]) * 1e6 / F.col("_prev._us")
+    summed = prefix(linked.withColumn("_step", F.coalesce(step, F.lit(0.0))), keys, {"_sum": ("sum", "_step")}, index="tick", size=size)
+    even = F.col("tick") / (ppq if smpte is None else smpte[0] * smpte[1])
+    quarters, seconds = (even, F.col("_sum")) if smpte is None else (F.col("_sum"), even)
+    return summed.select(*keys, "tick", quarters.alias("quarters"), seconds.alias("seconds"), (60e6 / F.col("_us")).alias("bpm"))
 
 
 def seconds_at(points: DataFrame, tempos: DataFrame, keys: Sequence[str], quarters: str, out: str = "seconds",
@@ -388,11 +397,13 @@ def inside_song(points: DataFrame, keys: Sequence[str], t: str, dur: str) -> Dat
 
 
 def session_grid(meters: DataFrame, tempos: DataFrame, songs: DataFrame, keys: Sequence[str]) -> dict[str, DataFrame]:
-    """The session's grid on a song: beats, pulses, bars, summary and tempo changes.
+    """The session's grid on a song: beats, pulses, bars, summary, tempo changes and time signatures.
 
     `songs` has (keys, offset, dur, downbeat): song time = session time + offset, downbeat NULL when
-    tick 0 is bar 1.
+    tick 0 is bar 1. The last two start with what is in effect at 0 and list what changes after it.
     """
+    from tidewheel.operators.series import previous_row
+
     keys = list(keys)
     ends = songs.select(*keys, (-F.col("offset") - C.EDGE_S).alias("_a"), (F.col("dur") - F.col("offset")).alias("_b"),
                         F.coalesce(F.col("downbeat") - F.col("offset"), F.lit(0.0)).alias("_c"), "downbeat")
@@ -415,5 +426,21 @@ def session_grid(meters: DataFrame, tempos: DataFrame, songs: DataFrame, keys: S
     summary = at_bar1.select(*keys, F.col("_r.t").alias("downbeat"), F.col("_r.bar").alias("downbeat_bar"),
                              F.coalesce("bpm", F.lit(60e6 / C.DEFAULT_TEMPO_US)).alias("bpm"),
                              F.rint(S.quarters_per_bar(F.col("_r.num"), F.col("_r.den")) / F.col("_r.pulse")).cast("int").alias("pulses_per_bar"))
-    tempo_changes = shifted.where((F.col("t") > 0) & (F.col("t") < F.col("dur"))).select(*keys, "t", "bpm")
-    return {"beats": beats, "pulses": pulses, "bars": bars, "summary": summary, "tempo_changes": tempo_changes}
+    starts = songs.select(*keys, (-F.col("offset")).alias("_zero"))
+    default = F.lit(60e6 / C.DEFAULT_TEMPO_US)
+    at_zero = asof_join(starts, tempos.select(*keys, "seconds", "bpm"), keys, "_zero", "seconds", ["bpm"], 0.0)
+    first_bpm = tempos.groupBy(*keys).agg(F.min_by("bpm", "tick").alias("_first"))
+    head = at_zero.join(first_bpm, keys, "left").select(*keys, F.lit(0.0).alias("t"), F.coalesce("bpm", "_first", default).alias("bpm"))
+    linked = previous_row(shifted.select(*keys, "tick", "t", "dur", "bpm"), keys, "tick", "bpm", "_before")
+    changed = linked.where((F.col("t") > 0) & (F.col("t") < F.col("dur")) & F.coalesce(F.abs(F.col("bpm") - F.col("_before")) > 1e-6, F.lit(True)))
+    tempo_changes = head.unionByName(changed.select(*keys, "t", "bpm"))
+    # The signature in effect at 0 is that of the bar that 0 falls in, or of the first there is.
+    meter = F.struct("num", "den")
+    zero_q = quarters_at(starts, tempos, keys, "_zero", "_q")
+    signed = lines.withColumn("_m", meter)
+    first_line = signed.groupBy(*keys).agg(F.min_by("_m", "q").alias("_first"))
+    opening = asof_join(zero_q, signed.select(*keys, "q", "_m"), keys, "_q", "q", ["_m"], 1e-9).join(first_line, keys).withColumn("_m", F.coalesce("_m", "_first"))
+    earlier = previous_row(signed.select(*keys, "bar", "_m"), keys, "bar", "_m", "_before").select(*keys, "bar", "_before")
+    later = on_song(signed).join(earlier, [*keys, "bar"]).where((F.col("t") > 0) & ~F.col("_m").eqNullSafe(F.coalesce("_before", "_m")))
+    signatures = opening.select(*keys, F.lit(0.0).alias("t"), "_m.*").unionByName(later.select(*keys, "t", "_m.*"))
+    return {"beats": beats, "pulses": pulses, "bars": bars, "summary": summary, "tempo_changes": tempo_changes, "time_signatures": signatures}

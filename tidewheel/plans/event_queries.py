@@ -463,7 +463,7 @@ def channel_fold(spark, sf):
     return blocks.select("vec_id", size(S.mid(left, right)).alias("mid"), size(S.side(left, right)).alias("side"))
 
 
-@query("hash_noise")
+@query("hash_noise", "SELECT event_id, CAST('0x' || substr(md5('7|' || event_type || '|' || event_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS noise FROM events")
 def hash_noise(spark, sf):
     """Repeatable noise per event: the same in any partitioning."""
     return table(spark, sf, "events").select("event_id", S.hash_noise(7, F.col("event_type"), F.col("event_id")).alias("noise"))

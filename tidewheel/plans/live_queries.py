@@ -96,34 +96,41 @@ def run(spark, stream):
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def closed(spark, sf, build):
+    """The output of a stream of all events, windows open at their end included."""
+    folder = shared_path(spark, "stream")
+    events = lambda: events_stream(spark, sf)
+    schema = events().schema
+    last = table(spark, sf, "events").agg((F.max(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    end = last.select(F.lit("").alias("series_id"), "ts", F.lit(1000.0).alias("value")).select(*[F.col(f.name).cast(f.dataType) for f in schema])
+    stream = lambda: build(events().unionByName(spark.readStream.schema(schema).parquet(f"{folder}/end")))
+    return R.run_closed(stream, folder, end)
+
+
 def since(ts):
     return ((F.unix_micros(ts) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 1e6)
 
 
-@query("stream_levels", """WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events), b AS (SELECT event_type AS series_id, CAST(floor(date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 1e6 / 3600.0 + 0.5) AS BIGINT) AS frame, value FROM events)
-SELECT series_id, frame, count(*) AS n, round(sum(value / 7), 4) AS value, round(greatest(10 * log10(greatest(avg(value * value / 49), 1e-30)), -100.0), 6) AS rmsdb FROM b, m WHERE TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * frame + INTERVAL 30 MINUTE <= wm GROUP BY 1, 2""")
+@query("stream_levels", """WITH b AS (SELECT event_type AS series_id, CAST(floor(date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 1e6 / 3600.0 + 0.5) AS BIGINT) AS frame, value FROM events)
+SELECT series_id, frame, count(*) AS n, round(sum(value / 7), 4) AS value, round(greatest(10 * log10(greatest(avg(value * value / 49), 1e-30)), -100.0), 6) AS rmsdb FROM b GROUP BY 1, 2""")
 def stream_levels(spark, sf):
-    events = events_stream(spark, sf).withColumn("value", F.col("value") / 7)
-    out = run(spark, R.stream_levels(events, "series_id", "ts", "value", "1 hour", "30 minutes", "10 minutes"))
+    out = closed(spark, sf, lambda events: R.stream_levels(events.withColumn("value", F.col("value") / 7), "series_id", "ts", "value", "1 hour", "30 minutes", "10 minutes"))
     frame = F.floor((since(F.col("start")) + 1800) / 3600).cast("bigint")
     return out.select("series_id", frame.alias("frame"), "n", F.round("value", 4).alias("value"), F.round("rmsdb", 6).alias("rmsdb"))
 
 
-@query("stream_windows", """WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events), b AS (SELECT event_type AS series_id, CAST(floor(date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 1e6 / 14400.0) AS BIGINT) AS k, value / 7 AS v FROM events),
-w AS (SELECT series_id, k - j AS k, v FROM b, range(0, 2) r(j)) SELECT series_id, k AS step, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS spread FROM w, m WHERE TIMESTAMP '2024-01-01' + INTERVAL 4 HOUR * (k + 2) <= wm GROUP BY 1, 2""")
+@query("stream_windows", """WITH b AS (SELECT event_type AS series_id, CAST(floor(date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 1e6 / 14400.0) AS BIGINT) AS k, value / 7 AS v FROM events),
+w AS (SELECT series_id, k - j AS k, v FROM b, range(0, 2) r(j)) SELECT series_id, k AS step, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS spread FROM w GROUP BY 1, 2""")
 def stream_windows(spark, sf):
-    events = events_stream(spark, sf).withColumn("value", F.col("value") / 7)
-    out = run(spark, R.stream_windows(events, "series_id", "ts", "value", "8 hours", "4 hours", "10 minutes"))
+    out = closed(spark, sf, lambda events: R.stream_windows(events.withColumn("value", F.col("value") / 7), "series_id", "ts", "value", "8 hours", "4 hours", "10 minutes"))
     return out.select("series_id", F.floor(since(F.col("start")) / 14400).cast("bigint").alias("step"), "n", F.round("mean", 6).alias("mean"), F.round("spread", 6).alias("spread"))
 
 
-@query("stream_quiet", """WITH q AS (SELECT event_type AS series_id, ts, -value AS db FROM events WHERE -value < -40), m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events),
+@query("stream_quiet", """WITH q AS (SELECT event_type AS series_id, ts, -value AS db FROM events WHERE -value < -40),
 g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 1 HOUR THEN 1 ELSE 0 END AS s FROM q WINDOW w AS (PARTITION BY series_id ORDER BY ts)), i AS (SELECT *, sum(s) OVER (PARTITION BY series_id ORDER BY ts) AS isl FROM g)
-SELECT series_id, round(date_diff('microsecond', TIMESTAMP '2024-01-01', min(ts)) / 1e6, 6) AS start_s, round(date_diff('microsecond', TIMESTAMP '2024-01-01', max(ts)) / 1e6 + 3600, 6) AS end_s, round(avg(db / 7), 6) AS mean_db, count(*) AS frames FROM i, m GROUP BY series_id, isl HAVING max(ts) + INTERVAL 1 HOUR <= max(wm) AND date_diff('microsecond', min(ts), max(ts)) / 1e6 + 3600 >= 7200""")
+SELECT series_id, round(date_diff('microsecond', TIMESTAMP '2024-01-01', min(ts)) / 1e6, 6) AS start_s, round(date_diff('microsecond', TIMESTAMP '2024-01-01', max(ts)) / 1e6 + 3600, 6) AS end_s, round(avg(db / 7), 6) AS mean_db, count(*) AS frames FROM i GROUP BY series_id, isl HAVING date_diff('microsecond', min(ts), max(ts)) / 1e6 + 3600 >= 7200""")
 def stream_quiet(spark, sf):
-    levels = events_stream(spark, sf).withColumn("db", -F.col("value"))
-    quiet = R.stream_quiet(levels, "series_id", "ts", "db", -40.0, 3600.0, 7200.0, "10 minutes")
-    out = run(spark, quiet)
+    out = closed(spark, sf, lambda events: R.stream_quiet(events.withColumn("db", -F.col("value")), "series_id", "ts", "db", -40.0, 3600.0, 7200.0, "10 minutes"))
     return out.select("series_id", F.round(since(F.col("start")), 6).alias("start_s"), F.round(since(F.col("end")), 6).alias("end_s"),
                       F.round(F.col("mean_db") / 7, 6).alias("mean_db"), "frames")
 

@@ -107,9 +107,43 @@ def bar_lines(spark, sf):
         "song", "bar", F.round("q", 6).alias("q"), F.round("length", 6).alias("length"), "num", "den")
 
 
-@query("session_grid")
-def session_grid(spark, sf):
-    """Beats of each nation's song through its tempo map and meters."""
+@query("tempo_map_smpte", f"""WITH {_TEMPO.replace('CAST(value * 100 AS BIGINT)', 'CAST(round(value * 100) AS BIGINT)')}, h AS (SELECT * FROM tc UNION ALL SELECT user_id, 0, 500000 FROM tc GROUP BY 1 HAVING min(tick) > 0),
+l AS (SELECT *, lag(tick) OVER w AS pt, lag(us) OVER w AS pu FROM h WINDOW w AS (PARTITION BY user_id ORDER BY tick))
+SELECT user_id, tick, round(sum(coalesce((tick - pt) / (25.0 * 40) * 1e6 / pu, 0.0)) OVER (PARTITION BY user_id ORDER BY tick), 4) AS quarters, round(tick / 1000.0, 4) AS seconds, round(60e6 / us, 6) AS bpm FROM l""")
+def tempo_map_smpte(spark, sf):
+    """Tempo changes whose ticks are 1/40 of a frame of 25 a second."""
+    return G.tempo_map(tempo_changes(spark, sf), ["user_id"], "tick", "us", smpte=(25.0, 40)).select(
+        "user_id", "tick", F.round("quarters", 4).alias("quarters"), F.round("seconds", 4).alias("seconds"), F.round("bpm", 6).alias("bpm"))
+
+
+_SESSION = f"""mt AS (SELECT c_nationkey AS song, CAST(c_custkey * 7 AS DOUBLE) AS q, 2 + CAST(c_custkey % 4 AS INTEGER) AS num, CAST(4 * (1 + c_custkey % 2) AS INTEGER) AS den FROM customer),
+tc AS (SELECT c_nationkey AS user_id, c_custkey * 960 AS tick, 400000 + c_custkey % 7 * 50000 AS us FROM customer), {_MAP},
+so AS (SELECT user_id AS song, max(seconds) + 5.0 AS dur FROM tm GROUP BY 1),
+f0 AS (SELECT user_id, min_by(quarters, tick) AS q0, min_by(seconds, tick) AS s0, min_by(bpm, tick) AS b0 FROM tm GROUP BY 1),
+ed AS (SELECT song, 0.999 AS t, 1 AS side FROM so UNION ALL SELECT song, dur + 1.0, 2 FROM so UNION ALL SELECT song, 1.0, 0 FROM so),
+qa AS (SELECT e.song, side, coalesce(quarters, q0) + (t - coalesce(seconds, s0)) * coalesce(bpm, b0) / 60 AS q FROM ed e ASOF LEFT JOIN tm ON tm.user_id = e.song AND e.t >= tm.seconds JOIN f0 ON f0.user_id = e.song),
+sp AS (SELECT song, max(q) FILTER (side = 0) AS q_zero, max(q) FILTER (side = 1) AS q_from, max(q) FILTER (side = 2) AS q_to, 0.0 AS anchor FROM qa GROUP BY 1),
+hd AS (SELECT sp.song, coalesce(max_by(num, q) FILTER (WHERE q <= anchor + 1e-9), min_by(num, q)) AS num, coalesce(max_by(den, q) FILTER (WHERE q <= anchor + 1e-9), min_by(den, q)) AS den FROM mt JOIN sp USING (song) GROUP BY 1),
+sg AS (SELECT song, anchor AS q, num, den FROM hd JOIN sp USING (song) UNION ALL SELECT song, q, num, den FROM mt JOIN sp USING (song) WHERE q > anchor + 1e-9),
+nx AS (SELECT sg.*, lead(sg.q) OVER (PARTITION BY song ORDER BY sg.q) AS nq, num * 4.0 / den AS len, q_from, q_to FROM sg JOIN sp USING (song)),
+ct AS (SELECT *, CAST(greatest(ceil((coalesce(nq, q_to + 1e-9) - q) / len - 1e-9), 0) AS BIGINT) AS bars FROM nx),
+cu AS (SELECT *, sum(bars) OVER (PARTITION BY song ORDER BY q) - bars AS before FROM ct),
+af AS (SELECT song, CAST(before + k + 1 AS BIGINT) AS bar, q + k * len AS q, least(q + k * len + len, coalesce(nq, q + k * len + len)) - (q + k * len) AS length, num, den, q_from, q_to FROM (SELECT *, unnest(range(0, bars + 1)) AS k FROM cu) WHERE k < bars OR (nq IS NULL AND q + k * len <= q_to + 1e-9)),
+li AS (SELECT DISTINCT song, bar, q, length, num, den FROM af WHERE q <= q_to + 1e-9 AND q + length > q_from + 1e-9)"""
+
+
+def _timed_sql(name, rows):
+    """The rows (song, bar, q, num, den) with their times, those on the song."""
+    return f"""{name} AS (SELECT song, bar, num, den, greatest(raw, 0.0) AS t FROM (SELECT p.*, dur, coalesce(seconds, s0) + (q - coalesce(quarters, q0)) * 60 / coalesce(bpm, b0) - 1.0 AS raw
+  FROM ({rows}) p ASOF LEFT JOIN tm ON tm.user_id = p.song AND p.q >= tm.quarters JOIN f0 ON f0.user_id = p.song JOIN so ON so.song = p.song) WHERE raw >= -0.001 AND raw < dur)"""
+
+
+def _steps_sql(step):
+    return f"SELECT song, bar, q + k * {step} AS q, num, den FROM (SELECT *, unnest(range(0, CAST(ceil(length / ({step}) - 1e-9) AS BIGINT))) AS k FROM li)"
+
+
+def session(spark, sf, what):
+    """Each nation's song through its tempo map and meters."""
     k = F.col("c_custkey")
     c = table(spark, sf, "customer")
     meters = settle(c.select(F.col("c_nationkey").alias("song"), (k * 7).cast("double").alias("q"), (2 + k % 4).cast("int").alias("num"),
@@ -117,10 +151,50 @@ def session_grid(spark, sf):
     tempos = settle(G.tempo_map(c.select(F.col("c_nationkey").alias("song"), (k * 960).alias("tick"), (400000 + k % 7 * 50000).alias("us")), ["song"], "tick", "us", 480.0))
     # A song lasts until a little after its last change of tempo.
     songs = tempos.groupBy("song").agg((F.max("seconds") + 5.0).alias("dur")).withColumn("offset", F.lit(-1.0)).withColumn("downbeat", F.lit(None).cast("double"))
-    return G.session_grid(meters, tempos, settle(songs), ["song"])["beats"].select("song", "bar", F.round("t", 6).alias("t"))
+    return G.session_grid(meters, tempos, settle(songs), ["song"])[what]
+
+
+@query("session_grid", f"WITH {_SESSION}, {_timed_sql('g', _steps_sql('1.0'))} SELECT song, bar, round(t, 4) AS t FROM g")
+def session_grid(spark, sf):
+    return session(spark, sf, "beats").select("song", "bar", F.round("t", 4).alias("t"))
+
+
+@query("session_pulses", f"WITH {_SESSION}, {_timed_sql('g', _steps_sql('4.0 / den'))} SELECT song, bar, round(t, 4) AS t FROM g")
+def session_pulses(spark, sf):
+    return session(spark, sf, "pulses").select("song", "bar", F.round("t", 4).alias("t"))
+
+
+@query("session_bars", f"WITH {_SESSION}, {_timed_sql('g', 'SELECT * FROM li')} SELECT song, bar, num, den, round(t, 4) AS t FROM g")
+def session_bars(spark, sf):
+    return session(spark, sf, "bars").select("song", "bar", "num", "den", F.round("t", 4).alias("t"))
+
+
+@query("session_summary", f"""WITH {_SESSION}, {_timed_sql('g', 'SELECT * FROM li')}, r AS (SELECT *, t + 1.0 AS session_t FROM g WHERE bar >= 1 QUALIFY row_number() OVER (PARTITION BY song ORDER BY t, bar) = 1)
+SELECT r.song, round(r.t, 4) AS downbeat, r.bar AS downbeat_bar, round(coalesce(bpm, 120.0), 6) AS bpm, CAST(round(num * 4.0 / den / (4.0 / den)) AS INTEGER) AS pulses_per_bar
+FROM r ASOF LEFT JOIN tm ON tm.user_id = r.song AND r.session_t >= tm.seconds - 1e-9""")
+def session_summary(spark, sf):
+    return session(spark, sf, "summary").select("song", F.round("downbeat", 4).alias("downbeat"), "downbeat_bar", F.round("bpm", 6).alias("bpm"), "pulses_per_bar")
+
+
+@query("session_tempo_changes", f"""WITH {_SESSION}, lc AS (SELECT *, lag(bpm) OVER (PARTITION BY user_id ORDER BY tick) AS before FROM tm),
+z AS (SELECT so.song, coalesce(bpm, b0) AS bpm FROM (SELECT *, 1.0 AS session_t FROM so) so ASOF LEFT JOIN tm ON tm.user_id = so.song AND so.session_t >= tm.seconds JOIN f0 ON f0.user_id = so.song)
+SELECT song, 0.0 AS t, round(bpm, 6) AS bpm FROM z
+UNION ALL SELECT song, round(seconds - 1.0, 4), round(bpm, 6) FROM lc JOIN so ON so.song = lc.user_id WHERE seconds - 1.0 > 0 AND seconds - 1.0 < dur AND coalesce(abs(bpm - before) > 1e-6, true)""")
+def session_tempo_changes(spark, sf):
+    return session(spark, sf, "tempo_changes").select("song", F.round("t", 4).alias("t"), F.round("bpm", 6).alias("bpm"))
+
+
+@query("session_signatures", f"""WITH {_SESSION}, lw AS (SELECT *, lag(num) OVER w AS pn, lag(den) OVER w AS pd FROM li WINDOW w AS (PARTITION BY song ORDER BY bar)),
+{_timed_sql('g', 'SELECT song, bar, q, num, den FROM lw WHERE pn <> num OR pd <> den')},
+z AS (SELECT li.song, coalesce(max_by(num, q) FILTER (q <= q_zero + 1e-9), min_by(num, q)) AS num, coalesce(max_by(den, q) FILTER (q <= q_zero + 1e-9), min_by(den, q)) AS den FROM li JOIN sp USING (song) GROUP BY li.song)
+SELECT song, 0.0 AS t, num, den FROM z UNION ALL SELECT song, round(t, 4), num, den FROM g WHERE t > 0""")
+def session_signatures(spark, sf):
+    return session(spark, sf, "time_signatures").select("song", F.round("t", 4).alias("t"), "num", "den")
 
 
-@query("track_labels")
+@query("track_labels", """WITH n AS (SELECT c_nationkey AS song, c_custkey AS track, c_custkey % 16 = 9 AS drum, CASE WHEN c_custkey % 9 <> 0 THEN c_mktsegment WHEN c_custkey % 2 = 0 THEN 'Kick-Drum' END AS name FROM customer),
+b AS (SELECT *, coalesce(lower(name), 'track-' || track) AS base FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY song, base ORDER BY track) AS k FROM b)
+SELECT song, track, coalesce(name, 'track-' || track) AS label, CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS slug, coalesce(drum OR name = 'Kick-Drum', false) AS drum_like FROM r""")
 def track_labels(spark, sf):
     """Customers' orders as tracks: labels, unique slugs and drum flags per segment."""
     c = table(spark, sf, "customer")

@@ -263,6 +263,17 @@ def run_parts(parts: Iterable[DataFrame], folder: str, build: Callable[[DataFram
     return part.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out"), late
 
 
+def run_closed(build: Callable[[], DataFrame], folder: str, end: DataFrame) -> DataFrame:
+    """Run a stream over what is there, then over one more row (`end`) that its second source finds in `folder`/end: the watermark passes
+    all windows with it, so those open at the end of the data come out too."""
+    end.limit(0).write.parquet(f"{folder}/end")
+    stream = build()
+    run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
+    end.write.mode("append").parquet(f"{folder}/end")
+    run_available(build(), f"{folder}/out", f"{folder}/checkpoint")
+    return end.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def closing(frames: DataFrame, ahead: int) -> DataFrame:
     """One row, `ahead` frames past the last and of no series: after the part that holds it the watermark has passed all others."""
     last = frames.agg(F.max("frame").alias("frame"))
