@@ -185,6 +185,31 @@ def test_group_settles_repeaters_and_refuses_outliers(spark):
     assert got["other"][0] == "refused" and got["noise"][0] == "refused"
 
 
+def test_contract_of_members(spark):
+    lags = np.arange(-30, 31)
+    peak = lambda at, h=0.9: h * np.exp(-((lags - at) ** 2) / 4.0)
+    curves = {"drums": peak(5), "bass": peak(5), "keys": peak(5, 0.8), "other": peak(-12), "noise": peak(3, 0.1), "told": peak(5), "far": peak(30, 0.5), "long": peak(5)}
+    df = spark.createDataFrame([("song", m, int(k), float(r)) for m, rs in curves.items() for k, r in zip(lags, rs)], "song string, stem string, lag int, r double")
+    given = spark.createDataFrame([("song", "told", 0.25)], "song string, stem string, lag_s double")
+    sizes = spark.createDataFrame([("song", m, 2000 if m == "long" else 950) for m in [*curves, "hush"]], "song string, stem string, samples long")
+    masters = spark.createDataFrame([("song", 1000)], "song string, length long")
+    got = {r.stem: r for r in L.group_contract(L.align_group(df, ["song"], "stem", given), sizes, masters, ["song"], "stem", 1000.0).collect()}
+    assert {m: r.source for m, r in got.items()} == {"drums": "auto", "bass": "auto", "keys": "auto", "long": "auto", "other": "refused", "noise": "refused",
+                                                     "far": "refused", "told": "given", "hush": "none"}
+    assert (got["drums"].lag_s, got["drums"].gap_s, got["drums"].problem, got["drums"].warning) == (0.05, 0.0, None, None)
+    assert (got["hush"].lag_s, got["hush"].gap_s) == (0.0, -0.05)
+    assert got["long"].problem == "ends 1.05 s after its master" and got["told"].lag_s == 0.25 and "+0.050" in got["told"].warning
+    assert "the other members at +0.050" in got["other"].problem and "hardly" in got["noise"].problem and "edge" in got["far"].problem
+
+
+def test_a_voice_replaces_its_proxy(spark):
+    levels = spark.createDataFrame([(s, f, v) for s, v in (("sung", 0.5), ("proxy", 0.25), ("mono", None)) for f in range(2)], "song string, frame long, voc double")
+    members = spark.createDataFrame([("sung", "Vox", 0, 0.9), ("sung", "drums", 0, 0.1), ("sung", "voice", 0, 0.7), ("proxy", "bass", 0, 1.0)], "song string, stem string, frame long, rms double")
+    got = {(r.song, r.frame): (r.voc, r.voc_source) for r in L.with_voice(levels, members, ["song"], "stem", "rms").collect()}
+    assert got == {("sung", 0): (0.9, "stem"), ("sung", 1): (0.0, "stem"), ("proxy", 0): (0.25, "mid-side proxy"), ("proxy", 1): (0.25, "mid-side proxy"),
+                   ("mono", 0): (None, None), ("mono", 1): (None, None)}
+
+
 def test_members_line_up_from_samples(spark):
     sr, n = 8000, 8000 * 8
     rng = np.random.default_rng(11)

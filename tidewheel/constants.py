@@ -83,6 +83,7 @@ STEM_SEARCH_S = 2.0
 STEM_MIN_R = 0.2
 STEM_MIN_MARGIN = 0.05
 STEM_TOLERANCE_S = 0.5
+VOICES = ("vocals", "vocal", "vox", "voice")
 RUNNER_UP_S = 0.05
 DRUM_WEIGHT = 2.0
 ONSET_CLUSTER_S = 0.020

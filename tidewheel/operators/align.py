@@ -685,7 +685,8 @@ def member_correlation(by_power: DataFrame, by_onset: DataFrame, keys: Sequence[
 
 def align_group(curve: DataFrame, group: Sequence[str], member: str, given: DataFrame | None = None,
                 fps: float = C.FPS) -> DataFrame:
-    """Each member's lag on its master: lag_s, r and status (auto, given, refused).
+    """Each member's lag on its master: lag_s, r, margin and status (auto, given, refused), and what it was judged by: its own best
+    lag and r, whether that is sure, at the search's edge or an outlier, its runner-up, and the lag agreed on.
 
     A lag is trusted at r >= 0.2 with a margin >= 0.05 off the search's edge. The lag most trusted
     members share settles the repeaters near it; trusted members elsewhere are refused.
@@ -716,11 +717,49 @@ def align_group(curve: DataFrame, group: Sequence[str], member: str, given: Data
     ok = F.col("sure") & ~F.coalesce("outlier", F.lit(False))
     lag_s = F.when(ok, F.col("lag_s")).when(settles, F.col("_near_s"))
     r = F.when(F.coalesce(settles, F.lit(False)), F.col("_near_r")).otherwise(F.col("r"))
+    judged = [F.col("lag_s").alias("best_s"), F.col("r").alias("best_r"), "sure", "edge", F.coalesce("outlier", F.lit(False)).alias("outlier"),
+              (F.col("runner_up") / fps).alias("runner_up_s"), "agreed"]
     out = all_.select(*keys, F.round(lag_s, 3).alias("lag_s"), F.round(r, 3).alias("r"), "margin",
-                      F.when(lag_s.isNotNull(), "auto").otherwise("refused").alias("status"))
+                      F.when(lag_s.isNotNull(), "auto").otherwise("refused").alias("status"), *judged)
     if given is None:
         return out
     over = given.select(*keys, F.col("lag_s").alias("_g"))
-    return out.join(over, keys, "left").select(
-        *keys, F.coalesce(F.round("_g", 3), "lag_s").alias("lag_s"), "r", "margin",
-        F.when(F.col("_g").isNotNull(), "given").otherwise(F.col("status")).alias("status"))
+    return out.join(over, keys, "left").withColumns({
+        "lag_s": F.coalesce(F.round("_g", 3), "lag_s"), "status": F.when(F.col("_g").isNotNull(), "given").otherwise(F.col("status"))}).drop("_g")
+
+
+def group_contract(aligned: DataFrame, sizes: DataFrame, masters: DataFrame, group: Sequence[str], member: str, rate: float,
+                   tolerance_s: float = C.STEM_TOLERANCE_S, warn_s: float = C.TOLERANCE_S) -> DataFrame:
+    """What becomes of every member: source (auto, given, none, refused), lag_s, r, gap_s, problem and warning.
+
+    `aligned` is align_group()'s, `sizes` has (group, member, samples) of all members and `masters` (group, length), both at
+    `rate` a second. A member with nothing to line up by (silence, a drone) stays at 0. Every member must end where its
+    master does, to within `tolerance_s`; `gap_s` tells by how much it ends later. A given lag that a sure fit contradicts is a warning.
+    """
+    group = list(group)
+    keys = [*group, member]
+    all_ = sizes.select(*keys, "samples").join(aligned, keys, "left").join(masters.select(*group, "length"), group)
+    source = F.coalesce("status", F.lit("none"))
+    lag = F.when(F.col("status").isNull(), 0.0).otherwise(F.col("lag_s"))
+    placed = all_.withColumns({"source": source, "lag_s": lag}).withColumn("gap_s", F.round(F.col("lag_s") + (F.col("samples") - F.col("length")) / rate, 3))
+    refusal = (F.when(F.col("outlier"), F.format_string("lines up at %+.3f s (r %.2f), the other members at %+.3f s", "best_s", "best_r", F.coalesce("agreed", F.lit(0.0))))
+               .when(F.col("edge"), F.format_string("fits best at the edge of the search, at %+.3f s (r %.2f)", "best_s", "best_r"))
+               .when(F.col("best_r") < C.STEM_MIN_R, F.format_string("hardly matches its master anywhere (r %.2f at %+.3f s)", "best_r", "best_s"))
+               .otherwise(F.format_string("fits nearly as well at %+.3f s as at %+.3f s (r %.2f)", "runner_up_s", "best_s", "best_r")))
+    ends = F.format_string("ends %.2f s %s its master", F.abs("gap_s"), F.when(F.col("gap_s") > 0, "after").otherwise("before"))
+    problem = F.when(F.col("source") == "refused", refusal).when(F.abs("gap_s") > tolerance_s, ends)
+    warning = F.when((F.col("source") == "given") & F.col("sure") & (F.abs(F.col("best_s") - F.col("lag_s")) > warn_s),
+                     F.format_string("given %+.3f s, but it lines up best at %+.3f s (r %.2f)", "lag_s", "best_s", "best_r"))
+    return placed.select(*keys, "source", "lag_s", "r", "gap_s", problem.alias("problem"), warning.alias("warning"))
+
+
+def with_voice(levels: DataFrame, members: DataFrame, group: Sequence[str], member: str, value: str, index: str = "frame") -> DataFrame:
+    """The master's levels with `voc` taken from a member that is a voice (the first by name), else its own proxy; voc_source tells which."""
+    group = list(group)
+    voices = members.where(F.lower(member).isin(*C.VOICES))
+    first = voices.groupBy(*group).agg(F.min(member).alias(member))
+    sung = voices.join(first, [*group, member]).select(*group, index, F.col(value).alias("_sung"))
+    named = levels.join(first.select(*group, F.lit(True).alias("_has")), group, "left").join(sung, [*group, index], "left")
+    own = F.when(F.col("voc").isNotNull(), "mid-side proxy")
+    return named.withColumns({"voc": F.when(F.col("_has"), F.coalesce("_sung", F.lit(0.0))).otherwise(F.col("voc")),
+                              "voc_source": F.when(F.col("_has"), "stem").otherwise(own)}).drop("_has", "_sung")

@@ -67,20 +67,72 @@ def beat_novelty(spark, sf):
     return A.beat_novelty(stored, beats, SERIES, SR).select("series_id", "idx", F.round("novelty", 6).alias("novelty"))
 
 
-@query("refine_lag")
+# The copy is seven samples late by construction.
+@query("refine_lag", "SELECT DISTINCT l_returnflag AS series_id, 0.009 AS lag_s FROM lineitem")
 def refine_lag(spark, sf):
-    """Each supplier's samples found again in a copy seven samples late, to the sample."""
-    rows = sample_rows(spark, sf)
-    # Samples of all suppliers' lines grouped by ship year make series long enough for a segment.
+    """Each return flag's lines as samples, found again in a copy seven samples late: first to the frame by its levels, then to the sample."""
     lines = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("series_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     rows = settle(number_rows(lines, SERIES, ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], F.floor(F.col("l_orderkey") / 4096).cast("bigint"), "n").select(
         "series_id", (F.col("n") - 1).alias("i"), (F.col("l_quantity") / 50 - 0.5).alias("l")))
-    old = settle(A.sample_blocks(rows, SERIES, "i", "l", 4096))
-    new = settle(A.sample_blocks(rows.withColumn("i", F.col("i") + 7), SERIES, "i", "l", 4096))
+    late = rows.withColumn("i", F.col("i") + 7)
+    old, new = (settle(A.sample_blocks(r, SERIES, "i", "l", 4096)) for r in (rows, late))
+    hop = SR // 100
+    frames = lambda r: r.groupBy("series_id", F.floor(F.col("i") / hop).alias("frame")).agg(F.avg("l").alias("value"))
+    coarse = L.global_offset(settle(L.pair_up(frames(rows), frames(late), SERIES)), SERIES, 12).select("series_id", (F.col("lag") / 100).alias("lag_s"))
+    coarse = settle(coarse)
     spans = rows.groupBy("series_id").agg(F.min("i").alias("first"), F.max("i").alias("last"))
-    coarse = spans.select("series_id", F.lit(0.0).alias("lag_s"))
     segments = A.fine_segments(old, new, coarse, spans, SERIES, SR, length=2048)
-    return L.fine_lag(segments, coarse, SERIES, SR)
+    return L.fine_lag(segments, coarse, SERIES, SR).select("series_id", F.round("lag_s", 3).alias("lag_s"))
+
+
+STEMS, TRIMMED = ("bounce", "drums", "hush", "short", "vox"), 240
+
+
+def stem_samples(spark, sf):
+    """Samples (song, stem, i, l) of each return flag's lines as stems, and its master (song, i, l), which lacks their first 0.3 s."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("song"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
+    rows = settle(number_rows(lines, ["song"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], F.floor(F.col("l_orderkey") / 4096).cast("bigint"), "n")
+                  .withColumn("i", F.col("n") - 1))
+    open_ = lambda name, size: (F.pmod(F.xxhash64(F.lit(name), F.floor(F.col("i") / size)), F.lit(5)) < 2).cast("double")
+    vox, drums = (F.col("l_quantity") / 50 - 0.5) * open_("vox", 160), (F.col("l_discount") * 10 - 0.5) * open_("drums", 80)
+    parts = {"bounce": vox, "drums": drums, "hush": F.lit(0.0), "short": drums, "vox": vox}
+    ends = rows.groupBy("song").agg(F.max("n").alias("_n"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("stem"), v.alias("l")) for k, v in parts.items()]))
+    stems = rows.join(ends, "song").select("song", "i", "_n", each.alias("_s")).select("song", "i", "_n", "_s.*").where("stem <> 'short' OR i < 0.7 * _n").drop("_n")
+    master = rows.where(F.col("i") >= TRIMMED).select("song", (F.col("i") - TRIMMED).alias("i"), (vox + drums).alias("l"))
+    return settle(stems), settle(master)
+
+
+# Known by construction: what follows the master lines up 0.3 s early; the silent stem stays; the short one ends too soon; the given lag is wrong.
+@query("stem_contract", """WITH s AS (SELECT DISTINCT l_returnflag AS song FROM lineitem), m(stem, source, lag_s, problem, warning) AS (VALUES ('bounce', 'given', 0.1, false, true), ('drums', 'auto', -0.3, false, false),
+ ('hush', 'none', 0.0, false, false), ('short', 'auto', -0.3, true, false), ('vox', 'auto', -0.3, false, false))
+SELECT song, stem, source, CAST(lag_s AS DOUBLE) AS lag_s, problem, warning FROM s, m""")
+def stem_contract(spark, sf):
+    """Stems lined up with their masters from samples, and what is wrong with them."""
+    stems, master = stem_samples(spark, sf)
+    keys = ["song", "stem"]
+    blocks_ = settle(A.sample_blocks(stems, keys, "i", "l", 4096))
+    masters = settle(A.sample_blocks(master, ["song"], "i", "l", 4096))
+    given = master.select("song").distinct().select("song", F.lit("bounce").alias("stem"), F.lit(0.1).alias("lag_s"))
+    aligned = settle(A.align_members(blocks_, masters, ["song"], "stem", SR, given=given))
+    count = lambda df, by, name: df.groupBy(*by).agg(F.count("*").alias(name))
+    told = L.group_contract(aligned, count(stems, keys, "samples"), count(master, ["song"], "length"), ["song"], "stem", SR)
+    return told.select("song", "stem", "source", F.round("lag_s", 2).alias("lag_s"), F.col("problem").isNotNull().alias("problem"), F.col("warning").isNotNull().alias("warning"))
+
+
+@query("lined_up_stems", f"""WITH b AS (SELECT l_returnflag AS song, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT song, 'vox' AS stem, n - {TRIMMED} AS samples, CAST(true AS BOOLEAN) AS equal FROM b""")
+def lined_up_stems(spark, sf):
+    """The voice of each song moved onto its master: as long as it, and sample for sample the voice in the mix."""
+    stems, master = stem_samples(spark, sf)
+    keys = ["song", "stem"]
+    vox = settle(A.sample_blocks(stems.where("stem = 'vox'"), keys, "i", "l", 4096))
+    lags = master.select("song").distinct().select("song", F.lit("vox").alias("stem"), F.lit(-TRIMMED / SR).alias("lag_s"))
+    lengths = master.groupBy("song").agg(F.count("*").alias("length"))
+    moved = A.lined_up_blocks(vox, lags, lengths, keys, ["song"], SR).select(*keys, F.posexplode("left").alias("k", "l"), "start_sample")
+    placed = moved.select(*keys, (F.col("start_sample") + F.col("k")).alias("i"), "l")
+    want = stems.where("stem = 'vox'").select(*keys, (F.col("i") - TRIMMED).alias("i"), F.col("l").alias("want")).where("i >= 0")
+    return placed.join(want, [*keys, "i"], "full").groupBy(*keys).agg(F.count("l").alias("samples"), F.bool_and(F.coalesce(F.abs(F.col("l") - F.col("want")) < 1e-6, F.lit(False))).alias("equal"))
 
 
 # ---- streams, run over what is there
