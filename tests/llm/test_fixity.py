@@ -46,7 +46,51 @@ def test_only_mismatching_branches_are_followed(spark, monkeypatch):
 
 def test_records_follow_one_another(spark):
     pages = spark.createDataFrame([(1, "http://a", "é"), (2, None, None), (1001, "http://b", "x"), (None, "http://c", "y")], "page_id long, url string, html string")
-    got = {(r.archive[:14], r.id): r for r in fixity.archives(pages).collect()}
+    made = fixity.page_records(pages)
+    texts = {(r.archive[:14], r.id): r.record for r in made.collect()}
+    got = {(r.archive[:14], r.id): r for r in fixity.laid_out(fixity.fingerprints(made)).collect()}
     first, second = got["pages-00000000", 1], got["pages-00000000", 2]
-    assert (first.offset, second.offset) == (0, len(first.record.encode())) and "Content-Length: 2\r\n" in first.record
+    assert (first.offset, second.offset) == (0, len(texts["pages-00000000", 1].encode())) and "Content-Length: 2\r\n" in texts["pages-00000000", 1]
     assert got["pages-00000001", 1001].offset == 0 and len(got) == 4
+
+
+def follow_on(archive, ids, text=lambda i: f"record {i} " + "x" * (i % 13)):
+    rows, at = [], 0
+    for i in ids:
+        rows.append((archive, at, i, text(i)))
+        at += len(text(i))
+    return rows
+
+
+def test_records_that_moved_up_are_told_from_damaged_ones(spark, monkeypatch):
+    monkeypatch.setattr(fixity, "RANGE_BYTES", 64)
+    monkeypatch.setattr(fixity, "FAN", 4)
+    sound = follow_on("a", range(200)) + follow_on("b", range(20))
+    lost = follow_on("a", [i for i in range(200) if i != 5]) + follow_on("b", range(20))
+    found = audit(spark, sound, lost)
+    assert [r for r in found if r[3] != "moved"] == [("a", sound[5][1], 5, "missing")]
+    assert [r[2] for r in found if r[3] == "moved"] == list(range(6, 200))
+    # A shorter record in the place of one: it is damaged, all that follow have moved, and one comes in addition.
+    harm = lambda i: "short" if i == 150 else f"record {i} " + "x" * (i % 13)
+    other = follow_on("a", [*range(200), 900], harm) + follow_on("b", range(20))
+    assert [r for r in audit(spark, sound, other) if r[3] != "moved"] == [("a", sound[150][1], 150, "damaged"), ("a", other[200][1], 900, "extra")]
+
+
+def test_equal_records_are_paired_in_order_and_ids_may_be_null(spark, monkeypatch):
+    monkeypatch.setattr(fixity, "RANGE_BYTES", 8)
+    monkeypatch.setattr(fixity, "FAN", 2)
+    sound = [("a", 10 * i, None, "same") for i in range(6)] + [("a", 60, None, "last")]
+    assert audit(spark, sound, [("a", 10 * i, None, "same") for i in range(5)] + [("a", 50, None, "lost")]) == [
+        ("a", 50, None, "damaged"), ("a", 60, None, "missing")]
+    # One copy less, and the last one moved up: places 0 to 40 are sound.
+    assert audit(spark, sound, [*sound[:5], ("a", 50, None, "last")]) == [("a", 50, None, "missing"), ("a", 60, None, "moved")]
+
+
+def test_records_without_an_offset_spread_over_the_tree(spark):
+    rows = [("a", None, i, f"record {i}") for i in range(300)]
+    frame = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
+    assert fixity.leaves(frame).where("place < 0").select("place").distinct().count() == 300
+    changed = [*rows[:7], ("a", None, 7, "other"), *rows[8:299]]
+    assert audit(spark, rows, changed) == [("a", -1, 7, "damaged"), ("a", -1, 299, "missing")]
+    clash = frame.withColumn("length", F.lit("x")).withColumn("sha256", F.lit(0)).withColumn("place", F.lit(None))
+    assert fixity.audit(clash, frame).count() == 0

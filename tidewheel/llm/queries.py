@@ -137,27 +137,29 @@ def op9_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a damaged replica of the archives of all pages differs from the sound one.
 
     The damage follows from the ids: a first character overwritten, ten last characters lost, or a whole
-    record lost. Offsets are those of the sound archives.
+    record lost. Either replica has the offsets of its own records, so all that follow a loss have moved.
     """
-    sound = settle(fixity.archives(table(spark, sf_dir, "pages")))
+    sound = fixity.page_records(table(spark, sf_dir, "pages"))
     record, n = F.col("record"), F.length("record")
     damaged = sound.where(F.coalesce(F.pmod("id", F.lit(389)) != 7, F.lit(True))).withColumn(
         "record", F.when(F.pmod("id", F.lit(97)) == 5, F.concat(F.lit("#"), F.substring(record, 2, 2**31 - 1)))
         .when(F.pmod("id", F.lit(211)) == 3, F.left(record, n - 10)).otherwise(record))
-    return fixity.audit(sound, damaged).withColumnRenamed("id", "page_id")
+    replicas = [fixity.laid_out(fixity.fingerprints(side)) for side in (sound, damaged)]
+    return fixity.audit(*replicas).withColumnRenamed("id", "page_id")
 
 
 OP9_SQL = """
 WITH r AS (SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id
   || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
   || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
-o AS (SELECT *, printf('pages-%08d.warc', page_id // 1000) AS archive FROM r),
-p AS (SELECT *, coalesce(sum(strlen(record)) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM o),
-d AS (SELECT *, CASE WHEN page_id % 389 = 7 THEN NULL WHEN page_id % 97 = 5 THEN '#' || substr(record, 2)
-             WHEN page_id % 211 = 3 THEN left(record, length(record) - 10) ELSE record END AS other FROM p)
-SELECT archive, CAST("offset" AS BIGINT) AS "offset", page_id, CASE WHEN other IS NULL THEN 'missing' ELSE 'damaged' END AS status,
+o AS (SELECT *, printf('pages-%08d.warc', page_id // 1000) AS archive, CASE WHEN page_id % 389 = 7 THEN NULL WHEN page_id % 97 = 5 THEN '#' || substr(record, 2)
+             WHEN page_id % 211 = 3 THEN left(record, length(record) - 10) ELSE record END AS other FROM r),
+d AS (SELECT *, coalesce(sum(strlen(record)) OVER w, 0) AS l, CASE WHEN other IS NOT NULL THEN coalesce(sum(strlen(other)) OVER w, 0) END AS r FROM o
+      WINDOW w AS (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT archive, CAST(l AS BIGINT) AS "offset", CAST(r AS BIGINT) AS right_offset, page_id,
+       CASE WHEN other IS NULL THEN 'missing' WHEN other = record THEN 'moved' ELSE 'damaged' END AS status,
        CAST(strlen(record) AS BIGINT) AS left_length, CAST(strlen(other) AS BIGINT) AS right_length, sha256(record) AS left_sha256, sha256(other) AS right_sha256
-FROM d WHERE other IS NULL OR other <> record"""
+FROM d WHERE other IS NULL OR other <> record OR l <> r"""
 
 # Target shares by bytes: one dominant source is brought down to a tenth, the others share the rest evenly.
 SOURCE_WEIGHTS = {"src0": 0.1, **{f"src{i}": 0.9 / 19 for i in range(1, 20)}}
