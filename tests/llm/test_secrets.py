@@ -113,3 +113,31 @@ def test_logins_of_any_length_and_without_user(spark):
         assert [tuple(s) for s in found[i].spans] == brute(text, secrets.MORE_RULES), i
         assert found[i].clean == ("see [SECRET]host/path" if i < len(logins) else text)
     assert secrets.trigram_query(secrets.MORE_RULES[-1].pattern) == [frozenset({"://"})]
+
+
+def test_keys_of_any_number_of_dashes_headers_and_indented_lines(spark):
+    headers = "".join(f"\nX-Field-{i}: value {i}" for i in range(20_000))
+    rows = [f"{HEAD}\n" + "ab--cd-" * 20_000 + f"\n{END}", f"{HEAD}{headers}\n\n{BODY}", f"{HEAD}\n" + BODY[:64] + f"\n  {BODY[:64]}" * 20_000,
+            f"{HEAD}{headers}\n\n" + f"  {BODY[:64]}\n" * 20_000 + END]
+    docs = spark.createDataFrame(list(enumerate(f"before {r} after." for r in rows)), "doc_id int, text string")
+    found = secrets.scan(docs, secrets.MORE_RULES).select("doc_id", secrets.redact(F.col("text"), F.col("spans")).alias("clean")).collect()
+    assert {r.doc_id: r.clean for r in found} == {i: "before [SECRET] after." for i in range(len(rows))}
+
+
+def test_key_rule_in_the_engine_of_the_sql_twin(spark):
+    import duckdb
+    from tidewheel.llm import queries
+
+    rng = random.Random(21)
+    atoms = [HEAD, END, "\n", "\r\n", "\\n", " ", "\t", "-", "--", "-----", "Proc-Type: 4", "DEK-Info: AES,0123456789ABCDEF0123", "LongerThanSixteenName: x", "word", BODY[:16], BODY[:64], "é:"]
+    rows = [HEAD + "".join(rng.choices(atoms, k=rng.randint(1, 30))) for _ in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan(docs, secrets.MORE_RULES).collect()}
+    assert got == {i: brute(t, secrets.MORE_RULES) for i, t in enumerate(rows)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id INT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(rows)))
+    twin = dict(con.execute(f"SELECT doc_id, spans FROM ({queries.ORACLES['op5_trigram_secrets']})").fetchall())
+    spans = lambda found: ",".join(f"{kind}:{start}:{end}" for start, _, end, kind in found)
+    assert {i: ",".join(x for x in twin[i].split(",") if x.startswith("private_key")) for i in twin} == {
+        i: spans(s for s in found if s[3] == "private_key") for i, found in got.items()}

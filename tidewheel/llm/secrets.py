@@ -31,11 +31,14 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
 # A key's body up to its END line: whatever holds no five dashes, so that no other key is crossed. Loops over groups
-# are bounded, since Java's regex recurses in them (RE2 takes 1,000 in all, nested ones multiplied); keys have lines of 64 characters and few dashes.
-_TO_END = r"[^-]*(?:--?-?-?[^-]+){0,400}-{5,}END [A-Z ]*PRIVATE KEY-----"
-# Without END: header lines, then base64 from a first stretch of 16 on, over line ends (escaped ones too) and indents.
-_KEY_LINES = (r"(?:(?:[\x20\t]*[\r\n]+[\x20\t]*[A-Za-z][A-Za-z0-9-]*:[^\r\n]*){0,16}[\x20\t\r\n\\]*[A-Za-z0-9+/=]{16}(?:[A-Za-z0-9+/=\\\r\n]*[A-Za-z0-9+/=\\])?"
-              r"(?:[\r\n]+[\x20\t]+[A-Za-z0-9+/=\\\r\n]*[A-Za-z0-9+/=\\]){0,400})?")
+# are possessive, since Java's regex recurses in all others; none of them would match anything else by giving back.
+_TO_END = r"(?:[^-]++|-{1,4}[^-])*+-{5,}END [A-Z ]*PRIVATE KEY-----"
+# Without END: header lines, then base64 from a first stretch of 16 on, over line ends (escaped ones too) and indents. A
+# header's name has a dash or its colon within 16 characters, so no line is both a header and base64.
+_HEADERS = r"(?:[\x20\t]*[\r\n]+[\x20\t]*[A-Za-z][A-Za-z0-9]{0,14}(?:-[A-Za-z0-9-]*)?:[^\r\n]*)++"
+_BASE64 = (r"[\x20\t\r\n\\]*[A-Za-z0-9+/=]{16}(?:[A-Za-z0-9+/=\\\r\n]*[A-Za-z0-9+/=\\])?"
+           r"(?:[\r\n]+[\x20\t]+[A-Za-z0-9+/=\\\r\n]*[A-Za-z0-9+/=\\])*+")
+_KEY_LINES = rf"(?:{_HEADERS}[\r\n]{_BASE64}|{_BASE64})?"
 MORE_RULES = (
     Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_TO_END}|{_KEY_LINES})"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
