@@ -23,7 +23,8 @@ def test_every_kind_of_damage_is_found_and_nothing_else(spark, monkeypatch):
     assert audit(spark, sound, sound[::-1]) == []
 
 
-def test_nulls_repeats_and_empty_sides(spark):
+def test_nulls_repeats_and_empty_sides(spark, monkeypatch):
+    monkeypatch.setattr(fixity, "PLACE_DIGITS", 4)  # a low tree
     rows = [(None, None, None, None), ("a", 0, 1, "x"), ("a", 0, 1, "x"), ("a", None, 2, "y"), ("a", 3, None, "")]
     assert audit(spark, rows, rows) == []
     assert audit(spark, rows, [rows[0], *rows[2:]]) == [("a", 0, 1, "damaged")]  # one copy less
@@ -86,7 +87,8 @@ def test_equal_records_are_paired_in_order_and_ids_may_be_null(spark, monkeypatc
     assert audit(spark, sound, [*sound[:5], ("a", 50, None, "last")]) == [("a", 50, None, "missing"), ("a", 60, None, "moved")]
 
 
-def test_records_without_an_offset_spread_over_the_tree(spark):
+def test_records_without_an_offset_spread_over_the_tree(spark, monkeypatch):
+    monkeypatch.setattr(fixity, "PLACE_DIGITS", 6)
     rows = [("a", None, i, f"record {i}") for i in range(300)]
     frame = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
     assert fixity.leaves(frame).where("place < 0").select("place").distinct().count() == 300
