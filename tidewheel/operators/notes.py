@@ -81,8 +81,8 @@ def merge_changes(rows: DataFrame, keys: Sequence[str], tick: str, track: str, v
 
 
 def key_signature(rows: DataFrame, keys: Sequence[str], tick: str, track: str, value: str) -> DataFrame:
-    """The earliest key signature; file order breaks ties."""
-    return rows.groupBy(*keys).agg(F.min_by(value, F.struct(tick, track)).alias("key_signature"))
+    """The earliest key signature; file order breaks ties. Rows without a tick take no part."""
+    return rows.groupBy(*keys).agg(F.min_by(value, F.when(F.col(tick).isNotNull(), F.struct(tick, track))).alias("key_signature"))
 
 
 def drum_named(name: Column) -> Column:
