@@ -25,6 +25,6 @@ LINES = f"""SELECT l_orderkey, l_partkey + k * 150000 AS l_partkey, l_suppkey, l
  l_extendedprice, l_discount, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_tax / (1 + k * 997) END AS l_tax, l_returnflag, l_linestatus, l_shipdate FROM '{SF}/lineitem.parquet', range(0, 3) r(k) WHERE l_orderkey < 3000"""
 
 
-@pytest.mark.parametrize("name", ["key_signatures"])
+@pytest.mark.parametrize("name", ["key_signatures", "log_measurements"])
 def test_lines_with_large_keys_and_broken_quantities(spark, tmp_path, name):
     holds(spark, tmp_path, name, lineitem=LINES)

@@ -12,6 +12,12 @@ def clamp(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
 
 
+def round_places(x: Column, places: int) -> Column:
+    """Rounded half away from zero as the scaled double stands, not as its shortest decimal does (0.285 is just under the half: 0.28)."""
+    scale = F.lit(10.0 ** places)
+    return F.round(x * scale, 0) / scale
+
+
 # ---- levels
 def to_db(mean_square: Column) -> Column:
     return F.greatest(10.0 * F.log10(F.greatest(mean_square, F.lit(1e-30))), F.lit(C.FLOOR_DB))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewheel.functions import platform_specs as P
+from tidewheel.functions import scalar as S
 from tidewheel.functions import text as X
 from tidewheel.operators import rules as R
 from tidewheel.operators.aggregates import mood_line
@@ -289,17 +290,19 @@ def alias_lookup(spark, sf):
  CASE WHEN l_linenumber > 5 THEN NULL ELSE CAST(l_orderkey AS VARCHAR) END AS input_i, l_quantity AS fps FROM lineitem""")
 def log_measurements(spark, sf):
     c = F.col
-    level = F.when(c("l_linenumber") == 3, "-inf").otherwise(F.round(-8 - c("l_quantity") / 4, 2).cast("string"))
+    level = F.when(c("l_linenumber") == 3, "-inf").otherwise(S.round_places(-8 - c("l_quantity") / 4, 2).cast("string"))
+    # A line whose value is missing is missing in the log.
+    line = lambda *parts: F.coalesce(F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]), F.lit(""))
     log = F.concat(F.lit("Summary:\n  I: -1.0 LUFS\n running I: -70.0 LUFS\n{\"input_i\": \"0\"}\n{\"other\": 1}\n"),
-                   F.when(c("l_linenumber") <= 5, F.concat(F.lit("{\"input_i\": \""), c("l_orderkey"), F.lit("\"}\n"))).otherwise("{\"output\": 2}\n"),
-                   F.lit("Summary:\n  Integrated loudness:\n    I:   "), level, F.lit(" LUFS\n"),
-                   F.when(c("l_linenumber") != 4, F.concat(F.lit("    Peak:   "), c("l_tax").cast("string"), F.lit(" dBFS\n"))).otherwise(""),
-                   F.lit("DONE 100 frames in 12s ("), c("l_quantity").cast("string"), F.lit(" fps)\n"))
+                   F.when(c("l_linenumber") > 5, "{\"output\": 2}\n").otherwise(line("{\"input_i\": \"", c("l_orderkey"), "\"}\n")),
+                   F.lit("Summary:\n  Integrated loudness:\n"), line("    I:   ", level, " LUFS\n"),
+                   F.when(c("l_linenumber") == 4, "").otherwise(line("    Peak:   ", c("l_tax"), " dBFS\n")),
+                   line("DONE 100 frames in 12s (", c("l_quantity"), " fps)\n"))
     logs = table(spark, sf, "lineitem").select(*LINE, log.alias("log"))
     lufs, peak = X.loudness_of(F.col("log"))
     block = F.get_json_object(X.last_json(F.col("log"), "input_i"), "$.input_i")
     return logs.select(*LINE, lufs.alias("lufs"), peak.alias("peak"),
-                       F.when(c("l_linenumber") <= 5, block).alias("input_i"), X.done_rate(F.col("log")).alias("fps"))
+                       F.when((c("l_linenumber") > 5) | c("l_orderkey").isNull(), None).otherwise(block).alias("input_i"), X.done_rate(F.col("log")).alias("fps"))
 
 
 @query("persian_text", f"""SELECT doc_id, regexp_replace(translate('كتاب يك ' || text, '{X.ARABIC}', '{X.PERSIAN}'), '({X.LATIN_RUN.replace("'", "''")})', '{X.ISOLATE}\\1{X.POP}', 'g') AS text FROM documents""")
