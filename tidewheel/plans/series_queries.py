@@ -284,7 +284,7 @@ def metric_medians(spark, sf):
 @query("profile_summary", """WITH s AS (SELECT user_id, event_type AS kind, count(*) AS calls, round(sum(value / 7), 1) AS ms FROM events GROUP BY 1, 2)
 SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ms DESC, kind) AS INTEGER) AS place FROM s""")
 def profile_summary(spark, sf):
-    return A.profile_summary(table(spark, sf, "events").select("user_id", F.col("event_type").alias("kind"), (F.col("value") / 7).alias("value")), ["user_id"], "kind", "value")
+    return A.profile_summary(table(spark, sf, "events").select("user_id", "event_id", F.col("event_type").alias("kind"), (F.col("value") / 7).alias("value")), ["user_id"], "kind", "value", "event_id")
 
 
 @query("profile_split", """WITH e AS (SELECT user_id, CASE WHEN event_id % 3 = 0 THEN 'v=copy|a=aac' WHEN event_id % 3 = 1 THEN 'a=copy|null' ELSE 'probe' END AS kind, value / 7 AS value FROM events)
