@@ -30,7 +30,7 @@ def test_lines_with_large_keys_and_broken_quantities(spark, tmp_path, name):
     holds(spark, tmp_path, name, lineitem=LINES)
 
 
-@pytest.mark.parametrize("name", ["profile_summary"])
+@pytest.mark.parametrize("name", ["profile_summary", "profile_split"])
 def test_sums_halfway_between_rounded_values(spark, tmp_path, name):
     """Of cents over 7, one sum in seventy lies halfway between two tenths."""
     holds(spark, tmp_path, name, events="SELECT * FROM '/root/testdata/sf0.1/events.parquet' ORDER BY event_id")

@@ -292,8 +292,8 @@ SELECT user_id, count(*) FILTER (WHERE kind LIKE '%a=aac%') AS audio_encodes, ro
        round(coalesce(sum(value) FILTER (WHERE kind LIKE '%null%'), 0), 1) AS measure_ms FROM e GROUP BY 1""")
 def profile_split(spark, sf):
     kind = F.when(F.col("event_id") % 3 == 0, "v=copy|a=aac").when(F.col("event_id") % 3 == 1, "a=copy|null").otherwise("probe")
-    calls = table(spark, sf, "events").select("user_id", kind.alias("kind"), F.lit(1).cast("bigint").alias("calls"), (F.col("value") / 7).alias("value"))
-    return A.profile_split(calls, ["user_id"], "kind", "calls", "value")
+    calls = table(spark, sf, "events").select("user_id", "event_id", kind.alias("kind"), F.lit(1).cast("bigint").alias("calls"), (F.col("value") / 7).alias("value"))
+    return A.profile_split(calls, ["user_id"], "kind", "calls", "value", "event_id")
 
 
 @query("knee", """WITH g AS (SELECT l_suppkey AS series_id, l_linenumber AS workers, round(avg(l_quantity), 6) AS fps FROM lineitem GROUP BY 1, 2), b AS (SELECT series_id, max(fps) AS best FROM g GROUP BY 1)
