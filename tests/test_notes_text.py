@@ -184,3 +184,26 @@ def test_user_program_keeps_state_between_batches(spark):
     got = {r["i"]: r["total"] for r in E.run_program(df, ["k"], "i", lambda: [0.0], step, "k string, i long, total double").collect()}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     assert got == {i: i * (i + 1) / 2 for i in range(40)}
+
+
+def test_section_fit_sums_only_the_stretches_that_may_be_best():
+    """A slow grid has thousands of slides to a beat: the answer is that of all stretches' sums, most of which aren't made."""
+    import numpy as np
+
+    from tidewheel.functions import kernels as K
+
+    rng, made = np.random.default_rng(3), []
+    plain = K._pulse_row
+    for case in range(8):
+        beats, onset = np.arange(32) * 8.0, rng.random(250 + case) ** 8
+        onset[np.rint(beats[:30] * (1 + 0.004 * case) + 1.5).astype(int) % len(onset)] += 2.0
+        stretches, slides, energy = K.pulse_energy(onset, 0, beats, 1.0)
+        tops = energy.max(axis=1)
+        row = int(tops.argmax()) if tops.max() > K.STRETCH_GAIN * tops[K.STRETCHES] else K.STRETCHES
+        try:
+            K._pulse_row = lambda *a: made.append(1) or plain(*a)
+            got = K.section_fit(onset, 0, beats, 1.0, 0.0, 1 / 48)
+        finally:
+            K._pulse_row = plain
+        assert got[:2] == (stretches[row], slides[energy[row].argmax()])
+    assert len(made) <= 8 * 6
