@@ -119,6 +119,23 @@ def test_tempo_of_click_tracks(spark):
         assert min(off, period - off) < 0.015
 
 
+def test_tempo_search_keeps_its_trials_out_of_rows(spark, monkeypatch):
+    onsets = settle(rows(spark, slow=clicks(93.5), mid=clicks(120.0)))
+    sizes = []
+
+    def counted(df):
+        out = settle(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "settle", counted)
+    whole, cut = ({r["series_id"]: r for r in G.estimate_tempo(onsets, KEYS, "value", size=n).collect()} for n in (16384, 1500))
+    # Two series of at most 12 starts and three blocks; a start has 651 trials.
+    assert max(sizes) <= 2 * 12 * 3
+    for name in whole:
+        assert [whole[name][c] for c in ("bpm", "beat0", "score", "alt_bpm")] == pytest.approx([cut[name][c] for c in ("bpm", "beat0", "score", "alt_bpm")])
+
+
 def test_grid_fit_measures_a_late_pulse(spark):
     onsets = settle(rows(spark, s=clicks(120.0)))
     beats = spark.createDataFrame([("s", 0.28 + 0.5 * k, k // 4 + 1) for k in range(78)], "series_id string, t double, bar long")

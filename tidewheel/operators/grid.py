@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewheel import constants as C
 from tidewheel.constants import BLOCK
@@ -16,7 +18,7 @@ from tidewheel.functions import scalar as S
 from tidewheel.operators.align import lag_sums, peaks, section_of, vertex
 from tidewheel.operators.blocks import pack, prefix
 from tidewheel.operators.joins import asof_join
-from tidewheel.session import settle
+from tidewheel.session import arrow_batches, settle
 
 
 # ---- tempo search
@@ -61,14 +63,6 @@ def dedupe(tempos: Column, tolerance: float = C.COMB_SPAN) -> Column:
     return F.aggregate(tempos, F.array().cast("array<double>"), step)
 
 
-def bpm_steps(centre: Column, lo: float, hi: float, span: Column) -> Column:
-    """Every 0.01 BPM step within `span` of a tempo and inside [lo, hi] (just the low end if none)."""
-    low, high = F.greatest(F.lit(lo), centre - span), F.least(F.lit(hi), centre + span)
-    first, last = F.ceil(low * 100.0 - 1e-6), F.floor(high * 100.0 + 1e-6)
-    steps = F.transform(F.sequence(first.cast("bigint"), F.greatest(first, last).cast("bigint")), lambda k: k / 100.0)
-    return F.when(first <= last, steps).otherwise(F.array(low))
-
-
 def fold_search(onsets: DataFrame, tempos: DataFrame, keys: Sequence[str], value: str, fps: float = C.FPS,
                 size: int = BLOCK) -> DataFrame:
     """Mean onset per beat in every phase bin of every tempo: (keys, bpm, bin, score, phase).
@@ -102,17 +96,11 @@ def fold_search(onsets: DataFrame, tempos: DataFrame, keys: Sequence[str], value
                          ((F.col("bin") + 0.5) * period / count).alias("phase"))
 
 
-def best_folds(folds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The tempo and phase with the highest score (the slowest tempo and first bin of equals)."""
-    order = F.struct(F.round("score", 12).alias("s"), (-F.col("bpm")).alias("b"), (-F.col("bin")).alias("i"))
-    return folds.groupBy(*keys).agg(F.max_by(F.struct("score", "bpm", "phase"), order).alias("_b")).select(*keys, "_b.*")
-
-
 def comb_scores(onsets: DataFrame, combs: DataFrame, keys: Sequence[str], value: str, fps: float = C.FPS,
-                size: int = BLOCK) -> DataFrame:
+                size: int = BLOCK, blocks: DataFrame | None = None) -> DataFrame:
     """Mean onset under each comb phase + k*period, read between frames: (keys, comb, score).
 
-    `combs` has (keys, comb, bpm, phase), phase in frames.
+    `combs` has (keys, comb, bpm, phase), phase in frames; `blocks` may hold the onsets' tempo_blocks().
     """
     keys = list(keys)
     listed = combs.groupBy(*keys).agg(F.collect_list(F.struct("comb", "bpm", "phase")).alias("_combs"))
@@ -137,33 +125,115 @@ def comb_scores(onsets: DataFrame, combs: DataFrame, keys: Sequence[str], value:
             out.append(rows)
         return pd.Series(out)
 
-    lengths = onsets.groupBy(*keys).agg(F.count("*").alias("_n"))
-    blocks = pack(onsets, keys, "frame", [value], size, 0, 1).join(lengths, keys).join(listed, keys)
-    each = blocks.select(*keys, F.explode(sums("_blk", "frame", value, "_combs", "_n")).alias("_s")).select(*keys, "_s.*")
+    if blocks is None:
+        lengths = onsets.groupBy(*keys).agg(F.count("*").alias("_n"))
+        blocks = pack(onsets, keys, "frame", [value], size, 0, 1).join(lengths, keys)
+    each = blocks.join(listed, keys).select(*keys, F.explode(sums("_blk", "frame", value, "_combs", "_n")).alias("_s")).select(*keys, "_s.*")
     return each.groupBy(*keys, "comb").agg((F.sum("s") / F.greatest(F.sum("n"), F.lit(1.0))).alias("score"))
 
 
-def refine(onsets: DataFrame, starts: DataFrame, keys: Sequence[str], value: str, fps: float = C.FPS,
+def tempo_blocks(onsets: DataFrame, keys: Sequence[str], value: str, size: int = BLOCK) -> DataFrame:
+    """One row per block with one frame of the next, for all passes of a tempo search: (keys, _blk, frame, value, _n)."""
+    keys = list(keys)
+    lengths = onsets.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return settle(pack(onsets, keys, "frame", [value], size, 0, 1).join(lengths, keys))
+
+
+def searched(blocks: DataFrame, starts: DataFrame, keys: Sequence[str], value: str, tally, choose, size: int = BLOCK) -> DataFrame:
+    """The best trial around each start (keys, place, bpm, phase): (keys, place, score, bpm, phase).
+
+    `tally(start, onset, first, own, n)` gives a block's sums for all trials of a start, which add up over the blocks of a series;
+    `choose(start, n, sums)` is the best trial. No trial is a row: a series of one block is settled where it is tallied, and
+    only longer ones have their sums added up, so a task holds one block's trials at a time.
+    """
+    keys = list(keys)
+    listed = starts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "bpm", "phase"))).alias("_starts"))
+    wide = blocks.join(listed, keys)
+    best_type = "struct<score:double,bpm:double,phase:double>"
+
+    def passes(batches):
+        for batch in batches:
+            rows, starts_, sums, best = [], [], [], []
+            for row in range(batch.num_rows):
+                n, first = batch.column("_n")[row].as_py(), batch.column("_blk")[row].as_py() * size
+                own = min(size, n - first)
+                at, x = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("frame", value))
+                onset = np.nan_to_num(K.dense(at, x, first, own + (1 if first + own < n else 0)))
+                for start in batch.column("_starts")[row].as_py():
+                    found = tally(start, onset, first, own, n)
+                    rows.append(row)
+                    starts_.append(start)
+                    sums.append(None if n <= size else found)
+                    best.append(dict(zip(("score", "bpm", "phase"), choose(start, n, found))) if n <= size else None)
+            if rows:
+                head = batch.select([*keys, "_n"]).take(pa.array(rows))
+                columns = [pa.array(starts_, batch.schema.field("_starts").type.value_type), pa.array(sums, pa.list_(pa.float64())),
+                           pa.array(best, pa.struct([(c, pa.float64()) for c in ("score", "bpm", "phase")]))]
+                yield pa.RecordBatch.from_arrays([*head.columns, *columns], names=[*keys, "_n", "_start", "_sums", "_best"])
+
+    schema = T.StructType([*wide.select(*keys, "_n").schema.fields, T.StructField("_start", wide.schema["_starts"].dataType.elementType),
+                           T.StructField("_sums", T.ArrayType(T.DoubleType())), T.StructField("_best", T.StructType.fromDDL("score double, bpm double, phase double"))])
+    with arrow_batches(blocks.sparkSession, 64):
+        done = settle(wide.mapInArrow(passes, schema))
+
+    @F.pandas_udf(best_type)
+    def best_of(start: pd.DataFrame, n: pd.Series, sums: pd.Series) -> pd.DataFrame:
+        found = [choose(a, int(b), np.asarray(c, dtype=np.float64)) for a, b, c in zip(start.to_dict("records"), n, sums)]
+        return pd.DataFrame(found, columns=["score", "bpm", "phase"], dtype=np.float64)
+
+    whole = done.where(F.col("_best").isNotNull()).select(*keys, "_start.place", "_best.*")
+    parts = done.where(F.col("_best").isNull()).select(*keys, "_n", "_start", F.posexplode("_sums").alias("_k", "_v"))
+    added = parts.groupBy(*keys, "_n", "_start", "_k").agg(F.sum("_v").alias("_v")).groupBy(*keys, "_n", "_start").agg(
+        F.array_sort(F.collect_list(F.struct("_k", "_v"))).alias("_sums"))
+    longer = added.select(*keys, "_start.place", best_of("_start", "_n", "_sums._v").alias("_best")).select(*keys, "place", "_best.*")
+    return settle(whole.unionByName(longer))
+
+
+def fold_best(blocks: DataFrame, starts: DataFrame, keys: Sequence[str], value: str, fps: float = C.FPS,
+              lo: float = C.BPM_RANGE[0], hi: float = C.BPM_RANGE[1], size: int = BLOCK) -> DataFrame:
+    """The tempo within 1.5 % of each start and the phase bin with the highest mean onset a beat (of equals the slowest tempo and first bin)."""
+    def tally(start, onset, first, own, n):
+        at = np.flatnonzero(onset[:own] > 0)
+        tempos = K.bpm_steps(start["bpm"], lo, hi, start["bpm"] * C.COMB_SPAN)
+        return np.concatenate(K.fold_all((at + first).astype(np.float64), onset[at], 60.0 * fps / tempos))
+
+    def choose(start, n, sums):
+        tempos = K.bpm_steps(start["bpm"], lo, hi, start["bpm"] * C.COMB_SPAN)
+        periods = 60.0 * fps / tempos
+        counts = np.maximum(1, np.rint(periods)).astype(np.int64)
+        row = np.repeat(np.arange(len(tempos)), counts)
+        scores = sums * counts[row] / n
+        at = K.first_best(scores)
+        place = at - int(counts[:row[at]].sum())
+        return scores[at], tempos[row[at]], (place + 0.5) * periods[row[at]] / counts[row[at]]
+
+    return searched(blocks, starts, keys, value, tally, choose, size)
+
+
+def refine(blocks: DataFrame, starts: DataFrame, keys: Sequence[str], value: str, fps: float = C.FPS,
            lo: float = C.BPM_RANGE[0], hi: float = C.BPM_RANGE[1], size: int = BLOCK) -> DataFrame:
     """Polish (keys, place, bpm, phase): tempos within 0.1 BPM, pivoting on the beat nearest the
     middle of the series, that beat moved up to 1.5 frames. Returns (keys, place, score, bpm, phase)."""
-    keys = list(keys)
-    lengths = onsets.groupBy(*keys).agg(F.count("*").alias("_n"))
-    base = starts.join(lengths, keys).withColumn("_p0", 60.0 * fps / F.col("bpm"))
-    middle = F.col("phase") + F.rint(((F.col("_n") - 1) / 2.0 - F.col("phase")) / F.col("_p0")) * F.col("_p0")
-    spread = base.withColumn("_mid", middle).withColumn("_try", F.explode(
-        bpm_steps(F.col("bpm"), lo, hi, F.lit(0.10)))).withColumn(
-        "_move", F.explode(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: k * 0.1 - 1.5)))
-    centre = F.col("_mid") + F.col("_move")
-    combs = spread.select(*keys, "place", F.col("_try").alias("bpm"), centre.alias("phase"), "_move")
-    combs = combs.withColumn("comb", F.xxhash64("place", "bpm", "_move"))
-    combs = settle(combs)
-    scored = comb_scores(onsets, combs, keys, value, fps, size).join(combs, [*keys, "comb"])
-    order = F.struct(F.round("score", 12).alias("s"), (-F.col("bpm")).alias("b"), (-F.col("_move")).alias("m"))
-    period = 60.0 * fps / F.col("bpm")
-    return scored.groupBy(*keys, "place").agg(F.max_by(
-        F.struct("score", "bpm", F.pmod(F.col("phase"), period).alias("phase")), order).alias("_b")).select(
-        *keys, "place", "_b.*")
+    moves = np.arange(31) * 0.1 - 1.5
+
+    def trials(start, n):
+        period = 60.0 * fps / start["bpm"]
+        middle = start["phase"] + np.rint(((n - 1) / 2.0 - start["phase"]) / period) * period
+        tempos = K.bpm_steps(start["bpm"], lo, hi, 0.10)
+        return np.repeat(tempos, len(moves)), np.tile(middle + moves, len(tempos))
+
+    def tally(start, onset, first, own, n):
+        tempos, phases = trials(start, n)
+        periods = 60.0 * fps / tempos
+        return np.concatenate(K.comb_sums(onset, first, own, n, periods, phases % periods))
+
+    def choose(start, n, sums):
+        tempos, phases = trials(start, n)
+        scores = sums[:len(tempos)] / np.maximum(sums[len(tempos):], 1.0)
+        at = K.first_best(scores)
+        return scores[at], tempos[at], phases[at] % (60.0 * fps / tempos[at])
+
+    return searched(blocks, starts, keys, value, tally, choose, size)
 
 
 def estimate_tempo(onsets: DataFrame, keys: Sequence[str], value: str, fps: float = C.FPS, lo: float = C.BPM_RANGE[0],
@@ -175,12 +245,10 @@ def estimate_tempo(onsets: DataFrame, keys: Sequence[str], value: str, fps: floa
     """
     keys = list(keys)
     pool = settle(tempo_candidates(onsets, keys, value, fps, lo, hi, size=size))
+    blocks = tempo_blocks(onsets, keys, value, size)
 
     def search(centres: DataFrame) -> DataFrame:
-        tempos = centres.select(*keys, "place", F.explode(bpm_steps(
-            F.col("bpm"), lo, hi, F.col("bpm") * C.COMB_SPAN)).alias("bpm"))
-        folds = fold_search(onsets, tempos, keys, value, fps, size).join(tempos, [*keys, "bpm"])
-        return settle(refine(onsets, settle(best_folds(folds, [*keys, "place"])), keys, value, fps, lo, hi, size))
+        return refine(blocks, fold_best(blocks, centres.withColumn("phase", F.lit(0.0)), keys, value, fps, lo, hi, size), keys, value, fps, lo, hi, size)
 
     tried = search(pool).withColumn("weighted", F.col("score") * S.tempo_prior(F.col("bpm")))
     order = F.struct("weighted", (-F.col("place")).alias("p"))
@@ -189,8 +257,9 @@ def estimate_tempo(onsets: DataFrame, keys: Sequence[str], value: str, fps: floa
     for _ in range(int(np.floor(np.log2(hi / lo) + 1e-9))):
         period = 60.0 * fps / F.col("bpm")
         off = best.select(*keys, F.lit(0).cast("bigint").alias("comb"), "bpm", (F.col("phase") + period / 2.0).alias("phase"))
-        off_score = comb_scores(onsets, off, keys, value, fps, size).select(*keys, F.col("score").alias("_off"))
-        doubled = refine(onsets, best.where(F.col("bpm") * 2.0 <= hi + 1e-9).withColumn("bpm", F.col("bpm") * 2.0),
+        with arrow_batches(onsets.sparkSession, 64):
+            off_score = settle(comb_scores(onsets, off, keys, value, fps, size, blocks).select(*keys, F.col("score").alias("_off")))
+        doubled = refine(blocks, best.where(F.col("bpm") * 2.0 <= hi + 1e-9).withColumn("bpm", F.col("bpm") * 2.0),
                          keys, value, fps, lo, hi, size).select(*keys, F.struct("score", "bpm", "phase").alias("_d"))
         moves = (F.col("bpm") * 2.0 <= hi + 1e-9) & (F.col("_off") >= C.DOUBLE_EVIDENCE * F.col("score"))
         best = settle(best.join(off_score, keys, "left").join(doubled, keys, "left").withColumn(
