@@ -100,6 +100,28 @@ def test_tempo_change_is_found(spark):
     assert len(found) == 1 and found[0]["ratio"] == pytest.approx(1.02, abs=5e-4)
 
 
+def test_trials_against_one_piece_equal_single_ones():
+    rng = np.random.default_rng(3)
+    a, others = rng.normal(size=2500) + 40, rng.normal(size=(5, 2512)) - 7
+    a[::17], others[1, 40:300], others[2], others[3, 2000:] = np.nan, np.nan, np.nan, np.nan
+    got = K.lag_moments_each(a, others, 13)
+    for row, b in zip(got, others):
+        assert np.allclose(row, K.lag_moments([(a, b)], 13), rtol=1e-9, atol=1e-7)
+
+
+def test_median_slope_of_few_points_takes_no_rounds(monkeypatch):
+    from tidewheel.operators import slopes
+
+    def counted(*_):
+        raise AssertionError("a round of counting pairs")
+
+    x, y = np.array([0.0, 24, 24, 48, 72, 96]), np.array([1.0, 2, 3, 3, 4, 9])
+    want = float(np.median([(y[j] - y[i]) / (x[j] - x[i]) for i in range(6) for j in range(i + 1, 6) if x[i] != x[j]]))
+    monkeypatch.setattr(slopes, "falling_pairs", counted)
+    assert slopes.median_slope(x, y) == pytest.approx(want, abs=1e-12)
+    assert slopes.median_slope(np.ones(3), y[:3]) == 0.0
+
+
 def clicks(bpm, seconds=40.0, fps=100):
     out = np.zeros(int(seconds * fps))
     at = np.arange(0.3, seconds - 0.1, 60.0 / bpm) * fps

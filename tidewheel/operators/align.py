@@ -25,7 +25,7 @@ from tidewheel.operators.blocks import over_blocks, pack
 from tidewheel.operators.joins import full_span, sample_linear, spread_index
 from tidewheel.operators.quantiles import exact_percentiles
 from tidewheel.operators.slopes import theil_sen
-from tidewheel.session import settle
+from tidewheel.session import arrow_batches, settle
 
 _MOMENTS = ("n", "sa", "sb", "saa", "sbb", "sab")
 def pair_up(old: DataFrame, new: DataFrame, keys: Sequence[str], value: str = "value",
@@ -505,12 +505,17 @@ def tempo_change(pairs: DataFrame, windows: DataFrame, keys: Sequence[str], fps:
         spread = F.explode(F.transform(F.sequence(F.lit(-steps), F.lit(steps)), lambda k: F.col("guess") * (1.0 + step * k)))
         return centres.select(*keys, spread.alias("ratio")).distinct()
 
-    coarse = settle(warped_peaks(pairs, settle(trials(guesses, 5, 0.001)), keys, round(reach_s * fps), fps, size))
+    def peaks_of(ratios: DataFrame) -> DataFrame:
+        # A series has tens of trials, each with a row of moments.
+        tried = settle(ratios)
+        with arrow_batches(pairs.sparkSession, 256):
+            return settle(warped_peaks(pairs, tried, keys, round(reach_s * fps), fps, size))
+
+    coarse = peaks_of(trials(guesses, 5, 0.001))
     best = F.max(F.struct("r", "ratio", "lag_s"))
     first = coarse.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col("_b.ratio").alias("guess"))
     followed = guesses.where(F.col("line") == 1).select(*keys, F.col("guess").alias("ratio"))
-    second = settle(warped_peaks(pairs, settle(trials(first, 10, 0.0001).unionByName(followed).distinct()), keys,
-                                 round(reach_s * fps), fps, size))
+    second = peaks_of(trials(first, 10, 0.0001).unionByName(followed).distinct())
     all_ = coarse.unionByName(second)
     top = all_.groupBy(*keys).agg(best.alias("_b"))
     line = second.join(followed.withColumnRenamed("ratio", "_f"), keys).where(F.col("ratio") == F.col("_f")).groupBy(
@@ -574,13 +579,16 @@ def warped_curves(pairs: DataFrame, ratios: DataFrame, keys: Sequence[str], reac
                 pieces = batch.column("_new")[row].values
                 at, read = (np.concatenate([p.values.to_numpy(zero_copy_only=False) for p in pieces.field(c)]) for c in ("frame", "new"))
                 wanted = np.arange(start - reach, start + own + reach, dtype=np.float64)
-                for ratio in batch.column("_ratios")[row].as_py():
-                    inside = (wanted >= 0) & (wanted < np.rint(total * ratio))
-                    right = np.where(inside, np.interp(wanted / ratio, at, read), np.nan)
-                    summed = K.lag_moments([(left, right)], lags)
-                    key = (name, ratio)
-                    found[key] = found[key] + summed if key in found else summed
-                    heads.setdefault(key, row)
+                ratios_ = batch.column("_ratios")[row].values.to_numpy(zero_copy_only=False)
+                # A slice of trials at a time, whatever the block's size.
+                for first in range(0, len(ratios_), each := max(1, 4_000_000 // len(wanted))):
+                    some = ratios_[first:first + each, None]
+                    inside = (wanted >= 0) & (wanted < np.rint(total * some))
+                    right = np.where(inside, np.interp(wanted / some, at, read), np.nan)
+                    for ratio, summed in zip(some[:, 0].tolist(), K.lag_moments_each(left, right, lags)):
+                        key = (name, ratio)
+                        found[key] = found[key] + summed if key in found else summed
+                        heads.setdefault(key, row)
             if found:
                 columns = [pa.array([m[i] for m in found.values()], pa.list_(pa.float64())) for i in range(len(_MOMENTS))]
                 yield pa.RecordBatch.from_arrays(
