@@ -77,3 +77,35 @@ def test_nothing_is_written_twice(spark):
         R.run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
     assert spark.read.parquet(f"{folder}/out").count() == 10
     assert os.path.isdir(f"{folder}/checkpoint")
+
+
+def test_many_series_are_one_call_a_lane_and_batch(spark):
+    R.stateful_session(spark)
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+    class Counted(R.SmoothAndFlux):
+        def handleInputRows(self, key, rows, timerValues):
+            with open(f"{folder}/calls", "a") as calls:
+                calls.write("x")
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    rows = [(None if s == 7 else f"s{s}", i, float((i * 13 + s) % 7)) for s in range(80) for i in range(8)]
+    parts = [spark.createDataFrame([r for r in rows if (r[1] < 4) == early], SCHEMA) for early in (True, False)]
+    parts[-1] = parts[-1].unionByName(R.closing(spark.createDataFrame(rows, SCHEMA), 10_000))
+    R.OUTPUTS[Counted] = R.OUTPUTS[R.SmoothAndFlux]
+    out, late = R.run_parts(parts, folder, lambda s: R.run_processor(s, Counted(0.5), delay="15 seconds", hop_ms=1000, lanes=4))
+    got, level = {(r.series_id, r.frame): r.smooth for r in out.collect()}, 0.0
+    assert late == 0 and len(got) == len(rows) and os.path.getsize(f"{folder}/calls") <= 2 * 4
+    for series, frame, value in rows:
+        level = 0.5 * (level if frame else 0.0) + 0.5 * value
+        assert got[series, frame] == pytest.approx(level)
+
+
+def test_loops_of_many_series_keep_their_own_newest(spark):
+    R.stateful_session(spark)
+    schema = "series_id string, t double, strength double"
+    parts = [[("a", 1.0, 1.0), ("b", 25.0, 2.0), ("c", 5.0, 3.0)], [("b", 9.0, 4.0), ("a", 12.0, 5.0), ("a", 31.0, 6.0), ("b", 27.0, 7.0), ("d", 3.0, 8.0)]]
+    out, _ = R.run_parts([spark.createDataFrame(p, schema).coalesce(1) for p in parts], tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
+                         lambda s: R.run_processor(s, R.LoopHits(10.0), lanes=1))
+    assert sorted((r.series_id, r.loop, r.t, r.strength) for r in out.collect()) == [
+        ("a", 0, 1.0, 1.0), ("a", 1, 2.0, 5.0), ("a", 3, 1.0, 6.0), ("b", 2, 5.0, 2.0), ("b", 2, 7.0, 7.0), ("c", 0, 5.0, 3.0), ("d", 0, 3.0, 8.0)]

@@ -9,6 +9,7 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -60,138 +61,158 @@ def scale_live(frames: DataFrame, scales: DataFrame, series: str, value: str, ou
         out, F.when(ref > 0, S.clamp(F.col(value) / ref, 0.0, ceiling)).otherwise(0.0)).drop("reference")
 
 
+HELD = pa.schema([("series", pa.string()), ("at", pa.int64()), ("frame", pa.int64()), ("value", pa.float64())])
+
+
+def _stored(rows: pd.DataFrame) -> bytes:
+    """Rows of many series as one state value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, HELD, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_table(pa.Table.from_pandas(rows, schema=HELD, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _read(stored: bytes | None) -> pd.DataFrame:
+    return (HELD.empty_table() if stored is None else pa.ipc.open_stream(bytes(stored)).read_all()).to_pandas()
+
+
 class InOrder(StatefulProcessor):
-    """Frames of a series in event-time order, whatever order they came in.
+    """Frames of each series in event-time order, whatever order they came in.
 
+    A key is a lane of many series (see run_processor), so that a batch costs one call and two state accesses a lane and not a series.
     Frames wait in state until the watermark has passed them; a timer at the earliest one waiting makes sure that they come out
-    even if the series falls silent. `step` then gets them sorted, a batch at a time. What waits is what the watermark's delay
-    allows, so neither the state nor a call grows with the stream. Frames behind the watermark are dropped by Spark and
-    counted in the query's progress (see run_available).
+    even if the lane falls silent. `step` then gets those of one series sorted, with the rows it kept of that series. What waits is what
+    the watermark's delay and the newest batch hold, so neither the state nor a call grows with the stream. Frames behind the watermark
+    are dropped by Spark and counted in the query's progress (see run_available).
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, frame long, value double")
-        self.begin(handle)
-
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        """Declare the state of `step`."""
+        self.held = handle.getValueState("held", "waiting binary, kept binary")
 
-    def step(self, key: tuple, frames: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+    def step(self, known: np.ndarray, kept: np.ndarray, frames: np.ndarray, values: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+        """A series' kept frames and values, and those that are due -> output columns, and what to keep in place of the first two."""
         raise NotImplementedError
 
+    def shaped(self, out: pd.DataFrame) -> pd.DataFrame:
+        return out
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            at = batch["ts"].astype("datetime64[ms]").astype("int64")
-            self.waiting.appendList(list(zip(at.tolist(), batch["frame"].tolist(), batch["value"].tolist())))
-        yield from self.released(key, timerValues)
+        came = [pd.DataFrame({"series": b["series"], "at": b["ts"].astype("datetime64[ms]").astype("int64"), "frame": b["frame"].astype("int64"),
+                              "value": b["value"].astype("float64")}) for b in rows]
+        yield from self.released(came, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.released(key, timerValues)
-
-    def released(self, key, timerValues) -> Iterator[pd.DataFrame]:
-        if not self.waiting.exists():
+        yield from self.released([], timerValues)
+
+    def released(self, came: list[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        stored = self.held.get() or (None, None)
+        rows = pd.concat([_read(stored[0]), *came], ignore_index=True)
+        late = rows["at"] > timerValues.getCurrentWatermarkInMs()
+        due, rest = rows[~late], rows[late]
+        if len(rest):
+            self.handle.registerTimer(int(rest["at"].min()))
+        if due.empty:
+            if came:
+                self.held.update((_stored(rest), stored[1]))
             return
-        passed = timerValues.getCurrentWatermarkInMs()
-        held = sorted(self.waiting.get())
-        count = next((i for i, row in enumerate(held) if row[0] > passed), len(held))
-        due, rest = held[:count], held[count:]
-        if rest:
-            self.handle.registerTimer(int(rest[0][0]))
-        if not due:
-            return
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        yield self.step(key, np.array([r[1] for r in due], dtype=np.int64), np.array([r[2] for r in due], dtype=np.float64))
+        out, kept = self.stepped(_read(stored[1]), due)
+        self.held.update((_stored(rest), _stored(kept)))
+        yield out
+
+    def stepped(self, kept: pd.DataFrame, due: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """`step` for each series that has rows due; the others keep what they kept."""
+        both = pd.concat([kept, due], ignore_index=True)
+        series, names = pd.factorize(both["series"], use_na_sentinel=False)
+        fresh = np.arange(len(both)) >= len(kept)
+        order = np.lexsort((both["value"], both["frame"], both["at"], fresh, series))
+        frame, value = both["frame"].to_numpy()[order], both["value"].to_numpy()[order]
+        ends = np.cumsum(np.bincount(series, minlength=len(names)))
+        begins = ends - np.bincount(series, minlength=len(names))
+        starts = begins + np.bincount(series[~fresh], minlength=len(names))
+        columns, counts, held = [], np.zeros(len(names), dtype=np.int64), []
+        for k, (begin, start, end) in enumerate(zip(begins, starts, ends)):
+            keep = frame[begin:start], value[begin:start]
+            if end > start:
+                got, *keep = self.step(*keep, frame[start:end], value[start:end])
+                columns.append({"frame": frame[start:end], **got})
+                counts[k] = end - start
+            held.append(keep)
+        out = pd.DataFrame({"series_id": np.repeat(names, counts), **{c: np.concatenate([g[c] for g in columns]) for c in columns[0]}})
+        return self.shaped(out), pd.DataFrame({"series": np.repeat(names, [len(f) for f, _ in held]), "at": 0, "frame": np.concatenate([f for f, _ in held]),
+                                               "value": np.concatenate([v for _, v in held])})
 
     def close(self) -> None:
         pass
 
 
 class AutoGain(InOrder):
-    """value over a decaying running maximum; frames that never came still decay it."""
+    """value over a decaying running maximum; frames that never came still decay it. Keeps the last frame with its peak."""
 
     def __init__(self, decay: float = 0.9995, start: float = 1e-3):
         self.decay, self.floor = decay, start
 
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("gain", "peak double, frame long")
-
-    def step(self, key, frames, values) -> pd.DataFrame:
-        peak, last = self.state.get() if self.state.exists() else (self.floor, -1)
+    def step(self, known, kept, frames, values):
+        peak, last = (kept[-1], known[-1]) if len(known) else (self.floor, -1)
         # In logarithms the decay is a slope, and the peak a running maximum over it.
         fall = math.log(self.decay) * (frames - last)
         logs = np.log(np.where(values > 0, values, 1e-300))
         peaks = np.exp(np.maximum(np.maximum.accumulate(logs - fall), math.log(peak)) + fall)
-        self.state.update((float(peaks[-1]), int(frames[-1])))
-        return pd.DataFrame({"series_id": key[0], "frame": frames, "gain_ref": peaks, "gain": np.clip(values / peaks, 0.0, 1.0)})
+        return {"gain_ref": peaks, "gain": np.clip(values / peaks, 0.0, 1.0)}, frames[-1:], peaks[-1:]
 
 
 class SmoothAndFlux(InOrder):
-    """Exponential smoothing and the rectified step from the smoothed frame before."""
+    """Exponential smoothing and the rectified step from the smoothed frame before. Keeps the last frame with its level."""
 
     def __init__(self, tau: float = 0.55):
         self.tau = tau
 
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("smooth", "level double, frame long")
-
-    def step(self, key, frames, values) -> pd.DataFrame:
-        first = not self.state.exists()
-        level = 0.0 if first else self.state.get()[0]
+    def step(self, known, kept, frames, values):
+        level = float(kept[-1]) if len(known) else 0.0
         levels = np.array(list(accumulate(values.tolist(), lambda held, v: self.tau * held + (1.0 - self.tau) * v, initial=level)))
         flux = np.maximum(np.diff(levels), 0.0)
-        if first:
+        if not len(known):
             flux[0] = 0.0
-        self.state.update((float(levels[-1]), int(frames[-1])))
-        return pd.DataFrame({"series_id": key[0], "frame": frames, "smooth": levels[1:], "flux": flux})
+        return {"smooth": levels[1:], "flux": flux}, frames[-1:], levels[-1:]
 
 
 class DelayedFrame(InOrder):
-    """Each frame answered with the frame heard `latency` seconds before it, from a short ring."""
+    """Each frame answered with the frame heard `latency` seconds before it, from a short ring, which is what it keeps."""
 
     def __init__(self, latency: float, fps: float, keep_s: float = 4.0):
         self.latency, self.fps, self.keep = min(max(latency, 0.0), 1.0), fps, keep_s
 
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getListState("ring", "frame long, value double")
-
-    def step(self, key, frames, values) -> pd.DataFrame:
-        ring = list(self.ring.get()) if self.ring.exists() else []
-        known = np.concatenate([np.array([r[0] for r in ring], dtype=np.int64), frames])
-        heard = np.concatenate([np.array([r[1] for r in ring], dtype=np.float64), values])
+    def step(self, known, kept, frames, values):
+        known, heard = np.concatenate([known, frames]), np.concatenate([kept, values])
         place = np.searchsorted(known, frames - self.latency * self.fps + 1e-9, side="right") - 1
         there = (place >= 0) & (known[np.maximum(place, 0)] >= frames - self.keep * self.fps)
-        kept = np.flatnonzero(known >= frames[-1] - self.keep * self.fps)
-        self.ring.put([(int(known[i]), float(heard[i])) for i in kept])
         place = np.maximum(place, 0)
-        return pd.DataFrame({"series_id": key[0], "frame": frames, "heard": pd.array(np.where(there, known[place], 0), dtype="Int64").astype("Int64"),
-                             "value": np.where(there, heard[place], np.nan)}).assign(heard=lambda d: d["heard"].where(there), value=lambda d: d["value"].astype("Float64").where(there))
+        ring = known >= frames[-1] - self.keep * self.fps
+        return {"heard": known[place], "value": heard[place], "there": there}, known[ring], heard[ring]
+
+    def shaped(self, out):
+        there = out.pop("there")
+        return out.assign(heard=out["heard"].astype("Int64").where(there), value=out["value"].astype("Float64").where(there))
 
 
 class LoopHits(StatefulProcessor):
-    """Hits of a looped track in loop time, each once; hits of a loop before the newest one heard are dropped."""
+    """Hits of a looped track in loop time, each once; hits of a loop before the newest one heard are dropped. A key is a lane of series."""
 
     def __init__(self, loop_s: float):
         self.loop = loop_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "loop long")
+        self.newest = handle.getValueState("newest", "loops binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = self.newest.get()[0] if self.newest.exists() else None
-        for batch in rows:
-            loops = np.floor((batch["t"] + 1e-6) / self.loop).astype("int64")
-            # The newest loop heard before each hit, in time order within the batch.
-            order = batch["t"].argsort(kind="stable")
-            batch, loops = batch.iloc[order], loops.iloc[order]
-            kept = loops >= (loops.iloc[0] if newest is None else newest)
-            newest = int(loops.max()) if newest is None else max(newest, int(loops.max()))
-            yield pd.DataFrame({"series_id": key[0], "t": (batch["t"] - loops * self.loop)[kept], "strength": batch["strength"][kept], "loop": loops[kept]})
-        if newest is not None:
-            self.newest.update((newest,))
+        heard = _read((self.newest.get() or (None,))[0])
+        # Each series' hits in time order, after the newest loop heard of it.
+        hits = pd.concat(rows, ignore_index=True).sort_values("t", kind="stable")
+        hits["frame"] = np.floor((hits["t"] + 1e-6) / self.loop).astype("int64")
+        loops = pd.concat([heard[["series", "frame"]], hits[["series", "frame"]]], ignore_index=True).groupby("series", dropna=False, sort=False)["frame"]
+        kept = hits[hits["frame"].to_numpy() >= loops.transform("first").to_numpy()[len(heard):]]
+        self.newest.update((_stored(loops.max().reset_index().assign(at=0, value=0.0)),))
+        yield pd.DataFrame({"series_id": kept["series"], "t": kept["t"] - kept["frame"] * self.loop, "strength": kept["strength"], "loop": kept["frame"]})
 
     def close(self) -> None:
         pass
@@ -206,14 +227,17 @@ OUTPUTS = {
 
 
 def run_processor(frames: DataFrame, processor: StatefulProcessor, series: str = "series_id", mode: str = "Append",
-                  delay: str = "0 seconds", hop_ms: int = 10) -> DataFrame:
-    """Apply a stateful processor per series of a stream. Processors in event-time order need `ts`, else
-    a frame (from 0 on) ends `hop_ms` after the one before; time 0 is behind any watermark."""
+                  delay: str = "0 seconds", hop_ms: int = 10, lanes: int = 256) -> DataFrame:
+    """Apply a stateful processor to each series of a stream, a lane of them (by hash) at a time: a lane's series share one state value and one
+    call a batch, so `lanes` is to grow with the series. Processors in event-time order need `ts`, else a frame (from 0 on) ends `hop_ms` after
+    the one before; time 0 is behind any watermark."""
+    name = F.col(series).cast("string")
+    lane = F.pmod(F.xxhash64(name), F.lit(lanes)).cast("int").alias("lane")
     if not isinstance(processor, InOrder):
-        return frames.groupBy(series).transformWithStateInPandas(
+        return frames.select(lane, name.alias("series"), "t", "strength").groupBy("lane").transformWithStateInPandas(
             statefulProcessor=processor, outputStructType=OUTPUTS[type(processor)], outputMode=mode, timeMode="None")
     timed = frames if "ts" in frames.columns else frames.withColumn("ts", F.timestamp_millis((F.col("frame") + 1) * hop_ms))
-    return timed.withWatermark("ts", delay).groupBy(series).transformWithStateInPandas(
+    return timed.withWatermark("ts", delay).select(lane, name.alias("series"), "ts", "frame", "value").groupBy("lane").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=OUTPUTS[type(processor)], outputMode=mode, timeMode="EventTime")
 
 
