@@ -188,6 +188,23 @@ def test_impulses_land_where_they_were_moved(spark):
     assert found["offset_s"] == pytest.approx(1.237, abs=0.003) and found["sure"] and found["r"] > 0.95
 
 
+def test_shifted_trains_equal_trains_drawn_impulse_by_impulse(spark):
+    rng = np.random.default_rng(2)
+    hits = [("s", float(t), float(w)) for t, w in zip(np.round(rng.uniform(-4, 44, 70), 2), rng.uniform(0.2, 1, 70))] + [("other", 5.0, 1.0)]
+    heard = [("s", i, None if i == 9 else float(rng.normal())) for i in range(40)]
+    impulses = spark.createDataFrame(hits, "series_id string, t double, weight double")
+    audio = spark.createDataFrame(heard, "series_id string, frame long, v double")
+    # Blocks of 16 frames: trains reach over their edges, and past the last block that has a frame of its own.
+    got = {r.step: r for r in N.shifted_moments(impulses.withColumnRenamed("t", "at"), audio, KEYS, 20, 20, 16).collect()}
+    levels = {i: v for _, i, v in heard}
+    assert sorted(got) == list(range(-20, 21))
+    for step in (-20, -7, 0, 1, 13, 20):
+        train = {r.frame: r.train for r in N.impulse_train(impulses.where("series_id = 's'"), KEYS, 1.0, F.lit(step * 0.05)).collect()}
+        want = (sum(train.values()), sum(v * v for v in train.values()), sum(v * (levels[f] or 0.0) for f, v in train.items() if f in levels),
+                sum(v for f, v in train.items() if f in levels))
+        assert tuple(got[step])[2:] == pytest.approx(want)
+
+
 def test_sample_measures_match_one_pass(spark):
     sr, n = 8000, 24000
     rng = np.random.default_rng(3)

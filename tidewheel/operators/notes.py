@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,10 +16,10 @@ from tidewheel.constants import BLOCK
 from tidewheel.functions import kernels as K
 from tidewheel.functions.chords import chord_name
 from tidewheel.operators.align import best_and_runner_up, lag_sums
-from tidewheel.operators.blocks import join_keys, neighbour, number_rows, pack, prefix
+from tidewheel.operators.blocks import halo, join_keys, neighbour, number_rows, pack, prefix
 from tidewheel.operators.grid import quarters_at, seconds_at
 from tidewheel.operators.joins import asof_join, changes, interval_join
-from tidewheel.session import settle
+from tidewheel.session import arrow_batches, settle
 
 # Words that name a drum track.
 DRUM_WORDS = (
@@ -255,12 +256,59 @@ def impulse_train(impulses: DataFrame, keys: Sequence[str], fps: float, shift: C
         F.sum("_s.v").alias("train"))
 
 
+def shifted_moments(impulses: DataFrame, heard: DataFrame, keys: Sequence[str], steps: int, per: int, size: int = BLOCK) -> DataFrame:
+    """The train of impulses (at, in frames, and weight) moved by step / per frames, for each step within +-`steps`, against `heard` (frame, v):
+    (keys, step, _st, _stt, _tv, _tin), sums of the train, its squares, its products with v and its values where v has a frame.
+
+    No impulse is drawn as rows: a share of one is linear in its place between two breaks, so sums of weights and of weight times place, by
+    frame and bin of 1 / per, give each step's train, and a block of frames draws them all in one array.
+    """
+    keys = list(keys)
+    frame = F.floor("at").cast("bigint")
+    place = F.col("at") - F.floor("at")
+    bins = impulses.groupBy(*keys, frame.alias("frame"), F.least(F.floor(place * per), F.lit(per - 1)).cast("bigint").alias("bin")).agg(
+        F.sum("weight").alias("w"), F.sum(F.col("weight") * place).alias("wp"))
+    shifts = np.arange(-steps, steps + 1) / per
+    reach = int(np.ceil(steps / per))
+    sums = ("_st", "_stt", "_tv", "_tin", "_met", "_known")
+
+    def drawn(batches):
+        for batch in batches:
+            found = []
+            for blk, rows in zip(batch.column("_blk").to_pylist(), batch.column("_rows")):
+                at, bin_, w, wp, v, audio = (rows.values.field(c).to_numpy(zero_copy_only=False) for c in ("frame", "bin", "w", "wp", "v", "audio"))
+                at, audio = at - blk * size, audio.astype(bool)
+                count = int(min(size, max(1, at.max() + reach + 3)))
+                hit = ~audio
+                train, touched = K.shifted_trains(at[hit], bin_[hit], w[hit], wp[hit], shifts, per, count)
+                there = np.zeros(count, dtype=bool)
+                there[at[audio & (at >= 0) & (at < count)]] = True
+                level = K.dense(at[audio], v[audio], 0, count)
+                known = ~np.isnan(level)
+                # Plain sums: a matrix product would start threads in every task.
+                found.append([train.sum(1), (train * train).sum(1), (train * np.where(known, level, 0.0)).sum(1), (train * there).sum(1),
+                              (touched & there).sum(1, dtype=np.float64), (touched & known).sum(1, dtype=np.float64)])
+            if found:
+                columns = [pa.array([m[i] for m in found], pa.list_(pa.float64())) for i in range(len(sums))]
+                yield pa.RecordBatch.from_arrays([*batch.select(keys).columns, *columns], names=[*keys, *sums])
+
+    none = F.lit(None).cast("double")
+    rows = bins.withColumn("v", none).withColumn("audio", F.lit(False)).unionByName(
+        heard.select(*keys, "frame", F.lit(None).cast("bigint").alias("bin"), none.alias("w"), none.alias("wp"), F.col("v").cast("double"), F.lit(True).alias("audio")))
+    blocks = halo(rows, "frame", size, reach + 2, reach + 1).groupBy(*keys, "_blk").agg(
+        F.collect_list(F.struct("frame", F.coalesce("bin", F.lit(0).cast("bigint")).alias("bin"), "w", "wp", "v", "audio")).alias("_rows"))
+    schema = T.StructType([*blocks.select(*keys).schema.fields, *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in sums]])
+    each = blocks.mapInArrow(drawn, schema).select(*keys, F.posexplode(F.arrays_zip(*sums)).alias("_k", "_m"))
+    total = each.groupBy(*keys, (F.col("_k") - steps).alias("step")).agg(*[F.sum(f"_m.{c}").alias(c) for c in sums])
+    return total.where("_met > 0").select(*keys, "step", "_st", "_stt", F.when(F.col("_known") > 0, F.col("_tv")).alias("_tv"), "_tin")
+
+
 def impulse_align(impulses: DataFrame, onsets: DataFrame, keys: Sequence[str], value: str, search_s: float = C.ALIGN_SEARCH_S,
                   fps: float = C.FPS, size: int = BLOCK) -> DataFrame:
     """Where weighted onsets best fit an onset series: offset_s, r, margin, runner_up_s, sure.
 
     Only onsets that can land in the series count. Both sides are normalised once by their whole
-    energy; the best whole-frame lag is refined at 0.05-frame steps by rendering the train anew.
+    energy; the best whole-frame lag is refined at 0.05-frame steps by drawing the train anew (shifted_moments).
     """
     keys = list(keys)
     reach = round(search_s * fps)
@@ -268,23 +316,23 @@ def impulse_align(impulses: DataFrame, onsets: DataFrame, keys: Sequence[str], v
     near = impulses.join(audio, keys).where((F.col("t") >= -search_s) & (F.col("t") <= F.col("_n") / fps + search_s))
     near = settle(near.select(*keys, "t", "weight"))
 
-    def moments(train: DataFrame, by: list[str]) -> DataFrame:
+    def spanned(sums: DataFrame) -> DataFrame:
         spans = near.groupBy(*keys).agg(F.floor(F.max("t") * fps).alias("_p"), F.min("t").alias("_t0"))
         length = F.greatest(F.col("_p") + 4 - F.greatest(F.lit(0), F.floor(F.least(F.lit(0.0), F.col("_t0")))), F.lit(1))
-        return train.groupBy(*by).agg(F.sum("train").alias("_st"), F.sum(F.col("train") * F.col("train")).alias("_stt")).join(
-            spans, keys).withColumn("_len", length)
+        return sums.join(spans, keys).withColumn("_len", length)
 
     train = impulse_train(near, keys, fps)
     both = settle(train.select(*keys, "frame", "train", F.lit(None).cast("double").alias("audio")).unionByName(
         onsets.select(*keys, "frame", F.lit(None).cast("double").alias("train"), F.col(value).alias("audio"))).groupBy(*keys, "frame").agg(
         F.max("train").alias("train"), F.max("audio").alias("audio")))
-    facts = settle(moments(train, keys).join(audio, keys))
+    whole_train = train.groupBy(*keys).agg(F.sum("train").alias("_st"), F.sum(F.col("train") * F.col("train")).alias("_stt"))
+    facts = settle(spanned(whole_train).join(audio, keys))
     sums = lag_sums(both, keys, -reach, reach, "train", "audio", size=size)
     # The audio's sum over the train's span shifts with the lag: read from a train of ones.
     ones = both.withColumn("train", F.when((F.col("frame") >= 0), F.lit(1.0)))
     spans = facts.select(*keys, "_p")
     inside = ones.join(spans, keys).withColumn("train", F.when((F.col("frame") >= 0) & (F.col("frame") < F.col("_p") + 4), 1.0)).drop("_p")
-    span = lag_sums(inside, keys, -reach, reach, "train", "audio", size=size).select(*keys, "lag", F.col("sab").alias("_sa"), F.col("n").alias("_na"))
+    span = settle(lag_sums(inside, keys, -reach, reach, "train", "audio", size=size).select(*keys, "lag", F.col("sab").alias("_sa"), F.col("n").alias("_na")))
     curve = sums.join(span, [*keys, "lag"], "right").join(facts, keys)
     mean = F.col("_st") / F.col("_len")
     top = (F.coalesce("sab", F.lit(0.0)) - F.col("_mu") * F.coalesce("sa", F.lit(0.0))) - mean * (F.col("_sa") - F.col("_mu") * F.col("_na"))
@@ -292,11 +340,10 @@ def impulse_align(impulses: DataFrame, onsets: DataFrame, keys: Sequence[str], v
     curve = settle(curve.select(*keys, "lag", F.when(norm > 1e-12, top / norm).otherwise(0.0).alias("r")))
     best = settle(best_and_runner_up(curve, keys, round(C.RUNNER_UP_S * fps)))
     whole = settle(curve.groupBy(*keys).agg(F.max_by("lag", F.struct("r", -F.col("lag"))).alias("_at")))
-    steps = near.join(whole, keys).withColumn("step", F.explode(F.sequence(F.lit(-20), F.lit(20))))
-    fine = settle(impulse_train(steps, [*keys, "step"], fps, F.col("_at") + F.col("step") * 0.05))
-    heard = onsets.select(*keys, "frame", F.col(value).alias("_v"))
-    placed = fine.join(heard, [*keys, "frame"]).groupBy(*keys, "step").agg(F.sum(F.col("train") * F.col("_v")).alias("_tv"), F.sum("train").alias("_tin"))
-    energy = moments(fine, [*keys, "step"]).join(placed, [*keys, "step"]).join(audio, keys).join(whole, keys)
+    moved = near.join(whole, keys).select(*keys, (F.col("t") * fps + F.col("_at")).alias("at"), "weight")
+    with arrow_batches(near.sparkSession, 256):
+        fine = settle(shifted_moments(moved, onsets.select(*keys, "frame", F.col(value).alias("v")), keys, 20, 20, size))
+    energy = spanned(fine).join(audio, keys).join(whole, keys)
     span_at = span.withColumnRenamed("lag", "_at")
     energy = energy.join(span_at, [*keys, "_at"])
     m2 = F.col("_st") / F.col("_len")
