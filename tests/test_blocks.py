@@ -218,3 +218,15 @@ def test_measures_pass_python_as_arrays_a_few_pieces_at_once(spark):
     bands = A.alignment_bands(blocks, ["series_id"], 800, 32)
     plan = bands._jdf.queryExecution().toString()
     assert "ArrowEvalPython" not in plan and bands.select("frame").distinct().count() == 501
+
+
+@pytest.mark.parametrize("kind", ["linear", "nearest"])
+def test_percentiles_of_small_and_large_groups_are_the_same(spark, kind):
+    rng = np.random.default_rng(8)
+    groups = {"a": rng.normal(size=700), "b": np.array([3.0]), None: rng.integers(-3, 3, 90).astype(float), "d": np.array([-0.0, 0.0, 2.0])}
+    data = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("empty", None)], "k string, v double")
+    probs = {"lo": 0.05, "mid": 0.5, "hi": 0.995, "top": 1.0}
+    each = [{r.k: tuple(r)[1:] for r in exact_percentiles(data, ["k"], "v", probs, kind, small=small).collect()} for small in (0, 100, 10_000)]
+    assert each[0] == each[1] == each[2] and set(each[0]) == set(groups)
+    if kind == "linear":
+        assert each[0]["a"] == pytest.approx(np.quantile(groups["a"], list(probs.values())))

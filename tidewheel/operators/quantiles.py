@@ -1,8 +1,9 @@
 """Exact percentiles of groups of any size.
 
 The built-in exact `percentile` keeps every distinct value of a group in one aggregation
-buffer. Here a mergeable sketch brackets each wanted rank, rows outside the brackets are
-only counted, and the rank is then found exactly among the few values inside.
+buffer. Here groups of few values are sorted as arrays; for the others a mergeable sketch
+brackets each wanted rank, rows outside the brackets are only counted, and the rank is then
+found exactly among the few values inside.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from tidewheel.operators.blocks import join_keys, prefix
 
 _SUB = 4096
+#: Values of a group that are gathered in one array.
+SMALL = 4096
 
 
 def exact_percentiles(
@@ -24,18 +27,24 @@ def exact_percentiles(
     probs: Mapping[str, float],
     kind: str = "linear",
     accuracy: int = 1000,
+    small: int = SMALL,
 ) -> DataFrame:
     """One row per group: `{name: p}` as columns, plus nothing else but the keys.
 
     kind "linear" interpolates between ranks around p*(n-1); "nearest" takes rank
     floor(p*(n-1) + 0.5). NULL values do not take part; NULL keys are groups. The plan is the same
-    for groups of every size, and building it runs no job.
+    for groups of every size, and building it runs no job. Groups of up to `small` values take the short way.
     """
     keys = list(keys)
     slack = 4.0 / accuracy
     wanted = sorted(set(probs.values()))
     edges = [e for p in wanted for e in (max(0.0, p - slack), min(1.0, p + slack))]
     values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    if keys:
+        sizes = values.groupBy(*keys).agg(F.count("*").alias("_size"))
+        sized = join_keys(values, sizes, keys)
+        gathered = sized.where(F.col("_size") <= small).groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("_v") + 0.0)).alias("_s"))
+        values = sized.where(F.col("_size") > small).drop("_size")
     sketch = values.groupBy(*keys).agg(
         F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(accuracy)).alias("_q"),
         F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
@@ -92,7 +101,18 @@ def exact_percentiles(
             b = F.coalesce(F.col(f"_b{i}"), miss)
             position = F.lit(p) * (F.col("_n") - 1)
             out[p] = a + (b - a) * (position - F.floor(position))
-    return found.select(*keys, *[out[p].alias(name) for name, p in probs.items()])
+    bracketed = found.select(*keys, *[out[p].alias(name) for name, p in probs.items()])
+    if not keys:
+        return bracketed
+    for p in wanted:
+        position = F.lit(p) * (F.size("_s") - 1)
+        place = lambda rank: F.get("_s", rank.cast("int"))
+        if kind == "nearest":
+            out[p] = place(F.floor(position + 0.5))
+        else:
+            a, b = place(F.floor(position)), place(F.ceil(position))
+            out[p] = a + (b - a) * (position - F.floor(position))
+    return bracketed.unionByName(gathered.select(*keys, *[out[p].alias(name) for name, p in probs.items()]))
 
 
 def median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
