@@ -38,3 +38,11 @@ def test_sums_halfway_between_rounded_values(spark, tmp_path, name):
 
 def test_a_line_without_a_quantity_is_a_silent_sample(spark, tmp_path):
     holds(spark, tmp_path, "lined_up_stems", lineitem=LINES)
+
+
+ODD = "[NULL, 'NaN'::DOUBLE, 'inf'::DOUBLE, '-inf'::DOUBLE, 1e307, -1e308, 1e22, 1.5e-7, 12345678.9, -3.5, 33.02]"
+
+
+def test_logs_of_numbers_that_are_not_finite_or_too_large_to_be_scaled(spark, tmp_path):
+    holds(spark, tmp_path, "log_measurements", lineitem=f"""SELECT * REPLACE ({ODD}[1 + l_partkey % 11] AS l_quantity, {ODD}[1 + l_suppkey % 11] AS l_tax, CASE WHEN l_partkey % 13 > 0 THEN l_linenumber END AS l_linenumber)
+     FROM '{SF}/lineitem.parquet' WHERE l_orderkey < 3000""")

@@ -13,9 +13,12 @@ def clamp(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
 
 
 def round_places(x: Column, places: int) -> Column:
-    """Rounded half away from zero as the scaled double stands, not as its shortest decimal does (0.285 is just under the half: 0.28)."""
+    """Rounded half away from zero as the scaled double stands, not as its shortest decimal does (0.285 is just under the half: 0.28).
+
+    What is too large to be scaled has no such places and stays."""
     scale = F.lit(10.0 ** places)
-    return F.round(x * scale, 0) / scale
+    rounded = F.round(x * scale, 0) / scale
+    return F.when(F.abs(rounded) < float("inf"), rounded).otherwise(x)
 
 
 # ---- levels

@@ -182,15 +182,15 @@ def resolve_alias(df: DataFrame, aliases: DataFrame, name: str, alias: str, targ
 
 
 # ---- logs
+_NUMBER = r"(NaN|-?(?:inf|Infinity|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?))"
+
+
 def loudness_of(log: Column) -> tuple[Column, Column]:
     """(integrated LUFS, true peak) after the last "Summary:" of a meter's log; NULL where absent."""
     summary = F.when(log.contains("Summary:"), F.substring_index(log, "Summary:", -1))
-    number = r"(-?inf|-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"
 
     def read(label, unit):
-        raw = F.regexp_extract(summary, rf"(?m)^\s*{label}:\s*{number}\s*{unit}", 1)
-        return (F.when(raw == "-inf", F.lit(float("-inf"))).when(raw == "inf", F.lit(float("inf")))
-                .when(raw != "", raw.try_cast("double")))
+        return F.regexp_extract(summary, rf"(?m)^\s*{label}:\s*{_NUMBER}\s*{unit}", 1).try_cast("double")
 
     return read("I", "LUFS"), read("Peak", "dBFS")
 
@@ -204,7 +204,7 @@ def last_json(log: Column, key: str) -> Column:
 
 def done_rate(log: Column) -> Column:
     """Frames a second from a render's closing line."""
-    return F.nullif(F.regexp_extract(log, r"in \d+s \((-?[\d.]+(?:[eE][-+]?\d+)?) fps\)", 1), F.lit("")).cast("double")
+    return F.regexp_extract(log, rf"in \d+s \({_NUMBER} fps\)", 1).try_cast("double")
 
 
 # ---- release text
