@@ -4,6 +4,8 @@ import duckdb
 import pytest
 from oracle_check import compare, load_entry
 
+from tidewheel.operators.aggregates import profile_summary
+
 ENTRY = load_entry()
 QUERIES, ORACLES = ENTRY.queries(), ENTRY.oracle_sql()
 SF = "/root/testdata/sf0.01"
@@ -46,3 +48,17 @@ ODD = "[NULL, 'NaN'::DOUBLE, 'inf'::DOUBLE, '-inf'::DOUBLE, 1e307, -1e308, 1e22,
 def test_logs_of_numbers_that_are_not_finite_or_too_large_to_be_scaled(spark, tmp_path):
     holds(spark, tmp_path, "log_measurements", lineitem=f"""SELECT * REPLACE ({ODD}[1 + l_partkey % 11] AS l_quantity, {ODD}[1 + l_suppkey % 11] AS l_tax, CASE WHEN l_partkey % 13 > 0 THEN l_linenumber END AS l_linenumber)
      FROM '{SF}/lineitem.parquet' WHERE l_orderkey < 3000""")
+
+
+@pytest.mark.parametrize("name", ["profile_summary", "profile_split"])
+def test_profiles_of_events_without_kind_or_value(spark, tmp_path, name):
+    """Of a user's events some have no kind, those of one kind no value; others no number, an id twice or none."""
+    holds(spark, tmp_path, name, events=f"""SELECT * REPLACE (CASE WHEN event_id % 47 = 0 THEN NULL WHEN event_id % 59 = 0 THEN 'other' ELSE event_type END AS event_type,
+     CASE WHEN event_id % 53 > 0 THEN user_id END AS user_id, CASE WHEN user_id % 11 = 0 AND event_type = 'click' THEN NULL WHEN user_id % 13 = 0 THEN {ODD}[1 + event_id % 11] ELSE value END AS value)
+     FROM '{SF}/events.parquet' ORDER BY event_id""")
+
+
+def test_calls_without_a_kind_can_be_named(spark):
+    calls = spark.createDataFrame([("a", 1, None, 2.0), ("a", 2, "other", 1.0), ("a", 3, "mix", None)], "k string, i long, kind string, ms double")
+    got = [[tuple(r)[1:] for r in profile_summary(calls, ["k"], "kind", "ms", "i", unnamed).orderBy("place").collect()] for unnamed in (None, "other")]
+    assert got == [[(None, 1, 2.0, 1), ("other", 1, 1.0, 2), ("mix", 1, None, 3)], [("other", 2, 3.0, 1), ("mix", 1, None, 2)]]
